@@ -76,10 +76,10 @@ def main() -> int:
             else:
                 ok, note = True, f"{df.count()} rows (no twin)"
         except Exception as error:  # noqa: BLE001
-            ok, note = False, "ERROR " + " ".join(str(error).split("JVM stacktrace")[0].split())[:600]
+            ok, note = False, "ERROR " + " ".join(str(error).split("JVM stacktrace")[0].split())[:330]
         if not ok:
             bad.append(name)
-        print(f"{'ok  ' if ok else 'BAD '} {name:8s} {time.time() - start:6.2f}s  {note[:900]}", flush=True)
+        print(f"{'ok  ' if ok else 'BAD '} {name:8s} {time.time() - start:6.2f}s  {note[:420]}", flush=True)
     print(f"{len(wanted) - len(bad)}/{len(wanted)} agree; bad: {bad}")
     return bool(bad)
 
