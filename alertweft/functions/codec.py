@@ -34,8 +34,8 @@ def utf16le_text(data: Column) -> Column:
 
 
 def utf8_text(data: Column) -> Column:
-    """UTF-8 text; bytes that are not valid UTF-8 give null."""
-    return F.try_validate_utf8(data.cast("string"))
+    """UTF-8 text; bytes that are not valid UTF-8 are dropped."""
+    return F.replace(F.make_valid_utf8(data.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
 def encoded_command(command: Column) -> Column:
