@@ -15,22 +15,9 @@ def base64_bytes(token: Column) -> Column:
 
 
 def utf16le_text(data: Column) -> Column:
-    """Text of UTF-16LE bytes; an odd last byte is dropped, unpaired surrogates are removed."""
+    """Text of UTF-16LE bytes; an odd last byte and undecodable units are dropped."""
     even = F.substring(data, F.lit(1), (F.length(data) - F.length(data) % 2).cast("int"))
-    hexes = F.regexp_extract_all(F.hex(even), F.lit("(....)"), F.lit(1))
-    # a high surrogate must be followed by a low one; drop units that are not paired
-    is_high = lambda h: F.substring(h, 3, 2).between("D8", "DB")
-    is_low = lambda h: F.substring(h, 3, 2).between("DC", "DF")
-    nxt = lambda i: F.get(hexes, i + 1)
-    prv = lambda i: F.when(i > 0, F.get(hexes, i - 1))
-    paired = F.filter(
-        hexes,
-        lambda h, i: F.when(is_high(h), F.coalesce(is_low(nxt(i)), F.lit(False)))
-        .when(is_low(h), F.coalesce(is_high(prv(i)), F.lit(False)))
-        .otherwise(F.lit(True)),
-    )
-    clean = F.when(F.hex(even).rlike("(?:....)*..D[89A-F]"), F.unhex(F.array_join(paired, ""))).otherwise(even)
-    return F.decode(clean, "UTF-16LE")
+    return F.replace(F.decode(even, "UTF-16LE"), F.lit("\ufffd"), F.lit(""))
 
 
 def utf8_text(data: Column) -> Column:

@@ -60,9 +60,9 @@ def occurrences(text: Column, literal: str) -> Column:
 def snake_case(name: Column) -> Column:
     """camelCase and punctuation to snake_case."""
     spaced = F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1_$2")
-    return F.lower(F.trim(F.lit("_"), F.regexp_replace(spaced, r"[^A-Za-z0-9]+", "_")))
+    return F.lower(F.trim(F.regexp_replace(spaced, r"[^A-Za-z0-9]+", "_"), F.lit("_")))
 
 
 def domain_user(domain: Column, user: Column) -> Column:
     """``DOMAIN\\user`` with the separator trimmed when one part is empty."""
-    return F.trim(F.lit("\\"), F.concat(F.coalesce(domain, F.lit("")), F.lit("\\"), F.coalesce(user, F.lit(""))))
+    return F.trim(F.concat(F.coalesce(domain, F.lit("")), F.lit("\\"), F.coalesce(user, F.lit(""))), F.lit("\\"))

@@ -161,4 +161,4 @@ def decide(inputs: DataFrame, policy: dict = RUNTIME_POLICY) -> DataFrame:
 
 def routed(decided: DataFrame, *extra: str) -> DataFrame:
     """One row per (decision, profile)."""
-    return decided.select("case_id", *extra, "findings", "signals", F.inline("routes"))
+    return decided.select("case_id", *extra, "findings", "signals", F.inline_outer("routes"))

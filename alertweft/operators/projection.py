@@ -12,25 +12,19 @@ from alertweft.functions.ordinal import policy_value
 from alertweft.functions.text import domain_user, replace_all, str_array, unescape_entities
 
 
-def first_wins(entries: Column) -> Column:
-    """Map of an array of (k, v) structs; the first value of a repeated key is kept."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(entries, lambda e: e["k"] == k), F.lit(0))["v"]))
+def stage_entries(df: DataFrame, entries: Column) -> DataFrame:
+    """Hold (k, v) entries and their keys as columns, so later expressions read them instead of rebuilding them."""
+    return df.withColumn("_e", entries).withColumn("_k", F.transform("_e", lambda e: e["k"]))
 
 
-def last_wins(entries: Column) -> Column:
-    """Map of an array of (k, v) structs; the last value of a repeated key is kept, keys in first-seen order."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"]))
+def first_wins() -> Column:
+    """Map of the staged entries; the first value of a repeated key is kept."""
+    return F.map_from_entries(F.filter("_e", lambda e, i: F.array_position("_k", e["k"]) == i + 1))
 
 
-def _field_table() -> Column:
-    rows = []
-    for code, (_, fields) in FIELD_MAP.items():
-        specs = [part.split(":") for part in fields.split()]
-        rows += [F.lit(code), F.array(*[
-            F.struct(str_array(names.split("/")).alias("names"), F.lit(attr).alias("attr")) for names, attr in specs])]
-    return F.create_map(*rows)
+def last_wins() -> Column:
+    """Map of the staged entries; the last value of a repeated key is kept."""
+    return F.map_from_entries(F.filter("_e", lambda e, i: ~F.array_contains(F.slice("_k", i + 2, F.size("_k")), e["k"])))
 
 
 def event_type(code: Column) -> Column:
@@ -39,18 +33,26 @@ def event_type(code: Column) -> Column:
     return F.when(text == "4698", "scheduled_task_created").otherwise(F.coalesce(table[text], F.lit("other")))
 
 
-def project_attributes(code: Column, entries: Column) -> Column:
-    """Ordered attribute map of an event.
+def project_attributes(df: DataFrame, code: Column, entries: Column, name: str = "attributes") -> DataFrame:
+    """Add the ordered attribute map of every event.
 
     Known codes take the mapped names; of alternate names the first present one
     wins even when blank, and blank values are dropped.  Unknown codes keep
     every field unchanged, the last duplicate winning.
     """
-    data = first_wins(entries)
-    pick = lambda f: F.get(F.filter(F.transform(f["names"], lambda n: data[n]), lambda v: v.isNotNull()), F.lit(0))
-    fields = _field_table()[code.cast("string")]
-    mapped = F.filter(F.transform(fields, lambda f: F.struct(f["attr"].alias("k"), pick(f).alias("v"))), lambda e: F.length(e["v"]) > 0)
-    return F.when(fields.isNull(), last_wins(entries)).otherwise(F.map_from_entries(mapped))
+    staged = stage_entries(df.withColumn("_c", code.cast("string")), entries).withColumn("_data", first_wins())
+    by_code = None
+    for known, (_, fields) in FIELD_MAP.items():
+        pairs = []
+        for part in fields.split():
+            names, attr = part.split(":")
+            value = F.coalesce(*[F.col("_data")[n] for n in names.split("/")])
+            pairs.append(F.struct(F.lit(attr).alias("k"), value.alias("v")))
+        arm = F.array(*pairs)
+        by_code = F.when(F.col("_c") == known, arm) if by_code is None else by_code.when(F.col("_c") == known, arm)
+    mapped = staged.withColumn("_m", by_code)
+    kept = F.map_from_entries(F.filter("_m", lambda e: F.length(e["v"]) > 0))
+    return mapped.withColumn(name, F.when(F.col("_m").isNull(), last_wins()).otherwise(kept)).drop("_c", "_e", "_k", "_data", "_m")
 
 
 def drop_blank(attributes: Column) -> Column:
@@ -90,14 +92,10 @@ def xml_header(raw: Column) -> list[Column]:
 def canonical_from_xml(raw_events: DataFrame, raw: str = "raw") -> DataFrame:
     """Canonical events from event XML, one narrow projection."""
     text = F.col(raw)
-    headed = raw_events.select("*", *xml_header(text), xml_entries(text).alias("_entries"))
-    task = F.col("event_code") == "4698"
-    return headed.select(
-        *raw_events.columns, "event_code", "record_id", "computer", "channel", "provider", "event_time_utc",
-        event_type(F.col("event_code")).alias("event_type"),
-        F.when(task, scheduled_task(text)).otherwise(project_attributes(F.col("event_code"), F.col("_entries"))).alias("attributes"),
-        F.sha2(text, 256).alias("raw_sha256"),
-    )
+    headed = raw_events.select("*", *xml_header(text), F.sha2(text, 256).alias("raw_sha256"))
+    headed = headed.withColumn("event_type", event_type(F.col("event_code")))
+    mapped = project_attributes(headed, F.col("event_code"), xml_entries(text))
+    return mapped.withColumn("attributes", F.when(F.col("event_code") == "4698", scheduled_task(text)).otherwise(F.col("attributes")))
 
 
 def scheduled_task(raw: Column) -> Column:
@@ -145,24 +143,25 @@ def repair_text(text: Column) -> Column:
     return replace_all(text, TEXT_REPAIRS)
 
 
-def flat_json_event(fields: Column, ordinal: Column) -> list[Column]:
-    """Canonical columns of a flat NDJSON event held as map<string,string>."""
-    code, channel = F.coalesce(fields["EventID"], F.lit("")), F.coalesce(fields["Channel"], F.lit(""))
-    present = lambda k: F.nullif(fields[k], F.lit(""))
+def canonical_from_json(rows: DataFrame, fields: str = "fields", ordinal: str = "line_no") -> DataFrame:
+    """Canonical events of flat NDJSON objects held as map<string,string>."""
+    f = F.col(fields)
+    code, channel = F.coalesce(f["EventID"], F.lit("")), F.coalesce(f["Channel"], F.lit(""))
+    present = lambda k: F.nullif(f[k], F.lit(""))
     time = F.replace(F.trim(F.coalesce(present("UtcTime"), present("EventTime"), present("@timestamp"), F.lit(""))), F.lit(" "), F.lit("T"))
-    data = F.map_filter(fields, lambda k, v: ~k.isin(NDJSON_SYSTEM_KEYS) & v.isNotNull() & (v != "") & (v != "[]"))
-    data = F.transform_values(data, lambda k, v: repair_text(v))
-    set_value = F.when(code == "13", F.map_concat(data, F.create_map(F.lit("EventType"), F.lit("SetValue")))).otherwise(data)
-    entries = F.transform(F.map_entries(set_value), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
     default = F.when(F.contains(channel, F.lit("ysmon")), DEFAULT_PROVIDER).otherwise(SECURITY_PROVIDER)
-    return [
-        F.coalesce(present("RecordNumber"), present("EventRecordID"), ordinal.cast("string")).alias("record_id"),
+    headed = rows.select(
+        "*",
+        F.coalesce(present("RecordNumber"), present("EventRecordID"), F.col(ordinal).cast("string")).alias("record_id"),
         code.alias("event_code"), event_type(code).alias("event_type"),
         F.coalesce(present("SourceName"), default).alias("provider"), channel.alias("channel"),
-        F.coalesce(fields["Hostname"], F.lit("")).alias("computer"), sensor_of(channel).alias("sensor"),
+        F.coalesce(f["Hostname"], F.lit("")).alias("computer"), sensor_of(channel).alias("sensor"),
         F.when((time == "") | time.endswith("Z"), time).otherwise(F.concat(time, F.lit("Z"))).alias("event_time_utc"),
-        project_attributes(code, entries).alias("attributes"),
-    ]
+    )
+    data = F.map_filter(f, lambda k, v: ~k.isin(NDJSON_SYSTEM_KEYS) & v.isNotNull() & (v != "") & (v != "[]"))
+    entries = F.transform(F.map_entries(data), lambda e: F.struct(e["key"].alias("k"), repair_text(e["value"]).alias("v")))
+    set_value = F.array(F.struct(F.lit("EventType").alias("k"), F.lit("SetValue").alias("v")))
+    return project_attributes(headed, code, F.when(code == "13", F.concat(entries, set_value)).otherwise(entries))
 
 
 def diagnostics(attributes: Column) -> Column:

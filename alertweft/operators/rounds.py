@@ -89,7 +89,7 @@ def with_distances(scored: DataFrame) -> DataFrame:
 
 def distance_summary(distanced: DataFrame, keys: list[str]) -> DataFrame:
     """Ordinal-error summary per field: one narrow unpivot, then one aggregation."""
-    long = distanced.select(*keys, F.inline(F.array(*[
+    long = distanced.select(*keys, F.inline_outer(F.array(*[
         F.struct(F.lit(f).alias("field"), F.col(f"{f}_distance").alias("d")) for f in FIELDS
     ])))
     n, d = F.count(F.lit(1)), F.col("d")

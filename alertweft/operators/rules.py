@@ -143,8 +143,10 @@ def match_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
     hits = F.array_compact(F.array(*[
         F.when(_scope_and_match(rule, resolve)[1], F.lit(rule["case_id"])) for rule in rules
     ]))
-    tagged = flat.withColumn("_hits", hits).filter(F.size("_hits") > 0)
-    return tagged.select(*events.columns, F.explode("_hits").alias("rule_case"))
+    # outer explode: an inner one would infer a filter on the hit array, and pushing that filter
+    # below the projections above would evaluate every rule twice, on inlined attribute lookups
+    tagged = flat.withColumn("_hits", hits).select(*events.columns, F.explode_outer("_hits").alias("rule_case"))
+    return tagged.filter(F.col("rule_case").isNotNull())
 
 
 def funnel(events: DataFrame, rules: list[dict]) -> DataFrame:
@@ -161,4 +163,4 @@ def funnel(events: DataFrame, rules: list[dict]) -> DataFrame:
                  F.col(f"s{i}").alias("scope_events"), F.col(f"m{i}").alias("predicate_matches"))
         for i, rule in enumerate(rules)
     ])
-    return counts.select(F.inline(rows))
+    return counts.select(F.inline_outer(rows))

@@ -186,7 +186,7 @@ def agg_10(lake):
 
 def labelled(lake):
     """Every (case, profile, target) with oracle label and runtime prediction."""
-    truth = checks(lake).select("case_id", F.inline(F.array(*[
+    truth = checks(lake).select("case_id", F.inline_outer(F.array(*[
         F.struct(F.lit(t).alias("target"), P.target_column(t).alias("label")) for t in P.TARGETS])))
     routes = G.routed(decided(lake)).select("case_id", "profile", F.col("status").isin("review", "block").alias("predicted"))
     return truth.join(routes, "case_id")

@@ -33,8 +33,8 @@ def raw_fields(ev):
              ELSE 'target_user_name=' || user_name || '|logon_type=3|subject_user_name=' || user_name END AS attributes FROM ev""")
 def prj_01(lake):
     ev = lake.events()
-    return ev.select("event_id", P.event_type(F.col("event_code")).alias("type"),
-                     P.attribute_text(P.project_attributes(F.col("event_code"), raw_fields(ev))).alias("attributes"))
+    mapped = P.project_attributes(ev.drop("attributes"), F.col("event_code"), raw_fields(ev))
+    return mapped.select("event_id", P.event_type(F.col("event_code")).alias("type"), P.attribute_text(F.col("attributes")).alias("attributes"))
 
 
 @query("prj_02", "ev", """
@@ -46,7 +46,7 @@ def prj_02(lake):
     upper = F.struct(F.lit("SourceProcessGUID").alias("k"), F.when(k == 3, "").otherwise(F.concat(F.lit("G"), e)).alias("v"))
     lower = F.struct(F.lit("SourceProcessGuid").alias("k"), F.concat(F.lit("g"), e).alias("v"))
     data = F.when(k == 0, F.array(upper)).when(k == 1, F.array(lower)).otherwise(F.array(lower, upper))
-    return lake.events().select("event_id", P.attribute_text(P.project_attributes(F.lit("10"), data)).alias("attributes"))
+    return P.project_attributes(lake.events(), F.lit("10"), data).select("event_id", P.attribute_text(F.col("attributes")).alias("attributes"))
 
 
 @query("prj_03", sql="""SELECT l_orderkey AS case_id, l_linenumber AS line_no, CAST(l_partkey AS VARCHAR) AS first_value, CAST(l_suppkey AS VARCHAR) AS last_value, l_linestatus AS other
@@ -54,16 +54,17 @@ def prj_02(lake):
 def prj_03(lake):
     pair = lambda name, v: F.struct(F.lit(name).alias("k"), F.col(v).cast("string").alias("v"))
     data = F.array(pair("x", "l_partkey"), pair("y", "l_linestatus"), pair("x", "l_suppkey"))
-    return lake.table("lineitem").select(
-        F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("line_no"), P.first_wins(data)["x"].alias("first_value"),
-        P.last_wins(data)["x"].alias("last_value"), P.last_wins(data)["y"].alias("other"))
+    maps = P.stage_entries(lake.table("lineitem"), data).select(
+        F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("line_no"), P.first_wins().alias("first"), P.last_wins().alias("last"))
+    return maps.select("case_id", "line_no", F.col("first")["x"].alias("first_value"), F.col("last")["x"].alias("last_value"), F.col("last")["y"].alias("other"))
 
 
 @query("prj_04", "ev", r"""SELECT event_id, 'other' AS type, 'Image=' || event_type || '.exe|CommandLine=' || CASE WHEN k % 2 = 0 THEN 'run ' || k ELSE '' END || '|User=' || user_name
     || '|SourceIp=10.0.0.' || k || '|TargetUserName=' || user_name || '|LogonType=3|ShareName=\\*\SYSVOL|SubjectUserName=' || user_name || '|Unmapped=x' AS attributes FROM ev""")
 def prj_04(lake):
     ev = lake.events()
-    return ev.select("event_id", P.event_type(F.lit(9999)).alias("type"), P.attribute_text(P.project_attributes(F.lit("9999"), raw_fields(ev))).alias("attributes"))
+    mapped = P.project_attributes(ev, F.lit("9999"), raw_fields(ev))
+    return mapped.select("event_id", P.event_type(F.lit(9999)).alias("type"), P.attribute_text(F.col("attributes")).alias("attributes"))
 
 
 def escape(text):

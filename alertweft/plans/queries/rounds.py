@@ -160,7 +160,7 @@ def agg_18(lake):
 @query("agg_19")
 def agg_19(lake):
     """Bootstrap interval of the mean signed distance per unit and field, 20,000 draws."""
-    long = distances(lake).select("model", "split", "round", F.inline(F.array(*[
+    long = distances(lake).select("model", "split", "round", F.inline_outer(F.array(*[
         F.struct(F.lit(f).alias("field"), F.col(f"{f}_distance").alias("d")) for f in P.FIELDS])))
     return bootstrap_mean_ci(long, ["model", "split", "round", "field"], "d")
 
@@ -186,7 +186,7 @@ def agg_20_distance(lake):
     """Mean and median of the paired absolute-distance differences."""
     fields = [f"{f}_distance" for f in P.FIELDS]
     pairs = P.paired(distances(lake).filter("round = 1"), GM, CM, fields, ["case_id", "split"])
-    long = pairs.select("split", F.inline(F.array(*[
+    long = pairs.select("split", F.inline_outer(F.array(*[
         F.struct(F.lit(f).alias("field"), (F.abs(f"a.{f}_distance") - F.abs(f"b.{f}_distance")).alias("d")) for f in P.FIELDS])))
     return long.groupBy("split", "field").agg(
         safe_ratio(F.sum("d"), F.count(F.lit(1))).alias("mean_difference"), F.median("d").cast("double").alias("median_difference"))
@@ -233,7 +233,7 @@ def agg_22(lake):
     rows = F.array(*[
         F.struct(F.lit(f"round_{x}_vs_{y}").alias("pair"), *[(F.col(f"r{x}.{f}") == F.col(f"r{y}.{f}")).alias(f) for f in P.FIELDS])
         for x, y in ((1, 2), (1, 3), (2, 3))])
-    long, n = side.select("model", F.inline(rows)), F.count(F.lit(1))
+    long, n = side.select("model", F.inline_outer(rows)), F.count(F.lit(1))
     return long.groupBy("model", "pair").agg(
         *[safe_ratio(F.count_if(F.col(f)), n).alias(f) for f in P.FIELDS],
         safe_ratio(F.count_if(F.col("verdict") & F.col("severity") & F.col("action")), n).alias("tuple"))

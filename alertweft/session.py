@@ -12,6 +12,8 @@ _SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # undecodable bytes become U+FFFD, which the codecs then drop, instead of failing the job
+    "spark.sql.legacy.codingErrorAction": "true",
 }
 
 
