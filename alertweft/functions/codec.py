@@ -14,6 +14,11 @@ def base64_bytes(token: Column) -> Column:
     return F.try_to_binary(usable, F.lit("base64"))
 
 
+def base64_text(data: Column) -> Column:
+    """Base64 in one line, without the MIME line breaks."""
+    return F.translate(F.base64(data), "\r\n", "")
+
+
 def utf16le_text(data: Column) -> Column:
     """Text of UTF-16LE bytes; an odd last byte and undecodable units are dropped."""
     even = F.substring(data, F.lit(1), (F.length(data) - F.length(data) % 2).cast("int"))

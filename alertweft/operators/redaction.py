@@ -10,7 +10,7 @@ from alertweft.fixed import (
     BASE64_TOKEN, CORPUS_DOMAINS, ENCODED_ARGUMENT, FRAMEWORK_PATTERN, LEAK_PATTERN, TECHNIQUE_PATTERN,
     TEST_CREDENTIAL_PATTERN, WELL_KNOWN_ACCOUNTS,
 )
-from alertweft.functions.codec import base64_bytes, utf16le_text, utf8_text
+from alertweft.functions.codec import base64_bytes, base64_text, utf16le_text, utf8_text
 from alertweft.functions.text import occurrences, replace_all
 
 
@@ -24,7 +24,7 @@ def redact_tokens(text: Column) -> Column:
 def _recode(blob: Column) -> Column:
     plain = utf16le_text(base64_bytes(blob))
     clean = redact_tokens(plain)
-    changed = F.base64(F.encode(clean, "UTF-16LE"))
+    changed = base64_text(F.encode(clean, "UTF-16LE"))
     return F.when(plain.isNull() | (clean == plain), blob).otherwise(changed)
 
 
