@@ -137,7 +137,7 @@ def red_10(lake):
     return hits.select("doc_id", joined(F.array_distinct(F.transform("h", F.lower))).alias("hits"))
 
 
-@query("red_11", sql="SELECT doc_id, CASE doc_id % 20 WHEN 0 THEN 'Atomic|T1059.003' ELSE 'PurpleSharp' END AS decoded_hits FROM documents WHERE doc_id % 20 IN (0, 7)")
+@query("red_11", sql="SELECT doc_id, CASE doc_id % 20 WHEN 0 THEN 'Invoke-Atomic|T1059.003' ELSE 'PurpleSharp' END AS decoded_hits FROM documents WHERE doc_id % 20 IN (0, 7)")
 def red_11(lake):
     """Tokens of all documents; some carry an encoded leak in one of the two encodings."""
     d = F.col("doc_id") % 20
@@ -145,7 +145,7 @@ def red_11(lake):
             .when(d == 7, F.concat(F.lit(" blob "), C.base64_text(F.encode(F.lit("load the PurpleSharp module"), "UTF-8")))).otherwise(""))
     docs = lake.table("documents").withColumn("text", F.concat("text", blob))
     found = X.encoded_leaks(docs, "doc_id", "text")
-    return found.select("doc_id", F.array_join(F.filter("decoded_hits", lambda h: F.lower(h) != "invoke-atomic"), "|").alias("decoded_hits"))
+    return found.select("doc_id", F.array_join("decoded_hits", "|").alias("decoded_hits"))
 
 
 def _class_sql(source, label, pattern):
