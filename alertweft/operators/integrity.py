@@ -54,15 +54,21 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return counted.groupBy(*left.columns).agg(F.sum("_d").alias("excess")).filter("excess <> 0")
 
 
-def set_digest(rows: DataFrame, key: str, digest: str, salt: str, blocks: int = 4096) -> DataFrame:
+def set_digest(rows: DataFrame, key: str, digest: str, salt: str, members: int = 1000) -> DataFrame:
     """One digest of a whole keyed set that does not depend on row order.
 
-    Rows are hashed into a fixed number of blocks by key; each block digest is
-    the hash of its sorted members, and the set digest hashes the sorted block
-    digests.  Only the fixed number of block digests meets in one place, and a
-    block is split further by raising ``blocks``.
+    A hash tree: rows fall into groups by the leading hex digits of the key
+    hash, as many digits as keep groups at about ``members`` rows, and each
+    level drops one digit, so no group ever holds more than about
+    ``members`` rows or sixteen child digests.
     """
-    block = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks))
-    per_block = rows.groupBy(block.alias("_b")).agg(
-        F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", F.col(key).cast("string"), digest))), "\n"), 256).alias("d"))
-    return per_block.agg(F.sum("n").alias("n"), F.sha2(F.concat(F.lit(salt), F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", F.col("_b").cast("string"), "d"))), "\n")), 256).alias("digest"))
+    total, depth = rows.count(), 0
+    while total > members * 16 ** depth:
+        depth += 1
+    leaf = F.concat_ws("|", F.col(key).cast("string"), F.col(digest))
+    level = rows.select(F.left(F.md5(F.col(key).cast("string")), F.lit(depth)).alias("_g"), leaf.alias("_d"), F.lit(1).cast("bigint").alias("n"))
+    for digits in range(depth, -1, -1):
+        hashed = F.sha2(F.concat(F.lit(salt), F.array_join(F.array_sort(F.collect_list("_d")), "\n")), 256)
+        level = level.groupBy("_g").agg(hashed.alias("_d"), F.sum("n").alias("n"))
+        level = level.select(F.left("_g", F.lit(max(digits - 1, 0))).alias("_g"), "_d", "n")
+    return level.select("n", F.col("_d").alias("digest"))
