@@ -155,8 +155,8 @@ def jn_17(lake):
     return parts[0].unionByName(parts[1])
 
 
-@query("jn_17_roots", "ev", """WITH RECURSIVE up(guid, at, depth) AS (SELECT guid, guid, 0 FROM ev UNION ALL SELECT u.guid, e.parent_guid, u.depth + 1 FROM up u JOIN ev e ON u.at = e.guid WHERE e.guid <> e.parent_guid)
-    SELECT guid, max_by(at, depth) AS root, CAST(max(depth) AS BIGINT) AS depth FROM up GROUP BY guid""")
+@query("jn_17_roots", "ev", """WITH RECURSIVE up(guid, cur, depth) AS (SELECT guid, guid, 0 FROM ev UNION ALL SELECT u.guid, e.parent_guid, u.depth + 1 FROM up u JOIN ev e ON u.cur = e.guid WHERE e.guid <> e.parent_guid)
+    SELECT guid, max_by(cur, depth) AS root, CAST(max(depth) AS BIGINT) AS depth FROM up GROUP BY guid""")
 def jn_17_roots(lake):
     """Root and depth of every process by pointer doubling."""
     return N.roots(edges(lake))
