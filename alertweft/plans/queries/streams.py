@@ -9,7 +9,7 @@ from alertweft.operators.cost import latest_usage
 from alertweft.plans.adapters import canonical_events
 from alertweft.plans.queries.gate import _gate_view  # noqa: F401  (registers the gate views)
 from alertweft.plans.registry import query
-from alertweft.session import scratch_path
+from alertweft.session import materialise, scratch_path
 from alertweft.streaming import rules as Z
 
 RULES = [
@@ -43,10 +43,12 @@ def str_03(lake):
     """Decisions arrive as a stream; package facts are a static table."""
     path = scratch_path(lake.spark, "decisions")
     lake.outputs().write.parquet(path)
-    facts = G.package_facts(lake.evidence(), lake.derivations()).withColumn("declared_count", F.col("distinct_ids"))
-    known = S.known_ids(lake.evidence(), lake.derivations(), upper=True).groupBy("case_id").agg(F.collect_set("evidence_id").alias("known"))
+    facts = materialise(G.package_facts(lake.evidence(), lake.derivations()).withColumn("declared_count", F.col("distinct_ids")), "facts")
+    ids = materialise(S.known_ids(lake.evidence(), lake.derivations(), upper=True), "ids")
     stream = Z.file_stream(lake.spark, path, lake.outputs(), "*.parquet")
-    return Z.drain(Z.gate_stream(stream, facts.join(known, "case_id")).select("case_id", "profile", "status"), "routes")
+    target = scratch_path(lake.spark, "routes")
+    Z.gate_stream(stream, facts, ids, target).awaitTermination()
+    return lake.spark.read.parquet(target).select("case_id", "profile", "status")
 
 
 @query("str_04", "usage", """SELECT case_id, model, round, seq, input_tokens FROM usage QUALIFY row_number() OVER (PARTITION BY case_id, model, round ORDER BY seq DESC) = 1""")

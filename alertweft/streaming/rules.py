@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from alertweft.fixed import RUNTIME_POLICY
 from alertweft.operators.gate import decide, routed
 from alertweft.operators.rules import match_rules
+from alertweft.operators.scoring import unknown_citations, with_cited_ids
 from alertweft.session import scratch_path
 
 
@@ -34,16 +36,22 @@ def burst_sessions(events: DataFrame, keys: list[str], at: str, gap_seconds: flo
     return sessions.filter((F.col("n") >= count_gte) & (F.col("n_distinct") >= distinct_gte)).drop("w")
 
 
-def gate_stream(decisions: DataFrame, facts: DataFrame) -> DataFrame:
-    """Route arriving decisions against static package facts; citations are checked against ``known`` of the package.
+def gate_stream(decisions: DataFrame, facts: DataFrame, ids: DataFrame, path: str, policy: dict = RUNTIME_POLICY) -> StreamingQuery:
+    """Route arriving decisions against static package tables, one file set per micro-batch.
 
-    ``facts`` holds one row per package with its counts and the array of its
-    ids; it is joined statically, so the stream keeps no state.
+    ``facts`` has one row per package, ``ids`` one row per (case, evidence id).
+    Each micro-batch runs the batch joins, so no state is kept and a package
+    with very many ids is never gathered.  A replayed batch overwrites itself.
     """
-    from alertweft.operators.scoring import with_cited_ids
-    cited = with_cited_ids(decisions, upper_keys=True).join(facts, "case_id")
-    unknown = F.array_except(F.array_union("key_ids", "text_ids"), F.col("known"))
-    return routed(decide(cited.withColumn("unknown_ids", unknown)))
+
+    def route_batch(batch: DataFrame, epoch: int) -> None:
+        cited = with_cited_ids(batch, upper_keys=True)
+        unknown = unknown_citations(cited, ids, ["case_id"])
+        inputs = cited.join(facts, "case_id").join(unknown, "case_id", "left").withColumn(
+            "unknown_ids", F.coalesce("unknown_ids", F.array().cast("array<string>")))
+        routed(decide(inputs, policy)).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    return decisions.writeStream.foreachBatch(route_batch).trigger(availableNow=True).option("checkpointLocation", f"{path}-state").start()
 
 
 def upsert_latest(usage: DataFrame, path: str, keys: list[str], order: Column) -> StreamingQuery:
