@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from alertweft.fixed import EVIDENCE_ID
 
 
+def sql_text(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
 def str_array(values) -> Column:
     """A literal array of strings (empty lists keep the element type)."""
     values = list(values)
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    return F.expr(f"array({', '.join(map(sql_text, values))})" if values else "cast(array() as array<string>)")
+
+
+def str_map(pairs: dict[str, str]) -> Column:
+    """A literal map of strings."""
+    return F.expr("map(" + ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in pairs.items()) + ")")
 
 
 def joined(array: Column, sep: str = "|") -> Column:
@@ -25,15 +37,19 @@ def evidence_ids(text: Column, ignore_case: bool = True) -> Column:
     return F.array_distinct(F.transform(found, F.upper) if ignore_case else found)
 
 
+def _alternation(phrases) -> str:
+    return "|".join(re.sub(r"([^A-Za-z0-9 ])", r"\\\1", p) for p in phrases)
+
+
 def first_phrase(text: Column, phrases) -> Column:
     """The first phrase of the list contained in the lower-cased text, else null."""
     low = F.lower(text)
-    return F.coalesce(*[F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in phrases])
+    return F.when(low.rlike(_alternation(phrases)), F.get(F.filter(str_array(phrases), lambda p: F.contains(low, p)), F.lit(0)))
 
 
 def any_phrase(text: Column, phrases) -> Column:
-    """True when the lower-cased text contains one of the phrases."""
-    return F.coalesce(first_phrase(text, phrases).isNotNull(), F.lit(False))
+    """True when the lower-cased text contains one of the phrases, in one pass over the text."""
+    return F.coalesce(F.lower(text).rlike(_alternation(phrases)), F.lit(False))
 
 
 def unescape_entities(text: Column) -> Column:

@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from alertweft.fixed import ACTIONS, FINDING_CODES, POLICY_KEYS, RUNTIME_POLICY, SEVERITIES, VERDICTS
-from alertweft.functions.text import first_phrase, str_array
-from alertweft.operators.scoring import duplicates_in, known_ids, unknown_citations, with_cited_ids
+from alertweft.functions.text import any_phrase, str_array
+from alertweft.operators.scoring import known_ids, unknown_citations, with_cited_ids
 
 OUTPUT_FIELDS = ["verdict", "severity", "confidence", "key_evidence", "rationale", "action"]
 
@@ -103,12 +103,12 @@ def findings(policy: dict = RUNTIME_POLICY) -> Column:
         "R004": F.col("duplicate_ids") > 0,
         "R005": F.col("event_count") != F.col("declared_count"),
         "R006": F.col("orphan_derivations") > 0,
-        "R007": F.size(duplicates_in(F.transform("key_evidence", F.upper))) > 0,
+        "R007": F.size("key_ids") < F.size("key_evidence"),
         "R008": F.size(F.array_intersect("key_ids", "unknown_ids")) > 0,
         "R009": F.size(F.array_intersect("text_ids", "unknown_ids")) > 0,
         "R010": F.size("text_ids") == 0,
         "R011": (F.size("text_ids") > 0) & ~F.arrays_overlap("key_ids", "text_ids"),
-        "R012": first_phrase(F.col("rationale"), policy["decode_claims"]).isNotNull() & (F.col("n_derivations") == 0),
+        "R012": any_phrase(F.col("rationale"), policy["decode_claims"]) & (F.col("n_derivations") == 0),
         "R013": F.coalesce(mismatch, F.lit(True)),
     }
     late = F.array_compact(F.array(*[F.when(t, F.lit(FINDING_CODES[c])) for c, t in tests.items()]))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from alertweft.fixed import (
-    CONDITION_POLICY, DEFAULT_CHANNEL, DEFAULT_PROVIDER, DIAGNOSTIC_FIELDS, DIAGNOSTIC_WIDTH, FIELD_MAP,
+    DEFAULT_CHANNEL, DEFAULT_PROVIDER, DIAGNOSTIC_FIELDS, DIAGNOSTIC_WIDTH, FIELD_MAP,
     NDJSON_SYSTEM_KEYS, SECURITY_PROVIDER, TEXT_REPAIRS,
 )
 from alertweft.functions.ordinal import policy_value
-from alertweft.functions.text import domain_user, replace_all, str_array, unescape_entities
+from alertweft.functions.text import domain_user, replace_all, str_map, unescape_entities
 
 
 def stage_entries(df: DataFrame, entries: Column) -> DataFrame:
@@ -28,11 +28,27 @@ def last_wins() -> Column:
 
 
 def event_type(code: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for c, (t, _) in FIELD_MAP.items() for x in (c, t)])
+    table = str_map({c: t for c, (t, _) in FIELD_MAP.items()})
     text = code.cast("string")
     return F.when(text == "4698", "scheduled_task_created").otherwise(F.coalesce(table[text], F.lit("other")))
 
 
+def _field_case() -> str:
+    """CASE over the event code giving the (attribute, value) pairs in output order."""
+    arms = []
+    for known, (_, fields) in FIELD_MAP.items():
+        pairs = []
+        for part in fields.split():
+            names, attr = part.split(":")
+            values = ", ".join(f"_data['{n}']" for n in names.split("/"))
+            pairs.append(f"struct('{attr}' as k, coalesce({values}) as v)")
+        arms.append(f"when '{known}' then array({', '.join(pairs)})")
+    return f"case _c {' '.join(arms)} end"
+
+
+_FIELD_CASE = _field_case()
+
+
 def project_attributes(df: DataFrame, code: Column, entries: Column, name: str = "attributes") -> DataFrame:
     """Add the ordered attribute map of every event.
 
@@ -41,16 +57,7 @@ def project_attributes(df: DataFrame, code: Column, entries: Column, name: str =
     every field unchanged, the last duplicate winning.
     """
     staged = stage_entries(df.withColumn("_c", code.cast("string")), entries).withColumn("_data", first_wins())
-    by_code = None
-    for known, (_, fields) in FIELD_MAP.items():
-        pairs = []
-        for part in fields.split():
-            names, attr = part.split(":")
-            value = F.coalesce(*[F.col("_data")[n] for n in names.split("/")])
-            pairs.append(F.struct(F.lit(attr).alias("k"), value.alias("v")))
-        arm = F.array(*pairs)
-        by_code = F.when(F.col("_c") == known, arm) if by_code is None else by_code.when(F.col("_c") == known, arm)
-    mapped = staged.withColumn("_m", by_code)
+    mapped = staged.withColumn("_m", F.expr(_FIELD_CASE))
     kept = F.map_from_entries(F.filter("_m", lambda e: F.length(e["v"]) > 0))
     return mapped.withColumn(name, F.when(F.col("_m").isNull(), last_wins()).otherwise(kept)).drop("_c", "_e", "_k", "_data", "_m")
 
@@ -186,6 +193,3 @@ def access_log(line: Column, parameter: str) -> list[Column]:
         part(5).alias("protocol"), part(6).cast("int").alias("status"), F.try_url_decode(raw).alias("argument"),
     ]
 
-
-def conditions() -> list[str]:
-    return list(CONDITION_POLICY)

@@ -6,6 +6,8 @@ used by the twins.  All arithmetic is on integers so both agree exactly.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from alertweft.fixed import ACTIONS, CONDITION_POLICY, CONDITIONS, SEVERITIES, VERDICTS
@@ -17,6 +19,26 @@ EVIDENCE_CODES = [1, 3, 11, 13, 22, 4624, 4688]
 MODELS = ["gemini-2.5-flash", "claude-sonnet-4-6"]
 
 
+# key a small table is spread by
+TABLE_KEYS = {
+    "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id", "pages": "page_id",
+    "conversations": "conv_id",
+}
+_SMALL_FILE = 64 << 20
+
+
+def spread(df: DataFrame, path: str, key: str | None) -> DataFrame:
+    """Spread a table that is one small local file over the cores, by its key.
+
+    One file below a scan split is one task, whatever its work.  Tables of a
+    realistic size are folders with more splits than cores and are left alone,
+    so this adds no shuffle to them.
+    """
+    if key is None or not os.path.isfile(path) or os.path.getsize(path) >= _SMALL_FILE:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def _pick(values: list[str], index: Column) -> Column:
     return F.get(str_array(values), index.cast("int"))
 
@@ -28,7 +50,8 @@ class Lake:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        return spread(self.spark.read.parquet(path), path, TABLE_KEYS.get(name))
 
     def events(self) -> DataFrame:
         """Canonical events from the event table."""

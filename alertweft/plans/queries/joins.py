@@ -149,8 +149,9 @@ _UP = """WITH RECURSIVE e AS (SELECT guid, parent_guid FROM ev WHERE guid <> par
 def jn_17(lake):
     """Ancestors and descendants of every error event."""
     anchors = lake.events().filter("event_type = 'error'").select("guid")
+    reach = N.closure(edges(lake))
     parts = [
-        walk(edges(lake), anchors).groupBy("anchor").agg(F.count(F.lit(1)).alias("links"), F.max("depth").alias("deepest")).select(F.lit(name).alias("direction"), "anchor", "links", "deepest")
+        walk(reach, anchors).groupBy("anchor").agg(F.count(F.lit(1)).alias("links"), F.max("depth").alias("deepest")).select(F.lit(name).alias("direction"), "anchor", "links", "deepest")
         for name, walk in (("up", N.ancestors), ("down", N.descendants))]
     return parts[0].unionByName(parts[1])
 
@@ -165,7 +166,7 @@ def jn_17_roots(lake):
 @query("jn_18", "ev", _UP + " SELECT event_id, event_type FROM ev WHERE event_code = 3 AND guid IN (SELECT guid FROM up WHERE depth > 0)")
 def jn_18(lake):
     anchors = lake.events().filter("event_type = 'error'").select("guid")
-    lineage = N.ancestors(edges(lake), anchors).select("guid").distinct()
+    lineage = N.ancestors(N.closure(edges(lake)), anchors).select("guid").distinct()
     return lake.events().filter("event_code = 3").join(lineage, "guid", "left_semi").select("event_id", "event_type")
 
 

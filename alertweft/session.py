@@ -34,6 +34,8 @@ def local_session(cores: int | str = 8, app: str = "alertweft") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # column call sites are not recorded, which makes wide plans quicker to build
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

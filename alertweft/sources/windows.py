@@ -37,23 +37,37 @@ def stanza_value(raw: Column, key: str) -> Column:
 def stanza_fields(raw: Column) -> Column:
     """(k, v) entries of the message: ``Field`` and ``Section|Field``, in text order.
 
-    One pass over the lines keeps the running section name.
+    One regular expression finds all ``Name:`` lines; a name without a value
+    opens the section of the entries after it.
     """
     message = F.when(F.contains(raw, F.lit("Message=")), F.regexp_extract(raw, r"(?s)Message=.*", 0)).otherwise(raw)
-    lines = F.split(message, r"\r?\n")
-    pair, head = r"^\t*([A-Za-z][A-Za-z /]+?):\t+(.*\S)\s*$", r"^\t*([A-Za-z][A-Za-z /]+?):\s*$"
+    line = F.lit(r"(?m)^\t*([A-Za-z][A-Za-z /]+?):(?:\t+(.*\S))?[ \t\r]*$")
+    names, values = F.regexp_extract_all(message, line, F.lit(1)), F.regexp_extract_all(message, line, F.lit(2))
+    pairs = F.zip_with(names, values, lambda n, v: F.struct(F.trim(n).alias("n"), F.trim(v).alias("v")))
     empty = F.array().cast("array<struct<k:string,v:string>>")
-    start = F.struct(F.lit("").alias("section"), empty.alias("found"))
 
-    def step(acc, line):
-        name, value = F.trim(F.regexp_extract(line, pair, 1)), F.trim(F.regexp_extract(line, pair, 2))
-        own = F.struct(name.alias("k"), value.alias("v"))
-        full = F.struct(F.concat(acc["section"], F.lit("|"), name).alias("k"), value.alias("v"))
+    def step(acc, pair):
+        own = F.struct(pair["n"].alias("k"), pair["v"].alias("v"))
+        full = F.struct(F.concat(acc["section"], F.lit("|"), pair["n"]).alias("k"), pair["v"].alias("v"))
         added = F.when(acc["section"] == "", F.array(own)).otherwise(F.array(own, full))
-        section = F.when(line.rlike(pair), acc["section"]).when(line.rlike(head), F.trim(F.regexp_extract(line, head, 1))).otherwise(acc["section"])
-        return F.struct(section.alias("section"), F.when(line.rlike(pair), F.concat(acc["found"], added)).otherwise(acc["found"]).alias("found"))
+        opens = pair["v"] == ""
+        return F.when(opens, F.struct(pair["n"].alias("section"), acc["found"].alias("found"))).otherwise(
+            F.struct(acc["section"].alias("section"), F.concat(acc["found"], added).alias("found")))
 
-    return F.aggregate(lines, start, step, lambda acc: acc["found"])
+    return F.aggregate(pairs, F.struct(F.lit("").alias("section"), empty.alias("found")), step, lambda acc: acc["found"])
+
+
+def _stanza_case() -> str:
+    """CASE over the event code giving (data name, value) pairs; the plain field stands in for a sectioned one."""
+    value = lambda n: f"get(_found, cast(nullif(array_position(_names, '{n}'), 0) - 1 as int)).v"
+    arms = []
+    for known, fields in STANZA_MAP.items():
+        pairs = [f"struct('{xml}' as k, coalesce({value(src)}, {value(src.split('|')[-1])}) as v)" for src, xml in fields.items()]
+        arms.append(f"when '{known}' then array({', '.join(pairs)})")
+    return f"case event_code {' '.join(arms)} end"
+
+
+_STANZA_CASE = _stanza_case()
 
 
 def canonical_from_stanza(raws: DataFrame, raw: str = "raw") -> DataFrame:
@@ -67,13 +81,8 @@ def canonical_from_stanza(raws: DataFrame, raw: str = "raw") -> DataFrame:
         F.lit("Security").alias("channel"), F.lit(SECURITY_PROVIDER).alias("provider"), F.coalesce(iso, F.lit("Z")).alias("event_time_utc"),
         F.sha2(text, 256).alias("raw_sha256"), event_type(code).alias("event_type"), stanza_fields(text).alias("_found"),
     ).withColumn("_names", F.transform("_found", lambda e: e["k"]))
-    value = lambda name: F.get("_found", (F.nullif(F.array_position("_names", F.lit(name)), F.lit(0)) - 1).cast("int"))["v"]
-    arms = None
-    for known, fields in STANZA_MAP.items():
-        pairs = [F.struct(F.lit(xml).alias("k"), F.coalesce(value(src), value(src.split("|")[-1])).alias("v")) for src, xml in fields.items()]
-        arm = F.array(*pairs)
-        arms = F.when(F.col("event_code") == known, arm) if arms is None else arms.when(F.col("event_code") == known, arm)
-    entries = F.filter(F.coalesce(arms, F.array().cast("array<struct<k:string,v:string>>")), lambda e: F.length(e["v"]) > 0)
+    arms = F.coalesce(F.expr(_STANZA_CASE), F.array().cast("array<struct<k:string,v:string>>"))
+    entries = F.filter(arms, lambda e: F.length(e["v"]) > 0)
     return project_attributes(headed, F.col("event_code"), entries).drop("_found", "_names")
 
 
