@@ -30,6 +30,15 @@ def joined(array: Column, sep: str = "|") -> Column:
     return F.array_join(F.array_sort(array), sep)
 
 
+def labels(tests: list[tuple[Column, str]]) -> Column:
+    """Array of the labels whose test is true, in order.
+
+    Built with ``array_remove`` because a higher-order filter would take the
+    tests out of generated code.
+    """
+    return F.array_remove(F.array(*[F.when(test, label).otherwise("") for test, label in tests]), "")
+
+
 def evidence_ids(text: Column, ignore_case: bool = True) -> Column:
     """Distinct evidence ids cited in a text, upper-cased when case is ignored."""
     pattern = ("(?i)" if ignore_case else "") + EVIDENCE_ID

@@ -6,15 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-
-def labelled_errors(tests: list[tuple[Column, str]]) -> Column:
-    """Array of the labels whose test is true."""
-    return F.array_compact(F.array(*[F.when(test, F.lit(label)) for test, label in tests]))
+from alertweft.functions.text import labels
 
 
 def provenance_errors() -> Column:
     """Contract of a provenance row: hash form, tier, at least one sensor, host present."""
-    return labelled_errors([
+    return labels([
         (~F.col("sha256").rlike("^[0-9a-f]{64}$"), "sha256"),
         (~F.col("tier").isin(1, 2), "tier"),
         (F.col("n_sensors") < 1, "sensors"),
@@ -33,7 +30,7 @@ def report_mismatches(left: DataFrame, right: DataFrame, key: str, fields: list[
     ).select(
         F.col(f"a.{key}").isNull().alias("left_only"), F.col(f"b.{key}").isNull().alias("right_only"),
         F.coalesce(f"a.{key}", f"b.{key}").alias(key),
-        F.array_join(labelled_errors(list(zip(differs, fields))), "|").alias("mismatched"),
+        F.array_join(labels(list(zip(differs, fields))), "|").alias("mismatched"),
     )
 
 
@@ -47,7 +44,7 @@ def last_row_faults(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     joined = rows.join(last, key).join(copies, [*key, "record_id"])
     is_last = F.col(order) == F.col("_last")
     expected = F.when(is_last, F.array(F.lit("lastrow"), F.lit("preview"), F.lit("result"))).otherwise(F.array(F.lit("preview"), F.lit("result")))
-    return joined.withColumn("errors", labelled_errors([
+    return joined.withColumn("errors", labels([
         (F.array_sort("wrapper_keys") != expected, "wrapper_keys"),
         (F.coalesce(F.col("preview"), F.lit(True)), "preview"),
         (is_last & ~F.coalesce(F.col("lastrow"), F.lit(False)), "lastrow"),
@@ -67,7 +64,7 @@ def id_completeness(expected: DataFrame, actual: DataFrame, key: str) -> DataFra
 def contract_drift(runs: DataFrame, frozen: dict) -> DataFrame:
     """Fields of a run's requested configuration that differ from the frozen contract."""
     tests = [(~F.col(name).eqNullSafe(F.lit(value)), name) for name, value in frozen.items()]
-    return runs.withColumn("drift", labelled_errors(tests)).filter(F.size("drift") > 0)
+    return runs.withColumn("drift", labels(tests)).filter(F.size("drift") > 0)
 
 
 def structure_faults(listing: DataFrame, expected: list[str], forbidden: list[str]) -> DataFrame:
@@ -76,4 +73,4 @@ def structure_faults(listing: DataFrame, expected: list[str], forbidden: list[st
         F.bool_or(F.col("file") == name).alias(f"p{i}") for i, name in enumerate(expected + forbidden)])
     faults = [(~F.col(f"p{i}"), f"MISSING {name}") for i, name in enumerate(expected)]
     faults += [(F.col(f"p{i + len(expected)}"), f"UNEXPECTED {name}") for i, name in enumerate(forbidden)]
-    return present.select("case_id", labelled_errors(faults).alias("faults")).filter(F.size("faults") > 0)
+    return present.select("case_id", labels(faults).alias("faults")).filter(F.size("faults") > 0)

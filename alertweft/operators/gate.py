@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from alertweft.fixed import ACTIONS, FINDING_CODES, POLICY_KEYS, RUNTIME_POLICY, SEVERITIES, VERDICTS
-from alertweft.functions.text import any_phrase, str_array
+from alertweft.functions.text import any_phrase, labels, str_array
 from alertweft.operators.scoring import known_ids, unknown_citations, with_cited_ids
 
 OUTPUT_FIELDS = ["verdict", "severity", "confidence", "key_evidence", "rationale", "action"]
@@ -49,7 +49,7 @@ def output_contract_errors() -> Column:
         (F.coalesce(F.length("rationale"), F.lit(0)) < 1, "rationale"),
         (~F.coalesce(F.col("action").isin(ACTIONS), F.lit(False)), "action"),
     ]
-    return F.array_compact(F.array(*[F.when(test, F.lit(label)) for test, label in tests]))
+    return labels(tests)
 
 
 def package_facts(evidence: DataFrame, derivations: DataFrame) -> DataFrame:
@@ -111,11 +111,8 @@ def findings(policy: dict = RUNTIME_POLICY) -> Column:
         "R012": any_phrase(F.col("rationale"), policy["decode_claims"]) & (F.col("n_derivations") == 0),
         "R013": F.coalesce(mismatch, F.lit(True)),
     }
-    late = F.array_compact(F.array(*[F.when(t, F.lit(FINDING_CODES[c])) for c, t in tests.items()]))
-    early = F.array_compact(F.array(
-        F.when(F.col("event_count") < 1, F.lit(FINDING_CODES["R000"])),
-        F.when(F.size("contract_errors") > 0, F.lit(FINDING_CODES["R001"])),
-    ))
+    late = labels([(t, FINDING_CODES[c]) for c, t in tests.items()])
+    early = labels([(F.col("event_count") < 1, FINDING_CODES["R000"]), (F.size("contract_errors") > 0, FINDING_CODES["R001"])])
     return F.when(F.size(early) > 0, early).otherwise(late)
 
 
@@ -124,8 +121,8 @@ def signals(policy: dict = RUNTIME_POLICY) -> Column:
     raised = []
     for code, spec in policy["signals"].items():
         parts = [F.col(c).isin(spec[k]) for c, k in (("verdict", "verdicts"), ("severity", "severities"), ("action", "actions")) if spec.get(k)]
-        raised.append(F.when(reduce(lambda a, b: a | b, parts, F.lit(False)), F.lit(code)))
-    return F.array_sort(F.array_compact(F.array(*raised)))
+        raised.append((reduce(lambda a, b: a | b, parts, F.lit(False)), code))
+    return labels(sorted(raised, key=lambda r: r[1]))
 
 
 def split_levels(policy: dict = RUNTIME_POLICY) -> tuple[Column, Column]:

@@ -147,10 +147,10 @@ def match_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
     """One row per (event, matching rule), all rules evaluated in a single scan."""
     flat, names = _flattened(events, rules)
     resolve = _resolver(set(events.columns), names)
-    arms = ", ".join(f"case when {_scope_and_match(rule, resolve)[1]} then {sql_text(rule['case_id'])} end" for rule in rules)
+    arms = ", ".join(f"case when {_scope_and_match(rule, resolve)[1]} then {sql_text(rule['case_id'])} else '' end" for rule in rules)
     # outer explode: an inner one would infer a filter on the hit array, and pushing that filter
     # below the projections above would evaluate every rule twice, on inlined attribute lookups
-    tagged = flat.selectExpr(*[f"`{c}`" for c in events.columns], f"array_compact(array({arms})) as _hits")
+    tagged = flat.selectExpr(*[f"`{c}`" for c in events.columns], f"array_remove(array({arms}), '') as _hits")
     return tagged.select(*events.columns, F.explode_outer("_hits").alias("rule_case")).filter(F.col("rule_case").isNotNull())
 
 

@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from alertweft.fixed import (
-    ACTION_CEILING, ACTIONS, CERTAIN_WORDS, CHECKS, CONDITION_POLICY, DECODE_PHRASES, DECODE_PHRASES_V10,
+    ACTION_CEILING, ACTIONS, CERTAIN_WORDS, CHECKS, DECODE_PHRASES, DECODE_PHRASES_V10,
     HEDGE_WORDS, OUTCOME_WORDS, RUBRIC_VERSION, SEVERITIES, VERDICTS,
 )
 from alertweft.functions.ordinal import direction, policy_value, rank
 from alertweft.functions.stats import count_where
-from alertweft.functions.text import any_phrase, evidence_ids, str_array
+from alertweft.functions.text import any_phrase, evidence_ids, labels, str_array
 
 
 def package_headers(evidence: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def case_checks(outputs: DataFrame, evidence: DataFrame, derivations: DataFrame,
 
 def failed_checks(active=CHECKS) -> Column:
     """Names of the active checks a decision fails."""
-    return F.array_compact(F.array(*[F.when(~F.col(c.lower()), F.lit(c)) for c in active]))
+    return labels([(~F.col(c.lower()), c) for c in active])
 
 
 def legacy_checks(scored: DataFrame) -> DataFrame:
@@ -194,14 +194,10 @@ def truth_errors(truth: DataFrame, evidence: DataFrame, derivations: DataFrame,
         (F.arrays_overlap("supporting", "counter"), "overlap"),
         (F.size("named") == 0, "no_evidence"),
     ]
-    errors = F.array_compact(F.array(*[F.when(test, F.lit(label)) for test, label in tests]))
+    errors = labels(tests)
     return named.join(unknown, "case_id", "left").withColumn("errors", errors)
 
 
 def duplicates_in(array: Column) -> Column:
     """Values occurring more than once in an array, sorted."""
     return F.array_sort(F.filter(F.array_distinct(array), lambda v: F.size(F.filter(array, lambda x: x == v)) > 1))
-
-
-def conditions() -> list[str]:
-    return list(CONDITION_POLICY)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from alertweft.fixed import FORBIDDEN_PATTERNS
 from alertweft.functions.ordinal import policy_value
 from alertweft.functions.stats import count_where
+from alertweft.functions.text import labels
 from alertweft.operators import audits as A, gate as G, integrity as I, packages as K, scoring as S
 from alertweft.operators.redaction import has_any
 from alertweft.plans.adapters import _case_of, add_view
@@ -41,7 +42,7 @@ def chk_29(lake):
     named = configs.select("case_id", F.explode(F.array_union("supporting", "counter")).alias("evidence_id"))
     unmapped = named.join(ids, ["case_id", "evidence_id"], "left_anti").select("case_id").distinct().withColumn("unmapped", F.lit(True))
     checked = configs.join(unmapped, "case_id", "left")
-    return checked.select("case_id", F.array_join(A.labelled_errors([
+    return checked.select("case_id", F.array_join(labels([
         (F.col("config_case_id") != F.col("case_id"), "case_id"), (F.col("config_split") != F.col("split"), "split"), (F.col("folder") != F.col("condition"), "directory"),
         (~F.col("tier").isin(1, 2), "tier"), (~F.col("has_proposition"), "proposition"), (F.col("unmapped"), "unmapped_ids")]), "|").alias("errors"))
 
@@ -71,7 +72,7 @@ def chk_30(lake):
         CASE WHEN condition = 'missing' AND no_absence_audit THEN 'absence_audit' END, CASE WHEN condition = 'counter' AND len(counter) = 0 THEN 'counter_ids' END) AS errors FROM cc""")
 def chk_31(lake):
     c = F.col("condition")
-    return case_configs(lake).select("case_id", F.array_join(A.labelled_errors([
+    return case_configs(lake).select("case_id", F.array_join(labels([
         (F.col("folder") != c, "folder"), (F.col("expected_verdict") != policy_value(c, 0), "verdict"),
         (F.array_sort("severity_band") != F.array_sort(policy_value(c, 1)), "severity_band"), (~F.array_contains(policy_value(c, 3), F.col("role")), "role"),
         ((c == "missing") & F.col("no_absence_audit"), "absence_audit"), ((c == "counter") & (F.size("counter") == 0), "counter_ids")]), "|").alias("errors"))
@@ -88,7 +89,7 @@ def chk_32(lake):
     truth = lake.truth_drafts().select("case_id", "condition", "expected_verdict", "action_band")
     c = F.col("condition")
     joined = facts.join(truth, "case_id").join(lake.outputs().select("case_id", "rationale"), "case_id")
-    return joined.select("case_id", F.array_join(A.labelled_errors([
+    return joined.select("case_id", F.array_join(labels([
         (F.col("duplicate_ids") > 0, "duplicate_ids"), (F.col("main_id") != "A0", "main_id"),
         (has_any(F.col("rationale"), [FORBIDDEN_PATTERNS["decision label"]]), "leak"),
         ((F.col("action_band") != policy_value(c, 2)) | (F.col("expected_verdict") != policy_value(c, 0)), "decision_band")]), "|").alias("errors"))

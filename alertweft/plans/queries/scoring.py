@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alertweft.fixed import (
-    ACTIONS, CERTAIN_WORDS, DECODE_PHRASES, DECODE_PHRASES_V10, HEDGE_WORDS, OUTCOME_WORDS, SEVERITIES, VERDICTS,
+    ACTIONS, CERTAIN_WORDS, CONDITIONS, DECODE_PHRASES, DECODE_PHRASES_V10, HEDGE_WORDS, OUTCOME_WORDS, SEVERITIES, VERDICTS,
 )
 from alertweft.functions.ordinal import direction, policy_value, signed_distance
 from alertweft.functions.stats import count_where, safe_ratio
@@ -228,7 +228,7 @@ def agg_06(lake):
     FROM (VALUES ('strong'), ('weak'), ('missing'), ('counter')) c(condition) LEFT JOIN chk USING (condition) GROUP BY c.condition""")
 def agg_07(lake):
     """Every condition appears, also without cases: one fixed-width aggregate, unpivoted."""
-    names = S.conditions()
+    names = CONDITIONS
     cells = [count_where((F.col("condition") == c) & (F.col("severity_direction") == d)).alias(f"{c}_{d}")
              for c in names for d in ("over", "in_band", "under")]
     rows = F.array(*[F.struct(F.lit(c).alias("condition"), *[F.col(f"{c}_{d}").alias(d) for d in ("over", "in_band", "under")]) for c in names])
