@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -19,11 +21,11 @@ def split_row_number(df: DataFrame, keys: list[str], slice_by: Column, order: li
     )
     inside = W.partitionBy(*keys, "_part").orderBy(*order)
     numbered = tagged.withColumn("_rn", F.row_number().over(inside))
-    return (
-        numbered.join(offsets, [*keys, "_part"])
-        .withColumn(name, (F.col("_rn") + F.col("_before")).cast("bigint"))
-        .drop("_part", "_rn", "_before")
-    )
+    # null-safe, so rows with a null key or slice keep their number
+    named = offsets.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate([*keys, "_part"])], "_before")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate([*keys, "_part"])])
+    ranked = numbered.join(named, same).withColumn(name, (F.col("_rn") + F.col("_before")).cast("bigint"))
+    return ranked.select(*df.columns, name)
 
 
 def numbered_distinct(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

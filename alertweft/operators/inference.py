@@ -9,7 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from alertweft.session import ship
+
 _SLICE = 1000
+ship(__name__)
 
 
 def _draw(batches: Iterator[pd.DataFrame], seed: int, draws: int) -> Iterator[pd.DataFrame]:

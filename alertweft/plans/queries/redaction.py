@@ -170,10 +170,10 @@ def red_13(lake):
     return X.contained_passages(lake.table("documents"), "doc_id", "text", lake.table("benchmark").withColumnRenamed("text", "passage"), "item_id", "passage")
 
 
-@query("scl_06", sql="SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN left(text, 40) WHEN 1 THEN '' ELSE 'ls -la /tmp/x' END AS decoded FROM conversations")
+@query("scl_06", sql="SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'payload: ' || text WHEN 1 THEN '' ELSE 'ls -la /tmp/x' END AS decoded FROM conversations")
 def scl_06(lake):
     t = F.col("turn") % 3
-    command = (F.when(t == 0, F.concat(F.lit("powershell -EncodedCommand "), b64_utf16(F.left("text", F.lit(40)))))
+    command = (F.when(t == 0, F.concat(F.lit("powershell -EncodedCommand "), b64_utf16(F.concat(F.lit("payload: "), F.col("text")))))
                .when(t == 1, F.lit("powershell -e short")).otherwise(F.concat(F.lit("p -enc "), F.regexp_replace(b64_utf16(F.lit("ls -la /tmp/x")), "=", ""))))
     return lake.table("conversations").select("conv_id", "turn", C.encoded_command(command).alias("decoded"))
 
@@ -261,10 +261,10 @@ def scl_17(lake):
     return lake.table("orders").select(k.alias("case_id"), name.rlike(r"^[A-Z]+-\d{3}$").alias("valid"))
 
 
-@query("udf_01", sql="SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN left(text, 30) ELSE 'ab' END AS value FROM conversations")
+@query("udf_01", sql="SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'payload: ' || text ELSE 'ab' END AS value FROM conversations")
 def udf_01(lake):
     """Derivation registry: the method name picks the column builder."""
-    enc = C.derive("base64_utf16le", F.concat(F.lit("x -e "), b64_utf16(F.left("text", F.lit(30)))))
+    enc = C.derive("base64_utf16le", F.concat(F.lit("x -e "), b64_utf16(F.concat(F.lit("payload: "), F.col("text")))))
     cat = C.derive("ps_deobfuscate_concat", F.lit("iex ('a'+'b')"))
     return lake.table("conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, enc).otherwise(cat).alias("value"))
 

@@ -16,9 +16,11 @@ from alertweft.plans.adapters import add_view
 from alertweft.plans.queries.projection import event_xml
 from alertweft.plans.queries.scoring import checks
 from alertweft.plans.registry import query
-from alertweft.session import scratch_path
+from alertweft.session import scratch_path, ship
 from alertweft.sources import audit_log, exports, lines as L, outputs as O, records as D, sinks, windows as Wd
 
+ship(__name__)
+
 
 def text_files(lake, rows, label):
     """Write a text column below the shared folder and return the path."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
@@ -42,6 +44,11 @@ def local_session(cores: int | str = 8, app: str = "alertweft") -> SparkSession:
     return prepare(spark)
 
 
+def ship(module: str) -> None:
+    """Send the Python functions of a module with the job, so workers need not import the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach.
 

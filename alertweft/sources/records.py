@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from alertweft.functions.times import parse_time
 from alertweft.operators.projection import canonical_from_json
+from alertweft.session import ship
 from alertweft.sources.audit_log import group_records
 from alertweft.sources.lines import blocks, read_lines
 from alertweft.sources.windows import BLOCK_HEAD, canonical_blocks
 
 _BATCH = 20_000
+ship(__name__)
 
 
 def read_flat_json(spark: SparkSession, path: str) -> DataFrame:

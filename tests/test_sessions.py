@@ -68,11 +68,11 @@ def test_null_counts_as_a_distinct_value(spark):
 
 def test_split_row_number(spark):
     rng = random.Random(3)
-    rows = [(i, rng.choice("aab"), float(rng.randrange(1000)), "u") for i in range(300)]
+    rows = [(i, rng.choice("aab"), float(rng.randrange(1000)), "u") for i in range(300)] + [(300, "b", None, "u"), (301, None, 5.0, "u"), (302, None, 7.0, "u")]
     got = split_row_number(frame(spark, rows), ["key"], F.floor(F.col("sec") / 100), [F.col("sec"), F.col("id")], "rn").collect()
     expected = {}
-    for key in "ab":
-        for n, row in enumerate(sorted((r for r in rows if r[1] == key), key=lambda r: (r[2], r[0])), 1):
+    for key in ("a", "b", None):
+        for n, row in enumerate(sorted((r for r in rows if r[1] == key), key=lambda r: (-1.0 if r[2] is None else r[2], r[0])), 1):
             expected[row[0]] = n
     assert {r.id: r.rn for r in got} == expected
 
