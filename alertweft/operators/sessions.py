@@ -9,8 +9,12 @@ two rows per (key, slice), however many events there are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from alertweft.session import materialise
+
 
 _FOREVER = 1 << 62
 
@@ -32,46 +36,45 @@ def _local_sessions(events: DataFrame, keys: list[str], at: str, gap_us: int, sl
     )
 
 
+def _chained(pieces: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
+    """Give every piece its session: (keys, _sub, _chain).
+
+    Only the first and last piece of a slice can continue into a neighbouring
+    slice; they share one window per key.  Every other piece is final and forms
+    a window partition of its own, so one pass covers both kinds.
+    """
+    slice_w = W.partitionBy(*keys, "_slice")
+    edge = (F.col("_local") == F.min("_local").over(slice_w)) | (F.col("_local") == F.max("_local").over(slice_w))
+    marked = pieces.withColumn("_sub", F.when(~edge, F.struct("_slice", "_local")))
+    along = W.partitionBy(*keys, "_sub").orderBy("start_us", "_slice", "_local")
+    new = F.coalesce(F.col("start_us") - F.lag("end_us").over(along) > gap_us, F.lit(True)).cast("int")
+    return marked.withColumn("_new", new).withColumn("_chain", F.sum("_new").over(along.rowsBetween(W.unboundedPreceding, 0)))
+
+
+def _merged() -> list[Column]:
+    return [F.sum("n").alias("n"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"),
+            F.min_by("first", "_first_key").alias("first"), F.min("_first_key").alias("_first_key")]
+
+
 def gap_sessions(events: DataFrame, keys: list[str], at: str, gap_seconds: float, order: Column,
                  first_fields: list[str], distinct: str | None = None,
                  slice_seconds: float = 86400.0) -> DataFrame:
     """One row per session: keys, n, start_us, end_us, the first event's fields, n_distinct.
 
     A new session starts when the gap to the previous event is greater than
-    ``gap_seconds``.  ``order`` breaks ties between equal times.
+    ``gap_seconds``.  ``order`` breaks ties between equal times.  Events are
+    scanned and shuffled once; with ``distinct`` the per-value pieces are
+    written once and read by the two steps that need them.
     """
     gap_us, slice_us = int(gap_seconds * 1_000_000), int(slice_seconds * 1_000_000)
     timed = events.filter(F.col(at).isNotNull())
     local = _local_sessions(timed, keys, at, gap_us, slice_us, order)
-    part = [*keys, "_slice", "_local"]
-    first = F.min_by(F.struct(*first_fields), F.struct(F.col("_us"), order.alias("o")))
-    first_key = F.min(F.struct(F.col("_us").alias("us"), order.alias("o")))
-    pieces = local.groupBy(*part).agg(
+    part, session = [*keys, "_slice", "_local"], [*keys, "_sub", "_chain"]
+    base = [
         F.count(F.lit(1)).alias("n"), F.min("_us").alias("start_us"), F.max("_us").alias("end_us"),
-        first.alias("first"), first_key.alias("_first_key"),
-    )
-    slice_w = W.partitionBy(*keys, "_slice")
-    pieces = pieces.withColumn("_edge", (
-        (F.col("_local") == F.min("_local").over(slice_w)) | (F.col("_local") == F.max("_local").over(slice_w))
-    ))
-    # stitch: only edge pieces can continue into the neighbouring slice
-    along = W.partitionBy(*keys).orderBy("start_us", "_slice", "_local")
-    edges = pieces.filter("_edge").withColumn(
-        "_new", F.coalesce(F.col("start_us") - F.lag("end_us").over(along) > gap_us, F.lit(True)).cast("int")
-    ).withColumn("_chain", F.sum("_new").over(along.rowsBetween(W.unboundedPreceding, 0)))
-    inner = pieces.filter("not _edge").withColumn("_chain", F.lit(None).cast("bigint"))
-    columns = [*part, "n", "start_us", "end_us", "first", "_first_key", "_chain"]
-    tagged = edges.select(*columns).unionByName(inner.select(*columns))
-    # an inner piece is its own chain
-    chain = [
-        F.coalesce(F.col("_chain"), F.lit(-1)).alias("_chain"),
-        F.when(F.col("_chain").isNull(), F.struct("_slice", "_local")).alias("_inner"),
+        F.min_by(F.struct(*first_fields), F.struct(F.col("_us"), order.alias("o"))).alias("first"),
+        F.min(F.struct(F.col("_us").alias("us"), order.alias("o"))).alias("_first_key"),
     ]
-    grouped = tagged.select(*keys, *chain, "_slice", "_local", "n", "start_us", "end_us", "first", "_first_key")
-    sessions = grouped.groupBy(*keys, "_chain", "_inner").agg(
-        F.sum("n").alias("n"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"),
-        F.min_by("first", "_first_key").alias("first"),
-    )
     out = [*keys, "n", "start_us", "end_us", "first.*"]
     # an event without a time is infinitely far from every other one: a session of its own, of infinite length
     alone = events.filter(F.col(at).isNull()).select(
@@ -79,23 +82,16 @@ def gap_sessions(events: DataFrame, keys: list[str], at: str, gap_seconds: float
         F.lit(_FOREVER).alias("end_us"), *first_fields,
     )
     if distinct is None:
-        return sessions.select(*out).unionByName(alone)
-    # distinct values per session: reduce to (piece, value) first, so a hot session is spread by value
-    null_safe = [F.struct(*[F.col(k) for k in keys], "_slice", "_local").alias("_piece")]
-    values = local.groupBy(*part, F.col(distinct).alias("_value")).agg(F.lit(1).alias("_one"))
-    values = values.select(*null_safe, F.struct("_value").alias("_value"))
-    owner = grouped.select(*null_safe, F.struct(*[F.col(k) for k in keys], "_chain", "_inner").alias("_session"))
-    counted = (
-        values.join(owner, F.xxhash64(values["_piece"]).eqNullSafe(F.xxhash64(owner["_piece"]))
-                    & values["_piece"].eqNullSafe(owner["_piece"]))
-        .groupBy("_session").agg(F.count_distinct("_value").alias("n_distinct"))
-    )
-    tagged_sessions = sessions.withColumn("_session", F.struct(*[F.col(k) for k in keys], "_chain", "_inner"))
-    return (
-        tagged_sessions.join(counted.withColumnRenamed("_session", "_s2"), F.col("_session").eqNullSafe(F.col("_s2")))
-        .select(*out, "n_distinct")
-        .unionByName(alone.withColumn("n_distinct", F.lit(1).cast("bigint")))
-    )
+        chained = _chained(local.groupBy(*part).agg(*base), keys, gap_us)
+        return chained.groupBy(*session).agg(*_merged()).select(*out).unionByName(alone)
+    # per (piece, value): a hot session is spread over its values, and no set is ever gathered
+    by_value = materialise(local.groupBy(*part, F.col(distinct).alias("_value")).agg(*base), "pieces")
+    owner = _chained(by_value.groupBy(*part).agg(*_merged()), keys, gap_us).select(
+        *[F.col(c).alias(f"_p{i}") for i, c in enumerate(part)], "_sub", "_chain")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_p{i}")) for i, c in enumerate(part)])
+    per_value = by_value.join(owner, same).groupBy(*session, "_value").agg(*_merged())
+    sessions = per_value.groupBy(*session).agg(*_merged(), F.count(F.lit(1)).alias("n_distinct"))
+    return sessions.select(*out, "n_distinct").unionByName(alone.withColumn("n_distinct", F.lit(1).cast("bigint")))
 
 
 def plain_groups(events: DataFrame, keys: list[str], at: str, order: Column, first_fields: list[str],
