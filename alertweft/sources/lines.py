@@ -47,7 +47,21 @@ def blocks(lines: DataFrame, starts_block: Column) -> DataFrame:
     shift = _offsets(per_chunk, "_n", "_before").select(*_CHUNK, "_before")
     inside = W.partitionBy(*_CHUNK).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     indexed = flagged.withColumn("_run", F.sum("_s").over(inside)).join(shift, _CHUNK)
-    members = indexed.select("file", (F.col("_run") + F.col("_before")).alias("block_index"), "line_no", "line").filter("block_index > 0")
-    return members.groupBy("file", "block_index").agg(
+    return _assembled(indexed.select("file", (F.col("_run") + F.col("_before")).alias("block_index"), "line_no", "line"))
+
+
+def _assembled(members: DataFrame) -> DataFrame:
+    return members.filter("block_index > 0").groupBy("file", "block_index").agg(
         F.min("line_no").alias("first_line"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_l"),
     ).select("file", "block_index", "first_line", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("text"))
+
+
+def read_records(spark: SparkSession, path: str, starts_block: Column) -> DataFrame:
+    """:func:`blocks` of :func:`read_lines` with one pass for the chunk statistics of both."""
+    flagged = _chunked(spark, path, None).withColumn("_s", starts_block.cast("int"))
+    stats = flagged.groupBy(*_CHUNK).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"), F.sum("_s").alias("_m"))
+    shift = _offsets(_offsets(stats, "_n", "_lines"), "_m", "_starts").select(*_CHUNK, "_first", "_lines", "_starts")
+    inside = W.partitionBy(*_CHUNK).orderBy("_id").rowsBetween(W.unboundedPreceding, 0)
+    indexed = flagged.withColumn("_run", F.sum("_s").over(inside)).join(shift, _CHUNK)
+    return _assembled(indexed.select(
+        "file", (F.col("_run") + F.col("_starts")).alias("block_index"), (F.col("_id") - F.col("_first") + F.col("_lines") + 1).alias("line_no"), "line"))

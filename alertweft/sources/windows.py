@@ -8,7 +8,7 @@ from alertweft.fixed import SECURITY_PROVIDER, STANZA_MAP
 from alertweft.functions.text import snake_case
 from alertweft.functions.times import parse_time
 from alertweft.operators.projection import canonical_from_xml, event_type, project_attributes
-from alertweft.sources.lines import blocks, read_lines
+from alertweft.sources.lines import read_records
 
 STANZA_HEAD = r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2} [AP]M\s*$"
 BLOCK_HEAD = r"^(?:Information|Error|Warning)\t"
@@ -26,7 +26,7 @@ def read_event_xml(spark: SparkSession, path: str) -> DataFrame:
 
 def read_stanzas(spark: SparkSession, path: str) -> DataFrame:
     """One raw stanza per row; blocks without an event code are dropped."""
-    found = blocks(read_lines(spark, path), F.col("line").rlike(STANZA_HEAD))
+    found = read_records(spark, path, F.col("line").rlike(STANZA_HEAD))
     return found.filter(F.contains("text", F.lit("EventCode="))).select("file", "block_index", F.col("text").alias("raw"))
 
 
@@ -126,7 +126,7 @@ def read_wide_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Header-delimited multi-line records with block index and byte range."""
-    found = blocks(read_lines(spark, path), F.col("line").rlike(BLOCK_HEAD))
+    found = read_records(spark, path, F.col("line").rlike(BLOCK_HEAD))
     return canonical_blocks(found)
 
 

@@ -10,7 +10,7 @@ from alertweft.functions import codec as C
 from alertweft.functions.text import evidence_ids, occurrences, snake_case
 from alertweft.functions.times import natural_key, parse_time
 from alertweft.operators import redaction as X
-from alertweft.sources.lines import blocks, read_lines
+from alertweft.sources.lines import blocks, read_lines, read_records
 
 
 def one(spark, column):
@@ -92,6 +92,8 @@ def test_line_numbers_and_blocks_across_chunks(spark, tmp_path):
         found = blocks(read, F.startswith("line", F.lit("H"))).filter(F.endswith("file", F.lit("a.txt"))).collect()
         starts = [i + 1 for i, line in enumerate(lines) if line.startswith("H")]
         assert sorted(r.first_line for r in found) == starts
+        again = read_records(spark, str(tmp_path), F.startswith("line", F.lit("H"))).filter(F.endswith("file", F.lit("a.txt"))).collect()
+        assert sorted(map(tuple, again)) == sorted(map(tuple, found))
         assert "\n".join(r.text for r in sorted(found, key=lambda r: r.block_index)) == "\n".join(lines[starts[0] - 1:])
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
