@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from alertweft.plans import load_queries
 from oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -24,7 +25,8 @@ def test_twin(spark, con, name):
 
 
 def test_contract(spark):
-    queries, twins = entry.queries(), entry.oracle_sql()
+    queries, twins = load_queries()
+    assert set(queries) <= set(entry.queries()) and set(twins) <= set(entry.oracle_sql())
     assert set(twins) <= set(queries) and len(queries) > 240
     assert set(queries) - set(twins) == {"agg_19", "src_19", "int_01"}
     assert entry.entry(spark).count() > 0
