@@ -38,9 +38,8 @@ def _field_case() -> str:
     arms = []
     for known, (_, fields) in FIELD_MAP.items():
         pairs = []
-        for part in fields.split():
-            names, attr = part.split(":")
-            values = ", ".join(f"_data['{n}']" for n in names.split("/"))
+        for names, attr in fields:
+            values = ", ".join(f"_data['{n}']" for n in ([names] if isinstance(names, str) else names))
             pairs.append(f"struct('{attr}' as k, coalesce({values}) as v)")
         arms.append(f"when '{known}' then array({', '.join(pairs)})")
     return f"case _c {' '.join(arms)} end"
