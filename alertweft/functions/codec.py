@@ -8,10 +8,9 @@ from alertweft.fixed import ENCODED_ARGUMENT
 
 
 def base64_bytes(token: Column) -> Column:
-    """Bytes of a base64 token; padding is optional, garbage gives null."""
+    """Bytes of a base64 token; padding is optional, garbage and a lone last character give null."""
     body = F.regexp_replace(token, "=+$", "")
-    usable = F.when(F.length(body) % 4 == 1, F.left(body, F.length(body) - 1)).otherwise(body)
-    return F.try_to_binary(usable, F.lit("base64"))
+    return F.try_to_binary(F.when(F.length(body) % 4 != 1, body), F.lit("base64"))
 
 
 def base64_text(data: Column) -> Column:

@@ -26,17 +26,17 @@ def category(path: Column) -> Column:
     return chain.otherwise("docs")
 
 
-def manifest(spark: SparkSession, root: str, max_bytes: int = 1 << 30) -> DataFrame:
+def manifest(spark: SparkSession, root: str) -> DataFrame:
     """path, bytes, sha256, category of every file below ``root``.
 
-    A file is hashed whole, so a file above ``max_bytes`` gets no hash here and
-    must be hashed per record instead; the null marks it.
+    A file is read whole by one task, as its hash asks for; the reader refuses
+    files of 2 GiB and more with an error rather than leaving them out.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.removeprefix("file:").rstrip("/")
     relative = F.regexp_replace(F.col("path"), "^(file:)?/*" + base.lstrip("/") + "/", "")
     return files.select(relative.alias("path"), F.col("length").alias("bytes"),
-                        F.when(F.col("length") <= max_bytes, F.sha2("content", 256)).alias("sha256"), category(relative).alias("category"))
+                        F.sha2("content", 256).alias("sha256"), category(relative).alias("category"))
 
 
 def reconcile(declared: DataFrame, actual: DataFrame, key: str, digest: str) -> DataFrame:
@@ -54,17 +54,18 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return counted.groupBy(*left.columns).agg(F.sum("_d").alias("excess")).filter("excess <> 0")
 
 
-def set_digest(rows: DataFrame, key: str, digest: str, salt: str, members: int = 1000) -> DataFrame:
+#: digits of the key hash that make a leaf of the digest tree; part of the digest's definition
+DIGEST_DEPTH = 4
+
+
+def set_digest(rows: DataFrame, key: str, digest: str, salt: str, depth: int = DIGEST_DEPTH) -> DataFrame:
     """One digest of a whole keyed set that does not depend on row order.
 
-    A hash tree: rows fall into groups by the leading hex digits of the key
-    hash, as many digits as keep groups at about ``members`` rows, and each
-    level drops one digit, so no group ever holds more than about
-    ``members`` rows or sixteen child digests.
+    A hash tree: rows fall into 16^depth groups by the leading hex digits of the
+    key hash, and each level drops one digit, so above the leaves no group holds
+    more than sixteen digests.  The depth belongs to the digest: equal sets have
+    equal digests whatever their size, and a deeper tree is another digest.
     """
-    total, depth = rows.count(), 0
-    while total > members * 16 ** depth:
-        depth += 1
     leaf = F.concat_ws("|", F.col(key).cast("string"), F.col(digest))
     level = rows.select(F.left(F.md5(F.col(key).cast("string")), F.lit(depth)).alias("_g"), leaf.alias("_d"), F.lit(1).cast("bigint").alias("n"))
     for digits in range(depth, -1, -1):

@@ -26,47 +26,66 @@ def closure(edges: DataFrame) -> DataFrame:
     return materialise(reduce(lambda a, b: a.unionByName(b), [s.withColumn("dist", F.lit(i)) for i, s in enumerate(steps, 1)]), "closure")
 
 
-def _walk(reach: DataFrame, anchors: DataFrame, max_depth: int, up: bool) -> DataFrame:
+def _walk(reach: DataFrame, anchors: DataFrame, up: bool) -> DataFrame:
     """(anchor, guid, depth) links; each round is one join of the frontier with the closure.
 
     Every round is written to the shared folder: the plan stays short however
-    deep the walk is, and a lost executor costs one round only.  The depth
-    limit ends cycles that reused ids create.
+    deep the walk is, and a lost executor costs one round only.  The walk ends
+    when a round finds nothing new, which also ends cycles that reused ids create:
+    a process is reached once per anchor, at its smallest depth.
     """
     here, there = ("low", "high") if up else ("high", "low")
     steps = reach.select(F.col(here).alias("node"), F.col(there).alias("guid"), "dist")
     frontier = anchors.select(F.col("guid").alias("anchor"), F.col("guid").alias("node")).distinct()
-    rounds = []
-    for start in range(0, max_depth, STRIDE):
-        links = frontier.join(steps, "node").select("anchor", "guid", (F.col("dist") + start).alias("depth"))
-        links = materialise(links.filter(F.col("depth") <= max_depth), "links")
-        rounds.append(links)
-        frontier = links.filter(F.col("depth") == start + STRIDE).select("anchor", F.col("guid").alias("node"))
-        if frontier.isEmpty():
+    found = materialise(frontier.select("anchor", F.col("node").alias("guid"), F.lit(0).alias("depth")), "links")
+    rounds, start = [found], 0
+    while True:
+        links = frontier.join(steps, "node").groupBy("anchor", "guid").agg((F.min("dist") + start).alias("depth"))
+        for known in rounds:
+            links = links.join(known.select("anchor", "guid"), ["anchor", "guid"], "left_anti")
+        links = materialise(links, "links")
+        if links.isEmpty():
             break
-    return reduce(lambda a, b: a.unionByName(b), rounds)
+        start += STRIDE
+        frontier = links.filter(F.col("depth") == start).select("anchor", F.col("guid").alias("node"))
+        rounds = _compact([*rounds, links])
+    return reduce(lambda a, b: a.unionByName(b), rounds).filter("depth > 0")
 
 
-def ancestors(reach: DataFrame, anchors: DataFrame, max_depth: int = 20) -> DataFrame:
-    return _walk(reach, anchors, max_depth, up=True)
+def _compact(parts: list[DataFrame], most: int = 8) -> list[DataFrame]:
+    """Few tables instead of many, so that deep walks keep short plans."""
+    if len(parts) < most:
+        return parts
+    return [materialise(reduce(lambda a, b: a.unionByName(b), parts), "links")]
 
 
-def descendants(reach: DataFrame, anchors: DataFrame, max_depth: int = 20) -> DataFrame:
-    return _walk(reach, anchors, max_depth, up=False)
+def ancestors(reach: DataFrame, anchors: DataFrame) -> DataFrame:
+    return _walk(reach, anchors, up=True)
 
 
-def roots(edges: DataFrame, max_doublings: int = 6) -> DataFrame:
-    """(guid, root, depth) of every process by pointer doubling: log2(depth) joins instead of depth joins."""
+def descendants(reach: DataFrame, anchors: DataFrame) -> DataFrame:
+    return _walk(reach, anchors, up=False)
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """(guid, root, depth) of every process by pointer doubling: log2(depth) joins instead of depth joins.
+
+    While chains are left, fewer pointers move in every round; those that never
+    stop lie on a cycle or below one and get a null root and depth.
+    """
     up = edges.select("guid", F.when(F.col("guid") != F.col("parent_guid"), F.col("parent_guid")).alias("to"))
     known = up.select(F.col("guid").alias("known"))
     jumps = up.join(known, up["to"] == known["known"], "left").select(
         "guid", F.col("known").alias("to"), F.when(F.col("known").isNotNull(), 1).otherwise(0).cast("bigint").alias("depth"))
     jumps = materialise(jumps.select("guid", F.coalesce("to", "guid").alias("root"), "depth"), "jumps")
-    for _ in range(max_doublings):
+    before = None
+    while True:
         nxt = jumps.select(F.col("guid").alias("root"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
         doubled = jumps.join(nxt, "root").select("guid", F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("depth2") > 0).alias("moved"))
         doubled = materialise(doubled, "jumps")
+        moving = doubled.filter("moved").count()
         jumps = doubled.drop("moved")
-        if doubled.filter("moved").isEmpty():
-            break
-    return jumps
+        if moving == 0 or moving == before:
+            still = F.when(~F.col("moved"), True)
+            return doubled.select("guid", F.when(still, F.col("root")).alias("root"), F.when(still, F.col("depth")).alias("depth"))
+        before = moving

@@ -79,7 +79,7 @@ def chk_31(lake):
 
 
 @query("chk_32", "facts gtd o", f"""
-    SELECT case_id, concat_ws('|', CASE WHEN dup > 0 THEN 'duplicate_ids' END, CASE WHEN main_id <> 'A0' THEN 'main_id' END,
+    SELECT case_id, concat_ws('|', CASE WHEN dup > 0 THEN 'duplicate_ids' END, CASE WHEN main_id IS DISTINCT FROM 'A0' THEN 'main_id' END,
         CASE WHEN regexp_matches(rationale, '(?i)\\b(?:weak|strong)\\b') THEN 'leak' END,
         CASE WHEN action_band <> {_case_of('condition', 2)} OR expected_verdict <> {_case_of('condition', 0)} THEN 'decision_band' END) AS errors
     FROM facts JOIN gtd USING (case_id) JOIN o USING (case_id)""")
@@ -90,7 +90,7 @@ def chk_32(lake):
     c = F.col("condition")
     joined = facts.join(truth, "case_id").join(lake.outputs().select("case_id", "rationale"), "case_id")
     return joined.select("case_id", F.array_join(labels([
-        (F.col("duplicate_ids") > 0, "duplicate_ids"), (F.col("main_id") != "A0", "main_id"),
+        (F.col("duplicate_ids") > 0, "duplicate_ids"), (~F.col("main_id").eqNullSafe("A0"), "main_id"),
         (has_any(F.col("rationale"), [FORBIDDEN_PATTERNS["decision label"]]), "leak"),
         ((F.col("action_band") != policy_value(c, 2)) | (F.col("expected_verdict") != policy_value(c, 0)), "decision_band")]), "|").alias("errors"))
 
@@ -181,8 +181,11 @@ def int_04(lake):
 
 @query("int_05", sql="""
     WITH r AS (SELECT md5(CAST(o_orderkey AS VARCHAR)) AS h, o_orderkey || '|' || sha256(CAST(o_orderkey AS VARCHAR)) AS leaf FROM orders),
-    b AS (SELECT left(h, 1) AS g, count(*) AS n, sha256('cfg-1' || string_agg(leaf, chr(10) ORDER BY leaf)) AS d FROM r GROUP BY 1)
-    SELECT CAST(sum(n) AS BIGINT) AS n, sha256('cfg-1' || string_agg(d, chr(10) ORDER BY d)) AS digest FROM b""")
+    l4 AS (SELECT left(h, 4) AS g, count(*) AS n, sha256('cfg-1' || string_agg(leaf, chr(10) ORDER BY leaf)) AS d FROM r GROUP BY 1),
+    l3 AS (SELECT left(g, 3) AS g, sum(n) AS n, sha256('cfg-1' || string_agg(d, chr(10) ORDER BY d)) AS d FROM l4 GROUP BY 1),
+    l2 AS (SELECT left(g, 2) AS g, sum(n) AS n, sha256('cfg-1' || string_agg(d, chr(10) ORDER BY d)) AS d FROM l3 GROUP BY 1),
+    l1 AS (SELECT left(g, 1) AS g, sum(n) AS n, sha256('cfg-1' || string_agg(d, chr(10) ORDER BY d)) AS d FROM l2 GROUP BY 1)
+    SELECT CAST(sum(n) AS BIGINT) AS n, sha256('cfg-1' || string_agg(d, chr(10) ORDER BY d)) AS digest FROM l1""")
 def int_05(lake):
     """Composite digest over all (case, hash) pairs and the configuration, as a hash tree."""
     k = F.col("o_orderkey")

@@ -139,11 +139,11 @@ def edges(lake):
 
 
 _UP = """WITH RECURSIVE e AS (SELECT guid, parent_guid FROM ev WHERE guid <> parent_guid),
-    up(anchor, guid, depth) AS (SELECT guid, guid, 0 FROM ev WHERE event_type = 'error' UNION ALL SELECT u.anchor, e.parent_guid, u.depth + 1 FROM up u JOIN e ON u.guid = e.guid WHERE u.depth < 20)"""
+    up(anchor, guid, depth) AS (SELECT guid, guid, 0 FROM ev WHERE event_type = 'error' UNION ALL SELECT u.anchor, e.parent_guid, u.depth + 1 FROM up u JOIN e ON u.guid = e.guid )"""
 
 
 @query("jn_17", "ev", _UP + """, down(anchor, guid, depth) AS (SELECT guid, guid, 0 FROM ev WHERE event_type = 'error'
-      UNION ALL SELECT d.anchor, e.guid, d.depth + 1 FROM down d JOIN e ON d.guid = e.parent_guid WHERE d.depth < 20)
+      UNION ALL SELECT d.anchor, e.guid, d.depth + 1 FROM down d JOIN e ON d.guid = e.parent_guid )
     SELECT 'up' AS direction, anchor, CAST(count(*) AS BIGINT) AS links, CAST(max(depth) AS INTEGER) AS deepest FROM up WHERE depth > 0 GROUP BY anchor
     UNION ALL SELECT 'down', anchor, CAST(count(*) AS BIGINT), CAST(max(depth) AS INTEGER) FROM down WHERE depth > 0 GROUP BY anchor""")
 def jn_17(lake):

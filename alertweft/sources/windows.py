@@ -87,10 +87,17 @@ def canonical_from_stanza(raws: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def canonical_mixed(raws: DataFrame) -> DataFrame:
-    """Raw XML and raw stanzas in one column: each branch parsed by its own reader, then united."""
-    is_xml = F.contains(F.left("raw", F.lit(200)), F.lit("<Event"))
+    """Raw XML and raw stanzas in one column: each branch parsed by its own reader, then united.
+
+    The whole text decides.  A row of neither kind stays as it is, with its hash
+    and the event type ``unrecognised``; its parsed columns are null.
+    """
+    raws = raws.withColumn("raw", F.coalesce("raw", F.lit("")))
+    is_xml = F.contains("raw", F.lit("<Event"))
     stanza = ~is_xml & F.contains("raw", F.lit("EventCode="))
-    return canonical_from_xml(raws.filter(is_xml)).unionByName(canonical_from_stanza(raws.filter(stanza)))
+    parsed = canonical_from_xml(raws.filter(is_xml)).unionByName(canonical_from_stanza(raws.filter(stanza)))
+    other = raws.filter(~is_xml & ~stanza).withColumn("raw_sha256", F.sha2("raw", 256)).withColumn("event_type", F.lit("unrecognised"))
+    return parsed.unionByName(other, allowMissingColumns=True)
 
 
 _CSV_TYPES = {1: "process_create", 3: "network_connection", 7: "image_load", 5611: "system_state"}

@@ -26,13 +26,12 @@ def burst_sessions(events: DataFrame, keys: list[str], at: str, gap_seconds: flo
                    count_gte: int, distinct_gte: int, late: str = "10 minutes") -> DataFrame:
     """Closed gap sessions that meet the thresholds.
 
-    State per open session is a counter, two times and a fixed-size distinct
-    sketch, so it does not grow with the events of a session.  The count of
-    distinct values is exact for small sets and within one percent beyond.
+    State per open session is a counter, two times and the set of its distinct
+    values, so a threshold on them is exact; repeated values take no room.
     """
     us = F.unix_micros(at)
     sessions = events.withWatermark(at, late).groupBy(*keys, F.session_window(at, f"{gap_seconds} seconds").alias("w")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(us).alias("start_us"), F.max(us).alias("end_us"), F.approx_count_distinct(distinct, 0.01).alias("n_distinct"))
+        F.count(F.lit(1)).alias("n"), F.min(us).alias("start_us"), F.max(us).alias("end_us"), F.size(F.collect_set(distinct)).cast("bigint").alias("n_distinct"))
     return sessions.filter((F.col("n") >= count_gte) & (F.col("n_distinct") >= distinct_gte)).drop("w")
 
 
