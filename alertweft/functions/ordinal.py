@@ -18,18 +18,26 @@ def band_edges(band: Column, ordering: list[str]) -> tuple[Column, Column]:
     return F.array_min(ranks), F.array_max(ranks)
 
 
+def comparable(value: Column, band: Column, ordering: list[str]) -> Column:
+    """True where the value and every value of a non-empty band are in the ordering."""
+    known = F.size(band) == F.size(F.filter(band, lambda v: rank(v, ordering).isNotNull()))
+    return F.coalesce(rank(value, ordering).isNotNull() & known & (F.size(band) > 0), F.lit(False))
+
+
 def direction(value: Column, band: Column, ordering: list[str]) -> Column:
-    """``in_band``, ``over`` or ``under`` relative to the band."""
+    """``in_band``, ``over`` or ``under`` relative to the band; null if anything is unknown."""
     low, high = band_edges(band, ordering)
     at = rank(value, ordering)
-    return F.when(at > high, "over").when(at < low, "under").otherwise("in_band")
+    found = F.when(at > high, "over").when(at < low, "under").otherwise("in_band")
+    return F.when(comparable(value, band, ordering), found)
 
 
 def signed_distance(value: Column, band: Column, ordering: list[str]) -> Column:
-    """Steps to the nearest band edge, negative below, zero inside."""
+    """Steps to the nearest band edge, negative below, zero inside; null if anything is unknown."""
     low, high = band_edges(band, ordering)
     at = rank(value, ordering)
-    return F.when(at < low, at - low).when(at > high, at - high).otherwise(F.lit(0))
+    found = F.when(at < low, at - low).when(at > high, at - high).otherwise(F.lit(0))
+    return F.when(comparable(value, band, ordering), found)
 
 
 def policy_value(condition: Column, part: int) -> Column:

@@ -53,38 +53,41 @@ def output_contract_errors() -> Column:
 
 
 def package_facts(evidence: DataFrame, derivations: DataFrame) -> DataFrame:
-    """Per package: counts, main id, duplicate ids, derivations without a source.
+    """Per package: counts, id of the flagged alert, duplicate ids, derivations without a source.
 
-    Duplicates are counted per (case, id) first; only ids that repeat reach the
-    per-case step, so a very large package is never gathered in one place.
+    Evidence and derivation ids share one name space, so an id that both use is a
+    duplicate.  Copies are counted per (case, id) first; the per-case step sees
+    counts only, so a very large package is never gathered in one place.
+    ``is_alert`` marks the triggering evidence; a package without a mark has no main id.
     """
-    per_id = evidence.groupBy("case_id", F.upper("evidence_id").alias("id")).agg(F.count(F.lit(1)).alias("copies"))
-    derived_ids = derivations.groupBy("case_id", F.upper("derivation_id").alias("id")).agg(F.count(F.lit(1)).alias("copies"))
+    events = evidence.select("case_id", F.upper("evidence_id").alias("id"), F.lit(1).alias("event"), F.coalesce("is_alert", F.lit(False)).alias("alert"))
+    derived = derivations.select("case_id", F.upper("derivation_id").alias("id"), F.lit(0).alias("event"), F.lit(False).alias("alert"))
+    per_id = events.unionByName(derived).groupBy("case_id", "id").agg(
+        F.count(F.lit(1)).alias("copies"), F.sum("event").alias("events"), F.bool_or("alert").alias("alert"))
     orphans = derivations.select("case_id", F.upper("source_evidence_id").alias("id")).join(
-        per_id.select("case_id", "id"), ["case_id", "id"], "left_anti"
+        per_id.where("events > 0").select("case_id", "id"), ["case_id", "id"], "left_anti"
     ).groupBy("case_id").agg(F.count(F.lit(1)).alias("orphan_derivations"))
-    all_ids = per_id.withColumn("event", F.lit(True)).unionByName(derived_ids.withColumn("event", F.lit(False)))
-    facts = all_ids.groupBy("case_id").agg(
-        F.sum(F.when(F.col("event"), F.col("copies"))).alias("event_count"),
-        F.min(F.when(F.col("event"), F.col("id"))).alias("main_id"),
+    facts = per_id.groupBy("case_id").agg(
+        F.sum("events").alias("event_count"),
+        F.min(F.when(F.col("alert"), F.col("id"))).alias("main_id"),
         F.count_if(F.col("copies") > 1).alias("duplicate_ids"),
-        F.count_if(F.col("event")).alias("distinct_ids"),
-        F.coalesce(F.sum(F.when(~F.col("event"), F.col("copies"))), F.lit(0)).alias("n_derivations"),
-    )
+        F.count_if(F.col("events") > 0).alias("distinct_ids"),
+        F.sum(F.col("copies") - F.col("events")).alias("n_derivations"),
+    ).where("event_count > 0")
     return facts.join(orphans, "case_id", "left").withColumn("orphan_derivations", F.coalesce("orphan_derivations", F.lit(0)))
 
 
-def gate_inputs(outputs: DataFrame, evidence: DataFrame, derivations: DataFrame, declared: DataFrame | None = None,
+def gate_inputs(outputs: DataFrame, evidence: DataFrame, derivations: DataFrame, declared: DataFrame,
                 keys: list[str] | None = None) -> DataFrame:
     """Decisions with package facts and unknown citations (ids compared upper-cased).
 
-    ``declared`` gives ``declared_count`` per case; without it the distinct ids count as declared.
+    ``declared`` gives the ``declared_count`` that each package states.
     """
     keys = keys or ["case_id"]
     cited = with_cited_ids(outputs, upper_keys=True)
     unknown = unknown_citations(cited, known_ids(evidence, derivations, upper=True), keys)
     facts = package_facts(evidence, derivations)
-    facts = facts.join(declared, "case_id", "left") if declared is not None else facts.withColumn("declared_count", F.col("distinct_ids"))
+    facts = facts.join(declared.select("case_id", "declared_count"), "case_id", "left")
     empty = F.array().cast("array<string>")
     return cited.join(facts, "case_id").join(unknown, keys, "left").withColumn("unknown_ids", F.coalesce("unknown_ids", empty))
 
@@ -99,9 +102,9 @@ def findings(policy: dict = RUNTIME_POLICY) -> Column:
     mismatch = ~(F.array_contains(allowed[0], F.col("severity")) & F.array_contains(allowed[1], F.col("action")))
     tests = {
         "R002": F.col("case_id") != F.coalesce(F.col("requested_id"), F.col("case_id")),
-        "R003": F.col("main_id") != "A0",
+        "R003": ~F.col("main_id").eqNullSafe("A0"),
         "R004": F.col("duplicate_ids") > 0,
-        "R005": F.col("event_count") != F.col("declared_count"),
+        "R005": ~F.col("event_count").eqNullSafe(F.col("declared_count")),
         "R006": F.col("orphan_derivations") > 0,
         "R007": F.size("key_ids") < F.size("key_evidence"),
         "R008": F.size(F.array_intersect("key_ids", "unknown_ids")) > 0,

@@ -107,10 +107,10 @@ def paired(checked: DataFrame, left: str, right: str, fields: list[str], keys: l
     return both.filter("a is not null and b is not null")
 
 
-def discordance(pairs: DataFrame, field: str) -> DataFrame:
-    """2x2 table of a boolean field, risk difference and exact McNemar p."""
+def discordance(pairs: DataFrame, field: str, keys: list[str]) -> DataFrame:
+    """2x2 table of a boolean field per group, with risk difference and exact McNemar p."""
     a, b = F.col(f"a.{field}"), F.col(f"b.{field}")
-    counts = pairs.agg(
+    counts = pairs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_pairs"), count_where(a & b).alias("both"), count_where(a & ~b).alias("a_only"),
         count_where(~a & b).alias("b_only"), count_where(~a & ~b).alias("neither"),
     )

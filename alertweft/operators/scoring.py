@@ -68,7 +68,12 @@ def scored_cases(outputs: DataFrame, evidence: DataFrame, derivations: DataFrame
 
 
 def check_columns(scored: DataFrame) -> DataFrame:
-    """Add the C1-C4 result columns of rubric 1.1."""
+    """Add the C1-C4 result columns of rubric 1.1.
+
+    A verdict, severity or action that is not in its ordering has no direction,
+    is named in ``unknown_values`` and fails its check.
+    """
+    inside = lambda field: F.coalesce(F.col(f"{field}_direction") == "in_band", F.lit(False))
     relevant = F.array_union("supporting", "counter")
     cited = F.array_union("key_ids", "text_ids")
     has_counter = F.size("counter") > 0
@@ -88,11 +93,12 @@ def check_columns(scored: DataFrame) -> DataFrame:
         "*",
         ((F.size("invalid_key_ids") == 0) & (F.size("invalid_text_ids") == 0) & (F.size("relevant_key_ids") > 0)
          & ~F.col("decode_claim")).alias("c1"),
-        (F.col("verdict_direction") == "in_band").alias("verdict_pass"),
-        (F.col("severity_direction") == "in_band").alias("severity_pass"),
-        ((F.col("verdict_direction") == "in_band") & (F.col("severity_direction") == "in_band")).alias("c2"),
+        inside("verdict").alias("verdict_pass"),
+        inside("severity").alias("severity_pass"),
+        (inside("verdict") & inside("severity")).alias("c2"),
         (~F.col("c3_applicable") | (F.size("cited_counter_ids") > 0)).alias("c3"),
-        (F.col("action_direction") == "in_band").alias("c4"),
+        inside("action").alias("c4"),
+        labels([(F.col(f"{f}_direction").isNull(), f) for f in ("verdict", "severity", "action")]).alias("unknown_values"),
     )
 
 

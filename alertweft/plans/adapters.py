@@ -6,8 +6,6 @@ used by the twins.  All arithmetic is on integers so both agree exactly.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from alertweft.fixed import ACTIONS, CONDITION_POLICY, CONDITIONS, SEVERITIES, VERDICTS
@@ -19,26 +17,6 @@ EVIDENCE_CODES = [1, 3, 11, 13, 22, 4624, 4688]
 MODELS = ["gemini-2.5-flash", "claude-sonnet-4-6"]
 
 
-# key a small table is spread by
-TABLE_KEYS = {
-    "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id", "pages": "page_id",
-    "conversations": "conv_id",
-}
-_SMALL_FILE = 64 << 20
-
-
-def spread(df: DataFrame, path: str, key: str | None) -> DataFrame:
-    """Spread a table that is one small local file over the cores, by its key.
-
-    One file below a scan split is one task, whatever its work.  Tables of a
-    realistic size are folders with more splits than cores and are left alone,
-    so this adds no shuffle to them.
-    """
-    if key is None or not os.path.isfile(path) or os.path.getsize(path) >= _SMALL_FILE:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
-
-
 def _pick(values: list[str], index: Column) -> Column:
     return F.get(str_array(values), index.cast("int"))
 
@@ -50,8 +28,7 @@ class Lake:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}.parquet"
-        return spread(self.spark.read.parquet(path), path, TABLE_KEYS.get(name))
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def events(self) -> DataFrame:
         """Canonical events from the event table."""
@@ -74,6 +51,7 @@ class Lake:
             F.concat(F.lit("user-"), (F.col("l_suppkey") % 7).cast("string")).alias("user"),
             F.col("l_returnflag").alias("flag"),
             F.col("l_linestatus").alias("status"),
+            (line == 1).alias("is_alert"),
             F.create_map(
                 F.lit("flag"), F.col("l_returnflag"), F.lit("status"), F.col("l_linestatus"),
                 F.lit("quantity"), F.col("l_quantity").cast("bigint").cast("string"),
@@ -87,6 +65,12 @@ class Lake:
             F.lit("A0").alias("source_evidence_id"), F.lit("command_line").alias("source_field"),
         ).distinct()
 
+    def declared(self) -> DataFrame:
+        """Events each package states to hold; some state one too many."""
+        case = F.col("l_orderkey")
+        return self.table("lineitem").groupBy(case.alias("case_id")).agg(F.count(F.lit(1)).alias("n")).select(
+            "case_id", (F.col("n") + F.when(F.col("case_id") % 43 == 0, 1).otherwise(0)).alias("declared_count"))
+
     def outputs(self) -> DataFrame:
         """One triage decision per order."""
         k = F.col("o_orderkey")
@@ -238,7 +222,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
                {EVIDENCE_CODES}[l_linenumber] AS event_code,
                CASE WHEN l_linenumber % 2 = 0 THEN 'sysmon' ELSE 'security' END AS sensor,
                'host-' || l_suppkey AS computer, 'user-' || (l_suppkey % 7) AS user_name,
-               l_returnflag AS flag, l_linestatus AS status, CAST(l_quantity AS BIGINT) AS quantity,
+               l_returnflag AS flag, l_linestatus AS status, l_linenumber = 1 AS is_alert, CAST(l_quantity AS BIGINT) AS quantity,
                CAST(l_partkey AS VARCHAR) AS part
         FROM lineitem""", []),
     "der": ("""

@@ -33,19 +33,32 @@ add_view("od", """
            CASE WHEN case_id % 109 = 0 THEN CAST([] AS VARCHAR[]) WHEN case_id % 113 = 0 THEN list_append(key_evidence, 'a0')
                 ELSE key_evidence END AS key_evidence,
            CASE WHEN case_id % 101 = 0 THEN case_id + 1 ELSE case_id END AS requested_id FROM o""", "o")
-add_view("facts", """
-    SELECT case_id, event_count, main_id, distinct_ids, dup, coalesce(n_der, 0) AS n_der, has_a0 FROM (
-        SELECT case_id, sum(c) AS event_count, min(evidence_id) AS main_id, count(*) AS distinct_ids,
-               count(*) FILTER (WHERE c > 1) AS dup, bool_or(evidence_id = 'A0') AS has_a0
-        FROM (SELECT case_id, evidence_id, count(*) AS c FROM pkg GROUP BY 1, 2) GROUP BY 1)
-    LEFT JOIN (SELECT case_id, count(*) AS n_der FROM der GROUP BY 1) USING (case_id)""", "pkg der")
+
+
+def _facts_view(evidence, derivations):
+    return f"""
+    SELECT case_id, event_count, event_count + CASE WHEN case_id % 43 = 0 THEN 1 ELSE 0 END AS declared, main_id, distinct_ids, dup, coalesce(n_der, 0) AS n_der, has_a0 FROM (
+        SELECT case_id, count(*) AS event_count, min(evidence_id) FILTER (WHERE is_alert) AS main_id, count(DISTINCT evidence_id) AS distinct_ids,
+               bool_or(evidence_id = 'A0') AS has_a0 FROM {evidence} GROUP BY 1)
+    LEFT JOIN (SELECT case_id, count(*) FILTER (WHERE c > 1) AS dup FROM (SELECT case_id, id, count(*) AS c FROM (
+        SELECT case_id, evidence_id AS id FROM {evidence} UNION ALL SELECT case_id, derivation_id FROM {derivations}) GROUP BY 1, 2) GROUP BY 1) USING (case_id)
+    LEFT JOIN (SELECT case_id, count(*) AS n_der FROM {derivations} GROUP BY 1) USING (case_id)"""
+
+
+# a few packages flag another line than the first, and a few derivations take the id of an event
+add_view("pkgd", "SELECT * REPLACE (CASE WHEN case_id % 41 = 0 THEN line_no = 2 ELSE is_alert END AS is_alert) FROM pkg", "pkg")
+add_view("derd", "SELECT * REPLACE (CASE WHEN case_id % 7 = 0 THEN 'EV-001' ELSE derivation_id END AS derivation_id) FROM der", "der")
+add_view("facts", _facts_view("pkg", "der"), "pkg der")
+add_view("factsd", _facts_view("pkgd", "derd"), "pkgd derd")
+add_view("validd", """SELECT case_id, list(DISTINCT evidence_id) AS ids FROM
+    (SELECT case_id, evidence_id FROM pkgd UNION ALL SELECT case_id, derivation_id FROM derd) GROUP BY case_id""", "pkgd derd")
 _ERR = f"""concat_ws('|', CASE WHEN NOT list_contains({_sql_list(VERDICTS)}, verdict) THEN 'verdict' END,
     CASE WHEN NOT list_contains({_sql_list(SEVERITIES)}, severity) THEN 'severity' END,
     CASE WHEN NOT confidence BETWEEN 0 AND 1 THEN 'confidence' END, CASE WHEN len(key_evidence) < 1 THEN 'key_evidence' END,
     CASE WHEN length(rationale) < 1 THEN 'rationale' END, CASE WHEN NOT list_contains({_sql_list(ACTIONS)}, action) THEN 'action' END)"""
 
 
-def _gate_view(source, keys):
+def _gate_view(source, keys, seeded=""):
     profile = RUNTIME_POLICY["decision_profiles"]
     ok = " OR ".join(
         f"(verdict = '{v}' AND list_contains({_sql_list(s)}, severity) AND list_contains({_sql_list(a)}, action))"
@@ -53,7 +66,7 @@ def _gate_view(source, keys):
     key_bad = "len(list_filter(keys_up, lambda x: NOT list_contains(ids, x))) > 0"
     text_bad = "len(list_filter(text_ids, lambda x: NOT list_contains(ids, x))) > 0"
     arms = {
-        "R002": "case_id <> requested_id", "R003": "main_id <> 'A0'", "R004": "dup > 0", "R005": "event_count <> distinct_ids",
+        "R002": "case_id <> requested_id", "R003": "main_id IS DISTINCT FROM 'A0'", "R004": "dup > 0", "R005": "event_count <> declared",
         "R006": "n_der > 0 AND NOT has_a0", "R007": "len(keys_up) <> len(list_distinct(keys_up))", "R008": key_bad, "R009": text_bad,
         "R010": "len(text_ids) = 0", "R011": "len(text_ids) > 0 AND NOT list_has_any(keys_up, text_ids)",
         "R012": f"{_any_sql('lower(rationale)', DECODE_PHRASES)} AND n_der = 0", "R013": f"NOT ({ok})",
@@ -76,21 +89,28 @@ def _gate_view(source, keys):
                        CASE WHEN errors <> '' THEN '' ELSE {signal} END AS signals
                 FROM (SELECT s.*, f.* EXCLUDE (case_id), v.ids, {_IDS} AS text_ids, {_ERR} AS errors,
                              list_transform(key_evidence, lambda x: upper(x)) AS keys_up
-                      FROM {source} s JOIN facts f USING (case_id) JOIN valid v USING (case_id)))),
+                      FROM {source} s JOIN facts{seeded} f USING (case_id) JOIN valid{seeded} v USING (case_id)))),
          (VALUES ('integrity_only'), ('consequence_gate'), ('safety_first')) p(profile)"""
 
 
-add_view("gd", _gate_view("od", "case_id"), "od facts valid")
+add_view("gd", _gate_view("od", "case_id", "d"), "od factsd validd")
 add_view("g", _gate_view("(SELECT *, case_id AS requested_id FROM o)", "case_id"), "o facts valid")
 add_view("gr", _gate_view("(SELECT *, case_id AS requested_id FROM run)", "case_id, model, round, split"), "run facts valid")
 
 
+def draft_package(lake):
+    """Evidence and derivations with seeded faults: a wrong alert flag, an id used twice."""
+    k = F.col("case_id")
+    return (lake.evidence().withColumn("is_alert", F.when(k % 41 == 0, F.col("line_no") == 2).otherwise(F.col("is_alert"))),
+            lake.derivations().withColumn("derivation_id", F.when(k % 7 == 0, "EV-001").otherwise(F.col("derivation_id"))))
+
+
 def decided_drafts(lake):
-    return G.decide(G.gate_inputs(drafts(lake), lake.evidence(), lake.derivations()))
+    return G.decide(G.gate_inputs(drafts(lake), *draft_package(lake), lake.declared()))
 
 
 def decided(lake):
-    return G.decide(G.gate_inputs(lake.outputs(), lake.evidence(), lake.derivations()))
+    return G.decide(G.gate_inputs(lake.outputs(), lake.evidence(), lake.derivations(), lake.declared()))
 
 
 _ONE = "(SELECT * FROM gd WHERE profile = 'integrity_only')"
@@ -280,12 +300,13 @@ def agg_30(lake):
     return package.unionByName(keys)
 
 
-@query("agg_31", "pkg", """SELECT case_id, CAST(count(*) AS BIGINT) AS actual, CAST(count(DISTINCT line_no) AS BIGINT) AS declared
-    FROM pkg GROUP BY case_id HAVING count(*) <> count(DISTINCT line_no)""")
+@query("agg_31", "pkg", """SELECT case_id, CAST(count(*) AS BIGINT) AS actual, CAST(count(*) + 1 AS BIGINT) AS declared
+    FROM pkg WHERE case_id % 43 = 0 GROUP BY case_id""")
 def agg_31(lake):
-    facts = G.package_facts(lake.evidence(), lake.derivations())
-    return facts.filter("event_count <> distinct_ids").select(
-        "case_id", F.col("event_count").cast("bigint").alias("actual"), F.col("distinct_ids").cast("bigint").alias("declared"))
+    """Packages whose stated number of events is not the number they hold."""
+    facts = G.package_facts(lake.evidence(), lake.derivations()).join(lake.declared(), "case_id")
+    return facts.filter("event_count <> declared_count").select(
+        "case_id", F.col("event_count").cast("bigint").alias("actual"), F.col("declared_count").cast("bigint").alias("declared"))
 
 
 @query("jn_10", "pkg der", "SELECT case_id, derivation_id, source_evidence_id FROM der WHERE (case_id, 'A0') NOT IN (SELECT (case_id, evidence_id) FROM pkg)")

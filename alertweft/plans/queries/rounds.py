@@ -143,18 +143,17 @@ def model_pairs(lake, fields=("c2",)):
     return P.paired(run_checks(lake).filter("round = 1"), GM, CM, list(fields), ["case_id", "split"])
 
 
-# discordant blocks of at most 20 per group keep the exact tail a small binomial sum in the twin
 @query("agg_18", "pair", """
-    WITH g AS (SELECT case_id % 1500 AS block, count(*) FILTER (WHERE a AND NOT b) AS b_, count(*) FILTER (WHERE NOT a AND b) AS c_ FROM pair GROUP BY 1),
-    t AS (SELECT block, b_, c_, CASE WHEN b_ + c_ = 0 THEN 1.0 ELSE least(1.0, 2.0 * (
-        SELECT sum(factorial(CAST(b_ + c_ AS INT))::DOUBLE / (factorial(CAST(k AS INT))::DOUBLE * factorial(CAST(b_ + c_ - k AS INT))::DOUBLE))
-        FROM range(0, 20) r(k) WHERE k <= least(b_, c_)) / pow(2, b_ + c_)) END AS p FROM g)
-    SELECT block, CAST(b_ AS BIGINT) AS a_only, CAST(c_ AS BIGINT) AS b_only, round_even(p, 6) AS p FROM t""")
+    WITH g AS (SELECT split, count(*) AS n_pairs, count(*) FILTER (WHERE a AND b) AS both_, count(*) FILTER (WHERE a AND NOT b) AS b_,
+        count(*) FILTER (WHERE NOT a AND b) AS c_, count(*) FILTER (WHERE NOT a AND NOT b) AS neither_ FROM pair GROUP BY split),
+    t AS (SELECT *, CASE WHEN b_ + c_ = 0 THEN 1.0 ELSE least(1.0, 2 * (
+        SELECT sum(exp(lgamma(b_ + c_ + 1) - lgamma(k + 1) - lgamma(b_ + c_ - k + 1) + (b_ + c_) * ln(0.5)))
+        FROM range(0, (SELECT count(*) FROM pair)) r(k) WHERE k <= least(b_, c_))) END AS p FROM g)
+    SELECT split, n_pairs, both_ AS "both", b_ AS a_only, c_ AS b_only, neither_ AS neither,
+        round_even((b_ - c_) / n_pairs::DOUBLE, 4) AS risk_difference, round_even(p, 6) AS mcnemar_p FROM t""")
 def agg_18(lake):
-    """Exact McNemar p per block of cases; every case of every block is used."""
-    blocks = model_pairs(lake).groupBy((F.col("case_id") % 1500).alias("block")).agg(
-        count_where(F.col("a.c2") & ~F.col("b.c2")).alias("a_only"), count_where(~F.col("a.c2") & F.col("b.c2")).alias("b_only"))
-    return blocks.withColumn("p", mcnemar_exact(F.col("a_only"), F.col("b_only")))
+    """Discordance table, risk difference and exact McNemar p of each split, over all its pairs."""
+    return P.discordance(model_pairs(lake), "c2", ["split"])
 
 
 @query("agg_19")
@@ -240,7 +239,7 @@ def agg_22(lake):
 
 
 def run_routes(lake):
-    return G.decide(G.gate_inputs(lake.runs(), lake.evidence(), lake.derivations(), keys=RUN_KEYS))
+    return G.decide(G.gate_inputs(lake.runs(), lake.evidence(), lake.derivations(), lake.declared(), keys=RUN_KEYS))
 
 
 @query("agg_26", "chkr gr", f"""
@@ -266,7 +265,7 @@ def agg_26(lake):
     FROM gr WHERE round = 1 GROUP BY split, model, profile""")
 def agg_27(lake):
     first = lake.runs().filter("round = 1")
-    routes = G.routed(G.decide(G.gate_inputs(first, lake.evidence(), lake.derivations(), keys=RUN_KEYS)), "model", "split")
+    routes = G.routed(G.decide(G.gate_inputs(first, lake.evidence(), lake.derivations(), lake.declared(), keys=RUN_KEYS)), "model", "split")
     return routes.groupBy("split", "model", "profile").agg(
         F.count(F.lit(1)).alias("n"), *[count_where(F.col("status") == s).alias(f"{s}_n") for s in ("pass", "review", "block")])
 

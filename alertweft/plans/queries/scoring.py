@@ -23,16 +23,21 @@ def scored(lake):
     return S.scored_cases(lake.outputs(), lake.evidence(), lake.derivations(), lake.truth())
 
 
+def _unknown_sql(value, band, ordering):
+    return f"(NOT coalesce(list_contains({_sql_list(ordering)}, {value}), false) OR NOT list_has_all({_sql_list(ordering)}, {band}))"
+
+
 def _dir_sql(value, band, ordering):
     o = _sql_list(ordering)
     pos, ranks = f"list_position({o}, {value})", f"list_transform({band}, lambda b: list_position({o}, b))"
-    return f"CASE WHEN {pos} > list_max({ranks}) THEN 'over' WHEN {pos} < list_min({ranks}) THEN 'under' ELSE 'in_band' END"
+    return (f"CASE WHEN {_unknown_sql(value, band, ordering)} THEN NULL WHEN {pos} > list_max({ranks}) THEN 'over' "
+            f"WHEN {pos} < list_min({ranks}) THEN 'under' ELSE 'in_band' END")
 
 
 def _dist_sql(value, band, ordering):
     o = _sql_list(ordering)
     pos, ranks = f"list_position({o}, {value})", f"list_transform({band}, lambda b: list_position({o}, b))"
-    return (f"CAST(CASE WHEN {pos} > list_max({ranks}) THEN {pos} - list_max({ranks}) "
+    return (f"CAST(CASE WHEN {_unknown_sql(value, band, ordering)} THEN NULL WHEN {pos} > list_max({ranks}) THEN {pos} - list_max({ranks}) "
             f"WHEN {pos} < list_min({ranks}) THEN {pos} - list_min({ranks}) ELSE 0 END AS INTEGER)")
 
 
@@ -62,6 +67,22 @@ _CHK = f"""
            {_dir_sql('action', 'action_band', ACTIONS)} AS action_direction
     FROM %s"""
 add_view("chk", _CHK % "sc", "sc")
+_SEEDS = """CASE WHEN case_id % 107 = 0 THEN 'reboot' ELSE action END AS action, CASE WHEN case_id % 97 = 0 THEN 'urgent' ELSE severity END AS severity,
+    CASE WHEN case_id % 89 = 0 THEN 'unsure' ELSE verdict END AS verdict"""
+add_view("ou", f"SELECT * REPLACE ({_SEEDS}) FROM o", "o")
+add_view("chku", _CHK % f"(SELECT * REPLACE ({_SEEDS}) FROM sc)", "sc")
+
+
+def seeded(lake):
+    """Decisions some of which hold a verdict, severity or action that no ordering knows."""
+    k = F.col("case_id")
+    return lake.outputs().withColumns({
+        "action": F.when(k % 107 == 0, "reboot").otherwise(F.col("action")), "severity": F.when(k % 97 == 0, "urgent").otherwise(F.col("severity")),
+        "verdict": F.when(k % 89 == 0, "unsure").otherwise(F.col("verdict"))})
+
+
+def seeded_checks(lake):
+    return S.case_checks(seeded(lake), lake.evidence(), lake.derivations(), lake.truth())
 _J = "array_to_string(list_sort(%s), '|')"
 
 
@@ -75,9 +96,9 @@ def chk_01(lake):
                                "decode_claim", "c1")
 
 
-@query("chk_02", "chk", "SELECT case_id, verdict, expected_verdict, verdict_direction, verdict_pass, severity, severity_direction, severity_pass, c2 FROM chk")
+@query("chk_02", "chku", "SELECT case_id, verdict, expected_verdict, verdict_direction, verdict_pass, severity, severity_direction, severity_pass, c2 FROM chku")
 def chk_02(lake):
-    return checks(lake).select("case_id", "verdict", "expected_verdict", "verdict_direction", "verdict_pass", "severity",
+    return seeded_checks(lake).select("case_id", "verdict", "expected_verdict", "verdict_direction", "verdict_pass", "severity",
                                "severity_direction", "severity_pass", "c2")
 
 
@@ -87,9 +108,10 @@ def chk_03(lake):
     return checks(lake).select("case_id", "c3_applicable", joined(F.col("cited_counter_ids")).alias("cited_counter"), "c3")
 
 
-@query("chk_04", "chk", "SELECT case_id, action, action_direction, c4 FROM chk")
+@query("chk_04", "chku", """SELECT case_id, action, action_direction, c4, concat_ws('|', CASE WHEN case_id % 89 = 0 THEN 'verdict' END,
+    CASE WHEN case_id % 97 = 0 THEN 'severity' END, CASE WHEN case_id % 107 = 0 THEN 'action' END) AS unknown_values FROM chku""")
 def chk_04(lake):
-    return checks(lake).select("case_id", "action", "action_direction", "c4")
+    return seeded_checks(lake).select("case_id", "action", "action_direction", "c4", F.array_join("unknown_values", "|").alias("unknown_values"))
 
 
 def _over_sql(text):
@@ -271,21 +293,21 @@ def scl_02(lake):
     return lake.table("conversations").select("conv_id", "turn", first_phrase(F.concat("text", tail), DECODE_PHRASES).alias("phrase"))
 
 
-@query("scl_03", "o gt", f"""SELECT case_id, {_dir_sql('severity', 'severity_band', SEVERITIES)} AS severity_direction,
+@query("scl_03", "ou gt", f"""SELECT case_id, {_dir_sql('severity', 'severity_band', SEVERITIES)} AS severity_direction,
     {_dir_sql('action', 'action_band', ACTIONS)} AS action_direction, {_dir_sql('verdict', '[expected_verdict]', VERDICTS)} AS verdict_direction
-    FROM o JOIN gt USING (case_id)""")
+    FROM ou JOIN gt USING (case_id)""")
 def scl_03(lake):
-    both = lake.outputs().join(lake.truth(), "case_id")
+    both = seeded(lake).join(lake.truth(), "case_id")
     return both.select("case_id", direction(F.col("severity"), F.col("severity_band"), SEVERITIES).alias("severity_direction"),
                        direction(F.col("action"), F.col("action_band"), ACTIONS).alias("action_direction"),
                        direction(F.col("verdict"), F.array("expected_verdict"), VERDICTS).alias("verdict_direction"))
 
 
-@query("scl_04", "o gt", f"""SELECT case_id, {_dist_sql('severity', 'severity_band', SEVERITIES)} AS severity_distance,
+@query("scl_04", "ou gt", f"""SELECT case_id, {_dist_sql('severity', 'severity_band', SEVERITIES)} AS severity_distance,
     {_dist_sql('action', 'action_band', ACTIONS)} AS action_distance, {_dist_sql('verdict', '[expected_verdict]', VERDICTS)} AS verdict_distance
-    FROM o JOIN gt USING (case_id)""")
+    FROM ou JOIN gt USING (case_id)""")
 def scl_04(lake):
-    both = lake.outputs().join(lake.truth(), "case_id")
+    both = seeded(lake).join(lake.truth(), "case_id")
     return both.select("case_id", signed_distance(F.col("severity"), F.col("severity_band"), SEVERITIES).alias("severity_distance"),
                        signed_distance(F.col("action"), F.col("action_band"), ACTIONS).alias("action_distance"),
                        signed_distance(F.col("verdict"), F.array("expected_verdict"), VERDICTS).alias("verdict_distance"))

@@ -43,7 +43,7 @@ def str_03(lake):
     """Decisions arrive as a stream; package facts are a static table."""
     path = scratch_path(lake.spark, "decisions")
     lake.outputs().write.parquet(path)
-    facts = materialise(G.package_facts(lake.evidence(), lake.derivations()).withColumn("declared_count", F.col("distinct_ids")), "facts")
+    facts = materialise(G.package_facts(lake.evidence(), lake.derivations()).join(lake.declared(), "case_id", "left"), "facts")
     ids = materialise(S.known_ids(lake.evidence(), lake.derivations(), upper=True), "ids")
     stream = Z.file_stream(lake.spark, path, lake.outputs(), "*.parquet")
     target = scratch_path(lake.spark, "routes")
@@ -57,7 +57,7 @@ def str_04(lake):
     source, target = scratch_path(lake.spark, "usage-in"), scratch_path(lake.spark, "usage-latest")
     rows = lake.usage().select("case_id", "model", "round", "seq", "input_tokens")
     for part in (1, 2):
-        rows.filter(F.col("seq") == part).coalesce(1).write.mode("append").parquet(source)
+        rows.filter(F.col("seq") == part).write.mode("append").parquet(source)
     stream = lake.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     keys = ["case_id", "model", "round"]
     Z.upsert_latest(stream, target, keys, F.col("seq")).awaitTermination()
