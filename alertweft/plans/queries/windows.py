@@ -8,8 +8,9 @@ from alertweft.functions.ranking import numbered_distinct, split_row_number
 from alertweft.functions.times import event_order
 from alertweft.operators import rules as R, sessions as Q
 from alertweft.operators.selection import first_in_order
+from alertweft.operators.replay import replay
 from alertweft.plans.registry import query
-from alertweft.plans.rule_library import rules as shipped_rules
+from alertweft.plans.rule_library import rules as shipped_rules, taxonomy_rows
 from alertweft.plans.telemetry import SCENARIOS, expected_hits_sql, telemetry
 
 ERROR = {"all": [{"field": "attributes.event_type", "op": "eq", "value": "error"}]}
@@ -209,3 +210,34 @@ def chk_23(lake):
     return selected.join(spec, "event_type").select(
         "event_type", "selected_key", "expected_key",
         ((F.col("selected_key") == F.col("expected_key")) & (F.col("selected_key") == F.col("configured_key"))).alias("pass"))
+
+
+_LATEST = ", ".join(f"'{r['case_id']}'" for r in shipped_rules() if r["selection"]["strategy"] == "latest_match")
+_GROUPED = ", ".join(f"'{r['case_id']}'" for r in shipped_rules() if r.get("aggregation"))
+
+
+@query("chk_23_replay", "ev", f"""
+    WITH h(scenario, rule) AS (VALUES {expected_hits_sql()}),
+    rules(rule, strategy) AS (VALUES {", ".join(f"('{r['case_id']}', '{r['selection']['strategy']}')" for r in shipped_rules())}),
+    m AS (SELECT h.rule, ev.event_id, ev.us FROM ev JOIN h ON ev.k % {len(SCENARIOS)} = h.scenario),
+    s AS (SELECT rule, count(*) AS n, arg_min(event_id, (us, event_id)) AS first, arg_max(event_id, (us, event_id)) AS last, min(event_id) AS smallest FROM m GROUP BY rule),
+    t AS (SELECT r.rule, r.strategy, coalesce(s.n, 0) AS n, CASE WHEN r.rule IN ({_GROUPED}) THEN NULL WHEN r.rule IN ({_LATEST}) THEN s.last ELSE s.first END AS sel,
+        CASE WHEN r.rule LIKE 'L%' THEN s.smallest WHEN r.rule IN ({_LATEST}) THEN s.last ELSE s.first END AS expected,
+        CASE WHEN r.rule IN ('DISC-002', 'ST-003') THEN 0 ELSE (SELECT count(*) FROM ev) END AS scope FROM rules r LEFT JOIN s USING (rule))
+    SELECT rule AS case_id, CAST(scope AS BIGINT) AS scope_events, CAST(n AS BIGINT) AS predicate_matches, CAST(0 AS BIGINT) AS qualifying_groups, strategy,
+        CAST(sel AS VARCHAR) AS selected_key, CAST(expected AS VARCHAR) AS expected_key,
+        concat_ws('|', CASE WHEN scope = 0 THEN 'no event in scope' END, CASE WHEN sel IS NULL THEN 'nothing selected' END,
+            CASE WHEN expected IS NULL THEN 'no event configured' END, CASE WHEN sel <> expected THEN 'another event is configured' END) AS problems,
+        scope > 0 AND sel IS NOT NULL AND expected IS NOT NULL AND sel = expected AS passed FROM t""")
+def chk_23_replay(lake):
+    """All shipped rules replayed over the telemetry; the L cases are configured on their smallest id instead of their first event."""
+    events = telemetry(lake)
+    place = F.struct("event_time", "event_id")
+    found = R.match_rules(events, shipped_rules()).groupBy(F.col("rule_case").alias("case_id")).agg(
+        F.min_by("event_id", place).alias("first"), F.max_by("event_id", place).alias("last"), F.min("event_id").alias("smallest"))
+    latest = [r["case_id"] for r in shipped_rules() if r["selection"]["strategy"] == "latest_match"]
+    case = F.col("case_id")
+    key = F.when(F.startswith(case, F.lit("L")), F.col("smallest")).when(case.isin(latest), F.col("last")).otherwise(F.col("first"))
+    rows = replay(events, shipped_rules(), taxonomy_rows(), found.select("case_id", key.cast("string").alias("record_key")))
+    return rows.select("case_id", "scope_events", "predicate_matches", "qualifying_groups", "strategy", "selected_key", "expected_key",
+                       F.array_join("problems", "|").alias("problems"), "passed")
