@@ -23,16 +23,16 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from alertweft.llm.common import text_bytes
 from alertweft.llm.labelled import draw, labelled, platt
-from alertweft.session import ship
+from alertweft.session import materialise, ship
 
 ship(__name__)
 
 #: bounds of the samples that are fitted on
 POSITIVES, UNLABELLED, CALIBRATION = 3000, 6000, 4000
 #: most features of a classifier, smallest share of toxic documents that must have one, and least standardised contrast
-FEATURES, SHARE, CONTRAST = 3000, 0.01, 2.5
-#: a word counts this often in a document at most, so that repetition alone weighs little
-OFTEN = 3
+FEATURES, SHARE, CONTRAST = 3000, 0.005, 2.0
+#: different words of a document that count for one beginning at most
+OFTEN = 20
 #: lengths of word beginnings that are features beside the whole word
 BEGINNINGS = (4, 5, 7)
 #: classifiers averaged
@@ -49,7 +49,10 @@ def features_of(word: bytes) -> tuple[str, ...]:
 
 
 class Reader:
-    """Counts the features of texts; the features of a word are remembered, and only ``vocabulary`` ones if given."""
+    """Counts the different words of a text that have a feature, so repetition weighs nothing.
+
+    The features of a word are remembered, only those of ``vocabulary`` if it is given.
+    """
 
     def __init__(self, vocabulary: dict[str, int] | None = None, most: int = 500_000):
         self.seen: dict[bytes, tuple] = {}
@@ -60,7 +63,7 @@ class Reader:
         if len(seen) > self.most:
             seen.clear()
         out: Counter = Counter()
-        for word, n in Counter((text or b"").split()).items():
+        for word in set((text or b"").split()):
             found = seen.get(word)
             if found is None:
                 found = features_of(word)
@@ -68,12 +71,12 @@ class Reader:
                     found = tuple(known[f] for f in found if f in known)
                 seen[word] = found
             for f in found:
-                out[f] += n
+                out[f] += 1
         return out
 
 
 def strength(n):
-    """What ``n`` occurrences of a feature count for."""
+    """What a feature of ``n`` different words counts for."""
     return np.log1p(np.minimum(n, OFTEN))
 
 
@@ -101,35 +104,61 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(texts) + self.offset, -60, 60)))
 
 
-def choose(positive: list[Counter], unlabelled: list[Counter]) -> list[str]:
+def choose(sample: DataFrame, n: int, m: int) -> list[str]:
     """Features of enough toxic documents that stand out against the unlabelled ones, the clearest first.
 
-    Toxicity is shown by what is there, so features that speak for clean text are
-    left out: in a long document their sum would outweigh a single insult.
+    ``sample`` has (text, toxic) of ``n`` toxic and ``m`` unlabelled documents.
+    Tasks add up in how many documents a feature is; at most FEATURES rows come
+    back.  Toxicity is shown by what is there, so features that speak for clean
+    text are left out: in a long document their sum would outweigh a single insult.
     """
-    p, u = Counter(), Counter()
-    for sums, docs in ((p, positive), (u, unlabelled)):
-        for d in docs:
-            sums.update(d.keys())
-    n, m = max(1, len(positive)), max(1, len(unlabelled))
-
-    def contrast(f: str) -> float:
-        a, b = p[f] / n, u[f] / m
-        mean = (p[f] + u[f]) / (n + m)
-        return (a - b) / np.sqrt(mean * (1 - mean) * (1 / n + 1 / m) + 1e-12)
+    def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, p, u = Reader(), Counter(), Counter()
 
-    often = [f for f, c in p.items() if c >= max(3, SHARE * n)]
-    ranked = sorted(((contrast(f), f) for f in often), key=lambda x: (-x[0], x[1]))
-    return [f for c, f in ranked[:FEATURES] if c >= CONTRAST]
+        def rows() -> pa.RecordBatch:
+            names = list(p | u)
+            columns = [pa.array(names, pa.string()), pa.array([p[f] for f in names], pa.int64()), pa.array([u[f] for f in names], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["feature", "p", "u"])
 
+        for batch in batches:
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                (p if toxic else u).update(reader.counts(text).keys())
+                if len(p) + len(u) > 300_000:
+                    yield rows()
+                    p.clear()
+                    u.clear()
+        yield rows()
+
+    sums = sample.mapInArrow(presence, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    mean = (F.col("p") + F.col("u")) / (n + m)
+    contrast = (F.col("p") / n - F.col("u") / m) / F.sqrt(mean * (1 - mean) * (1 / n + 1 / m) + 1e-12)
+    top = sums.where(F.col("p") >= max(3, SHARE * n)).withColumn("contrast", contrast).where(F.col("contrast") >= CONTRAST)
+    return [r.feature for r in top.orderBy(F.desc("contrast"), "feature").limit(FEATURES).collect()]
+
+
+def matrices(sample: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(toxic, unlabelled) strengths of the chosen features; tasks send the non-zero ones."""
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader({f: i for i, f in enumerate(names)})
+        for batch in batches:
+            at, value = [], []
+            for text in batch.column(0).to_pylist():
+                found = reader.counts(text)
+                at.append(np.fromiter(found.keys(), np.int32, len(found)).tobytes())
+                value.append(strength(np.fromiter(found.values(), np.float64, len(found))).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), pa.array(at, pa.binary()), pa.array(value, pa.binary())], names=["toxic", "at", "value"])
 
-def matrix(docs: list[Counter], names: list[str]) -> np.ndarray:
-    place, out = {f: i for i, f in enumerate(names)}, np.zeros((len(docs), len(names)), dtype=np.float32)
-    for row, d in enumerate(docs):
-        for f, n in d.items():
-            if (i := place.get(f)) is not None:
-                out[row, i] = strength(n)
-    return out
+    rows = sample.mapInArrow(sparse, "toxic boolean, at binary, value binary").collect()
+    rows.sort(key=lambda r: (bytes(r.at), bytes(r.value)))
+    out = []
+    for kind in (True, False):
+        mine = [r for r in rows if r.toxic == kind]
+        x = np.zeros((len(mine), len(names)), dtype=np.float32)
+        for row, r in enumerate(mine):
+            x[row, np.frombuffer(r.at, np.int32)] = np.frombuffer(r.value, np.float32)
+        out.append(x)
+    return out[0], out[1]
 
 
 def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, seed: int, epochs: int = 40, batches: int = 12,
@@ -163,10 +192,6 @@ def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, seed: int, epochs: int
     return w[:-1], float(w[-1])
 
 
-def _texts(df: DataFrame) -> list[bytes]:
-    return [bytes(r.t) for r in df.select(F.coalesce(text_bytes(), F.lit(b"")).alias("t")).collect()]
-
-
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", mod: int = 4, held_out: int = 2,
           id_col: str = "doc_id", text_col: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """Fit on bounded samples: at most about ``positives`` toxic and ``unlabelled`` documents.
@@ -178,20 +203,27 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", mod: int =
     known = labelled(docs, labels, target, mod, held_out, id_col, text_col)
     totals = known.agg(F.count(F.lit(1)), F.sum("target")).first()
     prior = min(0.9, max(1e-3, (totals[1] or 0) / max(1, totals[0])))
-    reader = Reader()
-    p = [reader.counts(t) for t in _texts(draw(known.where("target = 1"), positives, F.col("id")))]
-    pool = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    u = [reader.counts(t) for t in _texts(draw(pool, unlabelled, F.col("id"), salt=1))]
-    names = choose(p, u)
-    if not p or not u or not names:
+    toxic = draw(known.where("target = 1"), positives, F.col("id"))
+    pool = draw(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), unlabelled, F.col("id"), salt=1)
+    sample = materialise(
+        toxic.select(text_bytes().alias("text"), F.lit(True).alias("toxic")).unionByName(
+            pool.select(text_bytes().alias("text"), F.lit(False).alias("toxic"))), "toxicity-sample")
+    sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    names = choose(sample, sizes[True], sizes[False]) if len(sizes) == 2 else []
+    if not names:
         return Model({}, float(np.log(prior / (1 - prior))), 1.0, 0.0)
-    xp, xu = matrix(p, names), matrix(u, names)
+    xp, xu = matrices(sample, names)
     fits = [fit_nnpu(xp, xu, prior, seed) for seed in range(MEMBERS)]
     weights, bias = np.mean([f[0] for f in fits], axis=0), float(np.mean([f[1] for f in fits]))
     model = Model({n: float(w) for n, w in zip(names, weights) if abs(w) > 1e-4}, bias, 1.0, 0.0)
-    known_rows = draw(known, CALIBRATION, F.col("id"), salt=2).select(
-        F.coalesce(text_bytes(), F.lit(b"")).alias("t"), "target").collect()
-    model.scale, model.offset = platt(model.logits([bytes(r.t) for r in known_rows]), [r.target for r in known_rows])
+    judged = draw(known, CALIBRATION, F.col("id"), salt=2).select(text_bytes().alias("text"), "target")
+
+    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(model.logits(batch.column(0).to_pylist())), batch.column(1)], names=["z", "y"])
+
+    pairs = sorted((r.z, r.y) for r in judged.mapInArrow(raw, "z double, y int").collect())
+    model.scale, model.offset = platt([z for z, _ in pairs], [y for _, y in pairs])
     return model
 
 
