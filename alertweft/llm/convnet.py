@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from alertweft.llm.common import text_bytes
-from alertweft.llm.labelled import draw, labelled, platt
+from alertweft.llm.labelled import draw, labelled, platt, with_text
 from alertweft.session import ship
 
 ship(__name__)
@@ -154,8 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", mod: int
     Tasks cut the chunks, so at most CHUNKS * CHUNK bytes of a document reach the
     driver.  A last part of the sample is kept back to calibrate the score.
     """
-    known = draw(labelled(docs, labels, target, mod, held_out, id_col, text_col), sample, F.col("id"))
-    rows = known.select(F.col("id"), "target", text_bytes().alias("text"))
+    known = draw(labelled(labels, target, mod, held_out, id_col), sample, F.col("id"))
+    rows = with_text(docs, known, id_col, text_col).select(F.col("id"), "target", text_bytes().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

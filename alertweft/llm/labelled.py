@@ -19,16 +19,18 @@ def draw(rows: DataFrame, most: int, by: Column, salt: int = 0) -> DataFrame:
     return rows.where(place < most / total)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, mod: int, held_out: int, id_col: str = "doc_id",
-             text_col: str = "text") -> DataFrame:
-    """(id, text, target) of the labelled documents outside the held-out fold.
+def labelled(labels: DataFrame, target: str, mod: int, held_out: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, target) of the labelled documents outside the held-out fold.
 
     A document with several labels takes the larger; rows without an id or a label are left out.
     """
-    known = labels.where(F.col(target).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(target).cast("int").alias("target"))
-    known = known.where(bucket_of(F.col("_id"), mod) != held_out)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(known, "_id").select(
-        F.col("_id").alias("id"), "text", "target")
+    known = labels.where(F.col(target).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(target).cast("int").alias("target"))
+    return known.where(bucket_of(F.col("id"), mod) != held_out)
+
+
+def with_text(docs: DataFrame, drawn: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, target) of a drawn sample, whose size is a parameter, so it is sent to the documents."""
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")
 
 
 def platt(z, y, steps: int = 50) -> tuple[float, float]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from alertweft.llm.common import text_bytes
-from alertweft.llm.labelled import draw, labelled, platt
+from alertweft.llm.labelled import draw, labelled, platt, with_text
 from alertweft.session import materialise, ship
 
 ship(__name__)
@@ -200,10 +200,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", mod: int =
     fold; these rows also calibrate the score.  Clean labels are not used to fit
     the classifiers.  Without any toxic document the score is constant.
     """
-    known = labelled(docs, labels, target, mod, held_out, id_col, text_col)
+    known = labelled(labels, target, mod, held_out, id_col)
     totals = known.agg(F.count(F.lit(1)), F.sum("target")).first()
     prior = min(0.9, max(1e-3, (totals[1] or 0) / max(1, totals[0])))
-    toxic = draw(known.where("target = 1"), positives, F.col("id"))
+    toxic = with_text(docs, draw(known.where("target = 1"), positives, F.col("id")), id_col, text_col)
     pool = draw(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), unlabelled, F.col("id"), salt=1)
     sample = materialise(
         toxic.select(text_bytes().alias("text"), F.lit(True).alias("toxic")).unionByName(
@@ -216,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", mod: int =
     fits = [fit_nnpu(xp, xu, prior, seed) for seed in range(MEMBERS)]
     weights, bias = np.mean([f[0] for f in fits], axis=0), float(np.mean([f[1] for f in fits]))
     model = Model({n: float(w) for n, w in zip(names, weights) if abs(w) > 1e-4}, bias, 1.0, 0.0)
-    judged = draw(known, CALIBRATION, F.col("id"), salt=2).select(text_bytes().alias("text"), "target")
+    judged = with_text(docs, draw(known, CALIBRATION, F.col("id"), salt=2), id_col, text_col).select(text_bytes().alias("text"), "target")
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
