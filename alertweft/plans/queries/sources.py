@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from alertweft.fixed import CASE_LEAK_PATTERN
+from alertweft.functions.codec import base64_text
 from alertweft.functions.stats import count_where
 from alertweft.operators import packages as K, projection as P
+from alertweft.operators.package_build import build_packages
 from alertweft.operators.projection import attribute_text, canonical_from_xml
 from alertweft.plans.adapters import add_view
 from alertweft.plans.queries.projection import event_xml
@@ -321,6 +323,38 @@ def snk_01(lake):
                        F.col("main_alert.evidence_id").isNotNull().alias("has_alert"), F.col("deterministic_derivations").isNotNull().alias("has_derivation"))
 
 
+@query("snk_01_build", "ev", """
+    WITH a AS (SELECT user_id, arg_min(event_id, (us, event_id)) AS alert FROM ev WHERE event_type = 'error' GROUP BY 1),
+    s AS (SELECT ev.*, ev.event_id = a.alert AS is_alert FROM ev JOIN a USING (user_id) WHERE ev.event_id = a.alert OR ev.event_type = 'purchase'),
+    n AS (SELECT *, row_number() OVER (PARTITION BY user_id, is_alert ORDER BY strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ'), record_key) AS rn FROM s)
+    SELECT user_id AS case_id, CAST(count(*) AS BIGINT) AS event_count, max(record_key) FILTER (WHERE is_alert) AS alert_record,
+        CAST(count(*) FILTER (WHERE NOT is_alert) AS INTEGER) AS items, max(record_key) FILTER (WHERE NOT is_alert AND rn = 1) AS first_record,
+        min(strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')) AS start, max(strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')) AS "end",
+        string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS types, 'host-01' AS computers, 'user-01' AS users, 'host-01 by user-01' AS derived
+    FROM n GROUP BY user_id""")
+def snk_01_build(lake):
+    """Packages built from raw events: the first error of a user with all the user's purchases."""
+    ev = lake.events().withColumn("record_id", F.col("record_key")).withColumns({"provider": F.lit("p"), "channel": F.lit("c")})
+    alerts = ev.where("event_type = 'error'").groupBy("user_id").agg(F.min_by("event_id", F.struct("event_time", "event_id")).alias("alert"))
+    picked = ev.join(alerts, "user_id").where("event_id = alert or event_type = 'purchase'")
+    selection = picked.select(F.col("user_id").alias("case_id"), "record_id", (F.col("event_id") == F.col("alert")).alias("is_alert"))
+    # one decoded value per case; it names the host and the user, so it must come out with their pseudonyms
+    told = F.concat("computer", F.lit(" by "), "user")
+    blob = F.concat(F.lit("x -enc "), base64_text(F.encode(told, "UTF-16LE")))
+    events = ev.withColumn("attributes", F.map_concat("attributes", F.create_map(F.lit("command_line"), blob)))
+    specs = alerts.select(F.col("user_id").alias("case_id"), F.lit("DER-001").alias("derivation_id"), F.lit("A0").alias("source_evidence_id"), F.lit("command_line").alias("source_field"),
+                          F.lit("base64_utf16le").alias("method"), F.lit("decoded").alias("derived_field"), F.lit("decoded").alias("note"))
+    exclusions = alerts.select(F.col("user_id").alias("case_id"), F.lit("A0").alias("evidence_id"), F.lit("command_line").alias("field"))
+    documents, _ = build_packages(events.select("record_id", "event_time_utc", "event_type", "provider", "channel", "event_code", "computer", "attributes"),
+                                  selection, specs, exclusions, ["table"])
+    seen = F.col("observed_context")
+    return documents.select(
+        "case_id", seen["event_count"].alias("event_count"), F.col("main_alert.source_event.event_record_id").alias("alert_record"), F.size("evidence_items").alias("items"),
+        F.get("evidence_items", F.lit(0))["source_event"]["event_record_id"].alias("first_record"), seen["time_window_utc"]["start"].alias("start"),
+        seen["time_window_utc"]["end"].alias("end"), F.array_join(seen["event_types_present"], "|").alias("types"), F.array_join(seen["computers"], "|").alias("computers"),
+        F.array_join(seen["users"], "|").alias("users"), F.get("deterministic_derivations", F.lit(0))["value"].alias("derived"))
+
+
 @query("snk_02", "o", "SELECT case_id, array_to_string(key_evidence, '|') AS key_evidence, rationale, action FROM o")
 def snk_02(lake):
     path = scratch_path(lake.spark, "report")
