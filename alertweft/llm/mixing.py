@@ -9,7 +9,7 @@ Copies are dealt to partitions and ordered by a hash, which mixes all sources.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 REST = "*"
 
@@ -49,10 +49,10 @@ def rates(docs: DataFrame, weights: dict[str, float], rest: float, text_col: str
     kind = source_class(weights, source_col)
     sizes = docs.groupBy(kind.alias("class")).agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("bytes"))
     budget = F.lit(budget_bytes).cast("long") if budget_bytes is not None else F.col("total")
-    total = sizes.agg(F.sum("bytes").alias("total"))
     share = F.coalesce(*[F.when(F.col("class") == s, F.lit(w / scale)) for s, w in weights.items()], F.lit(rest / scale))
-    # one row: the bytes of all classes
-    return sizes.join(F.broadcast(total)).select("class", (share * budget / F.col("bytes")).alias("rate"))
+    # a window over all classes, of which there are no more than weights
+    totals = sizes.withColumn("total", F.sum("bytes").over(W.partitionBy()))
+    return totals.select("class", (share * budget / F.col("bytes")).alias("rate"))
 
 
 def source_class(weights: dict[str, float], source_col: str = "source") -> Column:
