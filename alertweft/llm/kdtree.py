@@ -70,7 +70,8 @@ def _side(nodes: DataFrame, level: int) -> DataFrame:
 
 def place(rows: DataFrame, cuts: list[DataFrame], dims: int, shards: int) -> DataFrame:
     """``rows`` with their node: first shard ``_first`` and number of shards ``_count``."""
-    at = rows.withColumn("_first", F.lit(0)).withColumn("_count", F.lit(shards))
+    # the root is a column and not a literal, so that the first join has a key like all others
+    at = rows.withColumn("_first", (F.col("_size") * 0).cast("int")).withColumn("_count", F.lit(shards))
     for level, cut in enumerate(cuts):
         joined = at.join(_side(cut.select("_first", "_dim", "_cut", "_left"), level), "_first", "left")
         low, open_ = _key(dims) <= F.col("_cut"), F.col("_left").isNotNull()
