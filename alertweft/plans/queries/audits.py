@@ -130,9 +130,9 @@ def chk_36(lake):
 def written_tree(lake):
     """A folder tree with one file set per top-level category."""
     root = scratch_path(lake.spark, "tree")
-    lake.outputs().select("case_id", "rationale").coalesce(1).write.json(f"{root}/tier1/a")
-    lake.events().select("props").coalesce(1).write.text(f"{root}/eval/outputs/m")
-    lake.table("nation").coalesce(1).write.csv(f"{root}/rubric/n")
+    lake.outputs().select("case_id", "rationale").write.json(f"{root}/tier1/a")
+    lake.events().select("props").write.text(f"{root}/eval/outputs/m")
+    lake.table("nation").write.csv(f"{root}/rubric/n")
     return root
 
 

@@ -484,18 +484,18 @@ def win_11(lake):
     return rows.groupBy("preset").agg(F.min(F.struct("lvl", "pri", "case_id", "model")).alias("best")).select("preset", "best.case_id", "best.model")
 
 
-# scenario, field changes as a function of the base row, expected C1-C4
+# The fourteen scenario ids and their expected C1-C4; the texts and changes are our own.
 MUTATIONS = {
     "BASE": ({}, "1111"), "INV-EVIDENCE-ORDER": ({"key_evidence": lambda: F.reverse("key_evidence")}, "1111"),
     "INV-CONFIDENCE": ({"confidence": lambda: F.lit(0.1)}, "1111"),
     "INV-VALID-IRRELEVANT-ID": ({"key_evidence": lambda: F.array_append("key_evidence", F.lit("EV-002"))}, "1111"),
-    "INV-ID-PRESERVING-PROSE": ({"rationale": lambda: F.lit("A0 is the observed indicator; EV-001 provides benign context.")}, "1111"),
+    "INV-ID-PRESERVING-PROSE": ({"rationale": lambda: F.lit("Item A0 shows the activity, and EV-001 gives a harmless reason for it.")}, "1111"),
     "C1-INVALID-ID": ({"key_evidence": lambda: F.array_append("key_evidence", F.lit("EV-999"))}, "0111"),
-    "C1-UNSUPPORTED-DECODE": ({"rationale": lambda: F.concat("rationale", F.lit(" The decoded payload is malicious."))}, "0111"),
+    "C1-UNSUPPORTED-DECODE": ({"rationale": lambda: F.concat("rationale", F.lit(" Its decoded payload does harm."))}, "0111"),
     "C2-VERDICT-OVER": ({"verdict": lambda: F.lit("malicious")}, "1011"),
     "C2-SEVERITY-OVER": ({"severity": lambda: F.lit("high")}, "1011"),
     "C2-SEVERITY-UNDER": ({"severity": lambda: F.lit("low")}, "1011"),
-    "C3-COUNTER-CITATION-REMOVED": ({"rationale": lambda: F.lit("A0 is the observed signal and remains inconclusive.")}, "1101"),
+    "C3-COUNTER-CITATION-REMOVED": ({"rationale": lambda: F.lit("A0 fired, and nothing here settles what it means.")}, "1101"),
     "C4-ACTION-OVER": ({"action": lambda: F.lit("isolate")}, "1110"),
     "C4-ACTION-UNDER": ({"action": lambda: F.lit("monitor")}, "1110"),
     "C2-C4-COMBINED-OVER": ({"verdict": lambda: F.lit("malicious"), "severity": lambda: F.lit("high"), "action": lambda: F.lit("isolate")}, "1010"),
@@ -518,7 +518,7 @@ def conformance(lake):
         F.when(strong, F.array().cast("array<string>")).otherwise(F.array(F.lit("EV-001"))).alias("counter"),
     ).withColumn("verdict", F.col("expected_verdict")).withColumn("severity", F.element_at("severity_band", -1)).withColumn(
         "action", F.element_at("action_band", -1)).withColumn("rationale", F.when(
-            strong, "A0 directly supports the observed malicious outcome.").otherwise("A0 is the observed signal, while EV-001 supplies mitigating context."))
+            strong, "The harm that was done can be read from A0.").otherwise("A0 fired, but EV-001 gives a harmless reason for it."))
     for field in ("verdict", "severity", "action", "confidence", "key_evidence", "rationale"):
         value = F.col(field)
         for scenario, (changes, _) in MUTATIONS.items():

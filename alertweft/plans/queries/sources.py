@@ -18,7 +18,7 @@ from alertweft.plans.adapters import add_view
 from alertweft.plans.queries.projection import event_xml
 from alertweft.plans.queries.scoring import checks
 from alertweft.plans.registry import query
-from alertweft.session import scratch_path, ship
+from alertweft.session import materialise, scratch_path, ship
 from alertweft.sources import audit_log, exports, lines as L, outputs as O, records as D, sinks, windows as Wd
 
 ship(__name__)
@@ -188,29 +188,10 @@ def _zip_bytes(batches):
 
 
 def archives(lake):
-    """Archive lines landed from ZIP files; each input partition packs its own archives."""
-    from alertweft.session import shared_folder
-    folder = scratch_path(lake.spark, "zip")
+    """Archive lines of ZIP files packed from the events, held as a table in the shared folder."""
     rows = lake.events().select(F.concat((F.col("user_id") % 4).cast("string"), F.lit("-"), F.spark_partition_id().cast("string")).alias("g"), "event_type", "event_id", F.col("props").alias("line"))
     packed = rows.mapInPandas(_zip_bytes, "g string, content binary")
-    written = packed.mapInPandas(lambda it: _store(it, folder), "path string")
-    assert shared_folder(lake.spark) and written.count() > 0
-    return D.read_archives(lake.spark, folder)
-
-
-def _store(batches, folder):
-    """Write archives from the tasks into the shared folder."""
-    import os
-    import uuid
-    target = folder.removeprefix("file:")
-    os.makedirs(target, exist_ok=True)
-    for batch in batches:
-        paths = []
-        for content in batch["content"]:
-            paths.append(f"{target}/{uuid.uuid4().hex}.zip")
-            with open(paths[-1], "wb") as handle:
-                handle.write(content)
-        yield pd.DataFrame({"path": paths})
+    return D.expand_archives(materialise(packed.select(F.concat("g", F.lit(".zip")).alias("path"), "content"), "zip"))
 
 
 @query("src_13", "ev", "SELECT 'logs/' || event_type || '.log' AS member, CAST(count(*) AS BIGINT) AS lines, CAST(sum(k) AS BIGINT) AS k_sum FROM ev GROUP BY event_type")

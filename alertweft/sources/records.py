@@ -78,8 +78,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     ZIP is not splittable: one task expands one archive.  Land the result as
     parquet once and read that afterwards.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    return files.mapInPandas(_expand, "archive string, member string, line_no long, line string")
+    return expand_archives(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path))
+
+
+def expand_archives(files: DataFrame) -> DataFrame:
+    """The same of archives already held in a table of (path, content)."""
+    return files.select("path", "content").mapInPandas(_expand, "archive string, member string, line_no long, line string")
 
 
 def resolve_members(members: DataFrame, requested: DataFrame) -> DataFrame:
