@@ -52,6 +52,27 @@ def output_contract_errors() -> Column:
     return labels(tests)
 
 
+#: JSON types of the fields a decision must have
+OUTPUT_TYPES = {
+    "verdict": "^STRING$", "severity": "^STRING$", "confidence": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "key_evidence": "^ARRAY<STRING>$",
+    "rationale": "^STRING$", "recommended_action": "^STRING$",
+}
+
+
+def raw_contract_errors(text: Column) -> Column:
+    """Sorted contract violations of a decision as it was written: JSON text with exactly the known keys and types."""
+    parsed = F.try_parse_json(text)
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT<")), F.lit(False))
+    keys = F.json_object_keys(text)
+    tests = []
+    for field, kind in OUTPUT_TYPES.items():
+        given = F.array_contains(keys, field)
+        fits = F.coalesce(F.schema_of_variant(F.try_variant_get(parsed, f"$.{field}", "variant")).rlike(kind), F.lit(False))
+        tests += [(~given, f"missing {field}"), (given & ~fits, f"type {field}")]
+    extra = F.transform(F.array_except(keys, str_array(list(OUTPUT_TYPES))), lambda k: F.concat(F.lit("extra "), k))
+    return F.when(is_object, F.array_sort(F.concat(labels(tests), extra))).otherwise(str_array(["not an object"]))
+
+
 def package_facts(evidence: DataFrame, derivations: DataFrame) -> DataFrame:
     """Per package: counts, id of the flagged alert, duplicate ids, derivations without a source.
 

@@ -28,15 +28,17 @@ def target_column(target: str) -> Column:
     return ~F.col(target.lower())
 
 
-def confusion(labelled: DataFrame, keys: list[str]) -> DataFrame:
+def confusion(labelled: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
     """Binary metrics of ``label`` against ``predicted`` per key; null on zero denominators.
 
+    ``weight`` counts a row several times, for rows that are counted already.
     F1 is taken from the already rounded precision and recall.
     """
     y, p = F.col("label"), F.col("predicted")
+    number = count_where if weight is None else lambda test: F.coalesce(F.sum(F.when(test, F.col(weight))), F.lit(0)).cast("bigint")
     counts = labelled.groupBy(*keys).agg(
-        count_where(y & p).alias("tp"), count_where(~y & p).alias("fp"),
-        count_where(~y & ~p).alias("tn"), count_where(y & ~p).alias("fn"),
+        number(y & p).alias("tp"), number(~y & p).alias("fp"),
+        number(~y & ~p).alias("tn"), number(y & ~p).alias("fn"),
     )
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     rated = counts.select(

@@ -174,6 +174,23 @@ def chk_24(lake):
     return drafts(lake).select("case_id", F.array_join(G.output_contract_errors(), "|").alias("errors"))
 
 
+@query("chk_24_raw", "o", """SELECT case_id, CASE WHEN case_id % 29 = 0 THEN 'not an object' ELSE concat_ws('|', CASE WHEN case_id % 31 = 0 THEN 'extra notes' END,
+    CASE WHEN case_id % 47 = 0 THEN 'missing rationale' END, CASE WHEN case_id % 37 = 0 THEN 'type confidence' END, CASE WHEN case_id % 41 = 0 THEN 'type key_evidence' END) END AS errors FROM o""")
+def chk_24_raw(lake):
+    """Decisions as written: extra and missing keys and wrong types are seen, which typed columns would hide."""
+    k = F.col("case_id")
+    quoted = lambda c: F.to_json(F.array(c))
+    text = lambda c: F.regexp_replace(quoted(F.col(c)), r"^\[|\]$", "")
+    fields = F.concat_ws(
+        ",", F.concat(F.lit('"verdict":'), text("verdict")), F.concat(F.lit('"severity":'), text("severity")),
+        F.concat(F.lit('"confidence":'), F.when(k % 37 == 0, F.lit('"high"')).otherwise(F.col("confidence").cast("string"))),
+        F.concat(F.lit('"key_evidence":'), F.when(k % 41 == 0, F.lit('"A0"')).otherwise(F.to_json("key_evidence"))),
+        F.when(k % 47 != 0, F.concat(F.lit('"rationale":'), text("rationale"))), F.concat(F.lit('"recommended_action":'), text("action")),
+        F.when(k % 31 == 0, F.lit('"notes":1')))
+    raw = F.when(k % 29 == 0, F.lit("[]")).otherwise(F.concat(F.lit("{"), fields, F.lit("}")))
+    return lake.outputs().select("case_id", F.array_join(G.raw_contract_errors(raw), "|").alias("errors"))
+
+
 @query("chk_25", sql=r"""
     SELECT o_orderkey AS case_id, concat_ws('|', CASE WHEN NOT regexp_full_match(sha, '[0-9a-f]{64}') THEN 'sha256' END,
            CASE WHEN tier NOT IN (1, 2) THEN 'tier' END, CASE WHEN n_sensors < 1 THEN 'sensors' END, CASE WHEN host = '' THEN 'primary_host' END) AS errors
@@ -228,7 +245,13 @@ add_view("conf", """SELECT profile, target, CAST(count(*) FILTER (WHERE label AN
              round_even(tn::DOUBLE / nullif(tn + fp, 0), 4) AS specificity, tp + fp AS deferral_n,
              round_even((tp + fp)::DOUBLE / nullif(tp + fp + tn + fn, 0), 4) AS deferral_rate FROM conf)""")
 def agg_11(lake):
-    return P.confusion(labelled(lake), ["profile", "target"])
+    """All targets against all profiles; cases are counted by their labels and statuses before these are unfolded."""
+    labels = F.array(*[F.struct(F.lit(t).alias("target"), P.target_column(t).alias("label")) for t in P.TARGETS])
+    predictions = F.transform("routes", lambda r: F.struct(r["profile"].alias("profile"), r["status"].isin("review", "block").alias("predicted")))
+    both = checks(lake).select("case_id", labels.alias("labels")).join(decided(lake).select("case_id", predictions.alias("predictions")), "case_id")
+    patterns = both.groupBy("labels", "predictions").agg(F.count(F.lit(1)).alias("cases"))
+    unfolded = patterns.select("cases", "labels", F.inline("predictions")).select("cases", "profile", "predicted", F.inline("labels"))
+    return P.confusion(unfolded, ["profile", "target"], "cases")
 
 
 @query("agg_11_cases", "lab", """SELECT case_id, profile, target,
