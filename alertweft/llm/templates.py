@@ -44,6 +44,7 @@ NUMBERS = (
     "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
 ).split()
 
+_DIGITS = b"0123456789"
 _EDGE = b".,;:!?\"'()[]{}<>*#&%$|_=+~`^/\\-"
 _NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*%?$")
 _MEASURE = re.compile(r"([$€£]?[+-]?\d[\d.,]*)([^\W\d_]+)$")
@@ -54,79 +55,101 @@ _BITS = 24
 _PAGE = 15
 
 
+_UNIT_WORDS, _NUMBER_WORDS = frozenset(u.encode() for u in UNITS), frozenset(n.encode() for n in NUMBERS)
+#: marks in a text's codes: nothing there, and several codes for one word
+_NONE, _MANY = 0, _NUM | _NAME
+
+
 def _code(word: bytes) -> tuple[int, ...]:
     """Codes of one raw word: a 61-bit hash above three flag bits; none for bare punctuation."""
     core = word.strip(_EDGE)
-    if not core:
-        return (_NUM,) if _NUMBER.match(word.decode("utf-8", "ignore")) else ()
-    text = core.decode("utf-8", "ignore")
-    low = text.lower()
-    if _NUMBER.match(text) or low in NUMBERS:
+    if core.isascii():
+        low, capital = core.lower(), core[:1].isupper() and len(core) > 1 and not core.isupper()
+    else:
+        text = core.decode("utf-8", "ignore")
+        low, capital = text.lower().encode(), text[:1].isupper() and len(text) > 1 and not text.isupper()
+    if low in _NUMBER_WORDS:
         return (_NUM,)
-    if (m := _MEASURE.match(low)) and m[2] in UNITS:
-        return (_NUM, _hash(m[2]) | _UNIT)
-    capital = text[:1].isupper() and text[1:2] and not text.isupper()
-    return ((_hash(low) | (_UNIT if low in UNITS else 0) | (_NAME if capital else 0)),)
+    if word.translate(None, _DIGITS) != word:
+        text = core.decode("utf-8", "ignore")
+        if _NUMBER.match(text or word.decode("utf-8", "ignore")):
+            return (_NUM,)
+        if (m := _MEASURE.match(text.lower())) and m[2].encode() in _UNIT_WORDS:
+            return (_NUM, _hash(m[2].encode()) | _UNIT)
+    if not core:
+        return ()
+    return (_hash(low) | (_UNIT if low in _UNIT_WORDS else 0) | (_NAME if capital else 0),)
 
 
-def _hash(low: str) -> int:
-    return xxh64_intdigest(low.encode(), _SEED) & ~_PLACE
+def _hash(low: bytes) -> int:
+    return xxh64_intdigest(low, _SEED) & ~_PLACE
 
 
 class Stream:
     """Codes of raw words, remembered between texts."""
 
-    def __init__(self, most: int = 500_000):
-        self.seen: dict[bytes, tuple[int, ...]] = {}
+    def __init__(self, most: int = 300_000):
+        self.seen: dict[bytes, int] = {}
+        self.many: dict[bytes, tuple[int, ...]] = {}
         self.most = most
 
+    def _learn(self, word: bytes) -> int:
+        found = _code(word)
+        if len(found) > 1:
+            self.many[word] = found
+        code = self.seen[word] = found[0] if len(found) == 1 else _MANY if found else _NONE
+        return code
+
     def read(self, text: bytes | None) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         """(codes, raw words, word number of each code)."""
         words = (text or b"").split()
-        seen = self.seen
+        seen, learn = self.seen, self._learn
         if len(seen) > self.most:
             seen.clear()
-        found = [seen.get(w) for w in words]
-        if None in found:
-            for i, w in enumerate(words):
-                if found[i] is None:
-                    if (code := seen.get(w)) is None:
-                        code = seen[w] = _code(w)
-                    found[i] = code
-        sizes = np.fromiter(map(len, found), np.int64, len(words))
-        codes = np.fromiter((c for x in found for c in x), np.uint64, int(sizes.sum()))
-        return codes, words, np.repeat(np.arange(len(words)), sizes)
-
-
-def streams(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            self.many.clear()
+        raw = np.array([c if (c := seen.get(w)) is not None else learn(w) for w in words], dtype=np.uint64)
+        owner = np.flatnonzero(raw)
+        codes = raw[owner]
+        several = np.flatnonzero(codes == _MANY)
+        if len(several):
+            parts = [self.many[words[i]] for i in owner[several].tolist()]
+            sizes = np.ones(len(codes), dtype=np.int64)
+            sizes[several] = [len(x) for x in parts]
+            starts = np.cumsum(sizes) - sizes
+            codes, owner = np.repeat(codes, sizes), np.repeat(owner, sizes)
+            for at, x in zip(starts[several].tolist(), parts):
+                codes[at : at + len(x)] = x
+        return codes, words, owner
+
+
+def streams(codes: np.ndarray, text: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The literal and the named stream as (token, placeholder kind, place in codes).
 
-    A unit is a placeholder right after a number only.  Runs of one placeholder are one token.
+    A unit is a placeholder right after a number only.  Runs of one placeholder
+    are one token.  ``text`` numbers the text of each code where there are several.
     """
     kind = (codes & np.uint64(_PLACE)).astype(np.int64)
     token = codes & ~np.uint64(_PLACE)
+    same = np.ones(max(0, len(codes) - 1), dtype=bool) if text is None else text[1:] == text[:-1]
     number = kind == _NUM
     unit = np.zeros(len(codes), dtype=bool)
-    unit[1:] = number[:-1] & (kind[1:] & _UNIT > 0) & ~number[1:]
+    unit[1:] = number[:-1] & (kind[1:] & _UNIT > 0) & ~number[1:] & same
     out = []
     for named in (False, True):
         slot = np.where(number, _NUM, np.where(unit, _UNIT, np.where(named & (kind & _NAME > 0), _NAME, 0)))
         first = np.ones(len(codes), dtype=bool)
-        first[1:] = (slot[1:] == 0) | (slot[1:] != slot[:-1])
+        first[1:] = (slot[1:] == 0) | (slot[1:] != slot[:-1]) | ~same
         at = np.flatnonzero(first)
-        out.append((np.where(slot[at] > 0, slot[at].astype(np.uint64), token[at]), slot[at], at))
+        slot = slot[at]
+        out.append((np.where(slot > 0, slot.astype(np.uint64), token[at]), slot, at))
     return out
 
 
-def window_hashes(token: np.ndarray, slot: np.ndarray, length: int, named: bool) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(token: np.ndarray, slot: np.ndarray, length: int, named: bool, text: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(starts, hashes) of the windows with enough literal words; of the named stream those with a name only."""
     n = len(token) - length + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    total = np.full(n, length, dtype=np.uint64)
-    for k in range(length):
-        total = (total ^ (total >> np.uint64(29))) * _P + token[k : k + n]
-    total ^= total >> np.uint64(32)
 
     def count(flags: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0], np.cumsum(flags)])
@@ -135,6 +158,12 @@ def window_hashes(token: np.ndarray, slot: np.ndarray, length: int, named: bool)
     good = count(slot == 0) >= min(LITERALS, length - 1)
     if named:
         good &= count(slot == _NAME) > 0
+    if text is not None:
+        good &= text[length - 1 :] == text[:n]
+    total = np.full(n, length, dtype=np.uint64)
+    for k in range(length):
+        total = (total ^ (total >> np.uint64(29))) * _P + token[k : k + n]
+    total ^= total >> np.uint64(32)
     at = np.flatnonzero(good)
     return at, total[at]
 
@@ -165,25 +194,50 @@ def _scan(texts: DataFrame, short: list[int], bits=None) -> DataFrame:
 
     Without ``bits`` the texts are benchmark items, and an item shorter than a window is one window.
     """
+    def together(texts: list, found: list) -> None:
+        """Windows of several texts (key, id, codes, words, owner) in one go."""
+        codes = np.concatenate([x[2] for x in texts])
+        sizes = np.array([len(x[2]) for x in texts])
+        text = np.repeat(np.arange(len(texts)), sizes)
+        offset = np.cumsum(sizes) - sizes
+        for named, (token, slot, at) in enumerate(streams(codes, text)):
+            owner_text = text[at]
+            counts = np.bincount(owner_text, minlength=len(texts))
+            start = np.cumsum(counts) - counts
+            # an item shorter than a window is one window
+            lengths = {WINDOW, *short} if bits is not None else {WINDOW, *(n for n in counts.tolist() if SHORTEST <= n < WINDOW)}
+            for length in sorted(lengths):
+                places, h = window_hashes(token, slot, length, bool(named), owner_text)
+                if bits is not None:
+                    place = h >> np.uint64(64 - _BITS)
+                    keep = bits.value[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0
+                elif length < WINDOW:
+                    keep = counts[owner_text[places]] == length
+                else:
+                    keep = np.ones(len(places), dtype=bool)
+                for s, x in zip(places[keep].tolist(), h[keep].view(np.int64).tolist()):
+                    t = owner_text[s]
+                    key, own, _, words, owner = texts[t]
+                    lo, hi = start[t], start[t] + counts[t]
+                    mine = (token[lo:hi], slot[lo:hi], at[lo:hi] - offset[t])
+                    found.append((key, own, named, int(s - lo), x, _slots(words, owner, mine, int(s - lo), length)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, found = Stream(), []
+        reader, found, texts, waiting = Stream(), [], [], 0
         for batch in batches:
             for key, own, text in zip(*[c.to_pylist() for c in batch.columns]):
                 codes, words, owner = reader.read(text)
-                for named, stream in enumerate(streams(codes)):
-                    n = len(stream[0])
-                    lengths = [WINDOW, *short] if bits is not None else [WINDOW if n >= WINDOW else n] if n >= SHORTEST else []
-                    for length in lengths:
-                        at, h = window_hashes(stream[0], stream[1], length, bool(named))
-                        if bits is not None:
-                            place = h >> np.uint64(64 - _BITS)
-                            keep = bits.value[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0
-                            at, h = at[keep], h[keep]
-                        for s, x in zip(at.tolist(), h.view(np.int64).tolist()):
-                            found.append((key, own, named, s, x, _slots(words, owner, stream, s, length)))
+                if len(codes):
+                    texts.append((key, own, codes, words, owner))
+                    waiting += len(codes)
+                if waiting > 50_000:
+                    together(texts, found)
+                    texts, waiting = [], 0
                 if len(found) > 20_000:
                     yield _rows(found)
                     found = []
+        if texts:
+            together(texts, found)
         yield _rows(found)
 
     return texts.mapInArrow(run, _OUT)
