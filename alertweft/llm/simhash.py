@@ -20,26 +20,42 @@ SEED = 42
 TREE_SIZE = 2048
 #: shingles whose bits are counted at a time
 STEP = 1 << 16
+#: near copies: words of a shingle, and share of the shingles of both texts that they have in common
+COPY_SHINGLE, SIMILARITY = 5, 0.8
+#: min-hashes of a band and bands; texts that agree in a whole band meet, at similarity 0.8 all but 1 in 20,000 pairs
+ROWS, BANDS = 5, 25
+#: agreeing min-hashes below which a pair that met is not compared: six standard deviations under 0.8
+PROMISING = 0.58
+#: texts of one band compared pair by pair; in larger bands each text is compared with its nearest ones and a tree spans the band
+SMALL, NEAREST, PART = 32, 3, 1024
+
+
+def digests(text: bytes | None, shingle: int) -> list[bytes]:
+    """Eight bytes for every word shingle of an UTF-8 text; a shorter text is one shingle, no words give none."""
+    words = (text or b"").lower().split()  # on bytes: A-Z only, and ASCII white space only
+    if not words:
+        return []
+    if len(words) < shingle:
+        return [xxh64_digest(b" ".join(words), SEED)]
+    joined = b" ".join(words)
+    sizes = list(map(len, words))
+    ends = list(accumulate(n + 1 for n in sizes))
+    return [xxh64_digest(joined[end - size - 1 : last - 1], SEED) for end, size, last in zip(ends, sizes, ends[shingle - 1 :])]
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     """64-bit SimHash of the word shingles of an UTF-8 text; no words give zero."""
-    words = (text or b"").lower().split()  # on bytes: A-Z only, and ASCII white space only
-    if not words:
+    return _simhash(digests(text, shingle))
+
+
+def _simhash(found: list[bytes]) -> int:
+    if not found:
         return 0
-    if len(words) < shingle:
-        digests = [xxh64_digest(b" ".join(words), SEED)]
-    else:
-        joined = b" ".join(words)
-        sizes = list(map(len, words))
-        ends = list(accumulate(n + 1 for n in sizes))
-        digests = [xxh64_digest(joined[end - size - 1 : last - 1], SEED)
-                   for end, size, last in zip(ends, sizes, ends[shingle - 1 :])]
     counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(digests), STEP):
-        raw = np.frombuffer(b"".join(digests[at : at + STEP]), dtype=np.uint8).reshape(-1, 8)
+    for at in range(0, len(found), STEP):
+        raw = np.frombuffer(b"".join(found[at : at + STEP]), dtype=np.uint8).reshape(-1, 8)
         counts += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(digests)).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * counts > len(found)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -215,3 +231,151 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return kept
     once = kept.join(again, id_col, "left_anti").select(*docs.columns)
     return once.unionByName(kept.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col]))
+
+
+def sketch(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bands, signature) of a text's shingles: one long per band, and one byte per min-hash."""
+    factors = np.random.default_rng(SEED).integers(1, 1 << 63, size=ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(len(factors), np.iinfo(np.uint64).max, dtype=np.uint64)
+    hashes = np.frombuffer(b"".join(found), dtype=np.uint64)
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, np.multiply.outer(factors, hashes[at : at + 1024]).min(axis=1))
+    bands = [int.from_bytes(xxh64_digest(row.tobytes(), i), "big", signed=True) for i, row in enumerate(least.reshape(BANDS, ROWS))]
+    # mixed once more, because the upper bits of a minimum are nearly always zero
+    mixed = (least ^ (least >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return np.array(bands, dtype=np.int64), (mixed >> np.uint64(56)).astype(np.uint8)
+
+
+def promising(signatures: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of one band worth an exact comparison.
+
+    All promising pairs of a small band; of a large one, each text with its
+    nearest ones and the links of a tree of largest agreement, so that the pairs
+    grow with the band and not with its square.
+    """
+    n = len(signatures)
+
+    def agree(i: int) -> np.ndarray:
+        return np.count_nonzero(signatures == signatures[i], axis=1) / signatures.shape[1]
+
+    if n <= SMALL:
+        return [(i, j) for i in range(n - 1) for j in (np.flatnonzero(agree(i)[i + 1 :] >= PROMISING) + i + 1).tolist()]
+    pairs, at = set(), 0
+    best, source, waiting = np.full(n, -1.0), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+    for _ in range(n):
+        waiting[at] = False
+        near = agree(at)
+        near[at] = -1
+        pairs.update((at, j) for j in np.argpartition(-near, NEAREST)[:NEAREST].tolist() if near[j] >= PROMISING)
+        closer = waiting & (near > best)
+        best[closer], source[closer] = near[closer], at
+        if waiting.any():
+            at = int(np.where(waiting, best, -2).argmax())
+            if best[at] >= PROMISING:
+                pairs.add((int(source[at]), at))
+    return sorted({(min(p), max(p)) for p in pairs})
+
+
+def band_pairs(texts: DataFrame) -> DataFrame:
+    """(a, b) keys of the texts (key, bands, signature) that meet in a band and may be similar; a band is cut like a shard."""
+    entries = texts.select("key", F.explode("bands").alias("band"))
+    sizes = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = entries.join(sizes, "band").withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).join(texts.select("key", "signature"), "key")
+    own = F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int")
+    first = F.when(F.col("parts") > 1, 1).otherwise(0)  # two parts that meet are compared inside as well
+    placed = members.withColumn("own", own).select(
+        "key", "signature", "band", "own", F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: (first == 0) | (o != F.col("own")))).alias("other")
+    ).select("band", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "key", "signature")
+    placed = placed.repartition("band", "left", "right").sortWithinPartitions("band", "left", "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out_a, out_b = [], []
+        for group in sorted_groups(batches, ["band", "left", "right"]):
+            keys = group.column("key").to_numpy()
+            signatures = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(keys), -1)
+            for i, j in promising(signatures):
+                out_a.append(min(keys[i], keys[j]))
+                out_b.append(max(keys[i], keys[j]))
+            if len(out_a) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                out_a, out_b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    return placed.mapInArrow(run, "a long, b long")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts (key, text) have ``similarity`` of their distinct shingles in common."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(np.frombuffer(b"".join(digests(t, shingle)), np.uint64)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["key", "grams"])
+
+    wanted = texts.join(used, "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
+    known = materialise(wanted.mapInArrow(sets, "key long, grams binary"), "copies-grams")
+    both = pairs.join(known.select(F.col("key").alias("a"), F.col("grams").alias("left")), "a").join(
+        known.select(F.col("key").alias("b"), F.col("grams").alias("right")), "b").select("a", "b", "left", "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for left, right in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (left, right))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE,
+                     similarity: float = SIMILARITY, radius: int = 2) -> DataFrame:
+    """One row of every class of near copies, the one with the smallest id.
+
+    Two texts are near copies when ``similarity`` of their distinct word shingles
+    are common to both; classes are what such pairs connect.  Pairs are proposed
+    by the BK-trees over SimHash fingerprints and by bands of min-hashes, because
+    a fingerprint radius wide enough for 0.8 (about 15 bits) has no selective
+    shards; each proposal is then compared exactly.  Null and wordless texts are
+    copies of each other.  Rows are told apart by id and text, so a class without
+    any id keeps one row too, and an id with two texts loses only the copy.
+    """
+    row, key = F.xxhash64(F.col(id_col), F.col(text_col)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    narrow = docs.select(F.col(id_col).alias("id"), row.alias("row"), key.alias("key"), text_bytes(text_col).alias("text"))
+    schema = T.StructType([
+        T.StructField("id", narrow.schema["id"].dataType), *(T.StructField(n, T.LongType()) for n in ("row", "key", "fp")),
+        T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, bands, signatures = [], [], []
+            for text in batch.column(3).to_pylist():
+                found = digests(text, shingle)
+                own, signature = sketch(found)
+                fps.append(_simhash(found))
+                bands.append(own)
+                signatures.append(signature.tobytes())
+            columns = [pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=schema.names)
+
+    rows = materialise(narrow.mapInArrow(run, schema), "copies-sketch")
+    texts = materialise(rows.select("key", "fp", "bands", "signature").dropDuplicates(["key"]), "copies-texts")
+    # each fingerprint is stood for by its smallest key; the others of that fingerprint meet it
+    first = texts.groupBy("fp").agg(F.min("key").alias("first"))
+    same = texts.join(first, "fp").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    near = links(first.select("fp"), radius)
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    proposed = band_pairs(texts).unionByName(same).unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    pairs = materialise(proposed.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copies-pairs")
+    labels = components(similar(pairs, narrow.select("key", "text"), shingle, similarity), "copies-links").withColumnsRenamed({"node": "key"})
+    rooted = rows.select("id", "row", "key").join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("best"))
+    gone = rooted.join(best, "root").where("row <> best").select(F.col("row").alias("_row")).distinct()
+    again = rows.groupBy(F.col("row").alias("_row")).count().where("count > 1").select("_row")
+    kept = docs.withColumn("_row", row).join(gone, "_row", "left_anti")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(again, "_row", "left_anti")
+    return once.unionByName(kept.join(again, "_row", "left_semi").dropDuplicates(["_row"])).select(*docs.columns)
