@@ -4,22 +4,24 @@ A text is read as two token streams.  The literal stream has lower-cased words
 with numbers and units replaced by typed placeholders; the named stream also
 replaces capitalised words, so that a question whose names and figures were
 changed still reads the same.  Windows of a stream are hash-joined with the
-windows of the benchmark.  Along one alignment of a document and an item the
-slot values must be consistent: one value of the item stands for one value in
-the document, and the other way round.
+windows of the benchmark.  Along alignments of a document and an item that lie
+close together the slot values must be consistent: one name of the item stands
+for one name in the document, and the other way round; windows with a unit that
+stands for two are left out, and numbers may coincide.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from alertweft.llm.common import text_bytes
+from alertweft.llm.common import sorted_groups, text_bytes
 from alertweft.session import materialise, ship
 
 ship(__name__)
@@ -31,6 +33,10 @@ SHORTEST = 5
 LITERALS = 4
 #: share of an item's windows, or number of windows, that make a leak
 SHARE, MANY = 0.5, 16
+#: distance of two alignments that words put in or left out account for
+NEARBY = WINDOW
+#: number of the stream of whole items that have no window
+WHOLE = 2
 
 # fixed values: unit words that may follow a number
 UNITS = (
@@ -122,11 +128,17 @@ class Stream:
         return codes, words, owner
 
 
-def streams(codes: np.ndarray, text: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def ends_sentence(words: list[bytes]) -> bool:
+    """Whether one of the words closes a sentence or a heading."""
+    return any(w.rstrip(b"\"')]}*_")[-1:] in (b".", b"!", b"?", b":", b";") for w in words)
+
+
+def streams(codes: np.ndarray, text: np.ndarray | None = None, cut: Callable[[int], bool] | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The literal and the named stream as (token, placeholder kind, place in codes).
 
     A unit is a placeholder right after a number only.  Runs of one placeholder
-    are one token.  ``text`` numbers the text of each code where there are several.
+    are one token, up to a place where ``cut`` says that a sentence ends before a code.
+    ``text`` numbers the text of each code where there are several.
     """
     kind = (codes & np.uint64(_PLACE)).astype(np.int64)
     token = codes & ~np.uint64(_PLACE)
@@ -139,6 +151,9 @@ def streams(codes: np.ndarray, text: np.ndarray | None = None) -> list[tuple[np.
         slot = np.where(number, _NUM, np.where(unit, _UNIT, np.where(named & (kind & _NAME > 0), _NAME, 0)))
         first = np.ones(len(codes), dtype=bool)
         first[1:] = (slot[1:] == 0) | (slot[1:] != slot[:-1]) | ~same
+        if cut:
+            for i in np.flatnonzero(~first).tolist():
+                first[i] = cut(i)
         at = np.flatnonzero(first)
         slot = slot[at]
         out.append((np.where(slot > 0, slot.astype(np.uint64), token[at]), slot, at))
@@ -169,14 +184,15 @@ def window_hashes(token: np.ndarray, slot: np.ndarray, length: int, named: bool,
 
 
 def _slots(words: list[bytes], owner: np.ndarray, stream: tuple, start: int, length: int) -> list[str]:
-    """Slot values of a window as offset:value, a run of words being one value."""
+    """Slot values of a window as offset:kind:edge:value, a run of words being one value; edge marks the ends of the text."""
     token, slot, at = stream
     out = []
     for k in np.flatnonzero(slot[start : start + length]).tolist():
         lo = at[start + k]
         hi = at[start + k + 1] if start + k + 1 < len(at) else len(owner)
         run = [words[w].strip(_EDGE).decode("utf-8", "ignore") for w in dict.fromkeys(owner[lo:hi].tolist())]
-        out.append(f"{k}:{slot[start + k]}:{' '.join(run)}")
+        edge = ("<" if start + k == 0 else "") + (">" if start + k == len(at) - 1 else "")
+        out.append(f"{k}:{slot[start + k]}:{edge}:{' '.join(run)}")
     return out
 
 
@@ -189,18 +205,42 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
         [pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)], names=["key", "id", "stream", "at", "h", "slots"])
 
 
-def _scan(texts: DataFrame, short: list[int], bits=None) -> DataFrame:
+def _scan(texts: DataFrame, short: list[int], bits=None, whole: list[int] = ()) -> DataFrame:
     """Windows of (key, id, text); with ``bits`` only those whose hash may be in the benchmark.
 
     Without ``bits`` the texts are benchmark items, and an item shorter than a window is one window.
+    An item without any window is one run of its words as they are; ``whole`` has the lengths of such runs.
     """
+    def exact(texts: list, found: list, lengths: list[int] | None) -> None:
+        """Runs of plain words of the given lengths, or each text as one run."""
+        for key, own, _, words, _ in texts:
+            cores = [c for c in (w.strip(_EDGE).decode("utf-8", "ignore").lower().encode() for w in words) if c]
+            token = np.array([xxh64_intdigest(c, _SEED) for c in cores], dtype=np.uint64)
+            for length in [len(token)] if lengths is None else lengths:
+                if length >= SHORTEST:
+                    places, h = window_hashes(token, np.zeros(len(token), np.int64), length, False)
+                    if bits is not None:
+                        places, h = places[(keep := in_bits(h))], h[keep]
+                    found += [(key, own, WHOLE, s, x, [str(length)]) for s, x in zip(places.tolist(), h.view(np.int64).tolist())]
+
+    def in_bits(h: np.ndarray) -> np.ndarray:
+        place = h >> np.uint64(64 - _BITS)
+        return bits.value[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0
+
     def together(texts: list, found: list) -> None:
         """Windows of several texts (key, id, codes, words, owner) in one go."""
         codes = np.concatenate([x[2] for x in texts])
         sizes = np.array([len(x[2]) for x in texts])
         text = np.repeat(np.arange(len(texts)), sizes)
         offset = np.cumsum(sizes) - sizes
-        for named, (token, slot, at) in enumerate(streams(codes, text)):
+        begun = len(found)
+
+        def cut(i: int) -> bool:
+            _, _, _, words, owner = texts[text[i]]
+            own = i - offset[text[i]]
+            return ends_sentence(words[owner[own - 1] : owner[own]])
+
+        for named, (token, slot, at) in enumerate(streams(codes, text, cut)):
             owner_text = text[at]
             counts = np.bincount(owner_text, minlength=len(texts))
             start = np.cumsum(counts) - counts
@@ -209,8 +249,7 @@ def _scan(texts: DataFrame, short: list[int], bits=None) -> DataFrame:
             for length in sorted(lengths):
                 places, h = window_hashes(token, slot, length, bool(named), owner_text)
                 if bits is not None:
-                    place = h >> np.uint64(64 - _BITS)
-                    keep = bits.value[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0
+                    keep = in_bits(h)
                 elif length < WINDOW:
                     keep = counts[owner_text[places]] == length
                 else:
@@ -221,6 +260,10 @@ def _scan(texts: DataFrame, short: list[int], bits=None) -> DataFrame:
                     lo, hi = start[t], start[t] + counts[t]
                     mine = (token[lo:hi], slot[lo:hi], at[lo:hi] - offset[t])
                     found.append((key, own, named, int(s - lo), x, _slots(words, owner, mine, int(s - lo), length)))
+        if bits is None:
+            pass
+        elif whole:
+            exact(texts, found, whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, found, texts, waiting = Stream(), [], [], 0
@@ -271,13 +314,66 @@ def text_key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def read_slots(item_at: int, item: list[str], doc: list[str]) -> list[tuple]:
+    """(place in the item, kind, edge, item value, document value) of every slot of two windows that met.
+
+    At an end of the item the document's run may go on; it counts by as many words
+    as the item has.  Only such a slot keeps its edge, and it has no vote.
+    """
+    out = []
+    for x, y in zip(item, doc):
+        offset, kind, edge, mine = x.split(":", 3)
+        theirs, n = y.split(":", 3)[3].split(" "), mine.count(" ") + 1
+        edge = edge if len(theirs) > n else ""
+        theirs = theirs[-n:] if edge == "<" else theirs[:n] if edge == ">" else theirs
+        out.append((item_at + int(offset), int(kind), edge, mine, " ".join(theirs)))
+    return out
+
+
+def _consistent(windows: dict[int, list[tuple]]) -> dict[int, list[tuple]]:
+    """The windows by place that agree on what stands for what; none if a name inside the item stands for two, or two for one."""
+    votes: dict[tuple, Counter] = defaultdict(Counter)
+    for place, kind, edge, mine, theirs in {s for slots in windows.values() for s in slots}:
+        votes[kind, mine][theirs] += 0 if edge else 1
+    chosen = {k: max(c, key=lambda v: (c[v], v)) for k, c in votes.items()}
+    names = {k[1]: [v for v, n in c.items() if n] for k, c in votes.items() if k[0] == _NAME}
+    used = [v for found in names.values() for v in found]
+    if any(len(found) > 1 for found in names.values()) or len(used) > len(set(used)):
+        return {}
+    return {at: slots for at, slots in windows.items() if all(kind == _NUM or chosen[kind, mine] == theirs for _, kind, _, mine, theirs in slots)}
+
+
+def judge(rows: list[tuple], windows: int) -> tuple[int, int, int] | None:
+    """(matched, slots, changed) of the best alignment of a document and an item, None if there is no leak.
+
+    ``rows`` has (shift, place in the item, slots), sorted; each shift is judged by itself.
+    """
+    shifts: dict[int, dict[int, list[tuple]]] = defaultdict(dict)
+    for shift, at, slots in rows:
+        shifts[shift][at] = slots
+    tried = list(shifts.values())
+    best = None
+    for found in tried:
+        if len(found) < SHARE * windows and len(found) < MANY:
+            continue
+        kept = _consistent(found)
+        if not kept or (len(kept) < SHARE * windows and len(kept) < MANY):
+            continue
+        slots = {(place, kind, mine, theirs) for s in kept.values() for place, kind, _, mine, theirs in s}
+        changed = len({(kind, mine, theirs) for _, kind, mine, theirs in slots if mine != theirs})
+        if best is None or (len(kept), -changed) > (best[0], -best[2]):
+            best = (len(kept), len(slots), changed)
+    return best
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(key, id, item, matched, windows, coverage, n_slots, changed): documents that hold a benchmark item.
 
-    ``matched`` of the item's ``windows`` meet along one alignment in one stream;
+    ``matched`` of the item's ``windows`` meet along nearby alignments in one stream;
     ``changed`` counts slots whose value differs, so 0 is a verbatim leak.  A pair
-    is a leak at half the item's windows or at sixteen.  Null and empty texts
+    is a leak at half the item's windows or at sixteen.  An item without any window
+    is a leak where all its words follow each other.  Null and empty texts
     match nothing, repeated rows each match, items below five tokens are not
     judged, and further columns are not read.  Only a bitmap of fixed size is
     broadcast; windows that pass it are joined by hash.
@@ -288,34 +384,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         return df.select(text_key(own, text).alias("key"), F.col(own).cast("long").alias("id"), text_bytes(text).alias("text"))
 
     items = materialise(_scan(texts(benchmark, item_col, item_text_col), []).distinct(), "leak-items")
-    single = items.groupBy("key", "stream").agg(F.max("at").alias("last")).where("last = 0")
+    single = items.groupBy("key", "stream").agg(F.max("at").alias("last")).where(f"last = 0 and stream < {WHOLE}")
     short = [] if single.isEmpty() else list(range(SHORTEST, WINDOW))
     bits = spark.sparkContext.broadcast(_bitmap(items))
-    hits = _scan(texts(docs, id_col, text_col), short, bits).distinct()
+    whole = sorted(int(r.n) for r in items.where(F.col("stream") == WHOLE).select(F.col("slots")[0].alias("n")).distinct().collect())
+    hits = _scan(texts(docs, id_col, text_col), short, bits, whole).distinct()
     left = hits.select(F.col("key").alias("doc"), F.col("id").alias("doc_id"), "stream", F.col("at").alias("doc_at"), "h", F.col("slots").alias("doc_slots"))
     right = items.select(F.col("key").alias("item"), F.col("id").alias("item_id"), "stream", F.col("at").alias("item_at"), "h", F.col("slots").alias("item_slots"))
     met = left.join(right, ["h", "stream"]).where(F.size("doc_slots") == F.size("item_slots"))
-    pair = F.transform(
-        F.arrays_zip("item_slots", "doc_slots"),
-        lambda z: F.struct(
-            (F.col("item_at") + F.substring_index(z["item_slots"], ":", 1).cast("int")).alias("at"),
-            z["item_slots"].substr(F.instr(z["item_slots"], ":") + 1, F.length(z["item_slots"])).alias("item"),
-            z["doc_slots"].substr(F.instr(z["doc_slots"], ":") + 1, F.length(z["doc_slots"])).alias("doc")))
-    # an alignment fixes the place in the document of every place in the item, so the set is bounded by the item
-    lines = met.groupBy("doc", "doc_id", "item", "item_id", "stream", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
-        F.countDistinct("item_at").alias("matched"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("slots"))
-    values = F.array_distinct(F.transform("slots", lambda s: F.struct(s["item"].alias("item"), s["doc"].alias("doc"))))
-    judged = lines.withColumn("values", values).withColumn(
-        "consistent",
-        (F.size(F.array_distinct(F.transform("values", lambda v: v["item"]))) == F.size("values"))
-        & (F.size(F.array_distinct(F.transform("values", lambda v: v["doc"]))) == F.size("values")))
-    sizes = items.groupBy(F.col("key").alias("item"), "stream").agg(F.countDistinct("at").alias("windows"))
-    leak = judged.join(sizes, ["item", "stream"]).where(
-        F.col("consistent") & ((F.col("matched") >= SHARE * F.col("windows")) | (F.col("matched") >= MANY)))
-    coverage = F.col("matched") / F.col("windows")
-    changed = F.size(F.filter("values", lambda v: v["item"] != v["doc"]))
+    counts = items.groupBy(F.col("key").alias("item"), "stream").agg(F.countDistinct("at").cast("int").alias("windows"))
+    placed = met.join(counts, ["item", "stream"]).withColumn("shift", F.col("doc_at") - F.col("item_at")).select(
+        "doc", "doc_id", "item", "item_id", "stream", "shift", "item_at", "item_slots", "doc_slots", "windows"
+    ).repartition("doc", "item", "stream").sortWithinPartitions("doc", "item", "stream", "shift", "item_at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for group in sorted_groups(batches, ["doc", "item", "stream"]):
+            doc, doc_id, item, item_id, stream, windows = (group.column(n)[0].as_py() for n in ("doc", "doc_id", "item", "item_id", "stream", "windows"))
+            rows = [(0, 0, [])] if stream == WHOLE else [
+                (shift, at, read_slots(at, a, b)) for shift, at, a, b in zip(*(group.column(n).to_pylist() for n in ("shift", "item_at", "item_slots", "doc_slots")))]
+            if best := judge(rows, windows):
+                out.append((doc, doc_id, item, item_id, best[0], windows, best[0] / windows, *best[1:]))
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=arrow)
+
+    kinds = {"doc": "long", "doc_id": "long", "item": "long", "item_id": "long", "matched": "long", "windows": "long", "coverage": "double", "n_slots": "int", "changed": "int"}
+    names = list(kinds)
+    arrow = pa.schema([(n, {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}[k]) for n, k in kinds.items()])
+    leak = placed.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()))
     best = leak.groupBy("doc", "doc_id", "item", "item_id").agg(F.max(F.struct(
-        coverage.alias("coverage"), "matched", "windows", F.size("slots").alias("n_slots"), (-changed).alias("same"))).alias("b"))
+        "coverage", "matched", "windows", "n_slots", (-F.col("changed")).alias("same"))).alias("b"))
     return best.select(
         F.col("doc").alias("key"), F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col),
         "b.matched", "b.windows", "b.coverage", "b.n_slots", (-F.col("b.same")).alias("changed"))
