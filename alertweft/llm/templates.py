@@ -261,7 +261,8 @@ def _scan(texts: DataFrame, short: list[int], bits=None, whole: list[int] = ())
                     mine = (token[lo:hi], slot[lo:hi], at[lo:hi] - offset[t])
                     found.append((key, own, named, int(s - lo), x, _slots(words, owner, mine, int(s - lo), length)))
         if bits is None:
-            pass
+            seen = {f[0] for f in found[begun:]}
+            exact([x for x in texts if x[0] not in seen], found, None)
         elif whole:
             exact(texts, found, whole)
 
@@ -346,12 +347,26 @@ def _consistent(windows: dict[int, list[tuple]]) -> dict[int, list[tuple]]:
 def judge(rows: list[tuple], windows: int) -> tuple[int, int, int] | None:
     """(matched, slots, changed) of the best alignment of a document and an item, None if there is no leak.
 
-    ``rows`` has (shift, place in the item, slots), sorted; each shift is judged by itself.
+    ``rows`` has (shift, place in the item, slots), sorted.  Shifts at most NEARBY
+    apart are tried together, a place of the item being taken from the shift with
+    the most windows, and each by itself.
     """
     shifts: dict[int, dict[int, list[tuple]]] = defaultdict(dict)
     for shift, at, slots in rows:
         shifts[shift][at] = slots
+    pools, last = [], None
+    for shift in shifts:
+        if last is None or shift - last > NEARBY:
+            pools.append([])
+        pools[-1].append(shift)
+        last = shift
     tried = list(shifts.values())
+    for pool in pools:
+        if len(pool) > 1:
+            together: dict[int, list[tuple]] = {}
+            for shift in sorted(pool, key=lambda x: (len(shifts[x]), x)):
+                together.update(shifts[shift])
+            tried.append(together)
     best = None
     for found in tried:
         if len(found) < SHARE * windows and len(found) < MANY:

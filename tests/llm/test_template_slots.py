@@ -28,3 +28,16 @@ def test_runs_end_with_the_sentence_and_numbers_may_coincide(spark, docs_of, ben
     got = found(docs_of(rows), bench)
     assert {k for k in got} == {(10, 1), (11, 1), (12, 2), (13, 2), (14, 1), (15, 1)}
     assert all(got[k].coverage == 1.0 for k in got) and got[12, 2].changed == got[13, 2].changed == 0
+
+
+def test_a_word_put_in_or_left_out(spark, docs_of, bench):
+    words = LONG.split()
+    rows = {20: " ".join([*words[:18], "rather", *words[18:]]), 21: " ".join([*words[:18], *words[19:]]), 22: " ".join(words[1:13])}
+    got = found(docs_of(rows), bench)
+    assert set(got) == {(20, 3), (21, 3)} and got[20, 3].matched == len(words) - 7 - 7
+
+
+def test_items_without_a_window(spark, docs_of, bench):
+    rows = {30: f"see {NUMBERS} there", 31: NUMBERS.replace("9", "19"), 32: NUMBERS.upper() + "."}
+    assert set(found(docs_of(rows), bench)) == {(30, 4), (32, 4)}
+    assert {r.doc_id for r in templates.drop_leaks(docs_of(rows), bench).collect()} == {31}
