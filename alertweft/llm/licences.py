@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier, calibrated, and confirmed by templates.
 
-Paragraphs are lines, long ones in overlapping spans.  Sparse word n-grams of
+Lines are judged by themselves and again together with their neighbours up to a
+blank line, in overlapping spans where they are long.  Sparse word n-grams of
 the licence templates are the features of a multinomial logistic regression over
 licence families and the class "unknown".  It is trained on damaged copies of
 the templates, on paragraphs of the corpus and on templates with their words out
@@ -125,33 +126,126 @@ class Model:
         e = np.exp(z - z.max())
         return e / e.sum()
 
-    def scan(self, raw: bytes, seen: dict, checks: dict) -> tuple | None:
-        """(family, probability, template, similarity, confirmed) of the most likely span of a paragraph, None if unknown.
-
-        Without any feature the answer is that of the biases alone, which is "unknown" by construction.
-        """
+    def read(self, raw: bytes, seen: dict) -> tuple[list[str], bool]:
+        """(words, whether one of them is a feature)."""
         tokens = []
         hit = False
         for x in raw.split():
             w = seen.get(x)
             if w is None:
                 low = x.strip(_EDGE).decode("utf-8", "ignore").lower()
+                low = low.strip("-") and low  # dashes alone are comment marks
                 w = seen[x] = (low, low in self.names)
             if w[0]:
                 tokens.append(w[0])
                 hit = hit or w[1]
-        if not hit:
-            return None
-        best = None
-        for part in spans(tokens):
-            p = self.probabilities(grams(part))
+        return tokens, hit
+
+    def judge(self, tokens: list[str], checks: dict) -> list[tuple]:
+        """(family, probability, template, similarity, confirmed, first word) of what a span names.
+
+        The words of a confirmed notice are taken out and the rest is judged again, so
+        a second notice in the span is found; where two notices share the probability
+        each is judged without the words of the other.
+        """
+        def matched(family: str, have: list[tuple]) -> tuple[float, int, set]:
+            found = set(have)
+            similarity, number = max((len(t & found) / len(t), -i) for i, t in enumerate(checks[family]))
+            return similarity, -number, checks[family][-number]
+
+        def place(template: set, have: list[tuple]) -> tuple[int, int]:
+            """First word of the densest stretch of the template, and the word behind it."""
+            runs: list[list[int]] = []
+            for i in (i for i, pair in enumerate(have) if pair in template):
+                if not runs or i - runs[-1][-1] > 4:
+                    runs.append([])
+                runs[-1].append(i)
+            longest = max(runs, key=len, default=[0])
+            return longest[0], longest[-1] + 2
+
+        def without(template: set, have: list[tuple]) -> list[int]:
+            lo, hi = place(template, have)
+            return [i for i in range(len(have) + 1) if not lo <= i < hi]
+
+        out, left = [], list(range(len(tokens)))
+        while left:
+            part = [tokens[i] for i in left]
+            p, have = self.probabilities(grams(part)), list(zip(part, part[1:]))
             k = int(p.argmax())
-            if self.classes[k] == UNKNOWN or p[k] < LIKELY or (best and best[1] >= p[k]):
+            if self.classes[k] == UNKNOWN:
+                break
+            similarity, number, template = matched(self.classes[k], have)
+            sure = float(p[k])
+            if sure < LIKELY:
+                rivals = [f for f in np.argsort(-p).tolist() if f != k and self.classes[f] != UNKNOWN and matched(self.classes[f], have)[0] >= FOUND]
+                if similarity < FOUND or not rivals:
+                    break
+                rest = [part[i] for i in without(matched(self.classes[rivals[0]], have)[2], have)]
+                sure = float(self.probabilities(grams(rest))[k])
+                similarity = matched(self.classes[k], list(zip(rest, rest[1:])))[0]
+                if sure < LIKELY or similarity < FOUND:
+                    break
+            first = place(template, have)[0]
+            out.append((self.classes[k], sure, number, similarity, similarity >= FOUND, left[first]))
+            if similarity < FOUND:
+                break
+            left = [left[i] for i in without(template, have)]
+        return out
+
+    def families(self, tokens: list[str], checks: dict, line: list[int] | None = None) -> list[tuple]:
+        """The best finding of every family in a paragraph, confirmed before unconfirmed, then the likeliest.
+
+        With ``line``, the line of each word, only spans over several lines are judged.
+        """
+        best: dict[str, tuple] = {}
+        for n, part in enumerate(spans(tokens)):
+            at = n * HOP
+            if line and (line[at] == line[at + len(part) - 1] or not any(w in self.names for w in part)):
+                continue
+            for found in self.judge(part, checks):
+                found = (*found[:5], at + found[5])
+                if found[0] not in best or (found[4], found[1]) > (best[found[0]][4], best[found[0]][1]):
+                    best[found[0]] = found
+        return list(best.values())
+
+    def scan(self, raw: bytes, seen: dict, checks: dict) -> tuple | None:
+        """(family, probability, template, similarity, confirmed) of the surest family of a line, None if unknown.
+
+        Without any feature the answer is that of the biases alone, which is "unknown" by construction.
+        """
+        tokens, hit = self.read(raw, seen)
+        found = self.families(tokens, checks) if hit else []
+        return max(found, key=lambda f: (f[4], f[1]))[:5] if found else None
+
+    def findings(self, text: bytes | None, seen: dict, checks: dict) -> tuple[int, list[tuple]]:
+        """(lines that are not blank, findings with the number of the line they begin in).
+
+        Lines are judged by themselves, and once more together with their neighbours
+        up to a blank line or an empty comment, for notices that are wrapped.
+        """
+        count, out, block = 0, [], []
+
+        def close() -> None:
+            if len(block) > 1 and any(b[2] for b in block):
+                tokens, line = [w for b in block for w in b[1]], [b[0] for b in block for _ in b[1]]
+                known = {f[1] for f in out if f[0] >= block[0][0] and f[5]}
+                out.extend((line[f[5]], *f[:5]) for f in self.families(tokens, checks, line) if f[4] and f[0] not in known)
+            block.clear()
+
+        for raw in (text or b"").split(b"\n"):
+            if not raw.strip():
+                close()
                 continue
-            have = pairs(part)
-            similarity, number = max((len(t & have) / len(t), -i) for i, t in enumerate(checks[self.classes[k]]))
-            best = (self.classes[k], float(p[k]), -number, similarity, similarity >= FOUND)
-        return best
+            tokens, hit = self.read(raw, seen)
+            if hit:
+                out += [(count, *f[:5]) for f in sorted(self.families(tokens, checks))]
+            if tokens:
+                block.append((count, tokens, hit))
+            else:
+                close()
+            count += 1
+        close()
+        return count, sorted(out, key=lambda f: f[0])
 
 
 def damaged(tokens: list[str], filler: list[str], rng: np.random.Generator) -> list[str]:
@@ -236,9 +330,9 @@ FINDING = T.StructType([
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_paragraphs, findings) of every row; findings are the paragraphs with a licence, in order.
+    """(id, n_paragraphs, findings) of every row; findings are the licences by the line they begin in, in order.
 
-    Every line of the whole text is read.  Null and empty texts have no
+    Every line of the whole text is read; ``n_paragraphs`` counts those that are not blank.  Null and empty texts have no
     paragraphs; repeated rows answer alike; other columns are not read.
     """
     narrow = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
@@ -254,10 +348,9 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for text in batch.column(1).to_pylist():
                 if len(seen) > 500_000:
                     seen.clear()
-                lines = [x for x in (text or b"").split(b"\n") if x.strip()]
-                found = ((i, model.scan(x, seen, checks)) for i, x in enumerate(lines))
-                out.append([dict(zip(FINDING.names, (i, *f))) for i, f in found if f])
-                counts.append(len(lines))
+                count, found = model.findings(text, seen, checks)
+                out.append([dict(zip(FINDING.names, f)) for f in found])
+                counts.append(count)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int32()), pa.array(out, arrow)], names=["id", "n_paragraphs", "findings"])
 
