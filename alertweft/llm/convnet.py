@@ -26,8 +26,8 @@ CHUNK, STEP = 512, 448
 WIDTH, STRIDE, FILTERS = 12, 4, 24
 #: chunks convolved at a time, which bounds the memory for long texts
 GROUP = 256
-#: bound of the labelled sample and of the chunks of one sampled document, spread over the whole of it
-SAMPLE, CHUNKS = 6000, 8
+#: bound of the labelled sample; its texts are read whole
+SAMPLE = 6000
 
 
 def byte_vectors() -> np.ndarray:
@@ -95,16 +95,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * z + self.offset, -60, 60)))
 
 
-def spread_chunks(text: bytes | None, most: int = CHUNKS) -> np.ndarray:
-    """At most ``most`` of the text's chunks at even distances, zero-padded."""
+def chunks_of(text: bytes | None) -> np.ndarray:
+    """All chunks of a text, zero-padded."""
     raw = text or b""
     chunks = max(1, -(-max(0, len(raw) - CHUNK) // STEP) + 1)
-    chosen = sorted({round(i * (chunks - 1) / max(1, most - 1)) for i in range(min(most, chunks))})
-    return np.stack([np.frombuffer(raw[c * STEP : c * STEP + CHUNK].ljust(CHUNK, b"\0"), np.uint8) for c in chosen])
+    padded = np.frombuffer(raw.ljust((chunks - 1) * STEP + CHUNK, b"\0"), np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(padded, CHUNK)[::STEP]
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, epochs: int = 16, batch: int = 32, rate: float = 0.01, seed: int = 1) -> Model:
-    """Adam on the logistic loss; the gradient reaches a filter through the patches that won the pooling."""
+def fit(docs: list[bytes | None], y: np.ndarray, epochs: int = 16, batch: int = 32, rate: float = 0.01, seed: int = 1) -> Model:
+    """Adam on the logistic loss; the gradient reaches a filter through the patches that won the pooling.
+
+    Every chunk of a text takes part; GROUP of them are convolved at a time, which bounds the memory.
+    """
     rng, table = np.random.default_rng(seed), byte_vectors()
     size = WIDTH * table.shape[1]
     share = y.mean() if len(y) else 0.5
@@ -117,13 +120,16 @@ def fit(docs: list[np.ndarray], y: np.ndarray, epochs: int = 16, batch: int = 32
         order = rng.permutation(len(docs))
         for at in range(0, len(order), batch):
             mine = order[at : at + batch]
-            sizes = np.array([len(docs[i]) for i in mine])
+            pieces = [chunks_of(docs[i]) for i in mine]
+            sizes = np.array([len(p) for p in pieces])
             owner, cuts = np.repeat(np.arange(len(mine)), sizes), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            x = patches(np.concatenate([docs[i] for i in mine]), table)
-            out = x @ params["filters"].astype(np.float32)
-            won = out.argmax(axis=1)
-            rows = np.arange(len(out))[:, None]
-            pooled = out[rows, won, np.arange(FILTERS)] + params["shift"]
+            raw, kernel = np.concatenate(pieces), params["filters"].astype(np.float32)
+            pooled, won = np.empty((len(raw), FILTERS)), np.empty((len(raw), FILTERS), dtype=np.int64)
+            for lo in range(0, len(raw), GROUP):
+                out = patches(raw[lo : lo + GROUP], table) @ kernel
+                won[lo : lo + GROUP] = out.argmax(axis=1)
+                pooled[lo : lo + GROUP] = out.max(axis=1)
+            pooled += params["shift"]
             live = pooled > 0
             pooled = pooled * live
             best = np.maximum.reduceat(pooled, cuts, axis=0)
@@ -135,9 +141,14 @@ def fit(docs: list[np.ndarray], y: np.ndarray, epochs: int = 16, batch: int = 32
             taken = np.add.reduceat(is_best.astype(float), cuts, axis=0)[owner]
             back = (slope[:, None] * params["mean"] / sizes[:, None])[owner] + (slope[:, None] * params["top"])[owner] * is_best / taken
             back = back * live
+            pull = np.zeros_like(params["filters"])
+            for lo in range(0, len(raw), GROUP):
+                x = patches(raw[lo : lo + GROUP], table)
+                best_patches = x[np.arange(len(x))[:, None], won[lo : lo + GROUP]].astype(np.float64)
+                pull += np.einsum("cfs,cf->sf", best_patches, back[lo : lo + GROUP], optimize=True)
             grad = {
                 "top": best.T @ slope, "mean": mean.T @ slope, "bias": slope.sum(), "shift": back.sum(axis=0),
-                "filters": np.einsum("cfs,cf->sf", x[rows, won].astype(np.float64), back, optimize=True) + 1e-4 * params["filters"],
+                "filters": pull + 1e-4 * params["filters"],
             }
             step += 1
             for k, g in grad.items():
@@ -149,30 +160,22 @@ def fit(docs: list[np.ndarray], y: np.ndarray, epochs: int = 16, batch: int = 32
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", mod: int = 5, held_out: int = 0,
           id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Fit on about ``sample`` labelled documents outside the held-out fold, CHUNKS chunks of each.
+    """Fit on the whole texts of about ``sample`` labelled documents outside the held-out fold.
 
-    Tasks cut the chunks, so at most CHUNKS * CHUNK bytes of a document reach the
-    driver.  A last part of the sample is kept back to calibrate the score.
+    The texts of the sample are held by the driver.  A last part of the sample is
+    kept back to calibrate the score, on whole texts as they are scored.
     """
     known = draw(labelled(labels, target, mod, held_out, id_col), sample, F.col("id"))
     rows = with_text(docs, known, id_col, text_col).select(F.col("id"), "target", text_bytes().alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cut = [spread_chunks(t).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut, pa.binary())], names=["id", "target", "chunks"])
-
-    schema = T.StructType([rows.schema["id"], T.StructField("target", T.IntegerType()), T.StructField("chunks", T.BinaryType())])
-    found = sorted(rows.mapInArrow(run, schema).collect(), key=lambda r: (r.id, r.target, r.chunks))
+    found = sorted(rows.collect(), key=lambda r: (r.id, r.target, r.text or b""))
     order = np.random.default_rng(7).permutation(len(found))
-    pieces = [np.frombuffer(found[i].chunks, np.uint8).reshape(-1, CHUNK) for i in order]
+    texts = [None if found[i].text is None else bytes(found[i].text) for i in order]
     y = np.array([found[i].target for i in order], dtype=float)
-    kept = len(pieces) - len(pieces) // 5
-    model = fit(pieces[:kept], y[:kept])
-    if len(pieces) - kept >= 10:
+    kept = len(texts) - len(texts) // 5
+    model = fit(texts[:kept], y[:kept])
+    if len(texts) - kept >= 10:
         table = byte_vectors()
-        z = [model.logit(b"".join(row.tobytes()[:STEP] for row in p), table) for p in pieces[kept:]]
-        model.scale, model.offset = platt(z, y[kept:])
+        model.scale, model.offset = platt([model.logit(t, table) for t in texts[kept:]], y[kept:])
     return model
 
 
