@@ -16,6 +16,7 @@ that are lost, repeated or run twice leave nothing a reader would see.
 from __future__ import annotations
 
 import json
+import os
 import struct
 import uuid
 from collections.abc import Iterator
@@ -36,8 +37,10 @@ ship(__name__)
 
 #: bytes of text that make up a data file, and bytes of records that are checked and handed on at a time
 FILE_BYTES, STEP_BYTES = 32 << 20, 4 << 20
-#: words whose ids a worker remembers; beyond it the memory starts anew
-REMEMBERED = 200_000
+#: words whose ids a worker remembers before older ones are let go, and words encoded in one call
+REMEMBERED, JOINED = 200_000, 1000
+#: stands between words that are encoded in one call
+MARK = "~"
 HEAD, HEAD_SIZE = "<BBq", 10
 ENTRY = np.dtype([("offset", "<u8"), ("size", "<u8"), ("start", "<u8"), ("tokens", "<u8"), ("id", "<i8"), ("known", "u1")])
 MANIFEST = "manifest.json"
@@ -47,48 +50,50 @@ class Encoder:
     """Token ids of UTF-8 texts, as little-endian u32 bytes.
 
     ``by_words`` is for tokenizers that drop white space, whose ids of a text are
-    those of its words one after the other: every distinct word is encoded once and remembered.
+    those of its words one after the other: a word is encoded once and remembered.
+    Words that were not met for a while are forgotten, so memory is bounded.
     """
 
     def __init__(self, file: str, end: int | None, by_words: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel part
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_words = Tokenizer.from_file(file), by_words
         self.end = b"" if end is None else struct.pack("<I", end)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(f.ids, dtype="<u4").tobytes() for f in found]
 
+    def _words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """(word, ids); words without the mark go through the tokenizer together and are parted at its id."""
+        plain = [w for w in words if self.mark is not None and MARK.encode() not in w]
+        for at in range(0, len(plain), JOINED):
+            some = plain[at : at + JOINED]
+            (raw,) = self._ids([f" {MARK} ".encode().join(some)])
+            cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark).tolist()
+            if len(cuts) == len(some) - 1:
+                yield from zip(some, [raw[4 * a : 4 * b] for a, b in zip([0, *[c + 1 for c in cuts]], [*cuts, len(raw) // 4])])
+            else:
+                yield from zip(some, self._ids(some))
+        rest = [w for w in words if self.mark is None or MARK.encode() in w]
+        yield from zip(rest, self._ids(rest))
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_words:
             return [ids + self.end for ids in self._ids(texts)]
-        out = []
-        for text in texts:
-            words = text.split()  # ASCII white space, which no token spans
-            new = list({w for w in words if w not in self.known})
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = list(set(words))
-            if new:
-                self.known.update(zip(new, self._ids(new)))
-            out.append(b"".join(map(self.known.__getitem__, words)) + self.end)
-        return out
-
-
-def encode(docs: DataFrame, tokenizer: str, end: int | None = None, by_words: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids) of every row in its order; ids are little-endian u32 bytes of the whole text and the end id."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_bytes(text_col), F.lit(b"")).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, end, by_words)
-        for batch in batches:
-            for part in _cut(pc.binary_length(batch.column(1)).to_pylist(), batch):
-                ids = encoder.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
-
-    return narrow.mapInArrow(run, "id long, ids binary")
+        split = [t.split() for t in texts]  # ASCII white space, which no token spans
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        new = set().union(*split) - self.known.keys()
+        again = new & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        self.known.update(self._words(list(new - again)))
+        return [b"".join(map(self.known.__getitem__, words)) + self.end for words in split]
 
 
 def _cut(sizes: list[int], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -121,20 +126,20 @@ class Written(WriterCommitMessage):
 
 
 class RecordWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, tokenizer: str, end: int | None, by_words: bool):
+        self.path, self.how = path, (tokenizer, end, by_words)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, folder = storage(self.path)
         part = TaskContext.get().partitionId()
         name = f"part-{part:07d}-{uuid.uuid4().hex}"
         files.create_dir(folder, recursive=True)
-        offset = start = records = 0
+        encoder, offset, start, records = Encoder(*self.how), 0, 0, 0
         with files.open_output_stream(f"{folder}/{name}.rec") as data, files.open_output_stream(f"{folder}/{name}.idx") as index:
             for batch in iterator:
-                for some in _cut(pc.binary_length(batch.column("ids")).to_pylist(), batch):
+                for some in _cut(pc.binary_length(batch.column("text")).to_pylist(), batch):
                     payloads, tokens = [], []
-                    for row, raw in zip(some.column("id").to_pylist(), some.column("ids").to_pylist()):
+                    for row, raw in zip(some.column("id").to_pylist(), encoder.encode(some.column("text").to_pylist())):
                         ids = np.frombuffer(raw, "<u4")
                         width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
                         payloads.append(struct.pack(HEAD, width, row is not None, row or 0) + ids.astype(f"<u{width}").tobytes())
@@ -223,7 +228,7 @@ def unframe(frames: list[bytes], name: str) -> tuple[list[int | None], list[byte
 
 
 class TokenRecords(DataSource):
-    """``token_records``: written from (id long, ids binary); read as (id, start, n_tokens, ids), or the index alone."""
+    """``token_records``: written from (id long, text binary); read as (id, start, n_tokens, ids), or the index alone."""
 
     @classmethod
     def name(cls) -> str:
@@ -239,7 +244,8 @@ class TokenRecords(DataSource):
         return RecordReader(self.options["path"], self._index())
 
     def writer(self, schema: T.StructType, overwrite: bool) -> RecordWriter:
-        return RecordWriter(self.options["path"])
+        end = self.options.get("end", "")
+        return RecordWriter(self.options["path"], self.options["tokenizer"], int(end) if end else None, self.options.get("by_words", "") == "true")
 
 
 def in_id_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -261,12 +267,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = None, by
 
     A null text is empty: its record holds the end id only.  Null ids come last.
     Every row is a record, repeated rows too; rows of one id are ordered by their
-    text.  Long texts are one record each and are never cut; a task holds one of
-    them and its ids at a time.  An empty table writes an empty manifest.  Other
+    text.  Long texts are one record each and are never cut; a task holds STEP_BYTES of
+    text, or one longer text, and its ids at a time.  An empty table writes an empty manifest.  Other
     columns are not read.  ``path`` must be new and within reach of all workers.
     """
     docs.sparkSession.dataSource.register(TokenRecords)
-    encode(in_id_order(docs, id_col, text_col, file_bytes), tokenizer, end, by_words, "id").write.format("token_records").mode("append").save(path)
+    how = {"tokenizer": tokenizer, "end": "" if end is None else str(end), "by_words": str(by_words).lower()}
+    rows = in_id_order(docs, id_col, text_col, file_bytes).select("id", F.coalesce(text_bytes("text"), F.lit(b"")).alias("text"))
+    rows.write.format("token_records").options(**how).mode("append").save(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

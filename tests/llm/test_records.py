@@ -48,10 +48,13 @@ def test_words_give_the_ids_of_whole_texts(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in found] == whole
 
 
-def test_worker_memory_starts_anew(monkeypatch):
+def test_old_words_are_let_go(monkeypatch):
     monkeypatch.setattr(records, "REMEMBERED", 3)
-    encoder, texts = records.Encoder(WORDS, None, True), [b"one two three", b"two four five one", b"a b c d e f a"]
-    assert encoder.encode(texts) == records.Encoder(WORDS, None, False).encode(texts)
+    monkeypatch.setattr(records, "JOINED", 2)
+    encoder, whole = records.Encoder(WORDS, None, True), records.Encoder(WORDS, None, False)
+    for text in (b"one two three", b"two four five one ~ x~y", b"a b c d e f a", b"one <|endoftext|> a", b"", b"q", b"r one"):
+        assert encoder.encode([text, text]) == whole.encode([text, text])
+    assert len(encoder.known) + len(encoder.older) < 12
 
 
 def listed(folder):
