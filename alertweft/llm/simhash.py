@@ -26,8 +26,8 @@ COPY_SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 5, 25
 #: agreeing min-hashes below which a pair that met is not compared: six standard deviations under 0.8
 PROMISING = 0.58
-#: texts of one band compared pair by pair; in larger bands each text is compared with its nearest ones and a tree spans the band
-SMALL, NEAREST, PART = 32, 3, 1024
+#: texts and bytes of shingles in one part of a band or cluster; a task holds two parts
+PART, PART_BYTES = 1024, 2 << 20
 
 
 def digests(text: bytes | None, shingle: int) -> list[bytes]:
@@ -217,22 +217,6 @@ def hex_digits(fp: str | Column = "fp") -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One document of every near-duplicate class, the one with the smallest id.
-
-    Rows that repeat an id and its text count as one document.  Rows without an
-    id cannot be told apart and stay.
-    """
-    found = materialise(near_duplicates(docs, id_col, text_col, **how).select(id_col, "component_id"), "simhash-classes")
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    again = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, id_col, "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col, text_col]))
-
-
 def sketch(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bands, signature) of a text's shingles: one long per band, and one byte per min-hash."""
     factors = np.random.default_rng(SEED).integers(1, 1 << 63, size=ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -246,77 +230,57 @@ def sketch(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(bands, dtype=np.int64), (mixed >> np.uint64(56)).astype(np.uint8)
 
 
-def promising(signatures: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of one band worth an exact comparison.
-
-    All promising pairs of a small band; of a large one, each text with its
-    nearest ones and the links of a tree of largest agreement, so that the pairs
-    grow with the band and not with its square.
-    """
-    n = len(signatures)
-
-    def agree(i: int) -> np.ndarray:
-        return np.count_nonzero(signatures == signatures[i], axis=1) / signatures.shape[1]
-
-    if n <= SMALL:
-        return [(i, j) for i in range(n - 1) for j in (np.flatnonzero(agree(i)[i + 1 :] >= PROMISING) + i + 1).tolist()]
-    pairs, at = set(), 0
+def forest(signatures: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a spanning forest, by largest agreement, of the pairs that agree in PROMISING of their min-hashes."""
+    n, at, out = len(signatures), 0, []
     best, source, waiting = np.full(n, -1.0), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
-    for _ in range(n):
+    for _ in range(n - 1):
         waiting[at] = False
-        near = agree(at)
-        near[at] = -1
-        pairs.update((at, j) for j in np.argpartition(-near, NEAREST)[:NEAREST].tolist() if near[j] >= PROMISING)
+        near = np.count_nonzero(signatures == signatures[at], axis=1) / signatures.shape[1]
         closer = waiting & (near > best)
         best[closer], source[closer] = near[closer], at
-        if waiting.any():
-            at = int(np.where(waiting, best, -2).argmax())
-            if best[at] >= PROMISING:
-                pairs.add((int(source[at]), at))
-    return sorted({(min(p), max(p)) for p in pairs})
+        at = int(np.where(waiting, best, -2).argmax())
+        if best[at] >= PROMISING:
+            out.append((int(source[at]), at))
+    return out
 
 
-def band_pairs(texts: DataFrame) -> DataFrame:
-    """(a, b) keys of the texts (key, bands, signature) that meet in a band and may be similar; a band is cut like a shard."""
+def _tiles(members: DataFrame, by: str, parts: Column, inside: bool) -> DataFrame:
+    """The members (by, key, ...) dealt to pairs of parts (left, right); ``inside``: a part also meets itself."""
+    own = F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int")
+    others = F.sequence(F.lit(0), F.col("parts") - 1)
+    if not inside:  # two parts that meet are compared inside as well
+        others = F.filter(others, lambda o: (F.col("parts") == 1) | (o != F.col("own")))
+    placed = members.withColumn("parts", parts.cast("int")).withColumn("own", own).withColumn("other", F.explode(others))
+    dealt = placed.withColumn("left", F.least("own", "other")).withColumn("right", F.greatest("own", "other")).drop("other", "parts")
+    return dealt.repartition(by, "left", "right").sortWithinPartitions(by, "left", "right")
+
+
+def band_links(texts: DataFrame) -> DataFrame:
+    """(a, b) spanning links between texts (key, bands, signature) that meet in a band and may be similar."""
     entries = texts.select("key", F.explode("bands").alias("band"))
     sizes = entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = entries.join(sizes, "band").withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).join(texts.select("key", "signature"), "key")
-    own = F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int")
-    first = F.when(F.col("parts") > 1, 1).otherwise(0)  # two parts that meet are compared inside as well
-    placed = members.withColumn("own", own).select(
-        "key", "signature", "band", "own", F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: (first == 0) | (o != F.col("own")))).alias("other")
-    ).select("band", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "key", "signature")
-    placed = placed.repartition("band", "left", "right").sortWithinPartitions("band", "left", "right")
+    members = entries.join(sizes, "band").join(texts.select("key", "signature"), "key")
+    placed = _tiles(members, "band", F.ceil(F.col("n") / PART), inside=False).select("band", "left", "right", "key", "signature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_a, out_b = [], []
         for group in sorted_groups(batches, ["band", "left", "right"]):
             keys = group.column("key").to_numpy()
-            signatures = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(keys), -1)
-            for i, j in promising(signatures):
-                out_a.append(min(keys[i], keys[j]))
-                out_b.append(max(keys[i], keys[j]))
-            if len(out_a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-                out_a, out_b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+            found = np.array(forest(np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(keys), -1)), dtype=np.int64)
+            if len(found):
+                yield _links(keys[found[:, 0]], keys[found[:, 1]])
 
     return placed.mapInArrow(run, "a long, b long")
 
 
-def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts (key, text) have ``similarity`` of their distinct shingles in common."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [np.unique(np.frombuffer(b"".join(digests(t, shingle)), np.uint64)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["key", "grams"])
 
-    wanted = texts.join(used, "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
-    known = materialise(wanted.mapInArrow(sets, "key long, grams binary"), "copies-grams")
-    both = pairs.join(known.select(F.col("key").alias("a"), F.col("grams").alias("left")), "a").join(
-        known.select(F.col("key").alias("b"), F.col("grams").alias("right")), "b").select("a", "b", "left", "right")
+def similar(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingles (key, grams) are common to both by ``similarity`` of all."""
+    both = pairs.join(grams.select(F.col("key").alias("a"), F.col("grams").alias("left")), "a").join(
+        grams.select(F.col("key").alias("b"), F.col("grams").alias("right")), "b").select("a", "b", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,6 +294,69 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     return both.mapInArrow(run, "a long, b long")
 
 
+def set_links(sets: list[np.ndarray], known: np.ndarray, split: int, similarity: float) -> list[tuple[int, int]]:
+    """Spanning links of similar sets of shingles: among all of them, or with a ``split`` from those before it to the others.
+
+    ``known`` numbers classes that are linked already.  Sets become rows of bits, so one
+    row is compared with all others by counting the bits that differ.
+    """
+    every = np.concatenate([np.zeros(0, np.uint64), *sets])
+    width = -(-len(unique := np.unique(every)) // 64) * 64 or 64
+    bits = np.zeros((len(sets), width // 64), dtype=np.uint64)
+    for i, values in enumerate(sets):
+        row = np.zeros(width, dtype=bool)
+        row[np.searchsorted(unique, values)] = True
+        bits[i] = np.packbits(row).view(np.uint64)
+    sizes, label, out = np.array([len(v) for v in sets]), known.copy(), []
+    for i in range(len(sets) if split == len(sets) else split):
+        first = i + 1 if split == len(sets) else split
+        room = np.minimum(sizes[first:], sizes[i]) >= similarity * np.maximum(sizes[first:], sizes[i]) - 1e-9
+        for some in np.array_split(others := first + np.flatnonzero(room & (label[first:] != label[i])), len(others) // 256 + 1):
+            differ = np.bitwise_count(bits[some] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            shared = (sizes[some] + sizes[i] - differ) // 2
+            for j in some[shared >= similarity * (sizes[some] + sizes[i] - shared) - 1e-9].tolist():
+                if label[j] != label[i]:
+                    out.append((i, j))
+                    label[label == label[j]] = label[i]
+    return out
+
+
+def cluster_links(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) links between the classes of each cluster, from (cluster, key, class, grams): no similar pair of a cluster is left unlinked.
+
+    A cluster is cut into parts of bounded size and every two parts meet in a
+    task, which sends on only links that join two classes.
+    """
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("grams")).alias("bytes"))
+    sized = members.join(sizes, "cluster")
+    parts = F.ceil(F.greatest(F.col("n") / PART, F.col("bytes") / PART_BYTES))
+    placed = _tiles(sized, "cluster", F.greatest(parts, F.lit(1)), inside=True).select("cluster", "left", "right", "own", "key", "class", "grams")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["cluster", "left", "right"]):
+            own, left = group.column("own").to_numpy(), group.column("left")[0].as_py()
+            group = group.take(pa.array(np.argsort(own != left, kind="stable")))
+            keys, alone = group.column("key").to_numpy(), left == group.column("right")[0].as_py()
+            sets = [np.frombuffer(v, np.uint64) for v in group.column("grams").to_pylist()]
+            split = len(keys) if alone else int((own == left).sum())
+            found = np.array(set_links(sets, group.column("class").to_numpy(), split, similarity), dtype=np.int64)
+            if len(found):
+                yield _links(keys[found[:, 0]], keys[found[:, 1]])
+
+    return placed.mapInArrow(run, "a long, b long")
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(key, grams) of texts (key, text): their distinct shingle hashes in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(np.frombuffer(b"".join(digests(t, shingle)), np.uint64)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["key", "grams"])
+
+    return texts.select("key", "text").mapInArrow(run, "key long, grams binary")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE,
                      similarity: float = SIMILARITY, radius: int = 2) -> DataFrame:
     """One row of every class of near copies, the one with the smallest id.
@@ -338,44 +365,66 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     are common to both; classes are what such pairs connect.  Pairs are proposed
     by the BK-trees over SimHash fingerprints and by bands of min-hashes, because
     a fingerprint radius wide enough for 0.8 (about 15 bits) has no selective
-    shards; each proposal is then compared exactly.  Null and wordless texts are
-    copies of each other.  Rows are told apart by id and text, so a class without
-    any id keeps one row too, and an id with two texts loses only the copy.
+    shards.  Links of a band span all its pairs that may be similar, and are compared
+    exactly.  Where that leaves several classes in what the links connect, the classes
+    go on being compared, text by text, until no similar pair is left between them.
+
+    Null and wordless texts are copies of each other.  Rows are told apart by id and text
+    (its SHA-256), so a class without any id keeps one row too, and an id with two texts
+    loses only the copy; of rows that repeat id and text the one whose JSON is least stays.
+    Long texts are taken whole, as sets of their shingles.  An empty table
+    stays empty.  All columns of a row stay as they are, whatever their names.
     """
-    row, key = F.xxhash64(F.col(id_col), F.col(text_col)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    narrow = docs.select(F.col(id_col).alias("id"), row.alias("row"), key.alias("key"), text_bytes(text_col).alias("text"))
+    digest = F.unhex(F.sha2(F.coalesce(text_bytes(text_col), F.lit(b"")), 256))
+    narrow = docs.select(F.col(id_col).alias("id"), digest.alias("digest"), F.coalesce(text_bytes(text_col), F.lit(b"")).alias("text"))
     schema = T.StructType([
-        T.StructField("id", narrow.schema["id"].dataType), *(T.StructField(n, T.LongType()) for n in ("row", "key", "fp")),
+        T.StructField("id", narrow.schema["id"].dataType), T.StructField("digest", T.BinaryType()), T.StructField("fp", T.LongType()),
         T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, bands, signatures = [], [], []
-            for text in batch.column(3).to_pylist():
+            for text in batch.column(2).to_pylist():
                 found = digests(text, shingle)
                 own, signature = sketch(found)
                 fps.append(_simhash(found))
                 bands.append(own)
                 signatures.append(signature.tobytes())
             columns = [pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=schema.names)
 
     rows = materialise(narrow.mapInArrow(run, schema), "copies-sketch")
-    texts = materialise(rows.select("key", "fp", "bands", "signature").dropDuplicates(["key"]), "copies-texts")
+    order = F.struct(F.col("id").isNull().alias("unknown"), "id")
+    least = rows.groupBy("digest").agg(F.min(order).alias("first"), *[F.first(c).alias(c) for c in ("fp", "bands", "signature")])
+    # texts are numbered, so that no two share a key; the numbers hold once they are written
+    texts = materialise(least.withColumn("key", F.monotonically_increasing_id()), "copies-texts")
     # each fingerprint is stood for by its smallest key; the others of that fingerprint meet it
-    first = texts.groupBy("fp").agg(F.min("key").alias("first"))
-    same = texts.join(first, "fp").select(F.col("first").alias("a"), F.col("key").alias("b"))
-    near = links(first.select("fp"), radius)
-    near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-    proposed = band_pairs(texts).unionByName(same).unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    stand = texts.groupBy("fp").agg(F.min("key").alias("stand"))
+    same = texts.join(stand, "fp").select(F.col("stand").alias("a"), F.col("key").alias("b"))
+    near = links(stand.select("fp"), radius)
+    near = near.join(stand.select(F.col("fp").alias("a"), F.col("stand").alias("x")), "a").join(stand.select(F.col("fp").alias("b"), F.col("stand").alias("y")), "b")
+    proposed = band_links(texts).unionByName(same).unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
     pairs = materialise(proposed.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "copies-pairs")
-    labels = components(similar(pairs, narrow.select("key", "text"), shingle, similarity), "copies-links").withColumnsRenamed({"node": "key"})
-    rooted = rows.select("id", "row", "key").join(labels, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    best = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("best"))
-    gone = rooted.join(best, "root").where("row <> best").select(F.col("row").alias("_row")).distinct()
-    again = rows.groupBy(F.col("row").alias("_row")).count().where("count > 1").select("_row")
-    kept = docs.withColumn("_row", row).join(gone, "_row", "left_anti")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key", "digest"), "key")
+    met = narrow.select("digest", "text").join(used, "digest").dropDuplicates(["key"])
+    grams = materialise(shingle_sets(met, shingle), "copies-grams")
+    passed = materialise(similar(pairs, grams, similarity), "copies-passed")
+    classes = components(passed, "copies-links").withColumnsRenamed({"node": "key", "root": "class"})
+    clusters = components(pairs, "copies-clusters").withColumnsRenamed({"node": "key", "root": "cluster"})
+    placed = clusters.join(classes, "key", "left").withColumn("class", F.coalesce("class", "key"))
+    unsettled = placed.groupBy("cluster").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("cluster")
+    more = cluster_links(placed.join(unsettled, "cluster").join(grams, "key"), similarity)
+    labels = components(passed.unionByName(more), "copies-all").withColumnsRenamed({"node": "key"})
+    best = texts.select("key", "digest", "first").join(labels, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(
+        F.min(F.struct("first", "digest")).alias("best")).select(F.col("best.first.id").alias("id"), F.col("best.digest").alias("digest"))
+    both = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["digest"] == b["digest"])
+    counted = rows.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    gone = materialise(counted.alias("c").join(best.alias("b"), both(counted, best), "left_anti").select("id", "digest"), "copies-gone")
+    again = materialise(counted.where("n > 1").select("id", "digest"), "copies-again")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), digest.alias("digest"))
+    kept = whole.join(gone, both(whole, gone), "left_anti")
     if again.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(again, "_row", "left_anti")
-    return once.unionByName(kept.join(again, "_row", "left_semi").dropDuplicates(["_row"])).select(*docs.columns)
+        return kept.select("row.*")
+    once = kept.join(again, both(kept, again), "left_anti").select("row")
+    one = kept.join(again, both(kept, again), "left_semi").groupBy("id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return once.unionByName(one.select("row")).select("row.*")

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline as P
 from alertweft.llm import toxicity
 from alertweft.session import materialise
-from test_simhash import slow_classes, slow_fingerprint
+from test_near_copies import slow_kept
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -29,8 +29,7 @@ def test_stages(spark):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == keep
 
     single = materialise(stages["simhash_near_dedup"](spark, clean, FOLDER), "t")
-    prints = [(r.doc_id, slow_fingerprint(r.text)) for r in clean.collect()]
-    want = {c for c in slow_classes(prints)}
+    want = slow_kept({r.doc_id: r.text for r in clean.collect()})
     assert single.columns == docs.columns and sorted(r.doc_id for r in single.collect()) == sorted(want)
 
     safe = materialise(stages["benchmark_decontamination"](spark, single, FOLDER), "t")

@@ -77,11 +77,7 @@ def test_edge_rows(spark, docs_of):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.component_id) for r in rows if r.component_id is not None)
     assert got == [(-1, 2), (2, 2), (3, 3), (4, 3), (5, 2), (5, 2), (7, 7), (8, 7), (9, 3), (11, 11)]
     assert [r.doc_id for r in rows if r.component_id is None] == [None]
-    kept = simhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [2, 3, 7, 11]
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
-    assert simhash.drop_near_duplicates(docs_of([(1, "x y z"), (1, "x y z"), (1, "q r s t")])).count() == 2
 
 
 def test_shard_masks_cover_every_pair():
