@@ -25,6 +25,11 @@ def text_bytes(column: str | Column = "text") -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("binary")
 
 
+def whole_row(df: DataFrame, *without: str) -> Column:
+    """The columns of ``df`` as one struct, out of the way of columns an operator adds."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in without])
+
+
 def bucket_of(column: Column, mod: int) -> Column:
     """``crc32(id as text) mod n``, the fold a labelled row belongs to (null id: null)."""
     return (F.crc32(column.cast("string").cast("binary")) % mod).cast("int")

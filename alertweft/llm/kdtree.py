@@ -14,6 +14,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from alertweft.llm.common import whole_row
 from alertweft.session import materialise
 
 #: a key is a coordinate of COORD bits followed by TIE bits of a hash, which order rows of equal coordinates
@@ -54,9 +55,11 @@ class Metadata:
         return docs.select(
             self.id.alias("_id"), self.size.alias("_size"), self.crc.alias("_crc"), *[k.alias(f"_k{i}") for i, k in enumerate(self.keys)])
 
-    def beside(self, docs: DataFrame) -> DataFrame:
-        """The documents with the metadata as further columns."""
-        return docs.select("*", self.size.alias("_size"), self.crc.alias("_crc"), *[k.alias(f"_k{i}") for i, k in enumerate(self.keys)])
+    def beside(self, docs: DataFrame, *without: str) -> DataFrame:
+        """The documents, each row whole in ``_row``, with the metadata as further columns."""
+        return docs.select(
+            whole_row(docs, *without).alias("_row"), self.id.alias("_id"), self.size.alias("_size"), self.crc.alias("_crc"),
+            *[k.alias(f"_k{i}") for i, k in enumerate(self.keys)])
 
 
 def _key(dims: int) -> Column:
@@ -163,14 +166,16 @@ def assign(docs: DataFrame, shards: int | None = 16, target_bytes: int | None =
 
 def shard_documents(docs: DataFrame, shards: int | None = 16, target_bytes: int | None = None, id_col: str = "doc_id",
                     text_col: str = "text", dimensions: Iterable[Column] | None = None) -> DataFrame:
-    """The documents with ``shard`` and ``slot``, gathered by shard; columns of these names are replaced."""
+    """The documents with ``shard`` and ``slot``, gathered by shard; columns of these names are replaced, all others stay.
+
+    Null and empty texts, ties, repeated rows and empty tables: see ``assign``.
+    """
     described = Metadata(id_col, text_col, dimensions)
     meta = materialise(described.table(docs), "kd-meta")
     dims = len(described.keys)
     if target_bytes is not None:
         shards = shard_count(meta, target_bytes)
     cuts = grow(meta, dims, shards)
-    plain = docs.drop("shard", "slot")
-    placed = place(described.beside(plain), cuts, dims, shards).withColumn("shard", F.col("_first"))
-    found = numbered(placed, "shard", _slices(meta.count(), shards), [F.col(id_col), F.col("_crc")], "slot")
-    return found.select(*plain.columns, "shard", "slot")
+    placed = place(described.beside(docs, "shard", "slot"), cuts, dims, shards).withColumn("shard", F.col("_first"))
+    found = numbered(placed, "shard", _slices(meta.count(), shards), [F.col("_id"), F.col("_crc")], "slot")
+    return found.select("_row.*", "shard", "slot")

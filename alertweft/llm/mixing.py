@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from alertweft.llm.common import whole_row
+
 REST = "*"
 
 
@@ -61,24 +63,25 @@ def source_class(weights: dict[str, float], source_col: str = "source") -> Colum
 
 
 def replicate(docs: DataFrame, weights: dict[str, float], rest: float, id_col: str = "doc_id", text_col: str = "text",
-              source_col: str = "source", budget_bytes: int | None = None, seed: str = "mix") -> DataFrame:
+              source_col: str = "source", budget_bytes: int | None = None, seed: str = "mix", plain: bool = False) -> DataFrame:
     """The columns of ``docs`` with ``n_copies``, ``copy`` and ``shuffle_key``, one row per copy, globally shuffled.
 
     ``weights`` are the target shares of named sources and ``rest`` that of all
     other rows, null sources included; they are scaled to one.  ``budget_bytes``
     is the size aimed at, by default that of ``docs``.  A weight of zero leaves a
     source out.  A row without an id draws by its text; repeated rows draw alike;
-    a null text has one byte.  Columns named like the three new ones are replaced.
+    a null text has one byte.
+    Columns named like the three new ones are replaced, all others stay; with ``plain``
+    nothing is added or replaced.  An empty table stays empty.
     """
-    plain = docs.drop("n_copies", "copy", "shuffle_key")
     # the table of rates is as long as the weights given, not as the data
-    table = rates(docs, weights, rest, text_col, source_col, budget_bytes).select(
-        F.col("class").alias("_class"), poisson_steps(F.col("rate")).alias("_steps"))
+    table = rates(docs, weights, rest, text_col, source_col, budget_bytes).select("class", poisson_steps(F.col("rate")).alias("steps"))
     who = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(text_col, F.lit("")).cast("binary")))
-    drawn = plain.withColumn("_class", source_class(weights, source_col)).withColumn("_who", who).withColumn(
-        "_u", uniform(hashed(seed, F.col("_who"))))
-    counted = drawn.join(F.broadcast(table), "_class").withColumn("n_copies", F.size(F.filter("_steps", lambda c: c <= F.col("_u"))))
-    copies = counted.where("n_copies > 0").select(
-        *plain.columns, "_who", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
-    keyed = copies.withColumn("shuffle_key", F.substring(hashed(seed, F.col("_who"), F.col("copy")), 1, 16)).drop("_who")
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    added = () if plain else ("n_copies", "copy", "shuffle_key")
+    drawn = docs.select(
+        whole_row(docs, *added).alias("row"), source_class(weights, source_col).alias("class"), who.alias("who"))
+    counted = drawn.withColumn("u", uniform(hashed(seed, F.col("who")))).join(F.broadcast(table), "class").withColumn(
+        "n_copies", F.size(F.filter("steps", lambda c: c <= F.col("u"))))
+    copies = counted.where("n_copies > 0").select("row", "who", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
+    keyed = copies.withColumn("shuffle_key", F.substring(hashed(seed, F.col("who"), F.col("copy")), 1, 16))
+    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select("row.*", *added)

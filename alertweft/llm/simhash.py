@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from xxhash import xxh64_digest
 
-from alertweft.llm.common import Union, components, sorted_groups, text_bytes
+from alertweft.llm.common import Union, components, sorted_groups, text_bytes, whole_row
 from alertweft.session import materialise, ship
 
 ship(__name__)
@@ -421,7 +421,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counted = rows.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n"))
     gone = materialise(counted.alias("c").join(best.alias("b"), both(counted, best), "left_anti").select("id", "digest"), "copies-gone")
     again = materialise(counted.where("n > 1").select("id", "digest"), "copies-again")
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), digest.alias("digest"))
+    whole = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("id"), digest.alias("digest"))
     kept = whole.join(gone, both(whole, gone), "left_anti")
     if again.isEmpty():
         return kept.select("row.*")

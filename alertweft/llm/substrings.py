@@ -10,7 +10,8 @@ hold an equal anchor that both have hashed.  Windows around anchors that more
 than one document has are hashed in full and settled by their smallest id.
 
 The work moves in blocks.  A block is a bounded set of documents, chosen by the
-hash of the id; what it sends away and gets back is packed by hash bucket, once
+hash of id and text, so rows without an id and rows of one id are spread over blocks
+too; what it sends away and gets back is packed by hash bucket, once
 per block and hash.  A passage that a third of all documents share so costs each
 block one entry, and no task holds more than a block or a bucket.
 """
@@ -154,7 +155,7 @@ def removed_words(
     A null text has no words.  Rows that repeat an id are one document: they
     take nothing from each other.  A row without an id gives way to every row
     with one and takes nothing from others.  Texts shorter than a window lose
-    nothing; other columns are not read.  The sizes of a block and a bucket are
+    nothing; other columns are not read; an empty table gives no rows.  The sizes of a block and a bucket are
     bounds on what one task holds, and their numbers follow the bytes of the corpus.
     """
     length = window - period + 1
@@ -165,7 +166,7 @@ def removed_words(
     buckets = max(1, -(-total // 2 // bucket_bytes))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     rows = docs.select(
-        F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), key.alias("id"), text_bytes(text_col).alias("text")
+        F.pmod(F.xxhash64(key, F.col(text_col)), F.lit(blocks)).alias("block"), key.alias("id"), text_bytes(text_col).alias("text")
     ).repartition("block")
 
     def send_anchors(block: pa.Table) -> pa.Table:

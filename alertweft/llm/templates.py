@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from alertweft.llm.common import sorted_groups, text_bytes
+from alertweft.llm.common import sorted_groups, text_bytes, whole_row
 from alertweft.session import materialise, ship
 
 ship(__name__)
@@ -434,6 +434,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those that hold a benchmark item; columns and repeated rows stay as they are."""
-    gone = leaks(docs, benchmark, id_col, text_col).select(F.col("key").alias("_key")).distinct()
-    return docs.withColumn("_key", text_key(id_col, text_col)).join(gone, "_key", "left_anti").select(*docs.columns)
+    """The documents without those that hold a benchmark item; all columns and repeated rows stay as they are.
+
+    Null and empty texts hold no item and stay, long texts are read whole, an empty table stays empty.
+    """
+    gone = leaks(docs, benchmark, id_col, text_col).select("key", F.col(id_col).alias("id")).distinct()
+    rows = docs.select(whole_row(docs).alias("row"), text_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"))
+    return rows.join(gone, (rows["key"] == gone["key"]) & rows["id"].eqNullSafe(gone["id"]), "left_anti").select("row.*")

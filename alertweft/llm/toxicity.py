@@ -241,12 +241,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that score below ``threshold``, with all their columns."""
-    place = docs.columns.index(text_col)
+    """The rows that score below ``threshold``, with all their columns, whatever their names; repeated rows score alike."""
+    place, names = docs.columns.index(text_col), docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [None if t is None else t.encode() for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(model.probabilities(texts) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*names)
