@@ -38,7 +38,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its Poisson draw says, shuffled."""
-    return mixing.replicate(docs, WEIGHTS, REST).select(*docs.columns)
+    return mixing.replicate(docs, WEIGHTS, REST, plain=True)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
