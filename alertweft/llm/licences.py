@@ -5,9 +5,12 @@ blank line, in overlapping spans where they are long.  Sparse word n-grams of
 the licence templates are the features of a multinomial logistic regression over
 licence families and the class "unknown".  It is trained on damaged copies of
 the templates, on paragraphs of the corpus and on templates with their words out
-of order.  A temperature fitted on held-out cases calibrates it; a family is
-reported where it is more likely than not and one of its templates is found in
-the paragraph.
+of order, and, as unknown, on near misses: templates whose licence name was changed
+and notices of licences of no family.  A temperature calibrates it, fitted on held-out cases
+among which are whole licences that were not trained on.  A family is reported where it
+is more likely than not, and confirmed where one of its templates is found in the
+paragraph, the licence's name in full and not denied.  A paragraph that has the template
+but not the name speaks of another licence and is reported as "other".
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from alertweft.session import ship
 
 ship(__name__)
 
-UNKNOWN = "unknown"
+UNKNOWN, OTHER = "unknown", "other"
 #: words of a span and from one span to the next
 SPAN, HOP = 80, 40
 #: corpus paragraphs that the unknown class is trained on at most, from so many sampled documents, so many each
@@ -82,6 +85,24 @@ TEMPLATES: dict[str, list[str]] = {
     ],
 }
 
+# fixed values: customary notices of licences of no family above, to train the unknown class on and to calibrate it
+FOREIGN = [
+    "This program is licensed under the GNU Affero General Public License, version 3.",
+    "Licensed under the Eclipse Public License, Version 2.0.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under CC BY-ND 4.0.",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, "
+    "provided that the above copyright notice and this permission notice appear in all copies.",
+]
+FOREIGN_HELD_OUT = [
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "Licensed under CC BY-NC-SA 4.0.",
+    "This software is provided as-is, without any express or implied warranty. Permission is granted to anyone to use this software for any purpose.",
+    "Licensed under the Common Development and Distribution License, version 1.0.",
+]
+#: words that deny what follows them, and how many words on
+_DENIALS, _DENIES = frozenset(("not", "never", "no", "isn't", "aren't", "cannot", "non")), 3
+#: what may follow a name that does not end in "License"
+_AFTER = frozenset(("license", "licence", "licensed", "international", "unported", "generic", "universal", "version", "v"))
+
 _EDGE = b".,;:!?\"'()[]{}<>*#&%$|_=+~`^/\\"
 #: words too common to be features by themselves
 _PLAIN = frozenset("a all and any are as at be by can either for form forms free from in is it later may not of on or that the this to under use with work you".split())
@@ -110,6 +131,59 @@ def pairs(tokens: list[str]) -> set[tuple[str, str]]:
     return set(zip(tokens, tokens[1:]))
 
 
+def names(template: str) -> list[list[str]]:
+    """The licence names in a template: capitalised words up to "License", or from "CC" on; versions are left out.
+
+    A word that starts with a digit, such as a number of clauses, is an empty
+    string: any such word, or none, may stand there.
+    """
+    out, run = [], []
+    for raw in [*template.split(), "."]:
+        word = raw.strip(_EDGE.decode())
+        if word[:1].isupper() or (run and word[:1].isdigit()):
+            run.append(word.lower() if word[:1].isupper() else "")
+        if not (word[:1].isupper() or word[:1].isdigit()) or raw[-1] in ".,;:)":
+            if "license" in run[1:]:
+                out.append(run[: run.index("license", 1) + 1])
+            elif run and run[0].startswith("cc"):
+                out.append(run)
+            run = []
+    # a version inside a name ends it, as in those of Creative Commons; right behind the first word it is a number of clauses
+    return [r[: r.index("")] if "" in r and (r.index("") > 1 or r[0].startswith("cc")) else r for r in out]
+
+
+def named(name: list[str], tokens: list[str]) -> bool:
+    """Whether the words of a name follow each other; nothing but a version or a plain word may extend it."""
+    plain = [w for w in name if w]
+    spot = name.index("") if "" in name else -1
+    for i, word in enumerate(tokens):
+        if word != plain[0]:
+            continue
+        part = tokens[i : i + len(plain) + 1]
+        if spot > 0 and len(part) > spot and part[spot][:1].isdigit():
+            part = part[:spot] + part[spot + 1 :]
+        else:
+            part = part[: len(plain)]
+        if part != plain:
+            continue
+        after = tokens[i + len(plain)] if i + len(plain) < len(tokens) else ""
+        if plain[-1] == "license" or not after or after[0].isdigit() or after in _PLAIN or after in _AFTER:
+            return True
+    return False
+
+
+@dataclass
+class Check:
+    """What a paragraph is held against to confirm a template: its word pairs and the names in it."""
+
+    pairs: set[tuple[str, str]]
+    names: list[list[str]]
+
+
+def checks() -> dict[str, list[Check]]:
+    return {f: [Check(pairs(words(t.encode())), names(t)) for t in texts] for f, texts in TEMPLATES.items()}
+
+
 @dataclass
 class Model:
     """Feature numbers, weights (feature x class), class biases and the temperature."""
@@ -141,7 +215,7 @@ class Model:
                 hit = hit or w[1]
         return tokens, hit
 
-    def judge(self, tokens: list[str], checks: dict) -> list[tuple]:
+    def judge(self, tokens: list[str], checks: dict[str, list[Check]]) -> list[tuple]:
         """(family, probability, template, similarity, confirmed, first word) of what a span names.
 
         The words of a confirmed notice are taken out and the rest is judged again, so
@@ -150,8 +224,8 @@ class Model:
         """
         def matched(family: str, have: list[tuple]) -> tuple[float, int, set]:
             found = set(have)
-            similarity, number = max((len(t & found) / len(t), -i) for i, t in enumerate(checks[family]))
-            return similarity, -number, checks[family][-number]
+            similarity, number = max((len(t.pairs & found) / len(t.pairs), -i) for i, t in enumerate(checks[family]))
+            return similarity, -number, checks[family][-number].pairs
 
         def place(template: set, have: list[tuple]) -> tuple[int, int]:
             """First word of the densest stretch of the template, and the word behind it."""
@@ -185,14 +259,17 @@ class Model:
                 similarity = matched(self.classes[k], list(zip(rest, rest[1:])))[0]
                 if sure < LIKELY or similarity < FOUND:
                     break
-            first = place(template, have)[0]
-            out.append((self.classes[k], sure, number, similarity, similarity >= FOUND, left[first]))
+            first, family = place(template, have)[0], self.classes[k]
+            full = all(named(n, part) for n in checks[family][number].names)
+            denied = any(w in _DENIALS for w in part[max(0, first - _DENIES) : first])
+            sound = similarity >= FOUND and full and not denied
+            out.append((family if full or similarity < FOUND else OTHER, sure, number, similarity, sound, left[first]))
             if similarity < FOUND:
                 break
             left = [left[i] for i in without(template, have)]
         return out
 
-    def families(self, tokens: list[str], checks: dict, line: list[int] | None = None) -> list[tuple]:
+    def families(self, tokens: list[str], checks: dict[str, list[Check]], line: list[int] | None = None) -> list[tuple]:
         """The best finding of every family in a paragraph, confirmed before unconfirmed, then the likeliest.
 
         With ``line``, the line of each word, only spans over several lines are judged.
@@ -260,12 +337,27 @@ def damaged(tokens: list[str], filler: list[str], rng: np.random.Generator) -> l
     return out
 
 
+def near_miss(template: str, filler: list[str], rng: np.random.Generator) -> list[str]:
+    """A template whose licence name is another one: a word replaced, put in or joined on; without a name, denied."""
+    tokens, found = words(template.encode()), [n for n in names(template) if named(n, words(template.encode()))]
+    strange = str(rng.choice(filler or ["strange"]))
+    if not found:
+        return ["not", *tokens]
+    name = [w for w in found[rng.integers(len(found))] if w]
+    start = next(i for i in range(len(tokens)) if tokens[i] == name[0])
+    # the last word of a longer name is "license"; what tells licences apart stands before it
+    at = start + int(rng.integers(max(1, len(name) - 1 if name[-1] == "license" else len(name))))
+    how = rng.integers(3)
+    changed = [[strange], [tokens[at], strange], [f"{tokens[at]}-{strange}"]][how]
+    return tokens[:at] + changed + tokens[at + 1 :]
+
+
 def fit(corpus: list[bytes], seed: int = 5, epochs: int = 60) -> Model:
     """Train on damaged templates against corpus paragraphs and shuffled templates."""
     rng = np.random.default_rng(seed)
     classes = sorted(TEMPLATES) + [UNKNOWN]
     tokens = {f: [words(t.encode()) for t in texts] for f, texts in TEMPLATES.items()}
-    names = {g: i for i, g in enumerate(sorted({g for ts in tokens.values() for t in ts for g in grams(t)}))}
+    features = {g: i for i, g in enumerate(sorted({g for ts in tokens.values() for t in ts for g in grams(t)}))}
     own = {pair for ts in tokens.values() for t in ts for pair in pairs(t) if not set(pair) <= _PLAIN}
     plain = [p for p in (words(c) for c in corpus) if p and not pairs(p) & own]
     filler = sorted({w for p in plain for w in p[:20]})[:4000]
@@ -275,14 +367,18 @@ def fit(corpus: list[bytes], seed: int = 5, epochs: int = 60) -> Model:
             cases += [(grams(damaged(t, filler, rng)), k) for _ in range(COPIES)] + [(grams(t), k)] * 4
             for _ in range(COPIES // 4):  # the same words in another order say nothing
                 cases.append((grams([str(w) for w in rng.permutation([*t, *[str(x) for x in rng.choice(filler or ["x"], 20)]])]), len(classes) - 1))
+        for t in TEMPLATES[family]:
+            for _ in range(COPIES // 4):
+                cases.append((grams(damaged(near_miss(t, filler, rng), filler, rng)), len(classes) - 1))
+    cases += [(grams(damaged(words(t.encode()), filler, rng)), len(classes) - 1) for t in FOREIGN for _ in range(COPIES)]
     cases += [(grams(p[:SPAN]), len(classes) - 1) for p in plain] + [(set(), len(classes) - 1)] * 20
-    order = rng.permutation(len(cases))
-    x = np.zeros((len(cases), len(names)), dtype=np.float32)
-    y = np.array([cases[i][1] for i in order])
-    for row, i in enumerate(order):
-        x[row, [names[g] for g in cases[i][0] if g in names]] = 1
+    cases = [cases[i] for i in rng.permutation(len(cases))]
     kept = len(cases) - len(cases) // 5
-    w, b, first, second, step = np.zeros((len(names), len(classes))), np.zeros(len(classes)), 0.0, 0.0, 0
+    cases += [(grams(damaged(words(t.encode()), filler, rng)), len(classes) - 1) for t in FOREIGN_HELD_OUT for _ in range(COPIES // 4)]
+    x, y = np.zeros((len(cases), len(features)), dtype=np.float32), np.array([c[1] for c in cases])
+    for row, (found, _) in enumerate(cases):
+        x[row, [features[g] for g in found if g in features]] = 1
+    w, b, first, second, step = np.zeros((len(features), len(classes))), np.zeros(len(classes)), 0.0, 0.0, 0
     b[-1] = 1.0
     for _ in range(epochs):
         for at in np.array_split(rng.permutation(kept), max(1, kept // 256)):
@@ -295,7 +391,7 @@ def fit(corpus: list[bytes], seed: int = 5, epochs: int = 60) -> Model:
             first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
             move = 0.03 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
             w, b = w - move[:-1], b - move[-1]
-    b[-1] = max(b[-1], b[:-1].max() + 1)
+            b[-1] = max(b[-1], b[:-1].max() + 1)  # without any feature the answer is to be "unknown"
     z = x[kept:] @ w + b
 
     def loss(t: float) -> float:
@@ -304,7 +400,7 @@ def fit(corpus: list[bytes], seed: int = 5, epochs: int = 60) -> Model:
         return float((np.log(np.exp(s - top[:, None]).sum(axis=1)) + top - s[np.arange(len(s)), y[kept:]]).mean())
 
     temperature = min(np.geomspace(0.25, 8, 41).tolist(), key=loss)
-    return Model(names, w.astype(np.float32), b.astype(np.float32), classes, temperature)
+    return Model(features, w.astype(np.float32), b.astype(np.float32), classes, temperature)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = DOCUMENTS, each: int = PARAGRAPHS) -> Model:
@@ -341,14 +437,14 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                                 ("template", pa.int32()), ("similarity", pa.float64()), ("confirmed", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        checks = {f: [pairs(words(t.encode())) for t in texts] for f, texts in TEMPLATES.items()}
+        known = checks()
         seen: dict[bytes, tuple[str, bool]] = {}
         for batch in batches:
             counts, out = [], []
             for text in batch.column(1).to_pylist():
                 if len(seen) > 500_000:
                     seen.clear()
-                count, found = model.findings(text, seen, checks)
+                count, found = model.findings(text, seen, known)
                 out.append([dict(zip(FINDING.names, f)) for f in found])
                 counts.append(count)
             yield pa.RecordBatch.from_arrays(

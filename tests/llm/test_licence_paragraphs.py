@@ -15,8 +15,7 @@ def model():
 
 
 def families(model, text):
-    checks = {f: [licences.pairs(licences.words(t.encode())) for t in ts] for f, ts in licences.TEMPLATES.items()}
-    return {f[1] for f in model.findings(text.encode(), {}, checks)[1] if f[5]}
+    return {f[1] for f in model.findings(text.encode(), {}, licences.checks())[1] if f[5]}
 
 
 @pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "-- "])

@@ -25,8 +25,7 @@ def model():
 
 
 def find(model, text):
-    checks = {f: [licences.pairs(licences.words(t.encode())) for t in ts] for f, ts in licences.TEMPLATES.items()}
-    return model.scan(text.encode(), {}, checks)
+    return model.scan(text.encode(), {}, licences.checks())
 
 
 def test_families_and_unknown(model):
@@ -43,6 +42,42 @@ def test_families_and_unknown(model):
     assert 0.25 <= model.temperature <= 8
 
 
+def test_names():
+    found = {f: [licences.names(t) for t in ts] for f, ts in licences.TEMPLATES.items()}
+    assert found["gpl"][:2] == [[["gnu", "general", "public", "license"]]] * 2 and found["cc-by"] == [[["creative", "commons", "attribution"]], [["cc", "by"]]]
+    assert found["bsd"][2:] == [[["bsd", "", "license"]], [["bsd", "license"]]] and found["apache"][0] == [["apache", "license"]] and found["mit"][2] == []
+    for clauses in ("BSD License", "BSD 2-Clause License"):
+        assert licences.named(["bsd", "", "license"], licences.words(f"the {clauses} here".encode()))
+    assert not licences.named(["cc", "by"], ["cc", "by", "nc"]) and licences.named(["cc", "by"], ["under", "cc", "by", "3.0"])
+
+
+#: none of them in the templates, the foreign licences trained on or those calibrated on
+STRANGERS = [
+    "Licensed under the European Union Public License, version 1.2.", "This work is licensed under the Artistic License 2.0.",
+    "Distributed under the Boost Software License, Version 1.0.", "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "Released under the Microsoft Public License.", "Licensed under the IBM Public License, version 1.0.", "Licensed under the Open Data Commons Attribution License.",
+    "This work is licensed under the GNU Free Documentation License, version 1.3.", "Released under the MIT No Attribution License.",
+    "Licensed under the GNU Affero General Public License, version 3", "Eclipse Public License, Version 2.0", "Licensed under CC BY-NC-ND 4.0.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution NoDerivatives 4.0 International License.",
+    "This file is NOT licensed under the MIT License.", "It was never released under the BSD License.", "Not all rights reserved.",
+]
+
+
+@pytest.mark.parametrize("text", STRANGERS)
+def test_other_licences_are_not_confirmed(model, text):
+    for around in ("", "the onsen erblest it hein ti "):
+        found = model.findings((around + text).encode(), {}, licences.checks())[1]
+        assert not any(f[5] for f in found), found
+
+
+def test_a_notice_beside_another_licence(model):
+    both = "Licensed under the Eclipse Public License, Version 2.0. " + "the onsen erblest it hein " * 5 + "Released under the MIT License."
+    found = model.findings(both.encode(), {}, licences.checks())[1]
+    assert [f[1] for f in found if f[5]] == ["mit"] and not {"mpl", "gpl"} & {f[1] for f in found if f[5]}
+
+
 def test_edge_rows(spark, docs_of):
     notice = "Licensed under CC BY-NC 4.0."
     docs = docs_of([(1, None), (2, ""), (3, "\n \n"), (None, notice), (4, notice), (4, notice), (5, "x y\n" * 40_000 + notice)])
