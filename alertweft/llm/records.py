@@ -38,9 +38,9 @@ ship(__name__)
 #: bytes of text that make up a data file, and bytes of records that are checked and handed on at a time
 FILE_BYTES, STEP_BYTES = 32 << 20, 4 << 20
 #: words whose ids a worker remembers before older ones are let go, and words encoded in one call
-REMEMBERED, JOINED = 200_000, 1000
+REMEMBERED, JOINED = 400_000, 1000
 #: stands between words that are encoded in one call
-MARK = "~"
+MARK, BETWEEN = b"~", b" ~ "
 HEAD, HEAD_SIZE = "<BBq", 10
 ENTRY = np.dtype([("offset", "<u8"), ("size", "<u8"), ("start", "<u8"), ("tokens", "<u8"), ("id", "<i8"), ("known", "u1")])
 MANIFEST = "manifest.json"
@@ -62,26 +62,25 @@ class Encoder:
         self.end = b"" if end is None else struct.pack("<I", end)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(f.ids, dtype="<u4").tobytes() for f in found]
 
-    def _words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """(word, ids); words without the mark go through the tokenizer together and are parted at its id."""
-        plain = [w for w in words if self.mark is not None and MARK.encode() not in w]
+    def _words(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of every word; words without the mark go through the tokenizer together and are parted at its id."""
+        alone = [w for w in words if MARK in w] if self.mark is not None else list(words)
+        out = dict(zip(alone, self._ids(alone)))
+        plain = list(words - out.keys())
         for at in range(0, len(plain), JOINED):
             some = plain[at : at + JOINED]
-            (raw,) = self._ids([f" {MARK} ".encode().join(some)])
-            cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark).tolist()
-            if len(cuts) == len(some) - 1:
-                yield from zip(some, [raw[4 * a : 4 * b] for a, b in zip([0, *[c + 1 for c in cuts]], [*cuts, len(raw) // 4])])
-            else:
-                yield from zip(some, self._ids(some))
-        rest = [w for w in words if self.mark is None or MARK.encode() in w]
-        yield from zip(rest, self._ids(rest))
+            (raw,) = self._ids([BETWEEN.join(some)])
+            cuts = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark)).tolist()
+            apart = [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)])]
+            out.update(zip(some, apart if len(apart) == len(some) else self._ids(some)))
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_words:
@@ -92,7 +91,7 @@ class Encoder:
         new = set().union(*split) - self.known.keys()
         again = new & self.older.keys()
         self.known.update((w, self.older[w]) for w in again)
-        self.known.update(self._words(list(new - again)))
+        self.known.update(self._words(new - again))
         return [b"".join(map(self.known.__getitem__, words)) + self.end for words in split]
 
 
