@@ -18,6 +18,8 @@ from __future__ import annotations
 import json
 import os
 import struct
+import sys
+import types
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from alertweft.llm.common import text_bytes
 from alertweft.llm.crc32c import masked
@@ -95,6 +98,17 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, words)) + self.end for words in split]
 
 
+def worker_encoder(*how) -> Encoder:
+    """The encoder of this Python worker, with the words it has met in earlier tasks.
+
+    Every task brings this module's code anew, so the encoder is kept among the loaded modules.
+    """
+    kept = sys.modules.setdefault("alertweft-worker-encoders", types.ModuleType("alertweft-worker-encoders")).__dict__
+    if how not in kept.get("encoders", {}):
+        kept["encoders"] = {how: Encoder(*how)}
+    return kept["encoders"][how]
+
+
 def _cut(sizes: list[int], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about STEP_BYTES, one row at least."""
     first = held = 0
@@ -133,7 +147,7 @@ class RecordWriter(DataSourceArrowWriter):
         part = TaskContext.get().partitionId()
         name = f"part-{part:07d}-{uuid.uuid4().hex}"
         files.create_dir(folder, recursive=True)
-        encoder, offset, start, records = Encoder(*self.how), 0, 0, 0
+        encoder, offset, start, records = worker_encoder(*self.how), 0, 0, 0
         with files.open_output_stream(f"{folder}/{name}.rec") as data, files.open_output_stream(f"{folder}/{name}.idx") as index:
             for batch in iterator:
                 for some in _cut(pc.binary_length(batch.column("text")).to_pylist(), batch):
@@ -239,10 +253,10 @@ class TokenRecords(DataSource):
     def _index(self) -> bool:
         return self.options.get("only", "") == "index"
 
-    def reader(self, schema: T.StructType) -> RecordReader:
+    def reader(self, schema: StructType) -> RecordReader:
         return RecordReader(self.options["path"], self._index())
 
-    def writer(self, schema: T.StructType, overwrite: bool) -> RecordWriter:
+    def writer(self, schema: StructType, overwrite: bool) -> RecordWriter:
         end = self.options.get("end", "")
         return RecordWriter(self.options["path"], self.options["tokenizer"], int(end) if end else None, self.options.get("by_words", "") == "true")
 
