@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from alertweft.fixed import ACTIONS, FINDING_CODES, POLICY_KEYS, RUNTIME_POLICY, SEVERITIES, VERDICTS
 from alertweft.functions.text import any_phrase, labels, str_array
-from alertweft.operators.scoring import known_ids, unknown_citations, with_cited_ids
+from alertweft.operators.scoring import held_citations, package_ids, with_unknown_ids
 
 OUTPUT_FIELDS = ["verdict", "severity", "confidence", "key_evidence", "rationale", "action"]
 
@@ -99,18 +99,16 @@ def package_facts(evidence: DataFrame, derivations: DataFrame) -> DataFrame:
 
 
 def gate_inputs(outputs: DataFrame, evidence: DataFrame, derivations: DataFrame, declared: DataFrame,
-                keys: list[str] | None = None) -> DataFrame:
+                citing: DataFrame | None = None) -> DataFrame:
     """Decisions with package facts and unknown citations (ids compared upper-cased).
 
-    ``declared`` gives the ``declared_count`` that each package states.
+    ``declared`` gives the ``declared_count`` that each package states.  ``citing``
+    are the decisions themselves where ``outputs`` carries results computed from them.
     """
-    keys = keys or ["case_id"]
-    cited = with_cited_ids(outputs, upper_keys=True)
-    unknown = unknown_citations(cited, known_ids(evidence, derivations, upper=True), keys)
+    held = held_citations(outputs if citing is None else citing, package_ids(evidence, derivations, upper=True), upper_keys=True)
     facts = package_facts(evidence, derivations)
     facts = facts.join(declared.select("case_id", "declared_count"), "case_id", "left")
-    empty = F.array().cast("array<string>")
-    return cited.join(facts, "case_id").join(unknown, keys, "left").withColumn("unknown_ids", F.coalesce("unknown_ids", empty))
+    return with_unknown_ids(outputs.join(facts, "case_id").join(held, "case_id", "left"), upper_keys=True)
 
 
 def findings(policy: dict = RUNTIME_POLICY) -> Column:

@@ -25,7 +25,8 @@ def _draw(batches: Iterator[pd.DataFrame], seed: int, draws: int) -> Iterator[pd
             yield pd.DataFrame({"label": label, "mean": taken @ np.asarray(values) / n})
 
 
-def bootstrap_mean_ci(values: DataFrame, keys: list[str], value: str, seed: int = 20260722, draws: int = 20000) -> DataFrame:
+def bootstrap_mean_ci(values: DataFrame, keys: list[str], value: str, seed: int = 20260722, draws: int = 20000,
+                      weight: str | None = None) -> DataFrame:
     """Percentile interval of the mean per key.
 
     Resampling n rows with replacement and averaging needs only how often each
@@ -33,8 +34,9 @@ def bootstrap_mean_ci(values: DataFrame, keys: list[str], value: str, seed: int
     the rows are reduced to a histogram first; the draws of a key are split into
     slices that run as separate tasks, each seeded by (seed, key, slice).  The
     value is an ordinal distance or a pass difference, a handful of integers.
+    ``weight`` counts a row several times, for rows that are counted already.
     """
-    histogram = values.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    histogram = values.groupBy(*keys, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("c"))
     label = F.concat_ws("/", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("all")
     packed = histogram.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), "c"))).alias("h"),

@@ -24,11 +24,14 @@ def package_headers(evidence: DataFrame) -> DataFrame:
 
 def known_ids(evidence: DataFrame, derivations: DataFrame, upper: bool = False) -> DataFrame:
     """Distinct (case, id) pairs a decision may cite."""
+    return package_ids(evidence, derivations, upper).distinct()
+
+
+def package_ids(evidence: DataFrame, derivations: DataFrame, upper: bool = False) -> DataFrame:
+    """(case, id) of all evidence and derivations, copies included."""
     ids = evidence.select("case_id", "evidence_id").unionByName(
         derivations.select("case_id", F.col("derivation_id").alias("evidence_id")))
-    if upper:
-        ids = ids.withColumn("evidence_id", F.upper("evidence_id"))
-    return ids.distinct()
+    return ids.withColumn("evidence_id", F.upper("evidence_id")) if upper else ids
 
 
 def with_cited_ids(outputs: DataFrame, upper_keys: bool = False) -> DataFrame:
@@ -49,22 +52,34 @@ def unknown_citations(cited: DataFrame, ids: DataFrame, keys: list[str]) -> Data
     return missing.groupBy(*keys).agg(F.array_sort(F.collect_set("evidence_id")).alias("unknown_ids"))
 
 
-def scored_cases(outputs: DataFrame, evidence: DataFrame, derivations: DataFrame, truth: DataFrame,
-                 keys: list[str] | None = None) -> DataFrame:
-    """Decisions joined with package facts and ground truth, with the cited-id columns."""
-    keys = keys or ["case_id"]
-    cited = with_cited_ids(outputs)
-    unknown = unknown_citations(cited, known_ids(evidence, derivations), keys)
-    derived = derivations.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_derivations"))
+def held_citations(outputs: DataFrame, ids: DataFrame, upper_keys: bool = False) -> DataFrame:
+    """(case_id, held_ids): the ids that decisions of a case cite and its package holds.
+
+    Runs that say the same are reduced to one before their text is read, and each
+    cited (case, id) meets the package once, however many runs cite it.  The array
+    is bounded by what the decisions of one case cite.
+    """
+    said = with_cited_ids(outputs.select("case_id", "key_evidence", "rationale").distinct(), upper_keys)
+    cited = said.select("case_id", F.explode(F.array_union("key_ids", "text_ids")).alias("evidence_id")).distinct()
+    return cited.join(ids, ["case_id", "evidence_id"], "left_semi").groupBy("case_id").agg(F.collect_set("evidence_id").alias("held_ids"))
+
+
+def with_unknown_ids(joined: DataFrame, upper_keys: bool = False) -> DataFrame:
+    """Add the cited ids and, from ``held_ids``, those of them the package does not hold, sorted."""
     empty = F.array().cast("array<string>")
-    return (
-        cited.join(package_headers(evidence), "case_id")
-        .join(truth, "case_id")
-        .join(derived, "case_id", "left")
-        .join(unknown, keys, "left")
-        .withColumn("unknown_ids", F.coalesce("unknown_ids", empty))
-        .withColumn("n_derivations", F.coalesce("n_derivations", F.lit(0)))
-    )
+    missing = F.array_sort(F.array_except(F.array_union("key_ids", "text_ids"), F.coalesce("held_ids", empty)))
+    return with_cited_ids(joined, upper_keys).withColumn("unknown_ids", F.coalesce(missing, empty)).drop("held_ids")
+
+
+def scored_cases(outputs: DataFrame, evidence: DataFrame, derivations: DataFrame, truth: DataFrame) -> DataFrame:
+    """Decisions joined with package facts and ground truth, with the cited-id columns.
+
+    Every join is by case, so the decisions are shuffled once and read after it.
+    """
+    held = held_citations(outputs, package_ids(evidence, derivations))
+    derived = derivations.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_derivations"))
+    joined = outputs.join(package_headers(evidence), "case_id").join(truth, "case_id").join(derived, "case_id", "left").join(held, "case_id", "left")
+    return with_unknown_ids(joined).withColumn("n_derivations", F.coalesce("n_derivations", F.lit(0)))
 
 
 def check_columns(scored: DataFrame) -> DataFrame:
@@ -102,10 +117,9 @@ def check_columns(scored: DataFrame) -> DataFrame:
     )
 
 
-def case_checks(outputs: DataFrame, evidence: DataFrame, derivations: DataFrame, truth: DataFrame,
-                keys: list[str] | None = None) -> DataFrame:
+def case_checks(outputs: DataFrame, evidence: DataFrame, derivations: DataFrame, truth: DataFrame) -> DataFrame:
     """Rubric 1.1: one row per decision with every check."""
-    return check_columns(scored_cases(outputs, evidence, derivations, truth, keys))
+    return check_columns(scored_cases(outputs, evidence, derivations, truth))
 
 
 def failed_checks(active=CHECKS) -> Column:

@@ -246,11 +246,14 @@ add_view("conf", """SELECT profile, target, CAST(count(*) FILTER (WHERE label AN
              round_even((tp + fp)::DOUBLE / nullif(tp + fp + tn + fn, 0), 4) AS deferral_rate FROM conf)""")
 def agg_11(lake):
     """All targets against all profiles; cases are counted by their labels and statuses before these are unfolded."""
-    labels = F.array(*[F.struct(F.lit(t).alias("target"), P.target_column(t).alias("label")) for t in P.TARGETS])
-    predictions = F.transform("routes", lambda r: F.struct(r["profile"].alias("profile"), r["status"].isin("review", "block").alias("predicted")))
-    both = checks(lake).select("case_id", labels.alias("labels")).join(decided(lake).select("case_id", predictions.alias("predictions")), "case_id")
-    patterns = both.groupBy("labels", "predictions").agg(F.count(F.lit(1)).alias("cases"))
-    unfolded = patterns.select("cases", "labels", F.inline("predictions")).select("cases", "profile", "predicted", F.inline("labels"))
+    outputs, passed = lake.outputs(), ["c1", "c2", "c3", "c4"]
+    both = G.decide(G.gate_inputs(checks(lake).select(*outputs.columns, *passed), lake.evidence(), lake.derivations(), lake.declared(), citing=outputs))
+    statuses = F.array_join(F.transform("routes", lambda r: F.concat_ws("=", r["profile"], r["status"])), "|")
+    patterns = both.groupBy(*passed, "action", statuses.alias("statuses")).agg(F.count(F.lit(1)).alias("cases"))
+    labels = F.inline(F.array(*[F.struct(F.lit(t).alias("target"), P.target_column(t).alias("label")) for t in P.TARGETS]))
+    each = patterns.select("cases", "statuses", labels).select("cases", "target", "label", F.explode(F.split("statuses", r"\|")).alias("route"))
+    unfolded = each.select("cases", "target", "label", F.split_part("route", F.lit("="), F.lit(1)).alias("profile"),
+                           F.split_part("route", F.lit("="), F.lit(2)).isin("review", "block").alias("predicted"))
     return P.confusion(unfolded, ["profile", "target"], "cases")
 
 

@@ -18,7 +18,7 @@ GM, CM = MODELS
 
 
 def run_checks(lake):
-    return S.case_checks(lake.runs(), lake.evidence(), lake.derivations(), lake.truth(), RUN_KEYS)
+    return S.case_checks(lake.runs(), lake.evidence(), lake.derivations(), lake.truth())
 
 
 add_view("scr", f"""
@@ -159,9 +159,12 @@ def agg_18(lake):
 @query("agg_19")
 def agg_19(lake):
     """Bootstrap interval of the mean signed distance per unit and field, 20,000 draws."""
-    long = distances(lake).select("model", "split", "round", F.inline_outer(F.array(*[
+    unit = ["model", "split", "round"]
+    # decisions are counted by what they say and what was expected, before any distance is taken
+    counted = lake.runs().join(lake.truth(), "case_id").groupBy(*unit, *P.FIELDS, "expected_verdict", "severity_band", "action_band").agg(F.count(F.lit(1)).alias("cases"))
+    long = P.with_distances(counted).select(*unit, "cases", F.inline_outer(F.array(*[
         F.struct(F.lit(f).alias("field"), F.col(f"{f}_distance").alias("d")) for f in P.FIELDS])))
-    return bootstrap_mean_ci(long, ["model", "split", "round", "field"], "d")
+    return bootstrap_mean_ci(long, [*unit, "field"], "d", weight="cases")
 
 
 @query("agg_20", "pair", f"""
@@ -239,7 +242,7 @@ def agg_22(lake):
 
 
 def run_routes(lake):
-    return G.decide(G.gate_inputs(lake.runs(), lake.evidence(), lake.derivations(), lake.declared(), keys=RUN_KEYS))
+    return G.decide(G.gate_inputs(lake.runs(), lake.evidence(), lake.derivations(), lake.declared()))
 
 
 @query("agg_26", "chkr gr", f"""
@@ -250,9 +253,12 @@ def run_routes(lake):
     GROUP BY GROUPING SETS ((c.model, c.split, c.round), (c.model), ())""")
 def agg_26(lake):
     """Dashboard counts per model, split and round with model and grand totals."""
-    status = G.routed(run_routes(lake), "model", "round").filter("profile = 'consequence_gate'").select(*RUN_KEYS, "status")
     joint = F.col("c1") & F.col("c2") & F.col("c3") & F.col("c4")
-    both = run_checks(lake).join(status, RUN_KEYS)
+    runs = lake.runs()
+    checked = run_checks(lake).select(*runs.columns, joint.alias("joint"), "severity_direction")
+    decided = G.decide(G.gate_inputs(checked, lake.evidence(), lake.derivations(), lake.declared(), citing=runs))
+    both = G.routed(decided, "model", "split", "round", "joint", "severity_direction").filter("profile = 'consequence_gate'")
+    joint = F.col("joint")
     return both.groupingSets([["model", "split", "round"], ["model"], []], "model", "split", "round").agg(
         F.count(F.lit(1)).alias("n"), count_where(joint).alias("a4_pass_n"),
         count_where(F.col("severity_direction") == "over").alias("severity_over_n"), count_where(F.col("severity_direction") == "under").alias("severity_under_n"),
@@ -265,7 +271,7 @@ def agg_26(lake):
     FROM gr WHERE round = 1 GROUP BY split, model, profile""")
 def agg_27(lake):
     first = lake.runs().filter("round = 1")
-    routes = G.routed(G.decide(G.gate_inputs(first, lake.evidence(), lake.derivations(), lake.declared(), keys=RUN_KEYS)), "model", "split")
+    routes = G.routed(G.decide(G.gate_inputs(first, lake.evidence(), lake.derivations(), lake.declared())), "model", "split")
     return routes.groupBy("split", "model", "profile").agg(
         F.count(F.lit(1)).alias("n"), *[count_where(F.col("status") == s).alias(f"{s}_n") for s in ("pass", "review", "block")])
 
