@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from alertweft.fixed import DEFAULT_CHANNEL, DEFAULT_PROVIDER
 from alertweft.functions.codec import DERIVERS, derive
 from alertweft.operators.packages import context, exclude_attributes, number_evidence
-from alertweft.operators.redaction import case_mapping, host_pseudonyms, redact, redact_map, replace_simultaneous, user_pseudonyms
+from alertweft.operators.aliases import replace_in_cases
+from alertweft.operators.redaction import case_aliases, host_pseudonyms, redact, redact_map, user_pseudonyms
 
 SCHEMA_VERSION, PACKAGE_TYPE = "1.0", "neutral_security_event_package"
 
@@ -43,17 +44,13 @@ def _user(attributes: Column) -> Column:
 def replace_identities(evidence: DataFrame, derived: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Hosts, accounts and corpus domains of each case replaced everywhere a model can read them.
 
-    The map of a case is as large as the identities its package shows.
+    The aliases of a case are as many as the identities its package shows.
     """
     hosts = host_pseudonyms(evidence, "case_id", "computer")
     users = user_pseudonyms(evidence.select("case_id", F.explode(F.array(
         F.col("attributes")["user"], F.col("attributes")["subject_user_name"], F.col("attributes")["target_user_name"])).alias("user")).where("user <> ''"), "case_id", "user")
-    mapping = case_mapping(hosts, users, "case_id").withColumnRenamed("mapping", "_mapping")
-    swap = lambda text: F.coalesce(replace_simultaneous(text, F.col("_mapping")), text)
-    items = evidence.join(mapping, "case_id", "left").withColumn("computer", swap(F.col("computer"))).withColumn(
-        "attributes", F.transform_values("attributes", lambda k, v: F.coalesce(replace_simultaneous(v, F.col("_mapping")), v))).drop("_mapping")
-    values = derived.join(mapping, "case_id", "left").withColumn("value", swap(F.col("value"))).drop("_mapping")
-    return items, values
+    aliases = case_aliases(hosts, users, "case_id")
+    return replace_in_cases(evidence, "case_id", ["computer", "attributes"], aliases), replace_in_cases(derived, "case_id", ["value"], aliases)
 
 
 def item_struct() -> Column:

@@ -60,22 +60,6 @@ def unmatched_literals(counted: DataFrame, mapping: dict[str, str]) -> DataFrame
     return totals.select(F.inline(rows))
 
 
-def replace_simultaneous(text: Column, mapping: Column) -> Column:
-    """Replace all keys of a map in one pass, longest key first, ignoring case.
-
-    The text is cut at the matches of one alternation and re-joined with the
-    mapped values, so a replacement is never replaced again.
-    """
-    keys = F.array_sort(F.map_keys(mapping), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(0))
-    quoted = F.transform(keys, lambda k: F.concat(F.lit("\\Q"), k, F.lit("\\E")))
-    pattern = F.concat(F.lit("(?i)("), F.array_join(quoted, "|"), F.lit(")"))
-    outside = F.split(text, pattern)
-    inside = F.transform(F.regexp_extract_all(text, pattern, F.lit(1)), lambda m: mapping[F.lower(m)])
-    tails = F.slice(outside, F.lit(2), F.greatest(F.size(outside) - 1, F.lit(0)))
-    joined = F.array_join(F.zip_with(inside, tails, lambda a, b: F.concat(a, b)), "")
-    return F.when(F.size(F.map_keys(mapping)) == 0, text).otherwise(F.concat(F.get(outside, F.lit(0)), joined))
-
-
 def host_pseudonyms(hosts: DataFrame, case: str, host: str) -> DataFrame:
     """(case, alias, pseudonym) rows for every form a host name takes.
 
@@ -114,13 +98,12 @@ def user_pseudonyms(users: DataFrame, case: str, user: str) -> DataFrame:
     return ranked.groupBy(case, F.lower("name").alias("alias")).agg(F.format_string("user-%02d", F.min("rn")).alias("pseudonym"))
 
 
-def case_mapping(hosts: DataFrame, users: DataFrame, case: str) -> DataFrame:
-    """One map per case: host forms, then users, then the corpus domains; earlier entries win."""
+def case_aliases(hosts: DataFrame, users: DataFrame, case: str) -> DataFrame:
+    """(case, alias, pseudonym): host forms, then users, then the corpus domains; earlier entries win."""
     both = hosts.withColumn("pri", F.lit(0)).unionByName(users.withColumn("pri", F.lit(1)))
-    first = both.groupBy(case, "alias").agg(F.min_by("pseudonym", "pri").alias("pseudonym"))
-    maps = first.groupBy(case).agg(F.map_from_entries(F.collect_list(F.struct("alias", "pseudonym"))).alias("m"))
-    extra = F.create_map(*[F.lit(x) for pair in CORPUS_DOMAINS.items() for x in pair])
-    return maps.select(case, F.map_concat(F.map_filter(extra, lambda k, v: ~F.map_contains_key(F.col("m"), k)), "m").alias("mapping"))
+    domains = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(p).alias("pseudonym"), F.lit(2).alias("pri")) for a, p in CORPUS_DOMAINS.items()])
+    every = both.unionByName(both.select(case).distinct().select(case, F.inline(domains)))
+    return every.groupBy(case, "alias").agg(F.min_by("pseudonym", "pri").alias("pseudonym"))
 
 
 def leak_hits(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from alertweft.fixed import CASE_LEAK_PATTERN, FORBIDDEN_PATTERNS, FRAMEWORK_PATTERN, LEAK_PATTERN, TECHNIQUE_PATTERN
 from alertweft.functions import codec as C
 from alertweft.functions.text import joined
-from alertweft.operators import redaction as X
+from alertweft.operators import aliases as A, redaction as X
 from alertweft.operators.scoring import over_assertion
 from alertweft.plans.queries.scoring import _over_sql
 from alertweft.plans.registry import query
@@ -108,11 +108,11 @@ def red_06(lake):
 
 @query("red_07", sql="SELECT doc_id, md5(regexp_replace(regexp_replace(text, 'tion', '1', 'gi'), 'the', '2', 'gi')) AS digest FROM documents")
 def red_07(lake):
-    """One-pass replacement; with keys that cannot interfere it equals the nested replaces of the twin."""
-    mapping = F.create_map(*[F.lit(x) for x in ("the", "2", "tion", "1")])
-    return lake.table("documents").select("doc_id", F.md5(X.replace_simultaneous(F.col("text"), mapping)).alias("digest"))
-
-
+    """One-pass replacement with the aliases of each language; with keys that cannot interfere it equals the nested replaces of the twin."""
+    docs = lake.table("documents").select("doc_id", "lang", "text")
+    pairs = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(p).alias("pseudonym")) for a, p in (("the", "2"), ("tion", "1"), ("TiON", "1"))])
+    aliases = docs.select("lang").distinct().select("lang", F.inline(pairs))
+    return A.replace_in_cases(docs, "lang", ["text"], aliases).select("doc_id", F.md5("text").alias("digest"))
 
 
 @query("red_08", sql=r"""SELECT doc_id, md5('proc {guid} ' || text) AS digest FROM documents""")
@@ -290,6 +290,6 @@ def udf_03(lake):
 def udf_05(lake):
     """Per-row mappings: every row brings its own key set to the one-pass replacement."""
     text = F.concat(F.lit("seen by "), F.upper("user"), F.lit(" on "), F.col("computer"))
-    return lake.events().select("event_id", X.replace_simultaneous(text, F.create_map(F.col("user"), F.lit("[user]"), F.col("computer"), F.lit("[host]"))).alias("text"))
+    return lake.events().select("event_id", A.replace_simultaneous(text, F.create_map(F.col("user"), F.lit("[user]"), F.col("computer"), F.lit("[host]"))).alias("text"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from alertweft.functions import codec as C
 from alertweft.functions.text import evidence_ids, occurrences, snake_case
 from alertweft.functions.times import natural_key, parse_time
-from alertweft.operators import redaction as X
+from alertweft.operators import aliases as A, redaction as X
 from alertweft.sources.lines import blocks, read_lines, read_records
 
 
@@ -52,7 +52,7 @@ def test_redaction_inside_and_outside_blobs(spark):
 
 def test_simultaneous_replace_is_not_sequential(spark):
     mapping = F.create_map(*[F.lit(x) for x in ("ab", "host-01", "abc", "ab", "host", "Z", "a.b", "dot")])
-    assert one(spark, X.replace_simultaneous(F.lit("ABC ab host axb A.B"), mapping)) == "ab host-01 Z axb dot"
+    assert one(spark, A.replace_simultaneous(F.lit("ABC ab host axb A.B"), mapping)) == "ab host-01 Z axb dot"
 
 
 def test_host_pseudonyms(spark):
@@ -61,7 +61,8 @@ def test_host_pseudonyms(spark):
     assert got == {"win-host-mhaag-attack-9.lab.local": "host-01.corp.local", "win-host-mhaag-attack-9": "host-01", "win-host-mhaag": "host-01",
                    "lab.local": "corp.local", "lab": "corp", "aa": "host-02"}
     users = spark.createDataFrame([("c", "LAB\\Ann"), ("c", "SYSTEM"), ("c", "host-1$"), ("c", "bob$")], "case string, user string")
-    both = X.case_mapping(X.host_pseudonyms(hosts, "case", "host"), X.user_pseudonyms(users, "case", "user"), "case").first().mapping
+    found = X.case_aliases(X.host_pseudonyms(hosts, "case", "host"), X.user_pseudonyms(users, "case", "user"), "case")
+    both = {r.alias: r.pseudonym for r in found.collect()}
     assert both["ann"] == "user-01" and both["bob"] == "user-02" and both["dmevals"] == "corp" and "system" not in both
 
 
