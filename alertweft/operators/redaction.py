@@ -12,6 +12,7 @@ from alertweft.fixed import (
 )
 from alertweft.functions.codec import base64_bytes, base64_text, utf16le_text, utf8_text
 from alertweft.functions.text import occurrences, replace_all
+from alertweft.session import materialise
 
 
 def redact_tokens(text: Column) -> Column:
@@ -137,34 +138,56 @@ def has_any(text: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.rlike(f"(?i){p}") for p in patterns], F.lit(False))
 
 
-def contained_passages(docs: DataFrame, doc_key: str, text: str, passages: DataFrame, passage_key: str,
-                       passage: str, words: int = 4) -> DataFrame:
+#: words of a run, characters of the pieces that stand for shorter passages, and rows of one run that a task joins
+RUN, PIECES, FREQUENT = 4, (16, 8, 4, 2, 1), 100_000
+
+
+def _starts(first: Column, last: Column) -> Column:
+    return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def _word_runs(words: Column, first: int, last: Column) -> Column:
+    """Hashes of the runs of RUN words that start from ``first`` to ``last``."""
+    return F.transform(_starts(F.lit(first), last), lambda i: F.xxhash64(F.lit(0), *[F.get(words, i + n - 1) for n in range(RUN)]))
+
+
+def _pieces(chars: Column, size: Column) -> Column:
+    """Hashes of all pieces of ``size`` characters."""
+    return F.transform(_starts(F.lit(1), F.size(chars) - size + 1), lambda i: F.xxhash64(size, F.array_join(F.slice(chars, i, size), "")))
+
+
+def contained_passages(docs: DataFrame, doc_key: str, text: str, passages: DataFrame, passage_key: str, passage: str) -> DataFrame:
     """(document, passage) pairs where the document contains the passage literally.
 
-    No pair of document and passage is compared without a shared anchor.  The
-    anchor of a passage is a run of its inner space-separated words, which must
-    appear unchanged in any text containing it; documents give the hash of each
-    of their word runs, both sides meet in an equi-join, and only candidates
-    are verified.  Passages too short for an inner run meet the documents'
-    substrings of the same length instead, so no passage is left out.
+    A passage stands for the runs of four of its inner space-separated words, which must
+    appear unchanged in any text that contains it; one too short for that, for its pieces of
+    16, 8, 4, 2 or 1 characters, whichever is the longest it has.  Documents are unfolded
+    once, into the hashes of their runs and of the pieces that some passage needs, and
+    keep those that occur in a passage.  How many documents have a run is counted, each passage is
+    looked up by the rarest of its runs only, and a run that many documents have is
+    salted.  A passage with a run that no document has is out at once.  What meets is
+    compared literally.  An empty passage is contained in nothing.
     """
-    sized = passages.select(passage_key, F.col(passage).alias("_p"), F.split(passage, " ").alias("_w"))
-    spans = {}
-    for n in (words, 1):
-        spans[n] = sized.filter(F.size("_w") >= n + 2 if n == words else (F.size("_w") >= 3) & (F.size("_w") < words + 2)).select(
-            passage_key, "_p", F.xxhash64(F.array_join(F.slice("_w", 2, n), " ")).alias("_h"))
-    found = []
-    for n, anchors in spans.items():
-        tokens = docs.select(doc_key, F.split(text, " ").alias("_t"))
-        runs = tokens.select(doc_key, F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size("_t") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("_t", i, n), " "))))).alias("_h"))
-        found.append(runs.join(anchors, "_h").select(doc_key, passage_key, "_p").distinct())
-    short = sized.filter((F.size("_w") < 3) & (F.length("_p") > 0)).select(passage_key, "_p", F.length("_p").alias("_n"))
-    # the distinct lengths, a short list of integers, reach the documents as a scalar subquery
-    widths = short.agg(F.collect_set("_n")).scalar()
-    cut = docs.select(doc_key, F.col(text).alias("_x"), F.explode(widths).alias("_n"))
-    pieces = cut.select(doc_key, "_n", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("_x") - F.col("_n") + 1, F.lit(1))), lambda i: F.substring(F.col("_x"), i, F.col("_n"))))).alias("_p"))
-    found.append(pieces.join(short, ["_n", "_p"]).select(doc_key, passage_key, "_p").distinct())
-    candidates = reduce(lambda a, b: a.unionByName(b), found).distinct()
-    return candidates.join(docs.select(doc_key, text), doc_key).filter(F.contains(F.col(text), F.col("_p"))).select(doc_key, passage_key)
+    words, chars = F.split("p", " "), F.split("p", "")
+    kind = F.when(F.size(words) >= RUN + 2, 0)
+    for size in PIECES:
+        kind = kind.when(F.length("p") >= size, size)
+    sized = passages.select(F.col(passage_key).alias("k"), F.col(passage).alias("p")).where("p <> ''").withColumn("kind", kind)
+    one = F.lit(1)
+    own = F.when(F.col("kind") == 0, _word_runs(words, 2, F.size(words) - RUN)).otherwise(_pieces(chars, F.col("kind")))
+    needed = materialise(sized.select("k", "p", "kind", F.explode(F.array_distinct(own)).alias("h")), "passage-runs")
+    kinds = sorted(r.kind for r in needed.select("kind").distinct().collect())  # at most one more than PIECES
+    split = docs.select(F.col(doc_key).alias("d"), F.split(text, " ").alias("w"), F.split(text, "").alias("c"))
+    theirs = [_pieces(F.col("c"), F.lit(n)) if n else _word_runs(F.col("w"), 1, F.size("w") - RUN + 1) for n in kinds]
+    every = F.array_distinct(F.concat(*theirs)) if theirs else F.array().cast("array<bigint>")
+    held = materialise(split.select("d", F.explode(every).alias("h")).join(needed.select("h").distinct(), "h", "left_semi"), "passage-meets")
+    counted = held.groupBy("h").agg(F.count(one).alias("n"))
+    # a run that no document has is the rarest, and has nothing to meet
+    rarest = needed.join(counted, "h", "left").groupBy("k", "p").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h")).alias("r")).select("k", "p", "r.*")
+    parts = F.ceil(F.col("n") / FREQUENT).cast("int")
+    often = counted.where(F.col("n") > FREQUENT).select("h", parts.alias("parts"))  # no more than all rows over FREQUENT
+    left = held.join(often, "h", "left").select("h", "d", F.pmod(F.xxhash64("d"), F.coalesce("parts", one)).cast("int").alias("salt"))
+    right = rarest.where("n > 0").select("k", "p", "h", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    met = left.join(right, ["h", "salt"]).select("d", "k", "p").distinct()
+    whole = docs.select(F.col(doc_key).alias("d"), F.col(text).alias("x"))
+    return met.join(whole, "d").filter(F.contains("x", "p")).select(F.col("d").alias(doc_key), F.col("k").alias(passage_key))

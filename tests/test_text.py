@@ -78,6 +78,23 @@ def test_containment_matches_brute_force(spark):
     assert got == {(i, j) for i, t in docs for j, s in passages if s in t}
 
 
+def test_containment_of_short_and_frequent_passages(spark, monkeypatch):
+    """Pieces of all sizes, runs in every document, passages that only share some runs, repeated keys and nulls."""
+    monkeypatch.setattr(X, "FREQUENT", 7)
+    rng = random.Random(12)
+    common = "the quick brown fox jumps over the lazy dog"
+    docs = [(i, f"{rng.choice('xyz')} {common} {rng.choice(['é', '\U0001f600', 'end'])} {' '.join(rng.choice('ab') * rng.randrange(1, 20) for _ in range(12))}") for i in range(40)]
+    docs += [(100, ""), (101, None), (None, common), (102, "a"), (3, "another text of the same key " + common)]
+    cuts = [t[s : s + n] for _, t in docs[:12] for s, n in ((0, 1), (3, 2), (5, 5), (2, 9), (7, 17), (0, 33), (1, 60))]
+    passages = [(i, p) for i, p in enumerate([*cuts, common, "brown fox jumps over the lazy", "quick brown fox jumps under", "", "zzz", "e quick brown fox jumps over t", "\U0001f600"])] + [(5, "lazy"), (6, None)]
+    d = spark.createDataFrame(docs, "doc long, text string").withColumn("h", F.lit(1)).withColumn("k", F.lit(2))
+    p = spark.createDataFrame(passages, "item long, passage string")
+    got = sorted((r.doc, r.item) for r in X.contained_passages(d, "doc", "text", p, "item", "passage").distinct().collect())
+    assert got == sorted({(i, j) for i, t in docs if i is not None and t for j, s in passages if s and s in t})
+    assert X.contained_passages(d, "doc", "text", p.limit(0), "item", "passage").count() == 0
+    assert X.contained_passages(d.limit(0), "doc", "text", p, "item", "passage").count() == 0
+
+
 def test_line_numbers_and_blocks_across_chunks(spark, tmp_path):
     lines = [("H" if i % 7 == 3 else "x") + str(i) * (i % 5) if i % 11 else "" for i in range(500)]
     for name in ("a.txt", "b.txt"):
