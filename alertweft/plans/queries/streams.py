@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alertweft.operators import gate as G, scoring as S
-from alertweft.operators.cost import latest_usage
 from alertweft.plans.adapters import canonical_events
 from alertweft.plans.queries.gate import _gate_view  # noqa: F401  (registers the gate views)
 from alertweft.plans.registry import query
@@ -61,5 +60,4 @@ def str_04(lake):
     stream = lake.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     keys = ["case_id", "model", "round"]
     Z.upsert_latest(stream, target, keys, F.col("seq")).awaitTermination()
-    merged = lake.spark.read.parquet(target).select(*keys, "seq", "input_tokens")
-    return latest_usage(merged, keys, "seq")
+    return Z.latest(lake.spark, target, rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -53,16 +55,59 @@ def gate_stream(decisions: DataFrame, facts: DataFrame, ids: DataFrame, path: st
     return decisions.writeStream.foreachBatch(route_batch).trigger(availableNow=True).option("checkpointLocation", f"{path}-state").start()
 
 
-def upsert_latest(usage: DataFrame, path: str, keys: list[str], order: Column) -> StreamingQuery:
-    """Append each micro-batch, reduced to its latest record per key; readers take the latest over batches."""
+def upsert_latest(usage: DataFrame, path: str, keys: list[str], order: Column, buckets: int = 16) -> StreamingQuery:
+    """Keep the latest record of every key in a table of one row per key, see :func:`latest`.
+
+    The state holds one record per key, and each micro-batch gives the keys whose
+    records it touched.  A key lives in a bucket by its hash; the buckets of changed keys are
+    written anew as a version named by the batch, and one small file of commits says which
+    buckets it holds.  Readers follow the newest commit of each bucket, so they never see half a batch,
+    and a batch that is run again starts from the versions before it and replaces its own.
+    Records of equal order are settled by their other fields.  State and table grow
+    with the keys; ``buckets`` should follow the size of the table.
+    """
     fields = [c for c in usage.columns if c not in keys]
+    record = F.struct(*fields)
+    kept = usage.groupBy(*keys).agg(F.max(F.struct(order.alias("order"), record.alias("record"))).alias("u")).select(*keys, "u.record.*")
+    # a first, empty commit, so that there is always something to read
+    usage.sparkSession.createDataFrame([], "bucket int").write.mode("ignore").parquet(f"{path}/commits/version=-1")
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        latest = batch.groupBy(*keys).agg(F.max_by(F.struct(*fields), order).alias("u")).select(*keys, "u.*")
-        # one folder per epoch: a replayed batch overwrites only itself
-        latest.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
-
-    return usage.writeStream.foreachBatch(merge).trigger(availableNow=True).option("checkpointLocation", f"{path}-state").start()
+        spark = batch.sparkSession
+        changed = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        try:
+            touched = [r.bucket for r in changed.select("bucket").distinct().collect()]  # no more than there are buckets
+            if not touched:
+                return
+            places = [p for b, p in _places(spark, path, epoch).items() if b in touched]
+            new = changed.select(*batch.columns, "bucket")
+            if places:
+                old = spark.read.schema(batch.schema).parquet(*places)
+                again = reduce(lambda a, b: a & b, [old[k].eqNullSafe(changed[k]) for k in keys])
+                stay = old.join(changed, again, "left_anti")
+                new = new.unionByName(stay.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+            new.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/data/version={epoch}")
+            commit = spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1)
+            commit.write.mode("overwrite").parquet(f"{path}/commits/version={epoch}")
+        finally:
+            changed.unpersist()
+
+    return kept.writeStream.outputMode("update").foreachBatch(merge).trigger(availableNow=True).option("checkpointLocation", f"{path}-state").start()
+
+
+def _places(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
+    """Folder of the newest committed version of each bucket, of those before a batch if one is given."""
+    commits = spark.read.schema("bucket int, version bigint").parquet(f"{path}/commits")
+    if before is not None:
+        commits = commits.where(F.col("version") < before)
+    newest = commits.groupBy("bucket").agg(F.max("version").alias("version")).collect()
+    return {r.bucket: f"{path}/data/version={r.version}/bucket={r.bucket}" for r in newest}
+
+
+def latest(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The table of :func:`upsert_latest`, with the columns of ``like``: one row per key."""
+    places = list(_places(spark, path).values())
+    return spark.read.schema(like.schema).parquet(*places) if places else spark.createDataFrame([], like.schema)
 
 
 def drain(stream: DataFrame, label: str) -> DataFrame:
