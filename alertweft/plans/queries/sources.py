@@ -372,11 +372,6 @@ def snk_06(lake):
 @query("snk_07", "o", "SELECT 'MODIFIED' AS status, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'SAME', CAST(count(*) AS BIGINT) FROM o")
 def snk_07(lake):
     """Staged copy is read back and its row hashes are reconciled with the originals."""
-    from alertweft.operators.integrity import reconcile, row_digest
-    path = scratch_path(lake.spark, "inputs")
-    original = lake.outputs().select("case_id", row_digest(F.col("case_id"), F.col("rationale"), F.col("action")).alias("sha256"))
-    lake.outputs().write.parquet(path)
-    copy = lake.spark.read.parquet(path).select("case_id", row_digest(F.col("case_id"), F.col("rationale"), F.col("action")).alias("sha256"))
-    status = reconcile(original, copy, "case_id", "sha256")
+    status = sinks.freeze(lake.outputs().select("case_id", "rationale", "action"), "case_id", scratch_path(lake.spark, "inputs"))
     return status.agg(count_where(F.col("status") != "SAME").alias("m"), count_where(F.col("status") == "SAME").alias("s")).select(
         F.inline_outer(F.array(F.struct(F.lit("MODIFIED").alias("status"), F.col("m").alias("n")), F.struct(F.lit("SAME").alias("status"), F.col("s").alias("n")))))
