@@ -48,33 +48,66 @@ def argument_errors(schemas: dict[str, dict[str, dict]], name: Column, raw: Colu
     return F.array_sort(F.array_distinct(cases))
 
 
+def anchors(edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, anchor, steps) of every call with one dependency: the nearest call upwards that has none or several.
+
+    Every round replaces a call's pointer by that of the call it points to, so a
+    chain of n calls takes log2 n rounds.  While some call is left that does not
+    hang on a cycle, each round settles one; when a round settles none, the
+    rest hang on cycles and are left out.
+    """
+    key = ["conv_id", "call_id"]
+    single = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("anchor")).where("n = 1")
+    at = materialise(single.select(*key, "anchor", F.lit(1).alias("steps")), "tool-chains")
+    before = None
+    while True:
+        over = at.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("steps").alias("more"))
+        state = at.join(over, ["conv_id", "anchor"], "left")
+        waiting = state.where("next IS NOT NULL").count()
+        if waiting in (0, before):
+            return materialise(state.where("next IS NULL").select(*key, "anchor", "steps"), "tool-anchors")
+        before = waiting
+        at = materialise(state.select(
+            *key, F.coalesce("next", "anchor").alias("anchor"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "tool-chains")
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of the distinct calls whose dependencies can be put in order.
 
     A call without dependencies has level 0, any other one more than the deepest
-    of them.  Every round settles the calls that wait for settled ones only, is
-    written, and works on what is left; there are as many rounds as the longest
-    chain is long.  Calls on a cycle, or behind one, get no level.
+    of them.  Chains of calls with one dependency each are folded first, see ``anchors``.
+    What is left are calls with several; every round settles those that wait for settled
+    ones only, is written, and works on the rest, so there are as many rounds as
+    such calls follow each other.  Calls on a cycle, or behind one, get no level.
     """
     key = ["conv_id", "call_id"]
     # a dependency on a call that is not there does not hold a call back
     edges = calls.select(*key, F.explode(F.array_distinct("after")).alias("parent")).distinct()
     there = calls.select("conv_id", F.col("call_id").alias("parent")).distinct()
     edges = materialise(edges.join(there, ["conv_id", "parent"]), "tool-edges")
+    folded = anchors(edges)
+    several = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
+    # a dependency that hangs on a cycle stays as it is and is never settled
+    up = folded.select("conv_id", F.col("call_id").alias("parent"), "anchor", "steps")
+    rest = materialise(edges.join(several, key).join(up, ["conv_id", "parent"], "left").select(
+        *key, F.coalesce("anchor", "parent").alias("parent"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")), "tool-edges")
     done = materialise(calls.select(*key).distinct().join(edges, key, "left_anti").withColumn("level", F.lit(0)), "tool-levels")
     settled, parts = done, [done]
-    while True:
-        state = edges.join(
+    while not rest.isEmpty():
+        state = rest.join(
             settled.select("conv_id", F.col("call_id").alias("parent"), F.col("level").alias("_level")), ["conv_id", "parent"], "left")
         ready = state.groupBy(*key).agg(
-            F.count(F.lit(1)).alias("_all"), F.count("_level").alias("_known"), (F.max("_level") + 1).alias("level")
+            F.count(F.lit(1)).alias("_all"), F.count("_level").alias("_known"), F.max(F.col("_level") + F.col("steps")).alias("level")
         ).where("_all = _known").select(*key, "level")
         fresh = materialise(ready, "tool-levels")
         if fresh.isEmpty():
-            return settled
+            break
         parts.append(fresh)
         settled = reduce(DataFrame.unionByName, parts)
-        edges = materialise(edges.join(fresh, key, "left_anti"), "tool-edges")
+        rest = materialise(rest.join(fresh, key, "left_anti"), "tool-edges")
+    base = settled.select("conv_id", F.col("call_id").alias("anchor"), F.col("level").alias("_level"))
+    chained = folded.join(base, ["conv_id", "anchor"]).select(*key, (F.col("_level") + F.col("steps")).alias("level"))
+    return settled.unionByName(chained)
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, dict]]) -> DataFrame:

@@ -55,3 +55,36 @@ def test_long_chain(spark):
     results = spark.createDataFrame([(1, 0, f"k{i}", "r", "") for i in range(12)], RESULTS)
     rows = toolcalls.link(calls, results, SCHEMAS).orderBy("position").collect()
     assert [r.call_id for r in rows] == [f"k{i}" for i in range(12)] and [r.position for r in rows] == list(range(1, 13))
+
+
+def test_levels_of_chains_joints_and_cycles(spark):
+    """Random dependencies with long chains, calls with several, and cycles, against a walk in plain Python."""
+    import random
+
+    rng, rows, want = random.Random(6), [], {}
+    for conv in range(25):
+        size = rng.choice([1, 3, 40])
+        after = {c: sorted({rng.randrange(c) if rng.random() < 0.3 else c - 1 for _ in range(rng.choice([1, 1, 1, 1, 2, 3]))}) if c and rng.random() < 0.95 else [] for c in range(size)}
+        if conv % 3 == 0 and size > 3:  # a cycle of two, behind other calls or not, or a call that waits for itself
+            at = size // 2
+            after[at] = [*after[at][: conv % 2], at + 1 if conv % 4 else at]
+            after[at + 1] = [at]
+        level, changed = {}, True
+        while changed:
+            changed = False
+            for c, parents in after.items():
+                if c not in level and all(p in level for p in parents):
+                    level[c], changed = max([level[p] + 1 for p in parents], default=0), True
+        want |= {(conv, str(c)): n for c, n in level.items()}
+        rows += [(conv, str(c), [*map(str, p), "gone"]) for c, p in after.items()]
+    found = toolcalls.levels(spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>")).collect()
+    assert len(found) == len(want) < len(rows) and {(r.conv_id, r.call_id): r.level for r in found} == want
+
+
+def test_a_chain_of_five_hundred_calls(spark):
+    import time
+
+    rows = [(1, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(500)]
+    start = time.time()
+    found = toolcalls.levels(spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>")).collect()
+    assert sorted(r.level for r in found) == list(range(500)) and time.time() - start < 60
