@@ -180,7 +180,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", mod: int
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row; chunks cover the whole text, and a null or empty text is one chunk of padding."""
+    """(id, score) of every row; chunks cover the whole text, and a null or empty text is one chunk of padding.
+
+    Repeated rows score alike, other columns are not read, an empty table gives no rows.
+    """
     narrow = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
     schema = T.StructType([narrow.schema["id"], T.StructField("score", T.DoubleType())])
 

@@ -429,7 +429,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(id, n_paragraphs, findings) of every row; findings are the licences by the line they begin in, in order.
 
     Every line of the whole text is read; ``n_paragraphs`` counts those that are not blank.  Null and empty texts have no
-    paragraphs; repeated rows answer alike; other columns are not read.
+    paragraphs; repeated rows answer alike; other columns are not read; an empty table gives no rows.
     """
     narrow = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
     schema = T.StructType([narrow.schema["id"], T.StructField("n_paragraphs", T.IntegerType()), T.StructField("findings", T.ArrayType(FINDING))])

@@ -201,6 +201,7 @@ def near_duplicates(
     but never name a class, so a class of such rows only has a null
     ``component_id``; repeated rows each get the same answer; other columns are
     not read.  Equal fingerprints are reduced to one before anything is compared.
+    Long texts are read whole, STEP shingles at a time; an empty table gives no rows.
     """
     fps = materialise(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
     unique = fps.groupBy("fp").agg(F.min("id").alias("first"))

@@ -390,7 +390,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     is a leak at half the item's windows or at sixteen.  An item without any window
     is a leak where all its words follow each other.  Null and empty texts
     match nothing, repeated rows each match, items below five tokens are not
-    judged, and further columns are not read.  Only a bitmap of fixed size is
+    judged, and further columns are not read.  Long texts are read whole; without
+    documents or items there are no rows.  Only a bitmap of fixed size is
     broadcast; windows that pass it are joined by hash.
     """
     spark = docs.sparkSession

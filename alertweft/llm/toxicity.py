@@ -228,7 +228,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", mod: int =
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row over its whole text; a null or empty text scores by the bias alone."""
+    """(id, score) of every row over its whole text; a null or empty text scores by the bias alone.
+
+    Repeated rows score alike, other columns are not read, an empty table gives no rows.
+    """
     narrow = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
     schema = T.StructType([narrow.schema["id"], T.StructField("score", T.DoubleType())])
 
