@@ -125,6 +125,15 @@ def qualifying(sessions: DataFrame, count_gte: int, within_seconds: float | None
     return kept
 
 
+def limits(rule: dict) -> dict:
+    """Thresholds of a rule's aggregation block, times in microseconds."""
+    block = rule["aggregation"]
+    micros = lambda name: None if block.get(name) is None else int(block[name] * 1_000_000)
+    distinct = block.get("distinct")
+    return {"count": block["count_gte"], "gap": micros("session_gap_seconds_lte"), "within": micros("within_seconds_lte"),
+            "distinct": distinct["count_gte"] if distinct else None}
+
+
 def bursts(events: DataFrame, aggregation: dict, columns: dict[str, str], at: str, order: Column,
            first_fields: list[str]) -> DataFrame:
     """Qualifying groups of a rule's aggregation block; ``columns`` maps rule fields to columns."""

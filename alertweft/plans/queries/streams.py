@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alertweft.operators import gate as G, scoring as S
+from alertweft.operators.sessions import limits
 from alertweft.plans.adapters import canonical_events
 from alertweft.plans.queries.gate import _gate_view  # noqa: F401  (registers the gate views)
 from alertweft.plans.registry import query
+from alertweft.plans.rule_library import rules as shipped_rules
+from alertweft.plans.telemetry import BURST_START, burst_telemetry, bursts_sql
 from alertweft.session import materialise, scratch_path
-from alertweft.streaming import rules as Z
+from alertweft.streaming import bursts as B, rules as Z
+
+GROUPED = [r for r in shipped_rules() if r.get("aggregation")]
 
 RULES = [
     {"case_id": "ERR", "event_predicate": {"field": "attributes.event_type", "op": "eq", "value": "error"}},
@@ -37,6 +42,26 @@ def str_02(lake):
     return Z.drain(Z.burst_sessions(errors, ["computer"], "event_time", 7200, "user_id", 3, 2), "bursts")
 
 
+@query("str_02_rules", sql=f"WITH {bursts_sql({r['case_id']: limits(r) for r in GROUPED})} SELECT rule_case, grp, n, start_us, end_us, n_distinct, CAST(first_event AS VARCHAR) AS first_key FROM found")
+def str_02_rules(lake):
+    """All aggregated library rules over a log that arrives in three parts, up to four minutes out of order, and then ends."""
+    source, target, marks = (scratch_path(lake.spark, name) for name in ("burst-in", "burst-out", "burst-end"))
+    events = burst_telemetry(lake).drop("event_id")
+    since = F.unix_micros("event_time") - BURST_START
+    last = events.agg(F.max(since).alias("last")).first().last or 0
+    delay = F.col("record_key").cast("bigint") % 5 * 60_000_000
+    part = F.least(F.lit(2), F.floor((since + delay) * 3 / (last + 1)))
+    for number in range(3):
+        events.filter(part == number).write.mode("append").parquet(source)
+    stream = lake.spark.readStream.schema(events.schema).parquet(source)
+    for final in (False, True):
+        if final:
+            B.end(lake.spark, marks)
+        B.write_available(B.aggregated_alerts(stream, GROUPED, B.endings(lake.spark, marks)), target).awaitTermination()
+    found = lake.spark.read.schema(B.OUTPUT).parquet(target)
+    return found.select("rule_case", F.array_join("group", "|").alias("grp"), "n", "start_us", "end_us", "n_distinct", "first_key")
+
+
 @query("str_03", "g", "SELECT case_id, profile, status FROM g")
 def str_03(lake):
     """Decisions arrive as a stream; package facts are a static table."""

@@ -11,7 +11,7 @@ from alertweft.operators.selection import first_in_order
 from alertweft.operators.replay import replay
 from alertweft.plans.registry import query
 from alertweft.plans.rule_library import rules as shipped_rules, taxonomy_rows
-from alertweft.plans.telemetry import SCENARIOS, expected_hits_sql, telemetry
+from alertweft.plans.telemetry import SCENARIOS, burst_telemetry, bursts_sql, expected_hits_sql, telemetry
 
 ERROR = {"all": [{"field": "attributes.event_type", "op": "eq", "value": "error"}]}
 BURST = {"group_by": ["computer"], "count_gte": 3, "session_gap_seconds_lte": 21600,
@@ -241,3 +241,22 @@ def chk_23_replay(lake):
     rows = replay(events, shipped_rules(), taxonomy_rows(), found.select("case_id", key.cast("string").alias("record_key")))
     return rows.select("case_id", "scope_events", "predicate_matches", "qualifying_groups", "strategy", "selected_key", "expected_key",
                        F.array_join("problems", "|").alias("problems"), "passed")
+
+
+_AGGREGATED = [r for r in shipped_rules() if r.get("aggregation")]
+
+
+@query("chk_23_groups", sql=f"""
+    WITH {bursts_sql({r['case_id']: Q.limits(r) for r in _AGGREGATED})},
+    m AS (SELECT rule_case, count(*) AS n, min(e) AS smallest FROM b GROUP BY rule_case),
+    q AS (SELECT rule_case, count(*) AS groups, arg_min(first_event, (-n, start_us, first_event)) AS sel FROM found GROUP BY rule_case),
+    r(rule_case) AS (VALUES {", ".join(f"('{r['case_id']}')" for r in _AGGREGATED)}),
+    j AS (SELECT rule_case, coalesce(m.n, 0) AS n, coalesce(groups, 0) AS groups, sel, smallest AS expected FROM r LEFT JOIN m USING (rule_case) LEFT JOIN q USING (rule_case))
+    SELECT rule_case AS case_id, (SELECT CAST(count(*) AS BIGINT) FROM events) AS scope_events, CAST(n AS BIGINT) AS predicate_matches, CAST(groups AS BIGINT) AS qualifying_groups,
+        CAST(sel AS VARCHAR) AS selected_key, CAST(expected AS VARCHAR) AS expected_key, concat_ws('|', CASE WHEN sel IS NULL THEN 'nothing selected' END, CASE WHEN sel <> expected THEN 'another event is configured' END) AS problems, coalesce(sel = expected, false) AS passed FROM j""")
+def chk_23_groups(lake):
+    """The aggregated library rules replayed over bursts; each is configured on the first event it matches, which need not be in its largest group."""
+    events = burst_telemetry(lake)
+    first = R.match_rules(events, _AGGREGATED).groupBy(F.col("rule_case").alias("case_id")).agg(F.min("event_id").cast("string").alias("record_key"))
+    rows = replay(events, _AGGREGATED, taxonomy_rows(), first)
+    return rows.select("case_id", "scope_events", "predicate_matches", "qualifying_groups", "selected_key", "expected_key", F.array_join("problems", "|").alias("problems"), "passed")

@@ -57,6 +57,53 @@ def telemetry(lake: Lake) -> DataFrame:
     return shaped.withColumn("derived", F.create_map(F.lit("decoded_command"), encoded_command(command)))
 
 
+#: events that share a host, seconds between them by block, and the time the first block starts at
+BLOCK, STEPS_MS, BURST_START = 40, (300, 1000, 2000, 20000), 1_700_000_000_000_000
+
+
+def burst_telemetry(lake: Lake) -> DataFrame:
+    """The events dealt to logon, remote desktop and driver bursts, for the rules with an aggregation block.
+
+    Forty events in a row make a block: one host, a fixed step between its events and a
+    pause in its middle.  Steps, repeated values and missing ones make groups of every
+    rule fail by count, span, gap or distinct values.
+    """
+    e = F.col("event_id")
+    block, place = F.floor(e / BLOCK), e % BLOCK
+    step = F.get(F.array(*[F.lit(s) for s in STEPS_MS]), (block % len(STEPS_MS)).cast("int"))
+    us = F.lit(BURST_START) + (block % 1_000_000) * 810_000_000 + place * step * 1000 + F.when(place >= BLOCK // 2, 5_000_000).otherwise(0)
+    name = block.cast("string")
+    value = F.when(e % 13 != 0, F.concat(F.lit("v"), (e % F.when(block % 5 == 0, 7).otherwise(11)).cast("string")))
+    text = lambda word: F.concat(F.lit(word + "-"), name)
+    entries = lambda pairs: F.map_filter(F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+    logon = entries([("sub_status", F.lit("0xC0000064")), ("workstation_name", text("ws")), ("target_user_name", value)])
+    desktop = entries([("destination_port", F.lit("3389")), ("initiated", F.lit("False")), ("source_ip", text("src")),
+                       ("destination_ip", text("dst")), ("source_port", value)])
+    image = F.concat(F.lit("C:\\w\\spool\\drivers\\x64\\3\\"), F.coalesce(value, F.lit("none")), F.lit(".dll"))
+    driver = entries([("image", F.lit(SYSTEM32 + "spoolsv.exe")), ("process_id", name), ("image_loaded", image)])
+    kind = (e % 3).cast("int")
+    return lake.table("events").select(
+        "event_id", e.cast("string").alias("record_key"), F.timestamp_micros(us.cast("bigint")).alias("event_time"),
+        F.get(F.array(F.lit(4625), F.lit(3), F.lit(7)), kind).alias("event_code"), F.concat(F.lit("host-"), (block % 10).cast("string")).alias("computer"),
+        F.get(F.array(logon, desktop, driver), kind).alias("attributes"))
+
+
+def bursts_sql(limits: dict[str, dict]) -> str:
+    """Groups of the three aggregated rules over the burst telemetry, from their thresholds: (rule_case, grp, n, start_us, end_us, n_distinct, first_event)."""
+    steps = " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(STEPS_MS))
+    arms = " ".join(f"WHEN '{case}' THEN {{{case}}}" for case in limits)
+    pick = lambda name, missing: "CASE rule_case " + arms.format(**{c: missing if v[name] is None else v[name] for c, v in limits.items()}) + " END"
+    return f"""
+    b AS (SELECT event_id AS e, event_id // {BLOCK} AS b, event_id % {BLOCK} AS p, CASE event_id % 3 WHEN 0 THEN 'BF-002' WHEN 1 THEN 'BF-001' ELSE 'ER-C03' END AS rule_case,
+        CASE WHEN event_id % 13 <> 0 THEN 'v' || event_id % (CASE WHEN (event_id // {BLOCK}) % 5 = 0 THEN 7 ELSE 11 END) ELSE 'none' END AS v FROM events),
+    t AS (SELECT *, {BURST_START} + (b % 1000000) * 810000000 + p * (CASE b % {len(STEPS_MS)} {steps} END) * 1000 + CASE WHEN p >= {BLOCK // 2} THEN 5000000 ELSE 0 END AS us FROM b),
+    g AS (SELECT *, us - lag(us) OVER (PARTITION BY rule_case, b ORDER BY us) AS gap FROM t),
+    s AS (SELECT *, sum(CASE WHEN gap > {pick('gap', 1 << 62)} THEN 1 ELSE 0 END) OVER (PARTITION BY rule_case, b ORDER BY us) AS sid FROM g),
+    found AS (SELECT rule_case, CASE rule_case WHEN 'BF-002' THEN 'host-' || b % 10 || '|ws-' || b WHEN 'BF-001' THEN 'src-' || b || '|dst-' || b || '|3389' ELSE CAST(b AS VARCHAR) END AS grp,
+        CAST(count(*) AS BIGINT) AS n, CAST(min(us) AS BIGINT) AS start_us, CAST(max(us) AS BIGINT) AS end_us, CAST(count(DISTINCT v) AS BIGINT) AS n_distinct, min(e) AS first_event
+        FROM s GROUP BY rule_case, b, sid HAVING count(*) >= {pick('count', 1)} AND max(us) - min(us) <= {pick('within', 1 << 62)} AND count(DISTINCT v) >= {pick('distinct', 0)})"""
+
+
 def expected_hits_sql() -> str:
     """VALUES rows (scenario, rule) for the SQL twins."""
     return ", ".join(f"({i}, '{rule}')" for i, (_, _, hits) in enumerate(SCENARIOS) for rule in hits)
