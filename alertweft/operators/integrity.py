@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from alertweft.sources.byte_ranges import listed, located, range_hashes
+
 # Manifest categories, first matching prefix wins.
 CATEGORIES = [
     ("archive", ["archive/"]), ("experiments", ["experiments/"]), ("dataset", ["tier1/", "tier2/"]), ("spec", ["rubric/", "tools/schema/"]),
@@ -29,14 +31,15 @@ def category(path: Column) -> Column:
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """path, bytes, sha256, category of every file below ``root``.
 
-    A file is read whole by one task, as its hash asks for; the reader refuses
-    files of 2 GiB and more with an error rather than leaving them out.
+    Files are listed by name, largest first dealt to the tasks; a task reads and hashes
+    a file in steps, so a file of any size takes the same memory.  A digest of one file
+    is one task's work.  Files named with a leading ``_`` or ``.`` are left out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.removeprefix("file:").rstrip("/")
-    relative = F.regexp_replace(F.col("path"), "^(file:)?/*" + base.lstrip("/") + "/", "")
-    return files.select(relative.alias("path"), F.col("length").alias("bytes"),
-                        F.sha2("content", 256).alias("sha256"), category(relative).alias("category"))
+    top = located(root)[1].rstrip("/") + "/"
+    names = [(name, place.removeprefix(top)) for name, place, _ in sorted(listed(root), key=lambda f: -f[2])]
+    files = spark.createDataFrame(names, "file string, path string").repartition(max(1, min(len(names), 4 * spark.sparkContext.defaultParallelism)))
+    whole = range_hashes(files.withColumn("byte_start", F.lit(0).cast("bigint")).withColumn("byte_end", F.lit(None).cast("bigint")))
+    return whole.select("path", F.col("file_bytes").alias("bytes"), "sha256", category(F.col("path")).alias("category"))
 
 
 def reconcile(declared: DataFrame, actual: DataFrame, key: str, digest: str) -> DataFrame:

@@ -8,11 +8,14 @@ from alertweft.fixed import PRICES
 from alertweft.functions.stats import count_where
 from alertweft.operators import correlation as T, cost as M, lineage as N, rules as R
 from alertweft.operators.integrity import row_digest
+from alertweft.operators.provenance import verify_records
 from alertweft.plans.adapters import add_view
 from alertweft.plans.queries.rounds import RUN_KEYS, partial_runs
 from alertweft.plans.registry import query
 from alertweft.plans.rule_library import rules as shipped_rules, taxonomy_rows
 from alertweft.plans.telemetry import SCENARIOS, expected_hits_sql, telemetry
+from alertweft.session import materialise, scratch_path
+from alertweft.sources.byte_ranges import csv_records, line_text, raw_lines
 
 
 def literal_rows(lake, names, rows):
@@ -226,6 +229,41 @@ def jn_22(lake):
     return checked.filter("sha256 is null or sha256 <> declared").select("doc_id", "line_no", F.when(F.col("sha256").isNull(), "absent").otherwise("mismatch").alias("problem"))
 
 
+@query("jn_22_locators", "ev", """
+    SELECT event_id, 'line' AS kind, CASE WHEN event_id % 70 = 0 THEN 'absent' ELSE 'mismatch' END AS problem FROM ev WHERE event_id % 70 = 0 OR event_id % 50 = 0
+    UNION ALL SELECT event_id, 'bytes', CASE WHEN event_id % 60 = 0 THEN 'invalid byte range' ELSE 'mismatch' END FROM ev WHERE event_id % 60 = 0 OR event_id % 45 = 0
+    UNION ALL SELECT event_id, 'csv', 'absent' FROM ev WHERE event_id % 40 = 0
+    UNION ALL SELECT event_id, 'csv', 'id mismatch' FROM ev WHERE event_id % 40 <> 0 AND event_id % 35 = 0
+    UNION ALL SELECT event_id, 'csv', 'mismatch' FROM ev WHERE event_id % 40 <> 0 AND event_id % 55 = 0""")
+def jn_22_locators(lake):
+    """Declared records of line files and of CSV files with quoted line breaks, by all three locators and with seeded faults.
+
+    Places are read from the files, hashes are taken from the table, so a record read from a wrong place would be one more problem.
+    """
+    events = lake.events().select("event_id", F.concat_ws("|", F.col("event_id").cast("string"), "event_type", F.coalesce("props", F.lit(""))).alias("value"), "event_type")
+    plain, table = scratch_path(lake.spark, "lines"), scratch_path(lake.spark, "csv")
+    events.select("value").write.text(plain)
+    note = F.concat("value", F.lit("\n\n\"quoted\", end"))
+    rows = events.select(F.col("event_id").cast("string").alias("_id"), note.alias("note"), F.col("event_type").alias("a"))
+    rows.write.option("header", True).option("escape", '"').csv(table)
+    lines, csv_lines = raw_lines(lake.spark, plain, 1 << 20), raw_lines(lake.spark, table, 1 << 20)
+
+    e, none = F.col("event_id"), F.lit(None).cast("bigint")
+    tampered = lambda every, digest: F.when(e % every == 0, F.sha2(F.lit("tampered"), 256)).otherwise(digest)
+    places = lines.select("file", "line_no", "byte_start", (F.col("byte_end") - 1).alias("byte_end"), F.split_part(line_text(F.col("raw")), F.lit("|"), F.lit(1)).cast("bigint").alias("event_id"))
+    placed = places.join(events.select("event_id", F.sha2("value", 256).alias("digest")), "event_id")
+    by_line = placed.select("event_id", F.lit("line").alias("kind"), "file", F.when(e % 70 == 0, F.col("line_no") + 1_000_000_000_000).otherwise(F.col("line_no")).alias("number"),
+                            none.alias("byte_start"), none.alias("byte_end"), F.lit("").alias("record_id"), tampered(50, F.col("digest")).alias("declared_sha256"))
+    by_range = placed.select("event_id", F.lit("bytes").alias("kind"), "file", none.alias("number"), "byte_start", F.when(e % 60 == 0, F.col("byte_start")).otherwise(F.col("byte_end")).alias("byte_end"),
+                             F.lit("").alias("record_id"), tampered(45, F.col("digest")).alias("declared_sha256"))
+    content = rows.select(F.col("_id").cast("bigint").alias("event_id"), F.sha2(F.to_json(F.struct("_id", "a", "note")), 256).alias("digest"))
+    ordinals = csv_records(csv_lines).filter("ordinal > 1").select("file", "ordinal", F.split_part(line_text(F.col("raw")), F.lit(","), F.lit(1)).cast("bigint").alias("event_id")).join(content, "event_id")
+    by_ordinal = ordinals.select("event_id", F.lit("csv").alias("kind"), "file", F.when(e % 40 == 0, F.col("ordinal") + 1_000_000_000_000).otherwise(F.col("ordinal")).alias("number"),
+                                 none.alias("byte_start"), none.alias("byte_end"), F.when(e % 35 == 0, "other").otherwise(e.cast("string")).alias("record_id"), tampered(55, F.col("digest")).alias("declared_sha256"))
+    declared = materialise(by_line.unionByName(by_range).unionByName(by_ordinal), "declared")
+    return verify_records(declared, lines, csv_lines, "_id").select("event_id", "kind", "problem")
+
+
 @query("jn_23", "pkg", """SELECT DISTINCT case_id, evidence_id, record_id, 'differs' AS problem FROM pkg WHERE case_id % 17 = 0 AND evidence_id = 'EV-002'
     UNION ALL SELECT DISTINCT case_id, evidence_id, record_id, 'undeclared_extra' FROM pkg WHERE case_id % 19 = 0 AND evidence_id = 'EV-005'""")
 def jn_23(lake):

@@ -12,6 +12,7 @@ from alertweft.fixed import CASE_LEAK_PATTERN
 from alertweft.functions.codec import base64_text
 from alertweft.functions.stats import count_where
 from alertweft.operators import packages as K, projection as P
+from alertweft.operators.integrity import manifest
 from alertweft.operators.package_build import build_packages
 from alertweft.operators.projection import attribute_text, canonical_from_xml
 from alertweft.plans.adapters import add_view
@@ -19,6 +20,7 @@ from alertweft.plans.queries.projection import event_xml
 from alertweft.plans.queries.scoring import checks
 from alertweft.plans.registry import query
 from alertweft.session import materialise, scratch_path, ship
+from alertweft.sources.byte_ranges import range_hashes
 from alertweft.sources import audit_log, exports, lines as L, outputs as O, records as D, sinks, windows as Wd
 
 ship(__name__)
@@ -375,3 +377,61 @@ def snk_07(lake):
     status = sinks.freeze(lake.outputs().select("case_id", "rationale", "action"), "case_id", scratch_path(lake.spark, "inputs"))
     return status.agg(count_where(F.col("status") != "SAME").alias("m"), count_where(F.col("status") == "SAME").alias("s")).select(
         F.inline_outer(F.array(F.struct(F.lit("MODIFIED").alias("status"), F.col("m").alias("n")), F.struct(F.lit("SAME").alias("status"), F.col("s").alias("n")))))
+
+
+_KNOWN_TEXT = "CASE WHEN event_id % 7 = 0 THEN upper(event_type) ELSE event_type END || '|' || event_id || '|' || coalesce(props, '')"
+
+
+def _known_line():
+    kind = F.col("event_type")
+    return F.concat_ws("|", F.when(F.col("event_id") % 7 == 0, F.upper(kind)).otherwise(kind), F.col("event_id").cast("string"), F.coalesce("props", F.lit("")))
+
+
+def known_tree(lake):
+    """One text file of known content per event type: its events, one line each, by id."""
+    path = scratch_path(lake.spark, "known")
+    kind, line = F.col("event_type"), _known_line()
+    lake.table("events").select(kind.alias("kind"), "event_id", line.alias("value")).repartition("kind").sortWithinPartitions("kind", "event_id").select(
+        "kind", "value").write.partitionBy("kind").text(path)
+    return path
+
+
+@query("int_01_known", sql=f"SELECT event_type AS kind, CAST(sum(strlen(v) + 1) AS BIGINT) AS bytes, sha256(string_agg(v || chr(10), '' ORDER BY event_id)) AS sha256 FROM (SELECT *, {_KNOWN_TEXT} AS v FROM events) GROUP BY event_type")
+def int_01_known(lake):
+    """Manifest of files whose content is known."""
+    rows = manifest(lake.spark, known_tree(lake))
+    return rows.select(F.regexp_extract("path", "kind=([^/]*)/", 1).alias("kind"), "bytes", "sha256")
+
+
+@query("src_19_known", sql=f"""
+    WITH f AS (SELECT event_type, sha256(string_agg(v || chr(10), '' ORDER BY event_id)) AS h FROM (SELECT *, {_KNOWN_TEXT} AS v FROM events) GROUP BY event_type)
+    SELECT '/gone/' || event_type AS declared, CAST(1 AS BIGINT) AS matches, event_type AS found FROM f UNION ALL SELECT '/gone/changed-' || event_type, CAST(0 AS BIGINT), NULL FROM f""")
+def src_19_known(lake):
+    """Sources that are not where they were declared, found by a hash taken from the table; changed content is not found."""
+    staged = manifest(lake.spark, known_tree(lake)).select("path", "sha256")
+    lines = lake.table("events").select("event_type", "event_id", F.concat(_known_line(), F.lit("\n")).alias("value"))
+    text = lines.groupBy("event_type").agg(F.expr("listagg(value) within group (order by event_id)").alias("t"))
+    wanted = text.select(F.concat(F.lit("/gone/"), "event_type").alias("declared"), F.sha2("t", 256).alias("sha256")).unionAll(
+        text.select(F.concat(F.lit("/gone/changed-"), "event_type"), F.sha2(F.concat("t", F.lit("\n")), 256)))
+    found = resolve_by_hash(wanted, staged)
+    return found.select("declared", "matches", F.nullif(F.regexp_extract("path", "kind=([^/]*)/", 1), F.lit("")).alias("found"))
+
+
+_BLOCK_TEXT = "regexp_replace(coalesce(text, ''), '(?m)^(Information|Error|Warning)\\t', ' \\1' || chr(9), 'g')"
+
+
+@query("src_12_ranges", sql=f"""
+    WITH b AS (SELECT doc_id, 'Error' || chr(9) || 'doc-' || doc_id || chr(10) || '2025-01-01 10:00:00.5' || chr(10) || {_BLOCK_TEXT} || chr(10) AS t FROM documents)
+    SELECT doc_id, CAST(strlen('Information' || chr(9) || 'Microsoft-Windows-Sysmon' || chr(9) || '1' || chr(9) || 'doc-' || doc_id || chr(10)) AS BIGINT) AS first_bytes, CAST(1 AS INTEGER) AS first_code,
+        CAST(strlen(t) AS BIGINT) AS second_bytes, sha256(t) AS second_sha256, '2025-01-01T10:00:00.5Z' AS second_time FROM b""")
+def src_12_ranges(lake):
+    """Files of two blocks per document, read in ranges of 64 KB that cut blocks anywhere; the bytes of each second block are hashed by its range."""
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
+    body = F.concat(F.lit("Information\tMicrosoft-Windows-Sysmon\t1\t"), name, F.lit("\nError\t"), name, F.lit("\n2025-01-01 10:00:00.5\n"),
+                    F.regexp_replace(F.coalesce("text", F.lit("")), r"(?m)^(Information|Error|Warning)\t", " $1\t"))
+    path = text_files(lake, lake.table("documents").select(body.alias("value")), "block-files")
+    found = materialise(Wd.read_blocks(lake.spark, path, 1 << 16).withColumn("doc_id", F.regexp_extract("raw_text", r"\tdoc-(\d+)(?:\n|\z)", 1).cast("bigint")), "blocks")
+    first = found.filter("event_code = 1").select("doc_id", (F.col("byte_end") - F.col("byte_start")).alias("first_bytes"), F.col("event_code").alias("first_code"))
+    second = range_hashes(found.filter("event_code = 0").select("doc_id", "file", "byte_start", "byte_end", "event_time_utc"))
+    return first.join(second, "doc_id").select(
+        "doc_id", "first_bytes", "first_code", (F.col("byte_end") - F.col("byte_start")).alias("second_bytes"), F.col("sha256").alias("second_sha256"), F.col("event_time_utc").alias("second_time"))

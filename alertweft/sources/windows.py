@@ -8,6 +8,7 @@ from alertweft.fixed import SECURITY_PROVIDER, STANZA_MAP
 from alertweft.functions.text import snake_case
 from alertweft.functions.times import parse_time
 from alertweft.operators.projection import canonical_from_xml, event_type, project_attributes
+from alertweft.sources.byte_ranges import RANGE_BYTES, byte_records, line_text, raw_lines
 from alertweft.sources.lines import read_records
 
 STANZA_HEAD = r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2} [AP]M\s*$"
@@ -131,16 +132,18 @@ def read_wide_csv(spark: SparkSession, path: str) -> DataFrame:
         first(col("_source.data.win.system.computer"), col("_source.agent.name")).alias("computer"), attributes.alias("attributes"))
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Header-delimited multi-line records with block index and byte range."""
-    found = read_records(spark, path, F.col("line").rlike(BLOCK_HEAD))
-    return canonical_blocks(found)
+def read_blocks(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Header-delimited multi-line records with block index, first line and the byte range ``[byte_start, byte_end)`` of each."""
+    lines = raw_lines(spark, path, range_bytes)
+    found = byte_records(lines, line_text(F.col("raw")).rlike(BLOCK_HEAD))
+    return canonical_blocks(found.withColumn("text", F.regexp_replace(F.replace(F.decode("raw", "UTF-8"), F.lit("\r\n"), F.lit("\n")), r"\s+\z", "")))
 
 
 def canonical_blocks(found: DataFrame) -> DataFrame:
     text = F.rtrim(F.col("text"))
     code = F.regexp_extract(text, r"Microsoft-Windows-Sysmon\t(\d+)\t", 1)
     time = F.regexp_extract(text, r"(?m)^(\d{4}-\d{2}-\d{2} [0-9:.]+)\s*$", 1)
+    place = [c for c in ("first_line", "byte_start", "byte_end") if c in found.columns]
     return found.select(
-        "file", "block_index", F.when(code == "", 0).otherwise(code.try_cast("int")).alias("event_code"), F.lit("windows_event_block").alias("event_type"),
+        "file", "block_index", *place, F.when(code == "", 0).otherwise(code.try_cast("int")).alias("event_code"), F.lit("windows_event_block").alias("event_type"),
         F.when(time == "", "").otherwise(F.concat(F.replace(time, F.lit(" "), F.lit("T")), F.lit("Z"))).alias("event_time_utc"), text.alias("raw_text"))
