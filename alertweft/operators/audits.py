@@ -53,12 +53,14 @@ def last_row_faults(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     ]))
 
 
-def id_completeness(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
-    """Ids that are missing, extra or duplicated in ``actual``."""
-    counted = actual.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    both = expected.select(key).distinct().withColumn("_e", F.lit(True)).join(counted, key, "full_outer")
+def id_completeness(expected: DataFrame, actual: DataFrame, key: str | list[str]) -> DataFrame:
+    """Ids that are missing, extra or duplicated in ``actual``; an id may have several columns."""
+    key = [key] if isinstance(key, str) else key
+    counted = actual.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    both = expected.select(*key).distinct().withColumn("_e", F.lit(True)).join(counted, key, "full_outer")
     problem = F.when(F.col("_n").isNull(), "missing").when(F.col("_e").isNull(), "extra").when(F.col("_n") > 1, "duplicate")
-    return both.select(key, problem.alias("problem")).filter("problem is not null")
+    return both.select(*key, problem.alias("problem")).filter("problem is not null")
+
 
 
 def contract_drift(runs: DataFrame, frozen: dict) -> DataFrame:

@@ -8,11 +8,12 @@ from alertweft.fixed import FORBIDDEN_PATTERNS
 from alertweft.functions.ordinal import policy_value
 from alertweft.functions.stats import count_where
 from alertweft.functions.text import labels
-from alertweft.operators import audits as A, gate as G, integrity as I, packages as K, scoring as S
+from alertweft.operators import audits as A, case_gate as CG, gate as G, integrity as I, packages as K, scoring as S
 from alertweft.operators.redaction import has_any
 from alertweft.plans.adapters import _case_of, add_view
 from alertweft.plans.queries.rounds import RUN_KEYS
 from alertweft.plans.registry import query
+from alertweft.plans.rule_library import taxonomy_rows
 from alertweft.session import scratch_path
 
 
@@ -111,6 +112,63 @@ def chk_35(lake):
     return A.id_completeness(lake.outputs(), usage.unionByName(stray), "case_id")
 
 
+@query("chk_35_cells", "run", """SELECT case_id, model, round, CASE WHEN case_id % 13 = 0 OR (case_id + round) % 17 = 0 THEN 'missing' ELSE 'duplicate' END AS problem FROM run
+    WHERE case_id % 13 = 0 OR (case_id + round) % 17 = 0 OR case_id % 11 = 0
+    UNION ALL SELECT case_id + 100000000, model, round, 'extra' FROM run WHERE (case_id + round) % 700 = 0""")
+def chk_35_cells(lake):
+    """Usage ids of every model and round against the decisions; rounds lack and add others."""
+    usage = lake.usage().filter("(case_id + round) % 17 <> 0").select(*RUN_KEYS)
+    stray = lake.runs().filter("(case_id + round) % 700 = 0").select((F.col("case_id") + 100000000).alias("case_id"), "model", "round")
+    return A.id_completeness(lake.runs(), usage.unionByName(stray), ["case_id", "model", "round"])
+
+
+_CLASSES = taxonomy_rows()
+_LEAKS = {101: " T1059.001", 103: " wazuh", 107: " attack_step_3", 109: " Caldera", 113: " tainox3aedeeSh"}
+
+
+@query("chk_32_gate", "pkg der o gt gtd", f"""
+    WITH e AS (SELECT case_id, evidence_id AS id, count(*) AS n, bool_or(case_id % 37 = 0 AND line_no = 2) AS named FROM pkg GROUP BY 1, 2),
+    h AS (SELECT case_id, id FROM e UNION ALL SELECT case_id, derivation_id FROM der),
+    f AS (SELECT case_id, sum(n) AS n_events, bool_or(n > 1) AS repeated, bool_or(named) AS named, bool_or(id = 'A0') AS alert FROM e GROUP BY 1),
+    u AS (SELECT DISTINCT case_id FROM (SELECT case_id, unnest(list_concat(supporting, counter)) AS id FROM gt) c WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.case_id = c.case_id AND h.id = c.id)),
+    p AS (SELECT case_id, rationale || {" || ".join(f"CASE WHEN case_id % {n} = 0 THEN '{w}' ELSE '' END" for n, w in _LEAKS.items())} AS text FROM o)
+    SELECT case_id, CASE WHEN case_id % 97 = 0 THEN 'incomplete' ELSE concat_ws('|', CASE WHEN case_id % 59 = 0 THEN 'taxonomy' END, CASE WHEN case_id % 61 = 0 THEN 'timing' END,
+        CASE WHEN case_id % 47 = 0 THEN 'trigger not passed' END, CASE WHEN case_id % 31 = 0 THEN 'selected event' END, CASE WHEN case_id % 127 = 0 THEN 'audited family' END,
+        CASE WHEN case_id % 53 = 0 THEN 'audited pattern' END, CASE WHEN case_id % 67 = 0 THEN 'runbook' END, CASE WHEN case_id % 71 = 0 THEN 'no source' END,
+        CASE WHEN case_id % 71 <> 0 AND case_id % 73 = 0 THEN 'source absent' END, CASE WHEN case_id % 71 <> 0 AND case_id % 73 <> 0 AND case_id % 79 = 0 THEN 'source hash' END,
+        {", ".join(f"CASE WHEN regexp_matches(text, '(?i){pattern}') THEN 'leaked {name}' END" for name, pattern in FORBIDDEN_PATTERNS.items())},
+        CASE WHEN case_id % 89 = 0 THEN 'case ids' END, CASE WHEN repeated THEN 'repeated id' END, CASE WHEN u.case_id IS NOT NULL THEN 'unknown id' END,
+        CASE WHEN n_events IS NULL OR case_id % 43 = 0 THEN 'event count' END, CASE WHEN named THEN 'record id' END,
+        CASE WHEN expected_verdict <> {_case_of('condition', 0)} OR severity_band <> {_case_of('condition', 1)} OR action_band <> {_case_of('condition', 2)} THEN 'decision band' END,
+        CASE WHEN case_id % 41 = 0 AND alert THEN 'provenance ids' END) END AS faults
+    FROM p JOIN gtd USING (case_id) LEFT JOIN f USING (case_id) LEFT JOIN u USING (case_id)""")
+def chk_32_gate(lake):
+    """The gate of built cases with a seeded fault of every kind."""
+    k = F.col("case_id")
+    seeded = lambda every, fault, sound: F.when(k % every == 0, fault).otherwise(sound)
+    place = (k % len(_CLASSES)).cast("int")
+    part = lambda i: F.get(F.array(*[F.lit(c[i]) for c in _CLASSES]), place)
+    null, text, key = F.lit(None).cast("string"), F.col("rationale"), F.concat(F.lit("s"), k.cast("string"))
+    for every, word in _LEAKS.items():
+        text = F.concat(text, F.when(k % every == 0, word).otherwise(""))
+    truth = lake.truth_drafts().select("case_id", "condition", F.col("expected_verdict").alias("verdict"), "severity_band", "action_band")
+    source, pattern = F.sha2(key, 256), seeded(59, F.lit("no-such-pattern"), part(1))
+    cases = lake.outputs().select("case_id", "rationale").join(truth, "case_id").join(lake.declared(), "case_id", "left").select(
+        "case_id", seeded(89, k + 1, k).alias("truth_case_id"), k.alias("selection_case_id"), k.alias("provenance_case_id"), (k % 97 != 0).alias("documents_complete"),
+        seeded(61, F.lit("after"), F.lit(CG.TIMING)).alias("timing"), (k % 47 != 0).alias("trigger_passed"), key.alias("selected_key"), seeded(31, null, key).alias("expected_key"),
+        part(2).alias("rule_case"), part(0).alias("family"), pattern.alias("pattern"), seeded(127, null, part(0)).alias("audit_family"), seeded(53, F.lit("other"), pattern).alias("audit_pattern"),
+        seeded(67, F.lit("see the notes"), F.lit(f"The rule is in {CG.RULE_FILE}.")).alias("runbook"), seeded(71, null, source).alias("source_sha256"),
+        seeded(73, null, seeded(79, F.sha2(F.lit("changed"), 256), source)).alias("actual_sha256"), text.alias("package_text"), F.col("declared_count").alias("event_count"),
+        "condition", "verdict", "severity_band", "action_band")
+    evidence, neutral = lake.evidence(), F.concat(F.lit("SRC-"), F.col("evidence_id"))
+    row = lambda df, kind, name, record=null: df.select("case_id", F.lit(kind).alias("kind"), F.col(name).alias("id"), record.alias("record_id"))
+    cited = lake.truth().select("case_id", F.explode(F.concat("supporting", "counter")).alias("id"))
+    ids = row(evidence, CG.EVENT, "evidence_id", F.when((k % 37 == 0) & (F.col("line_no") == 2), "4711").otherwise(neutral)).unionByName(
+        row(lake.derivations(), CG.DERIVATION, "derivation_id")).unionByName(row(cited, CG.CITED, "id")).unionByName(
+        row(evidence.filter("not (case_id % 41 = 0 and evidence_id = 'A0')"), CG.TRACED, "evidence_id"))
+    return CG.case_faults(cases, ids, taxonomy_rows()).select("case_id", F.array_join("faults", "|").alias("faults"))
+
+
 def listing(lake):
     """File listing of the case folders; some folders lack or hold too much."""
     k = F.col("case_id")

@@ -421,6 +421,16 @@ def jn_07(lake):
     return pairs.select("pair_id", F.concat(F.when(F.col("low").isNull(), "weak").otherwise(""), F.when(F.col("high").isNull(), "counter").otherwise("")).alias("missing_roles"))
 
 
+@query("jn_07_cells", "run", """
+    SELECT case_id // 2 AS pair_id, model, round, CASE WHEN bool_or(case_id % 2 = 0) THEN '' ELSE 'weak' END || CASE WHEN bool_or(case_id % 2 = 1) THEN '' ELSE 'counter' END AS missing_roles
+    FROM run WHERE (case_id + round) % 33 <> 0 GROUP BY 1, 2, 3 HAVING count(*) < 2""")
+def jn_07_cells(lake):
+    """Incomplete pairs of every model and round; each round lacks others."""
+    part = versions(lake, "weak", "counter").filter("(pair_id * 2 + if(role = 'weak', 0, 1) + round) % 33 <> 0")
+    pairs = P.pair_versions(part, ("weak", "counter"), PAIR_KEYS).filter("not complete")
+    return pairs.select(*PAIR_KEYS, F.concat(F.when(F.col("low").isNull(), "weak").otherwise(""), F.when(F.col("high").isNull(), "counter").otherwise("")).alias("missing_roles"))
+
+
 def treatment(lake):
     """Control = round 1, treatment = round 2, both with their outcome-pair scores."""
     scores = outcome_scores(lake)
