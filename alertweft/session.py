@@ -16,8 +16,6 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # undecodable bytes become U+FFFD, which the codecs then drop, instead of failing the job
     "spark.sql.legacy.codingErrorAction": "true",
-    # keyed state with timers is kept outside the heap and written as changes
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -212,7 +212,18 @@ def end(spark: SparkSession, folder: str) -> None:
     spark.range(1).select(F.timestamp_millis(F.lit(END_MS)).alias("at")).coalesce(1).write.mode("append").parquet(folder)
 
 
+#: keyed state with timers needs this store; other streams keep the session's
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def write_available(stream: DataFrame, path: str) -> StreamingQuery:
-    """Run a stream over what is there, appending to the table at ``path``; run again, it goes on from its state."""
-    return stream.writeStream.format("parquet").outputMode("append").option("path", path).option(
-        "checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+    """Run a stream of :func:`aggregated_alerts` over what is there, appending to the table at ``path``; run again, it goes on from its state."""
+    spark, (name, store) = stream.sparkSession, STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, store)
+    try:
+        # a query takes its settings when it starts
+        return stream.writeStream.format("parquet").outputMode("append").option("path", path).option(
+            "checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, before)
