@@ -10,7 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 # one or two per family; `python tests/oracle.py` runs all of them
 NAMES = ["flagship", "flt_11", "flt_26", "win_01", "win_02", "win_14", "agg_02", "agg_03", "prj_01", "prj_16", "red_05", "red_12", "red_13", "src_01", "src_03",
          "src_13", "snk_01", "chk_01", "chk_09", "chk_20", "agg_11", "agg_12", "agg_22", "chk_27", "chk_34", "jn_17", "jn_20", "jn_21", "jn_15", "agg_25",
-         "int_02", "int_05", "str_02", "str_03", "str_04"]
+         "int_02", "int_05", "str_02", "str_03", "str_04", "chk_23_groups", "chk_32_gate", "chk_35_cells", "jn_07_cells", "int_01_known", "src_19_known", "src_12_ranges"]
 
 
 @pytest.fixture(scope="module")
