@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from alertweft.fixed import FREE_TIER_MODELS, PRICES
+from alertweft.session import merged
 
 
 def price(model: Column, output: bool) -> Column:
@@ -40,4 +41,4 @@ def latest_usage(usage: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def canonical_usage(usage: DataFrame, outputs: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The latest usage record of every current output; outputs without one have nulls."""
-    return outputs.select(*keys).join(latest_usage(usage, keys, order), keys, "left")
+    return outputs.select(*keys).join(merged(latest_usage(usage, keys, order)), keys, "left")
