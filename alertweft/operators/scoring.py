@@ -13,6 +13,7 @@ from alertweft.fixed import (
 from alertweft.functions.ordinal import direction, policy_value, rank
 from alertweft.functions.stats import count_where
 from alertweft.functions.text import any_phrase, evidence_ids, labels, str_array
+from alertweft.session import merged
 
 
 def package_headers(evidence: DataFrame) -> DataFrame:
@@ -61,7 +62,7 @@ def held_citations(outputs: DataFrame, ids: DataFrame, upper_keys: bool = False)
     """
     said = with_cited_ids(outputs.select("case_id", "key_evidence", "rationale").distinct(), upper_keys)
     cited = said.select("case_id", F.explode(F.array_union("key_ids", "text_ids")).alias("evidence_id")).distinct()
-    return cited.join(ids, ["case_id", "evidence_id"], "left_semi").groupBy("case_id").agg(F.collect_set("evidence_id").alias("held_ids"))
+    return cited.join(merged(ids), ["case_id", "evidence_id"], "left_semi").groupBy("case_id").agg(F.collect_set("evidence_id").alias("held_ids"))
 
 
 def with_unknown_ids(joined: DataFrame, upper_keys: bool = False) -> DataFrame:
@@ -74,11 +75,13 @@ def with_unknown_ids(joined: DataFrame, upper_keys: bool = False) -> DataFrame:
 def scored_cases(outputs: DataFrame, evidence: DataFrame, derivations: DataFrame, truth: DataFrame) -> DataFrame:
     """Decisions joined with package facts and ground truth, with the cited-id columns.
 
-    Every join is by case, so the decisions are shuffled once and read after it.
+    Every join is by case and sorted, so the decisions are shuffled once and read after it,
+    and the driver holds no table.
     """
     held = held_citations(outputs, package_ids(evidence, derivations))
     derived = derivations.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_derivations"))
-    joined = outputs.join(package_headers(evidence), "case_id").join(truth, "case_id").join(derived, "case_id", "left").join(held, "case_id", "left")
+    joined = outputs.join(merged(package_headers(evidence)), "case_id").join(merged(truth), "case_id")
+    joined = joined.join(merged(derived), "case_id", "left").join(merged(held), "case_id", "left")
     return with_unknown_ids(joined).withColumn("n_derivations", F.coalesce("n_derivations", F.lit(0)))
 
 
