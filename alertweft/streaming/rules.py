@@ -58,56 +58,91 @@ def gate_stream(decisions: DataFrame, facts: DataFrame, ids: DataFrame, path: st
 def upsert_latest(usage: DataFrame, path: str, keys: list[str], order: Column, buckets: int = 16) -> StreamingQuery:
     """Keep the latest record of every key in a table of one row per key, see :func:`latest`.
 
-    The state holds one record per key, and each micro-batch gives the keys whose
-    records it touched.  A key lives in a bucket by its hash; the buckets of changed keys are
-    written anew as a version named by the batch, and one small file of commits says which
-    buckets it holds.  Readers follow the newest commit of each bucket, so they never see half a batch,
-    and a batch that is run again starts from the versions before it and replaces its own.
-    Records of equal order are settled by their other fields.  State and table grow
-    with the keys; ``buckets`` should follow the size of the table.
+    Each micro-batch is reduced to one record per key.  A key lives in a bucket by its hash.  The
+    first version of a bucket is full; later batches add versions that hold their own keys only, and
+    when these have as many rows as the full version, the bucket is written anew as one.  So a
+    row is written a bounded number of times, however many batches come, and a bucket holds at
+    most twice its keys.  No state is kept besides the table.  One small file of commits a batch says which
+    versions hold which buckets, so readers never see half a batch, and a batch that is run again
+    starts from the versions before it and replaces its own.  Records of equal order are settled by
+    their other fields.  ``buckets`` should follow the size of the table.
     """
     fields = [c for c in usage.columns if c not in keys]
-    record = F.struct(*fields)
-    kept = usage.groupBy(*keys).agg(F.max(F.struct(order.alias("order"), record.alias("record"))).alias("u")).select(*keys, "u.record.*")
+    numbered = usage.withColumn("_order", order)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
     # a first, empty commit, so that there is always something to read
-    usage.sparkSession.createDataFrame([], "bucket int").write.mode("ignore").parquet(f"{path}/commits/version=-1")
+    usage.sparkSession.createDataFrame([], _COMMIT).write.mode("ignore").parquet(f"{path}/commits/version=-1")
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        changed = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        changed = _newest(batch, keys, fields).persist()
         try:
-            touched = [r.bucket for r in changed.select("bucket").distinct().collect()]  # no more than there are buckets
-            if not touched:
+            sizes = {r.bucket: r.n for r in changed.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).collect()}  # no more than there are buckets
+            if not sizes:
                 return
-            places = [p for b, p in _places(spark, path, epoch).items() if b in touched]
-            new = changed.select(*batch.columns, "bucket")
+            live = _live(spark, path, epoch)
+            grown = {b: sum(v.n or 0 for v in live.get(b, [])[1:]) + n for b, n in sizes.items()}
+            full = [b for b in sizes if not live.get(b) or grown[b] >= (live[b][0].n or 0)]
+            new = changed.select("*", bucket)
+            places = [_place(path, v) for b in full for v in live.get(b, [])]
             if places:
-                old = spark.read.schema(batch.schema).parquet(*places)
-                again = reduce(lambda a, b: a & b, [old[k].eqNullSafe(changed[k]) for k in keys])
-                stay = old.join(changed, again, "left_anti")
-                new = new.unionByName(stay.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+                old = spark.read.schema(changed.schema).parquet(*places)
+                again = _newest(old.unionByName(new.filter(F.col("bucket").isin(full)).drop("bucket")), keys, fields).select("*", bucket)
+                new = new.filter(~F.col("bucket").isin(full)).unionByName(again)
             new.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/data/version={epoch}")
-            commit = spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1)
-            commit.write.mode("overwrite").parquet(f"{path}/commits/version={epoch}")
+            rows = [(b, b in full, grown[b] + (live[b][0].n or 0 if live.get(b) else 0) if b in full else n, keys) for b, n in sizes.items()]
+            spark.createDataFrame(rows, _COMMIT).coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/version={epoch}")
         finally:
             changed.unpersist()
 
-    return kept.writeStream.outputMode("update").foreachBatch(merge).trigger(availableNow=True).option("checkpointLocation", f"{path}-state").start()
+    return numbered.writeStream.foreachBatch(merge).trigger(availableNow=True).option("checkpointLocation", f"{path}-state").start()
+
+
+#: a commit's row of a bucket: whether its version is full, the most rows it can have, the keys of the table
+_COMMIT = "bucket int, full boolean, n bigint, keys array<string>"
+
+
+def _newest(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """The record of highest order of each key, with that ``_order``."""
+    top = F.max(F.struct("_order", F.struct(*fields).alias("record"))).alias("u")
+    return rows.groupBy(*keys).agg(top).select(*keys, "u.record.*", "u._order")
+
+
+def _live(spark: SparkSession, path: str, before: int | None = None) -> dict[int, list]:
+    """Commit rows of each bucket from its newest full version on, oldest first; of versions before a batch if one is given."""
+    commits = spark.read.schema(f"{_COMMIT}, version bigint").parquet(f"{path}/commits")
+    found: dict[int, list] = {}
+    for row in sorted(commits.collect(), key=lambda r: r.version):  # versions times buckets
+        if before is not None and row.version >= before:
+            continue
+        found[row.bucket] = [row] if row.full is not False else [*found.get(row.bucket, []), row]
+    return found
+
+
+def _place(path: str, row) -> str:
+    return f"{path}/data/version={row.version}/bucket={row.bucket}"
 
 
 def _places(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
-    """Folder of the newest committed version of each bucket, of those before a batch if one is given."""
-    commits = spark.read.schema("bucket int, version bigint").parquet(f"{path}/commits")
-    if before is not None:
-        commits = commits.where(F.col("version") < before)
-    newest = commits.groupBy("bucket").agg(F.max("version").alias("version")).collect()
-    return {r.bucket: f"{path}/data/version={r.version}/bucket={r.bucket}" for r in newest}
+    """Folder of the newest full version of each bucket, of those before a batch if one is given."""
+    return {b: _place(path, rows[0]) for b, rows in _live(spark, path, before).items()}
 
 
 def latest(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """The table of :func:`upsert_latest`, with the columns of ``like``: one row per key."""
-    places = list(_places(spark, path).values())
-    return spark.read.schema(like.schema).parquet(*places) if places else spark.createDataFrame([], like.schema)
+    live = _live(spark, path)
+    if not live:
+        return spark.createDataFrame([], like.schema)
+    whole = [_place(path, rows[0]) for rows in live.values() if len(rows) == 1]
+    parts = [_place(path, row) for rows in live.values() if len(rows) > 1 for row in rows]
+    tables = [spark.read.schema(like.schema).parquet(*whole)] if whole else []
+    if parts:
+        keys = next(rows[-1]["keys"] for rows in live.values() if len(rows) > 1)
+        fields = [c for c in like.columns if c not in keys]
+        # the type of the order is the files' own
+        kept = spark.read.parquet(*parts)
+        tables.append(_newest(kept, keys, fields).select(*like.columns))
+    return reduce(DataFrame.unionByName, tables)
 
 
 def drain(stream: DataFrame, label: str) -> DataFrame:

@@ -55,3 +55,14 @@ def test_nothing_arrived(spark):
     target = scratch_path(spark, "usage")
     like = ingest(spark, [], scratch_path(spark, "usage-in"), target)
     assert held(spark, target, like) == []
+
+
+def test_small_batches_leave_the_table_unwritten(spark):
+    """Batches that touch every bucket add their own rows; a bucket is written anew only when these are as many as it holds."""
+    source, target = scratch_path(spark, "usage-in"), scratch_path(spark, "usage")
+    base = [(k, "a", 1, k) for k in range(200)]
+    ingest(spark, base, source, target)
+    for turn in range(2, 5):
+        like = ingest(spark, [(k, "a", turn, k) for k in range(20)], source, target)
+    assert held(spark, target, like) == sorted([(k, "a", 4, k) if k < 20 else (k, "a", 1, k) for k in range(200)], key=repr)
+    assert spark.read.parquet(f"{target}/data").count() == 260
