@@ -12,6 +12,7 @@ from alertweft.operators.scoring import duplicates_in
 from alertweft.plans.adapters import _sql_list, add_view
 from alertweft.plans.queries.scoring import _IDS, _any_sql, checks
 from alertweft.plans.registry import query
+from alertweft.session import merged
 
 
 def drafts(lake):
@@ -221,12 +222,12 @@ def agg_10(lake):
     return G.routed(decided(lake)).groupBy("profile").agg(*route_aggregates())
 
 
-def labelled(lake):
-    """Every (case, profile, target) with oracle label and runtime prediction."""
+def labelled(lake, targets=P.TARGETS):
+    """Every (case, profile, target) with oracle label and runtime prediction; only the targets asked for are unfolded and joined."""
     truth = checks(lake).select("case_id", F.inline_outer(F.array(*[
-        F.struct(F.lit(t).alias("target"), P.target_column(t).alias("label")) for t in P.TARGETS])))
+        F.struct(F.lit(t).alias("target"), P.target_column(t).alias("label")) for t in targets])))
     routes = G.routed(decided(lake)).select("case_id", "profile", F.col("status").isin("review", "block").alias("predicted"))
-    return truth.join(routes, "case_id")
+    return truth.join(merged(routes), "case_id")
 
 
 add_view("lab", """SELECT c.case_id, g.profile, t.target, g.status <> 'pass' AS predicted,
@@ -261,7 +262,7 @@ def agg_11(lake):
     CASE WHEN label AND predicted THEN 'tp' WHEN predicted THEN 'fp' WHEN label THEN 'fn' ELSE 'tn' END AS outcome FROM lab WHERE target = 'calibration'""")
 def agg_11_cases(lake):
     """The four case lists of the metrics, in long form."""
-    return labelled(lake).filter("target = 'calibration'").select("case_id", "profile", "target", P.outcome_class().alias("outcome"))
+    return labelled(lake, ["calibration"]).select("case_id", "profile", "target", P.outcome_class().alias("outcome"))
 
 
 @query("agg_23", "conf", """
@@ -273,7 +274,7 @@ def agg_23(lake):
 
 def runtime_uncertainty(lake):
     """Recall and review rate of every profile with Wilson intervals."""
-    counts = P.confusion(labelled(lake).filter("target = 'calibration'"), ["profile"])
+    counts = P.confusion(labelled(lake, ["calibration"]), ["profile"])
     n, positive = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"), F.col("tp") + F.col("fn")
     return counts.select(
         "profile", positive.alias("positive_n"), F.col("tp").alias("recall_n"), F.col("recall").alias("recall_rate"),
