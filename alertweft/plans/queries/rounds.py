@@ -53,14 +53,17 @@ def agg_12(lake):
     m AS (SELECT model, split, {', '.join(f'{_n(f"NOT c{i}_majority")} AS c{i}_majority_failures' for i in range(1, 5))}, {_n('joint_majority')} AS joint_majority_n FROM maj GROUP BY 1, 2)
     SELECT * FROM s JOIN m USING (model, split)""")
 def agg_13(lake):
-    joint = F.col("c1") & F.col("c2") & F.col("c3") & F.col("c4")
-    passes = run_checks(lake).groupBy("model", "split", "round").agg(count_where(joint).alias("passes"))
-    spread = passes.groupBy("model", "split").agg(
+    """Spread and majorities from one pass: cases are counted by their majorities and what passed in each round before these are unfolded."""
+    flags, unit = [*[f"c{i}_majority" for i in range(1, 5)], "joint_majority"], ["model", "split"]
+    patterns = P.round_patterns(run_checks(lake), [*unit, "case_id"]).groupBy(*unit, *flags, "passes").agg(F.count(F.lit(1)).alias("cases"))
+    passes = patterns.select(*unit, "cases", F.inline_outer("passes")).groupBy(*unit, "round").agg(F.sum(F.col("cases") * F.col("joint")).alias("passes"))
+    spread = passes.groupBy(*unit).agg(
         F.bround(F.avg("passes"), 4).alias("mean_passes"), F.min("passes").alias("min_passes"), F.max("passes").alias("max_passes"))
-    failures = majorities(lake).groupBy("model", "split").agg(
-        *[count_where(~F.col(f"c{i}_majority")).alias(f"c{i}_majority_failures") for i in range(1, 5)],
-        count_where(F.col("joint_majority")).alias("joint_majority_n"))
-    return spread.join(failures, ["model", "split"])
+    number = lambda test: F.coalesce(F.sum(F.when(test, F.col("cases"))), F.lit(0)).cast("bigint")
+    failures = patterns.groupBy(*unit).agg(
+        *[number(~F.col(f"c{i}_majority")).alias(f"c{i}_majority_failures") for i in range(1, 5)],
+        number(F.col("joint_majority")).alias("joint_majority_n"))
+    return spread.join(failures, unit)
 
 
 add_view("dist", f"""SELECT r.case_id, r.model, r.round, r.split, gt.condition, r.verdict, r.severity, r.action,
