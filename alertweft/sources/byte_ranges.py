@@ -1,6 +1,6 @@
 """Files by byte range: lines and records with their place, and hashes of ranges and whole files.
 
-A range is a piece of a file that one task reads.  A line belongs to the range
+A range is a piece of a file that one task reads; a task may read several small ones.  A line belongs to the range
 its first byte lies in; its reader goes past the border to the line's end, and
 the next range's reader skips to the first line that starts in its own range.
 """
@@ -11,6 +11,7 @@ import hashlib
 import io
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs
@@ -22,8 +23,8 @@ from alertweft.session import ship
 
 ship(__name__)
 
-#: bytes of a range, of what a reader hands on at a time, and of a step of hashing
-RANGE_BYTES, BATCH_BYTES, STEP_BYTES = 64 << 20, 4 << 20, 8 << 20
+#: bytes of a range, of the small ranges one task takes, of what a reader hands on at a time, and of a step of hashing
+RANGE_BYTES, TASK_BYTES, BATCH_BYTES, STEP_BYTES = 64 << 20, 8 << 20, 4 << 20, 8 << 20
 LINES = "file string, chunk bigint, nth bigint, byte_start bigint, byte_end bigint, raw binary"
 
 
@@ -47,51 +48,78 @@ def listed(path: str) -> list[tuple[str, str, int]]:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     file: str
     place: str
     start: int
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges in file order that one task reads one after the other."""
+
+    ranges: list[Range]
+
+
+def _dealt(ranges: list[Range]) -> list[Ranges]:
+    """Neighbouring ranges put together up to ``TASK_BYTES``; a range of that size or more is a task of its own."""
+    tasks, held = [], 0
+    for one in ranges:
+        size = one.end - one.start
+        if not tasks or held + size > TASK_BYTES:
+            tasks.append(Ranges([]))
+            held = 0
+        tasks[-1].ranges.append(one)
+        held += size
+    return tasks
+
+
 class RawLinesReader(DataSourceReader):
-    """A task per range; files are listed by the driver, as for Spark's own readers."""
+    """A task per range, or per several small ones; files are listed by the driver, as for Spark's own readers."""
 
     def __init__(self, path: str, range_bytes: int):
         self.path, self.range_bytes = path, range_bytes
 
-    def partitions(self) -> list[Range]:
-        return [Range(name, place, start, min(start + self.range_bytes, size)) for name, place, size in listed(self.path)
-                for start in range(0, size, self.range_bytes)] or [Range("", "", 0, 0)]
+    def partitions(self) -> list[Ranges]:
+        return _dealt([Range(name, place, start, min(start + self.range_bytes, size)) for name, place, size in listed(self.path)
+                       for start in range(0, size, self.range_bytes)]) or [Ranges([])]
+
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for _, mine in groupby(part.ranges, key=lambda r: r.place):
+            for row in self._lines(list(mine)):
+                rows.append(row)
+                held += len(row[-1])
+                if held >= BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _batch(rows)
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if not part.end:
-            return
+    def _lines(self, ranges: list[Range]) -> Iterator[tuple]:
+        """Lines of neighbouring ranges of one file, which is opened once and read on from range to range."""
         system = located(self.path)[0]
-        with system.open_input_file(part.place) as native, io.BufferedReader(native, 1 << 20) as handle:
-            at = part.start
+        with system.open_input_file(ranges[0].place) as native, io.BufferedReader(native, 1 << 20) as handle:
+            at = ranges[0].start
             if at:
                 # the byte before tells whether a line starts at the border
                 handle.seek(at - 1)
                 at -= 1
-                while at < part.end:
+                while at < ranges[-1].end:
                     piece = handle.readline(1 << 16)
                     at += len(piece)
                     if not piece or piece.endswith(b"\n"):
                         break
-            rows, held, nth = [], 0, 0
-            while at < part.end:
-                raw = handle.readline()
-                if not raw:
-                    break
-                nth += 1
-                rows.append((part.file, part.start, nth, at, at + len(raw), raw))
-                at, held = at + len(raw), held + len(raw)
-                if held >= BATCH_BYTES:
-                    yield _batch(rows)
-                    rows, held = [], 0
-            if rows:
-                yield _batch(rows)
+            for one in ranges:
+                nth = 0
+                while at < one.end:
+                    raw = handle.readline()
+                    if not raw:
+                        break
+                    nth += 1
+                    yield one.file, one.start, nth, at, at + len(raw), raw
+                    at += len(raw)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -105,3 +105,17 @@ def test_files_are_hashed_in_steps(spark, tmp_path, monkeypatch):
     assert got == {name: (len(data), sha(data), "spec" if name.startswith("tools") else "harness") for name, data in files.items()}
     missing = spark.createDataFrame([(str(tmp_path / "gone"), 0, None), (None, 0, 1)], "file string, byte_start long, byte_end long")
     assert [(r.file_bytes, r.sha256) for r in B.range_hashes(missing).collect()] == [(None, None)] * 2
+
+
+def test_small_ranges_share_a_task(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"".join(b"x" * (i % 90) + b"\n" for i in range(2000)) + b"y" * 700 + b"\nend")
+    (tmp_path / "b.txt").write_bytes(b"one\ntwo\n")
+    reader = B.RawLinesReader(str(tmp_path), 64)
+    tasks = reader.partitions()
+    assert len(tasks) == 1 and len(tasks[0].ranges) > 1000
+    together = [r for batch in reader.read(tasks[0]) for r in batch.to_pylist()]
+    alone = [r for one in tasks[0].ranges for batch in reader.read(B.Ranges([one])) for r in batch.to_pylist()]
+    assert together == alone and len(alone) == 2004
+    assert b"".join(r["raw"] for r in alone if r["file"].endswith("a.txt")) == (tmp_path / "a.txt").read_bytes()
+    big = [B.Range("f", "f", i << 23, (i + 1) << 23) for i in range(3)]
+    assert [len(t.ranges) for t in B._dealt(big)] == [1, 1, 1]
