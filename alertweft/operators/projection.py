@@ -122,7 +122,10 @@ def scheduled_task(raw: Column) -> Column:
         "author": inside(r"<Author>(.*?)</Author>"),
         "triggers": F.array_join(F.regexp_extract_all(content, F.lit(r"<(\w*Trigger)\b"), F.lit(1)), ","),
     }
-    return drop_blank(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]))
+    # as drop_blank, but without a lambda: that would leave generated code, where the content is prepared once for all values
+    kept = {k: F.when(v.isNotNull() & (v != "") & (v != "[]"), v).otherwise("") for k, v in values.items()}
+    return F.map_from_arrays(F.array_remove(F.array(*[F.when(v != "", k).otherwise("") for k, v in kept.items()]), ""),
+                             F.array_remove(F.array(*kept.values()), ""))
 
 
 # -- small normalisations ---------------------------------------------------------

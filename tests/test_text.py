@@ -10,6 +10,7 @@ from alertweft.functions import codec as C
 from alertweft.functions.text import evidence_ids, occurrences, snake_case
 from alertweft.functions.times import natural_key, parse_time
 from alertweft.operators import aliases as A, redaction as X
+from alertweft.operators.projection import scheduled_task
 from alertweft.sources.lines import blocks, read_lines, read_records
 
 
@@ -126,3 +127,41 @@ def test_small_text_helpers(spark):
     assert one(spark, natural_key(F.lit("a:9"))) < one(spark, natural_key(F.lit("a:10")))
     assert str(one(spark, parse_time(F.lit("07/05/2026 12:03:04 AM")))) == "2026-07-05 00:03:04"
     assert one(spark, parse_time(F.lit("later"))) is None
+
+
+def test_records_over_many_chunks(spark, tmp_path):
+    """Records that span chunks, chunks without a start and lines before the first one; no line is sorted or shuffled."""
+    rng = random.Random(5)
+    texts = {}
+    for name in ("a.txt", "b.txt", "c.txt"):
+        lines = [rng.choice(["H", "x", "", "long " * 40]) if rng.random() < 0.3 else "x" * rng.randrange(30) for _ in range(400)]
+        texts[name] = ["no start"] * 3 + lines + (["y"] * 300 if name == "b.txt" else [])
+    texts["none.txt"] = ["z"] * 50
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    expected = []
+    for name, lines in texts.items():
+        starts = [i for i, line in enumerate(lines) if line.startswith("H")]
+        expected += [(name, n, a + 1, "\n".join(lines[a:b])) for n, (a, b) in enumerate(zip(starts, [*starts[1:], len(lines)]), 1)]
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for size, batch in ((900, 10000), (4000, 7)):
+            spark.conf.set(names[0], size)
+            spark.conf.set(names[1], batch)
+            found = read_records(spark, str(tmp_path), F.startswith("line", F.lit("H")))
+            got = [(r.file.rsplit("/", 1)[1], r.block_index, r.first_line, r.text) for r in found.collect()]
+            assert sorted(got) == sorted(expected)
+            assert "_id" not in found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+
+
+def test_task_content_is_prepared_once(spark):
+    """Blank, missing and empty-list values are left out; no lambda takes the parsing out of generated code."""
+    raw = spark.createDataFrame([
+        ("<Data Name='TaskName'>T</Data><Data Name='TaskContent'>&lt;Task&gt;&lt;BootTrigger/&gt;&lt;Command&gt;c&lt;/Command&gt;&lt;Arguments&gt;[]&lt;/Arguments&gt;&lt;/Task&gt;</Data>",), ("none",), (None,)],
+        "raw string").select(scheduled_task(F.col("raw")).alias("a"))
+    assert [r.a for r in raw.collect()] == [{"task_name": "T", "action_command": "c", "triggers": "BootTrigger"}, {}, {}]
+    assert "lambda" not in raw._jdf.queryExecution().optimizedPlan().toString()
