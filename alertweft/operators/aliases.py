@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from alertweft.session import ship
+from alertweft.session import materialise, ship
 
 ship(__name__)
 
@@ -91,9 +91,15 @@ def replace_in_cases(rows: DataFrame, case: str, columns: list[str], aliases: Da
     kinds = {c: rows.schema[c].dataType for c in columns}
     values = [F.map_values(c) if isinstance(kinds[c], T.MapType) else F.array(c) for c in columns]
     size = sum(F.coalesce(F.octet_length(F.array_join(v, "")), F.lit(0)) for v in values)
-    texts = rows.select(F.col(case).alias("case"), F.struct(*rows.columns).alias("row"), F.array(*values).alias("texts"), size.alias("bytes"))
+    # texts travel once: beside them go the other columns and the keys of maps
+    rest = [F.map_keys(c).alias(c) if c in columns else F.col(c) for c in rows.columns if c not in columns or isinstance(kinds[c], T.MapType)]
+    texts = rows.select(F.col(case).alias("case"), F.struct(*rest, F.lit(0).alias("_kept")).alias("row"), F.array(*values).alias("texts"), size.alias("bytes"))
+    sizes = materialise(texts.groupBy("case").agg(F.sum("bytes").alias("bytes")), "case-sizes")
     # few by nature: their number is bounded by the bytes of all texts over those of a slice
-    cut = texts.groupBy("case").agg(F.ceil(F.sum("bytes") / SLICE_BYTES).cast("int").alias("slices")).where("slices > 1 and case is not null")
+    cut = sizes.select("case", F.ceil(F.col("bytes") / SLICE_BYTES).cast("int").alias("slices")).where("slices > 1 and case is not null")
+    # so a task holds a few slices, however much text there is
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sizes.agg(F.sum("bytes")).first()[0] or 0) // SLICE_BYTES))
     whole = F.coalesce("slices", F.lit(1))
     placed = texts.join(cut, "case", "left").select(
         "case", F.pmod(F.xxhash64("texts"), whole).cast("int").alias("slice"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("alias"),
@@ -103,7 +109,7 @@ def replace_in_cases(rows: DataFrame, case: str, columns: list[str], aliases: Da
         F.lit(None).cast(placed.schema["row"].dataType).alias("row"), F.lit(None).cast(placed.schema["texts"].dataType).alias("texts"))
     # rows without a case are spread by their texts
     key = F.coalesce(F.xxhash64("case"), F.xxhash64("texts"))
-    stream = placed.unionByName(sent).withColumn("key", key).repartition("key", "slice").sortWithinPartitions("key", "case", "slice", "kind")
+    stream = placed.unionByName(sent).withColumn("key", key).repartition(parts, "key", "slice").sortWithinPartitions("key", "case", "slice", "kind")
     schema = T.StructType([placed.schema["row"], placed.schema["texts"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,5 +136,5 @@ def replace_in_cases(rows: DataFrame, case: str, columns: list[str], aliases: Da
             again.append(F.col("row")[c].alias(c))
             continue
         new = F.get("texts", F.lit(columns.index(c)))
-        again.append((F.when(F.col("row")[c].isNotNull(), F.map_from_arrays(F.map_keys(F.col("row")[c]), new)) if isinstance(kinds[c], T.MapType) else F.get(new, F.lit(0))).alias(c))
+        again.append((F.when(F.col("row")[c].isNotNull(), F.map_from_arrays(F.col("row")[c], new)) if isinstance(kinds[c], T.MapType) else F.get(new, F.lit(0))).alias(c))
     return done.select(*again)

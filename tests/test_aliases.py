@@ -53,3 +53,15 @@ def test_mappings_beside_the_rows(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "id long, text string, m map<string,string>")
     got = {r.id: r.out for r in docs.select("id", A.replace_simultaneous(F.col("text"), F.col("m")).alias("out")).collect()}
     assert got == {i: f"[{i % 9}] on q" for i in range(60)} | {90: None, 91: None, 92: "t"}
+
+
+def test_slices_have_tasks_and_texts_travel_once(spark, monkeypatch):
+    """One case with most of the text is spread over as many tasks as it has slices, and its texts are in the shuffle once."""
+    monkeypatch.setattr(A, "SLICE_BYTES", 200)
+    docs = spark.createDataFrame([(i, "big" if i % 5 else "small", f"the word {i} " * 3) for i in range(200)], "id int, case string, text string")
+    names = spark.createDataFrame([("big", "THE", "a"), ("small", "word", "b")], "case string, alias string, pseudonym string")
+    found = A.replace_in_cases(docs, "case", ["text"], names)
+    rows = found.collect()
+    assert {r.id: r.text for r in rows} == {i: (f"a word {i} " if i % 5 else f"the b {i} ") * 3 for i in range(200)} and len(rows) == 200
+    exchange = next(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in line)
+    assert any(int(n) > 20 for n in re.findall(r"\], (\d+)", exchange)), exchange
