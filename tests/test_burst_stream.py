@@ -101,3 +101,12 @@ def test_nothing_arrives(spark):
 def test_rules_without_groups(spark):
     with pytest.raises(RuleError):
         B.aggregated_alerts(frame(spark, []), [{"case_id": "X", "event_predicate": HOST}], spark.createDataFrame([], "at timestamp"))
+
+
+def test_keys_beyond_one_entry(spark, monkeypatch):
+    """Keys that outgrow their one entry, and sessions that outgrow their values, go on in the maps."""
+    monkeypatch.setattr(B, "PACKED", 4)
+    monkeypatch.setattr(B, "HELD", 1)
+    rows = made(random.Random(8), 200)
+    _, got = run(spark, [rows[:70], rows[70:140], rows[140:]], "1 hour")
+    assert got == batch(frame(spark, rows))
