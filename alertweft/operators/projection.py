@@ -33,19 +33,33 @@ def event_type(code: Column) -> Column:
     return F.when(text == "4698", "scheduled_task_created").otherwise(F.coalesce(table[text], F.lit("other")))
 
 
-def _field_case() -> str:
-    """CASE over the event code giving the (attribute, value) pairs in output order."""
+#: alternate data names a mapped attribute has at most
+_ALTERNATES = max(len(names) for _, fields in FIELD_MAP.values() for names, _ in fields if not isinstance(names, str))
+
+
+def _field_spec() -> str:
+    """Literal map of the event code to its (attribute, alternate data names) entries in output order."""
     arms = []
     for known, (_, fields) in FIELD_MAP.items():
-        pairs = []
+        entries = []
         for names, attr in fields:
-            values = ", ".join(f"_data['{n}']" for n in ([names] if isinstance(names, str) else names))
-            pairs.append(f"struct('{attr}' as k, coalesce({values}) as v)")
-        arms.append(f"when '{known}' then array({', '.join(pairs)})")
-    return f"case _c {' '.join(arms)} end"
+            names = [names] if isinstance(names, str) else list(names)
+            given = [f"'{n}'" for n in names] + ["cast(null as string)"] * (_ALTERNATES - len(names))
+            entries.append(f"struct('{attr}' as k, {', '.join(f'{n} as n{i}' for i, n in enumerate(given))})")
+        arms.append(f"'{known}', array({', '.join(entries)})")
+    return f"map({', '.join(arms)})"
+
 
+_FIELD_SPEC = _field_spec()
 
-_FIELD_CASE = _field_case()
+
+def mapped_entries(code: str = "_c", data: str = "_data") -> Column:
+    """(attribute, value) entries of a known code, of alternate names the first present one; null for other codes.
+
+    A lookup in a literal and one small lambda: a CASE with an arm per code makes methods too long to be compiled.
+    """
+    return F.transform(F.expr(_FIELD_SPEC)[F.col(code)], lambda s: F.struct(
+        s["k"].alias("k"), F.coalesce(*[F.col(data)[s[f"n{i}"]] for i in range(_ALTERNATES)]).alias("v")))
 
 
 def project_attributes(df: DataFrame, code: Column, entries: Column, name: str = "attributes") -> DataFrame:
@@ -56,7 +70,7 @@ def project_attributes(df: DataFrame, code: Column, entries: Column, name: str =
     every field unchanged, the last duplicate winning.
     """
     staged = stage_entries(df.withColumn("_c", code.cast("string")), entries).withColumn("_data", first_wins())
-    mapped = staged.withColumn("_m", F.expr(_FIELD_CASE))
+    mapped = staged.withColumn("_m", mapped_entries())
     kept = F.map_from_entries(F.filter("_m", lambda e: F.length(e["v"]) > 0))
     return mapped.withColumn(name, F.when(F.col("_m").isNull(), last_wins()).otherwise(kept)).drop("_c", "_e", "_k", "_data", "_m")
 

@@ -56,7 +56,7 @@ add_view("evst", """SELECT *, CASE event_code WHEN 4624 THEN 'target_user_name='
 
 
 def stanzas(lake):
-    return Wd.read_stanzas(lake.spark, text_files(lake, lake.events().select(stanza_text()), "stanza"))
+    return Wd.read_stanzas(lake.spark, text_files(lake, lake.spread_events().select(stanza_text()), "stanza"))
 
 
 @query("src_02", "ev", "SELECT event_code, CAST(count(*) AS BIGINT) AS blocks, CAST(sum(event_id) AS BIGINT) AS id_sum FROM ev GROUP BY event_code")
@@ -112,7 +112,7 @@ add_view("mixed", "SELECT evx.event_id, CASE WHEN evx.k % 2 = 0 THEN evx.attribu
 
 @query("src_07", "mixed", "SELECT CAST(event_id AS VARCHAR) AS record_id, attributes FROM mixed")
 def src_07(lake):
-    raws = lake.events().select(F.when(F.col("k") % 2 == 0, event_xml()).otherwise(stanza_text()).alias("raw"))
+    raws = lake.spread_events().select(F.when(F.col("k") % 2 == 0, event_xml()).otherwise(stanza_text()).alias("raw"))
     return Wd.canonical_mixed(raws).select("record_id", attribute_text(F.col("attributes")).alias("attributes"))
 
 

@@ -39,10 +39,10 @@ def stanza_fields(raw: Column) -> Column:
     """(k, v) entries of the message: ``Field`` and ``Section|Field``, in text order.
 
     One regular expression finds all ``Name:`` lines; a name without a value
-    opens the section of the entries after it.
+    opens the section of the entries after it.  What cannot match otherwise is not tried again (``++``).
     """
     message = F.when(F.contains(raw, F.lit("Message=")), F.regexp_extract(raw, r"(?s)Message=.*", 0)).otherwise(raw)
-    line = F.lit(r"(?m)^\t*([A-Za-z][A-Za-z /]+?):(?:\t+(.*\S))?[ \t\r]*$")
+    line = F.lit(r"(?m)^\t*+([A-Za-z][A-Za-z /]++):(?:\t++(.*\S))?[ \t\r]*$")
     names, values = F.regexp_extract_all(message, line, F.lit(1)), F.regexp_extract_all(message, line, F.lit(2))
     pairs = F.zip_with(names, values, lambda n, v: F.struct(F.trim(n).alias("n"), F.trim(v).alias("v")))
     empty = F.array().cast("array<struct<k:string,v:string>>")
@@ -58,17 +58,26 @@ def stanza_fields(raw: Column) -> Column:
     return F.aggregate(pairs, F.struct(F.lit("").alias("section"), empty.alias("found")), step, lambda acc: acc["found"])
 
 
-def _stanza_case() -> str:
-    """CASE over the event code giving (data name, value) pairs; the plain field stands in for a sectioned one."""
-    value = lambda n: f"get(_found, cast(nullif(array_position(_names, '{n}'), 0) - 1 as int)).v"
+def _stanza_spec() -> str:
+    """Literal map of the event code to its (data name, sectioned field, plain field) entries."""
     arms = []
     for known, fields in STANZA_MAP.items():
-        pairs = [f"struct('{xml}' as k, coalesce({value(src)}, {value(src.split('|')[-1])}) as v)" for src, xml in fields.items()]
-        arms.append(f"when '{known}' then array({', '.join(pairs)})")
-    return f"case event_code {' '.join(arms)} end"
+        entries = [f"struct('{xml}' as k, '{src}' as full, '{src.split('|')[-1]}' as plain)" for src, xml in fields.items()]
+        arms.append(f"'{known}', array({', '.join(entries)})")
+    return f"map({', '.join(arms)})"
 
 
-_STANZA_CASE = _stanza_case()
+def _stanza_entries() -> Column:
+    """(data name, value) entries of the code's fields; the plain field stands in for a sectioned one.
+
+    A lookup in a literal and one small lambda: a CASE with an arm per code makes methods too long to be compiled.
+    """
+    value = lambda n: F.get("_found", F.nullif(F.array_position("_names", n), F.lit(0)).cast("int") - 1)["v"]
+    return F.transform(F.expr(_STANZA_SPEC)[F.col("event_code")], lambda s: F.struct(
+        s["k"].alias("k"), F.coalesce(value(s["full"]), value(s["plain"])).alias("v")))
+
+
+_STANZA_SPEC = _stanza_spec()
 
 
 def canonical_from_stanza(raws: DataFrame, raw: str = "raw") -> DataFrame:
@@ -82,7 +91,7 @@ def canonical_from_stanza(raws: DataFrame, raw: str = "raw") -> DataFrame:
         F.lit("Security").alias("channel"), F.lit(SECURITY_PROVIDER).alias("provider"), F.coalesce(iso, F.lit("Z")).alias("event_time_utc"),
         F.sha2(text, 256).alias("raw_sha256"), event_type(code).alias("event_type"), stanza_fields(text).alias("_found"),
     ).withColumn("_names", F.transform("_found", lambda e: e["k"]))
-    arms = F.coalesce(F.expr(_STANZA_CASE), F.array().cast("array<struct<k:string,v:string>>"))
+    arms = F.coalesce(_stanza_entries(), F.array().cast("array<struct<k:string,v:string>>"))
     entries = F.filter(arms, lambda e: F.length(e["v"]) > 0)
     return project_attributes(headed, F.col("event_code"), entries).drop("_found", "_names")
 
