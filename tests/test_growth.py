@@ -48,6 +48,36 @@ def test_stanza_lines_that_almost_match(spark):
     assert [tuple(x) for x in found] == [("Aa", "b"), ("Hh", "i: j"), ("Gg|Hh", "i: j")] and time.time() - start < 20
 
 
+def test_walks_of_a_forest_double_their_depth(spark):
+    edges = spark.createDataFrame([(0, 0)] + [(i, i // 2) for i in range(1, 600)] + [(1000 + i, 1000 + i + 1) for i in range(70)], "guid long, parent_guid long")
+    parent = {r.guid: r.parent_guid for r in edges.collect() if r.guid != r.parent_guid}
+    reach = N.closure(edges)
+    assert {r.dist for r in reach.select("dist").distinct().collect()} == {1, 2, 3, 4, 8, 16, 32, 64}
+    want = set()
+    for a in (599, 300, 3, 1000, 1005):
+        at, d = a, 0
+        while at in parent:
+            at, d = parent[at], d + 1
+            want.add((a, at, d))
+    anchors = spark.createDataFrame([(a,) for a in (599, 300, 3, 1000, 1005, 1005, None)], "guid long")
+    up = N.ancestors(reach, anchors)
+    assert "anti" not in plan(up).lower()
+    assert sorted((r.anchor, r.guid, r.depth) for r in up.collect()) == sorted(want)
+    everyone = N.ancestors(reach, edges.select("guid")).select("guid", "anchor", "depth")
+    everyone = everyone.join(edges.select(F.col("guid").alias("guid")), "guid", "left_semi")
+    down = N.descendants(reach, edges.select("guid"))
+    assert sorted(map(tuple, down.select("anchor", "guid", "depth").collect())) == sorted(map(tuple, everyone.collect()))
+
+
+def test_two_parents_or_a_cycle_keep_the_careful_walk(spark):
+    ladder = [(i, i + 1) for i in range(20)] + [(i, i + 2) for i in range(19)]
+    for extra, steps in ((ladder, 10), ([(i, i + 1) for i in range(20)] + [(50, 51), (51, 50)], 20)):
+        reach = N.closure(spark.createDataFrame(extra, "guid long, parent_guid long"))
+        assert {r.dist for r in reach.select("dist").distinct().collect()} <= {1, 2, 3, 4}
+        up = N.ancestors(reach, spark.createDataFrame([(0,)], "guid long")).collect()
+        assert len(up) == 20 and len({r.guid for r in up}) == 20 and max(r.depth for r in up) == steps
+
+
 def test_methods_that_the_jit_skips_are_not_generated(spark, tmp_path):
     from alertweft.plans import load_queries
     load_queries()[0]["flt_01"](spark, "/root/testdata/sf0.001")
