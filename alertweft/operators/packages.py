@@ -117,13 +117,14 @@ def documents(evidence: DataFrame, derivations: DataFrame) -> DataFrame:
     A package is a single document by definition, so its items meet in one row
     here, at the sink, and nowhere before.
     """
-    sort_key = lambda x: F.struct(x["evidence_id"], x["event_time_utc"], x["record_id"])
+    # an item holds its own sort key, which is therefore not shuffled beside it
+    sort_key = lambda x: F.struct(x["evidence_id"], x["event_time_utc"], x["source_event"]["event_record_id"])
     in_order = lambda a, b: F.when(sort_key(a) < sort_key(b), -1).when(sort_key(a) > sort_key(b), 1).otherwise(0)
     items = evidence.groupBy("case_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("evidence_id") != "A0", F.struct("evidence_id", "event_time_utc", "record_id", evidence_struct().alias("item")))), in_order).alias("_items"),
+        F.array_sort(F.collect_list(F.when(F.col("evidence_id") != "A0", evidence_struct())), in_order).alias("evidence_items"),
         F.min_by(F.when(F.col("evidence_id") == "A0", evidence_struct()), F.struct(F.col("evidence_id") != "A0", "event_time_utc", "record_id")).alias("main_alert"),
         F.count(F.lit(1)).alias("event_count"),
-    ).select("case_id", "main_alert", F.transform("_items", lambda i: i["item"]).alias("evidence_items"), "event_count")
+    ).select("case_id", "main_alert", "evidence_items", "event_count")
     derived = derivations.groupBy("case_id").agg(F.collect_set(F.struct("derivation_id", "source_evidence_id", "source_field")).alias("deterministic_derivations"))
     return items.join(derived, "case_id", "left")
 

@@ -16,8 +16,8 @@ class LeakError(RuntimeError):
 
 
 def write_documents(documents: DataFrame, path: str, partition: str | None = None) -> None:
-    """One JSON document per case."""
-    writer = documents.write.mode("errorifexists")
+    """One JSON document per case, in gzip files: documents repeat their field names, and are read as a whole."""
+    writer = documents.write.mode("errorifexists").option("compression", "gzip")
     (writer.partitionBy(partition) if partition else writer).json(path)
 
 

@@ -78,6 +78,20 @@ def test_two_parents_or_a_cycle_keep_the_careful_walk(spark):
         assert len(up) == 20 and len({r.guid for r in up}) == 20 and max(r.depth for r in up) == steps
 
 
+def test_documents_shuffle_no_key_twice_and_are_compressed(spark, tmp_path):
+    rows = [(c, e, f"2024-01-0{d}T00:00:00Z", r, 1, "h", {"flag": "N"}) for c in range(300) for e, d, r in (("EV-002", 1, "9"), ("EV-001", 2, "8"), ("EV-001", 1, "7"), ("A0", 3, "6"))]
+    evidence = spark.createDataFrame(rows, "case_id long, evidence_id string, event_time_utc string, record_id string, event_code int, computer string, attributes map<string,string>")
+    derived = spark.createDataFrame([(1, "DER-001", "A0", "x")], "case_id long, derivation_id string, source_evidence_id string, source_field string")
+    found = K.documents(evidence, derived)
+    assert "struct(evidence_id" in plan(found) and ", item," not in plan(found)
+    row = found.filter("case_id = 1").first()
+    assert [i.source_event.event_record_id for i in row.evidence_items] == ["7", "8", "9"] and row.main_alert.evidence_id == "A0"
+    sinks.write_documents(found, f"{tmp_path}/docs")
+    files = [f for f in Path(f"{tmp_path}/docs").iterdir() if f.name.startswith("part-")]
+    assert files and all(f.name.endswith(".json.gz") for f in files)
+    assert spark.read.json(f"{tmp_path}/docs").count() == 300
+
+
 def test_methods_that_the_jit_skips_are_not_generated(spark, tmp_path):
     from alertweft.plans import load_queries
     load_queries()[0]["flt_01"](spark, "/root/testdata/sf0.001")
