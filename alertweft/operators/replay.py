@@ -21,7 +21,9 @@ GROUP_STRATEGY = "earliest_in_highest_count_group"
 def natural(key: Column) -> Column:
     """Sort form of a record key: digit runs compare as numbers, everything else without case."""
     runs = F.regexp_extract_all(key, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(r, 20, "0")).otherwise(F.lower(r))), "\u0001")
+    parted = F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(r, 20, "0")).otherwise(F.lower(r))), "\u0001")
+    # a key of digits is one run
+    return F.when((key != "") & (F.translate(key, "0123456789", "") == ""), F.lpad(key, 20, "0")).otherwise(parted)
 
 
 def event_order(at: str, key: str) -> Column:
@@ -73,8 +75,9 @@ def replay(events: DataFrame, rules: list[dict], catalogue: list[tuple[str, str,
     known = set(catalogue)
     plain = [r for r in rules if not r.get("aggregation")]
     order = event_order(at, key)
-    ends = match_rules(events.select("*", order.alias("_order")), plain).groupBy("rule_case").agg(
-        F.min_by(key, "_order").alias("first"), F.max_by(key, "_order").alias("last")) if plain else None
+    # the order is formed for matches only
+    ends = match_rules(events, plain).groupBy("rule_case").agg(
+        F.min_by(key, order).alias("first"), F.max_by(key, order).alias("last")) if plain else None
     latest = [r["case_id"] for r in plain if r.get("selection", {}).get("strategy") == "latest_match"]
     parts = [] if ends is None else [ends.select(
         "rule_case", F.lit(0).cast("bigint").alias("groups"), F.when(F.col("rule_case").isin(latest), F.col("last")).otherwise(F.col("first")).alias("selected"))]

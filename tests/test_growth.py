@@ -92,6 +92,14 @@ def test_documents_shuffle_no_key_twice_and_are_compressed(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/docs").count() == 300
 
 
+def test_order_of_a_replay_is_formed_for_keys_of_digits_and_others(spark):
+    keys = ["12", "7", "a7", "A12", "", "0012", "1" * 25, "7\n", "٣", None]
+    old = lambda key: F.array_join(F.transform(F.regexp_extract_all(key, F.lit(r"(\d+|\D+)"), F.lit(1)),
+                                               lambda r: F.when(r.rlike(r"^\d"), F.lpad(r, 20, "0")).otherwise(F.lower(r))), "\u0001")
+    got = spark.createDataFrame([(k,) for k in keys], "k string").select(natural(F.col("k")).alias("new"), old(F.col("k")).alias("old")).collect()
+    assert all(r.new == r.old for r in got)
+
+
 def test_methods_that_the_jit_skips_are_not_generated(spark, tmp_path):
     from alertweft.plans import load_queries
     load_queries()[0]["flt_01"](spark, "/root/testdata/sf0.001")
