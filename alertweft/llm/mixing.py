@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from alertweft.llm.common import whole_row
 
 REST = "*"
+#: steps of a distribution that are gathered at a time
+BLOCK = 256
 
 
 def hashed(seed: str, *parts: Column) -> Column:
@@ -29,17 +31,24 @@ def uniform(digest: Column) -> Column:
 def poisson_steps(rate: Column) -> Column:
     """Cumulative Poisson probabilities of 0, 1, 2, ... until nothing is left in double precision.
 
-    Terms are summed from their logarithms, so large rates do not underflow.
+    Terms are summed from their logarithms, so large rates do not underflow.  They are gathered
+    in blocks, as an array that grows by one element is copied for each.
     """
     last = F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
-    start = F.struct((-rate).alias("log"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("steps"))
+    first = F.struct((-rate).alias("log"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("steps"))
 
     def add(acc: Column, k: Column) -> Column:
         log = acc["log"] + F.log(rate) - F.log(k.cast("double"))
         total = acc["sum"] + F.exp(log)
         return F.struct(log.alias("log"), total.alias("sum"), F.concat(acc["steps"], F.array(total)).alias("steps"))
 
-    return F.aggregate(F.sequence(F.lit(1), last), start, add, lambda acc: acc["steps"])
+    def add_block(blocks: Column, low: Column) -> Column:
+        before = F.element_at(blocks, -1)
+        start = F.struct(before["log"].alias("log"), before["sum"].alias("sum"), F.array().cast("array<double>").alias("steps"))
+        return F.concat(blocks, F.array(F.aggregate(F.sequence(low, F.least(last, low + (BLOCK - 1))), start, add)))
+
+    blocks = F.aggregate(F.sequence(F.lit(1), last, F.lit(BLOCK)), F.array(first), add_block)
+    return F.flatten(F.transform(blocks, lambda b: b["steps"]))
 
 
 def rates(docs: DataFrame, weights: dict[str, float], rest: float, text_col: str = "text", source_col: str = "source",
