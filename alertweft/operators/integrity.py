@@ -18,6 +18,11 @@ def row_digest(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
 
 
+def digest_bytes(digest: Column) -> Column:
+    """A digest of ``row_digest`` as its bytes, half as many to shuffle; null for a text that is no hex number."""
+    return F.unhex(digest)
+
+
 def category(path: Column) -> Column:
     chain = None
     for name, prefixes in CATEGORIES:
