@@ -45,6 +45,13 @@ def test_summary_takes_one_shuffle_of_digests(spark, tmp_path):
     assert {(r.binding_status, r.temporal_status, c): r[c] for r in found.collect() for c in ("outputs", "with_usage")} == want
 
 
+def test_rows_take_one_shuffle_of_digests(spark, tmp_path):
+    found = entry.queries()["jn_15"](spark, folder(spark, tmp_path))
+    assert exchanges(found) <= 3  # outputs' keys, their usage, everything by case
+    assert found.columns == ["case_id", "model", "round", "split", "has_usage", "binding_status", "temporal_status"]
+    assert Counter(tuple(r) for r in found.collect()) == wanted()
+
+
 def test_records_are_seen_by_several_keys(spark):
     outputs = spark.createDataFrame([(1, 1, "ab"), (1, 1, "cd"), (1, 2, "ab"), (2, 1, None)], "case_id long, round int, sha string")
     events = spark.createDataFrame([(1, 1, "ab"), (1, 1, "ab"), (1, 2, "cd"), (2, 2, "ab")], "case_id long, round int, sha string")
